@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavel import lexicon as lx
@@ -34,6 +34,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later filters read.
+
+    A filter on a projected column is pushed below the projection together with the whole expression, which
+    then runs once per mention. A one-element generator keeps the value computed once.
+    """
+    return df.select(*[c for c in df.columns if c != name], F.explode_outer(F.array(value)).alias(name))
+
+
 def strip(text: Column, chars: str = SPACE) -> Column:
     return F.btrim(text, F.lit(chars))
 

@@ -28,34 +28,36 @@ SUBJECT_WORD = r"\b(i|we|you|he|she|they|it|everyone|someone|team)(?:'(?:ll|m|re
 PASSIVE = r"\b(is|are|was|were|be|been|being)\s+\w+(?:ed|en)\b"
 
 
+# One match splits a sentence into the text before its first verb form, the verb, its ending, and the words
+# after it up to punctuation.
+CLAUSE = r"^(.*?)" + VERB_FORMS + r"(?:\s+([^,.;:!?]*))?.*$"
+MARK = "\x01"
+
+
 def annotate_by_rules(sentences: DataFrame) -> DataFrame:
     """C3-C6 by rules. The first verb form is the root; the words after it, up to a stop word or punctuation,
     are the object; a pronoun before the verb, else a leading 'Name,', else the speaker is the subject."""
     text = F.col("text")
-    hit = F.regexp_extract(text, regex(VERB_FORMS), 1)
-    head = F.regexp_extract(text, regex(r"^(.*?)" + VERB_FORMS), 1)
-    tail = F.regexp_extract(text, regex(VERB_FORMS + r"\s+([^,.;:!?]*)"), 3)
-    form = F.lower(F.regexp_extract(text, regex(VERB_FORMS), 2))
-    phrase = strip(F.regexp_replace(tail, regex(r"\s*" + PHRASE_ENDS + r".*$"), ""))
-    pronoun = F.regexp_extract(F.col("_head"), regex(SUBJECT_WORD), 1)
-    addressee = F.regexp_extract(text, r"(?U)^(\p{Lu}\w*),", 1)
+    pieces = F.split(F.regexp_replace(text, regex(CLAUSE), f"$1{MARK}$2{MARK}$3{MARK}$4"), MARK)
     none = F.lit("")
-    staged = sentences.select(
+    head, verb = F.get("_c", F.lit(0)), F.lower(F.get("_c", F.lit(1)))
+    form = F.lower(F.get("_c", F.lit(2)))
+    phrase = strip(F.regexp_replace(F.get("_c", F.lit(3)), regex(r"\s*" + PHRASE_ENDS + r".*$"), ""))
+    pronoun = F.when(verb.isNotNull(), F.regexp_extract(head, regex(SUBJECT_WORD), 1))
+    addressee = F.regexp_extract(text, r"(?U)^(\p{Lu}\w*),", 1)
+    staged = sentences.withColumn("_c", pieces).select(
         "*",
-        F.nullif(F.lower(hit), none).alias("root_verb"),
+        verb.alias("root_verb"),
         F.nullif(phrase, none).alias("object"),
-        head.alias("_head"),
+        F.coalesce(F.nullif(pronoun, none), F.nullif(addressee, none)).alias("_subject"),
         F.when(form.isin("ed", "d"), "VBD").when(form == "ing", "VBG").when(form == "s", "VBZ")
-        .when(hit != "", "VB").alias("root_tag"),
+        .when(verb.isNotNull(), "VB").alias("root_tag"),
         text.rlike(regex(PASSIVE)).alias("is_passive"),
     )
     return (
         staged.withColumn("has_dobj", F.col("object").isNotNull())
-        .withColumn(
-            "subject", default_subject(F.coalesce(F.nullif(pronoun, none), F.nullif(addressee, none)),
-                                       F.col("is_passive"), F.col("speaker"))
-        )
-        .drop("_head")
+        .withColumn("subject", default_subject(F.col("_subject"), F.col("is_passive"), F.col("speaker")))
+        .drop("_c", "_subject")
     )
 
 

@@ -22,10 +22,8 @@ def title_of(raw_text: Column, verb: Column, obj: Column, generated: Column | No
 def titled(extractions: DataFrame) -> DataFrame:
     """G2-G6 and the final G3, without task numbers."""
     generated = F.col("generated") if "generated" in extractions.columns else None
-    return (
-        extractions.withColumn("task", title_of(F.col("raw_text"), F.col("root_verb"), F.col("object"), generated))
-        .where(tx.is_valid_title(F.col("task")))
-    )
+    title = title_of(F.col("raw_text"), F.col("root_verb"), F.col("object"), generated)
+    return tx.once(extractions, "task", title).where(tx.is_valid_title(F.col("task")))
 
 
 def build_tasks(

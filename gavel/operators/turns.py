@@ -165,11 +165,14 @@ def sentence_arrays(transcripts: DataFrame, allow_mmss: bool = False) -> DataFra
 
 def sentences_from_transcripts(transcripts: DataFrame, allow_mmss: bool = False) -> DataFrame:
     """One row per surviving sentence; `ord` is its dense 0-based position in the meeting."""
+    # The outer form keeps the optimizer from adding a size check of the array below the explode, which would
+    # evaluate the whole parsing expression once more.
     return (
         sentence_arrays(transcripts, allow_mmss)
         .select(
-            "meeting_id", "meeting_chars", "meeting_type", "known_speakers", F.posexplode("sentences").alias("ord", "s")
+            "meeting_id", "meeting_chars", "meeting_type", "known_speakers", F.posexplode_outer("sentences").alias("ord", "s")
         )
+        .where(F.col("ord").isNotNull())
         .select(
             "meeting_id", "meeting_chars", "meeting_type", "known_speakers", F.col("ord").cast("long").alias("ord"),
             "s.sentence_id", "s.turn_id", "s.speaker", "s.timestamp", "s.text",
@@ -244,7 +247,8 @@ def sentences_from_turns(turns: DataFrame, rows: int = ordered.SEGMENT_ROWS) ->
     ranked = ordered.running_total(kept, ["meeting_id"], "turn_id", F.size("_kept"), "_through", rows)
     return (
         ranked.withColumn("_before", F.col("_through") - F.size("_kept"))
-        .select("*", F.posexplode("_kept").alias("_i", "_s"))
+        .select("*", F.posexplode_outer("_kept").alias("_i", "_s"))
+        .where(F.col("_i").isNotNull())
         .select(
             "meeting_id",
             (F.col("_before") + F.col("_i")).alias("ord"),

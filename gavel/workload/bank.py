@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gavel.sources.files import spread
+
 NAMES = ["Mara", "Theo", "Priya", "Luca", "Ines", "Omar", "Wei"]
 
 PHRASES = [
@@ -106,7 +108,8 @@ def standups(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(LINES - 1)), lambda k: line(k.cast("long"))), "\n")
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(e.alias("meeting_id"), text.alias("raw_text"))
+    events = spread(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id"))
+    return events.select(e.alias("meeting_id"), text.alias("raw_text"))
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +117,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     first = _pick(PHRASES, (e * 11 + F.floor(e / 64)) % 64)
     second = _pick(PHRASES, (e * 5 + 3) % 64)
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    return spread(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id")).select(
         F.col("user_id").alias("meeting_id"),
         e.alias("turn_id"),
         _pick(NAMES, (e + F.floor(e / 50)) % 7).alias("speaker"),

@@ -156,9 +156,9 @@ SENTENCE_TYPE = (
     f"WHEN {like_re('text', alt(lx.CONSEQUENCE_SENTENCES))} THEN 'consequence' ELSE 'general' END"
 )
 _head = ext("text", r"^(.*?)" + syntax.VERB_FORMS, 1)
-_tail = ext("text", syntax.VERB_FORMS + r"\s+([^,.;:!?]*)", 3)
-_form = f"lower({ext('text', syntax.VERB_FORMS, 2)})"
 _verb = ext("text", syntax.VERB_FORMS, 1)
+_form = f"lower({ext('text', syntax.VERB_FORMS, 2)})"
+_tail = ext("text", syntax.CLAUSE, 4)
 _phrase = trim(sub(_tail, r"\s*" + syntax.PHRASE_ENDS + r".*$", "", "i"))
 ANNOTATED = (
     "annotated0 AS (SELECT *, "

@@ -174,7 +174,7 @@ def sentence_split(spark, sf):
 
 @query(
     "text_cleaning_c7_c10",
-    ck.with_ctes(ck.CALLS, select=f"SELECT turn_id, {ck.clean('text')} AS cleaned, {ck.trim(ck.sub('text', r'\\s+', ' ', 'g'))} AS collapsed FROM turns"),
+    ck.with_ctes(ck.CALLS, select=f"SELECT turn_id, {ck.clean('text')} AS cleaned, {ck.trim(ck.sub('text', chr(92) + 's+', ' ', 'g'))} AS collapsed FROM turns"),
 )
 def text_cleaning(spark, sf):
     t = F.col("text")
