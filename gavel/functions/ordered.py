@@ -1,126 +1,118 @@
-"""Ordered operators that survive a hot group.
-
-A plain `Window.partitionBy(meeting).orderBy(pos)` puts a whole meeting into one task, however large it is.
-Here every window runs over (group, segment), where a segment is a fixed stretch of the order column, so no
-task ever holds more than about SEGMENT_ROWS rows of one group:
-
-* bounded look-back (`lag`, context windows): the last rows of a segment are copied into the next one as a
-  halo and dropped after the window is computed; no join, no second shuffle.
-* unbounded look-back (numbering, fill-forward): per-segment aggregates (combined map-side) give each later
-  segment one seed row carrying the state of everything before it.
-
-Groups that fit in one segment produce no seeds. `may_exceed` lets a caller state a cheap condition that any
-group longer than a segment must meet (for transcripts: the text length), so the seed pass skips the rest.
+"""Ordered operators over groups of any size.
+
+Most groups are small: a transcript is one bounded row, a meeting some thousand sentences. For them the plain
+form is best, one shuffle on the group key and one window. A turn table may however hold one meeting with a
+third of all rows, and such a window would put it into one task. `segment_rows` therefore checks the largest
+group (an aggregate over the key column alone) and returns
+
+* None when every group fits in a segment: plain windows over the group;
+* a segment size otherwise: windows over (group, segment), where a segment is a stretch of that many values of
+  the order column. Bounded look-back (`with_halo`) copies the last rows of a segment into the next one.
+  Unbounded look-back (`running_total`, `fill_forward`) aggregates per segment first and joins the state of
+  everything before it to the segment's rows. The input of such a two-pass step is stored once in the shared
+  checkpoint folder, so that chained steps do not compute their input again and again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from gavel.session import cut_lineage
+
 SEGMENT_ROWS = 65_536
 SEGMENT = "_segment"
 HALO = "_halo"
 
 
+def segment_rows(df: DataFrame, keys: Sequence[str], limit: int = SEGMENT_ROWS) -> int | None:
+    """None when no group has more than `limit` rows, else `limit`."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return limit if not sizes.where(F.col("n") > limit).isEmpty() else None
+
+
 def segment_of(order: str, rows: int) -> Column:
     return F.floor(F.col(order) / F.lit(rows)).cast("long")
 
 
-def with_halo(df: DataFrame, order: str, lookback: int, rows: int = SEGMENT_ROWS) -> DataFrame:
-    """Add the segment column and copy the last `lookback` rows of each segment into the next one.
+def window(keys: Sequence[str], order: str, rows: int | None) -> WindowSpec:
+    return Window.partitionBy(*keys, *([] if rows is None else [SEGMENT])).orderBy(order)
+
+
+def with_halo(df: DataFrame, order: str, lookback: int, rows: int | None) -> DataFrame:
+    """In segmented form, add the segment and copy the last `lookback` rows of each segment into the next one.
 
     `order` must be dense inside a group (0, 1, 2, ...), as given by the turn parser or `number_rows`.
     """
+    if rows is None:
+        return df
     own = segment_of(order, rows)
     near_end = (F.col(order) % F.lit(rows)) >= F.lit(rows - lookback)
     targets = F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own))
     return df.withColumn(SEGMENT, F.explode(targets)).withColumn(HALO, F.col(SEGMENT) != own)
 
 
-def drop_halo(df: DataFrame) -> DataFrame:
-    return df.where(~F.col(HALO)).drop(HALO)
+def drop_halo(df: DataFrame, rows: int | None) -> DataFrame:
+    return df if rows is None else df.where(~F.col(HALO)).drop(HALO, SEGMENT)
 
 
-def segment_window(keys: Sequence[str], order: str):
-    return Window.partitionBy(*keys, SEGMENT).orderBy(order)
+def _carried(
+    base: DataFrame, keys: Sequence[str], state: Column, before: Column
+) -> DataFrame:
+    """Join to every row `_carry`: `before` (a window expression over `_state`) of its segment's predecessors.
 
+    One row per (group, segment) meets the window over a group, so the largest group's window holds its row
+    count divided by the segment size.
+    """
+    per_segment = base.groupBy(*keys, SEGMENT).agg(state.alias("_state"))
+    carry = per_segment.select(*keys, SEGMENT, before.alias("_carry")).where(F.col("_carry").isNotNull())
+    return base.join(carry, [*keys, SEGMENT], "left")
 
-def _with_seeds(df: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Rows plus seed rows; a seed has order -1 and nulls in every column it does not carry."""
-    return df.withColumn("_seed", F.lit(False)).unionByName(
-        seeds.withColumn("_seed", F.lit(True)), allowMissingColumns=True
-    )
+
+def _earlier_segments(keys: Sequence[str]) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def fill_forward(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    value: Column,
-    out: str,
-    rows: int = SEGMENT_ROWS,
-    may_exceed: Column | None = None,
-    placed: bool = False,
+    df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str, rows: int | None
 ) -> DataFrame:
-    """Add `out`: the last non-null `value` of the group strictly before the current row.
-
-    With `placed`, the frame already carries the segment column of the same order and segment size.
-    """
-    base = df if placed else df.withColumn(SEGMENT, segment_of(order, rows))
-    base = base.withColumn("_value", value)
-    long_groups = base if may_exceed is None else base.where(may_exceed)
-    per_segment = (
-        long_groups.groupBy(*keys, SEGMENT)
-        .agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(order))).alias("_last"))
-    )
-    before = Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
-    seeds = (
-        per_segment.withColumn("_value", F.last("_last", ignorenulls=True).over(before))
-        .where(F.col("_value").isNotNull())
-        .select(*keys, SEGMENT, "_value", F.lit(-1).cast(df.schema[order].dataType).alias(order))
-    )
-    w = segment_window(keys, order).rowsBetween(Window.unboundedPreceding, -1)
-    filled = _with_seeds(base, seeds).withColumn(out, F.last("_value", ignorenulls=True).over(w))
-    done = filled.where(~F.col("_seed")).drop("_seed", "_value")
-    return done if placed else done.drop(SEGMENT)
+    """Add `out`: the last non-null `value` of the group strictly before the current row."""
+    w = window(keys, order, rows).rowsBetween(Window.unboundedPreceding, -1)
+    if rows is None:
+        return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
+    base = cut_lineage(df.withColumn(SEGMENT, segment_of(order, rows)).withColumn("_value", value))
+    last = F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(order)))
+    joined = _carried(base, keys, last, F.last("_state", ignorenulls=True).over(_earlier_segments(keys)))
+    filled = joined.withColumn(out, F.coalesce(F.last("_value", ignorenulls=True).over(w), F.col("_carry")))
+    return filled.drop("_value", "_carry", SEGMENT)
 
 
 def running_total(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    value: Column,
-    out: str,
-    rows: int = SEGMENT_ROWS,
-    may_exceed: Column | None = None,
+    df: DataFrame, keys: Sequence[str], order: str, values: dict[str, Column], rows: int | None
 ) -> DataFrame:
-    """Add `out`: the inclusive running sum of `value` in group order."""
-    base = df.withColumn(SEGMENT, segment_of(order, rows)).withColumn("_value", value.cast("long"))
-    long_groups = base if may_exceed is None else base.where(may_exceed)
-    per_segment = long_groups.groupBy(*keys, SEGMENT).agg(F.sum("_value").alias("_sum"))
-    before = Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
-    seeds = (
-        per_segment.withColumn("_value", F.sum("_sum").over(before))
-        .where(F.col("_value").isNotNull())
-        .select(*keys, SEGMENT, "_value", F.lit(-1).cast(df.schema[order].dataType).alias(order))
+    """Add one inclusive running sum per entry of `values`, in group order."""
+    w = window(keys, order, rows).rowsBetween(Window.unboundedPreceding, 0)
+    if rows is None:
+        return df.select("*", *[F.sum(v.cast("long")).over(w).alias(out) for out, v in values.items()])
+    base = cut_lineage(
+        df.select("*", *[v.cast("long").alias(f"_v_{out}") for out, v in values.items()]).withColumn(
+            SEGMENT, segment_of(order, rows)
+        )
     )
-    w = segment_window(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = _with_seeds(base, seeds).withColumn(out, F.sum("_value").over(w))
-    return summed.where(~F.col("_seed")).drop("_seed", "_value", SEGMENT)
-
-
-def number_rows(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    out: str,
-    start: int = 1,
-    rows: int = SEGMENT_ROWS,
-    may_exceed: Column | None = None,
-) -> DataFrame:
-    """Dense numbering of a group's rows by a non-negative integer order column."""
-    numbered = running_total(df, keys, order, F.lit(1), out, rows, may_exceed)
-    return numbered.withColumn(out, F.col(out) + F.lit(start - 1))
+    state = F.struct(*[F.sum(f"_v_{out}").alias(out) for out in values])
+    earlier = _earlier_segments(keys)
+    before = F.struct(*[F.sum(F.col(f"_state.{out}")).over(earlier).alias(out) for out in values])
+    joined = _carried(base, keys, state, before)
+    sums = [
+        (F.coalesce(F.col(f"_carry.{out}"), F.lit(0)) + F.sum(f"_v_{out}").over(w)).alias(out) for out in values
+    ]
+    return joined.select("*", *sums).drop("_carry", SEGMENT, *[f"_v_{out}" for out in values])
+
+
+def number_rows(df: DataFrame, keys: Sequence[str], order: str, out: str, rows: int | None) -> DataFrame:
+    """Add `out`: 1, 2, 3, ... inside each group by a non-negative integer order column."""
+    if rows is None:
+        return df.withColumn(out, F.row_number().over(window(keys, order, None)).cast("long"))
+    return running_total(df, keys, order, {out: F.lit(1)}, rows)

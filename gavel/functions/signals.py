@@ -45,7 +45,8 @@ def modal_strength(found: Column) -> Column:
 def modal_boost(found: Column, has_object: Column) -> Column:
     """E4 + E5: strength plus the direct-object bonus, at most 1, 0 without a modal."""
     bonus = F.when(F.coalesce(has_object, F.lit(False)), lx.DIRECT_OBJECT_BONUS).otherwise(0.0)
-    return F.coalesce(F.least(modal_strength(found) + bonus, F.lit(1.0)), F.lit(0.0))
+    # `least` skips nulls, so the missing modal is decided first.
+    return F.when(found.isNull(), 0.0).otherwise(F.least(modal_strength(found) + bonus, F.lit(1.0)))
 
 
 def downward_prior(text: Column, sentence_type: Column, meeting_type: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gavel import lexicon as lx
 from gavel.functions import text as tx
-from gavel.functions.ordered import SEGMENT_ROWS
+from gavel.functions import ordered
 from gavel.functions.similarity import cosine, normalized
 from gavel.functions.signals import deadline
 
@@ -95,43 +95,41 @@ def _average_linkage(distance: np.ndarray, limit: float) -> np.ndarray:
     return label
 
 
-def islands(decisions: DataFrame, limit: float = lx.CLUSTER_DISTANCE, reach: int = REACH) -> DataFrame:
+def islands(
+    decisions: DataFrame, limit: float = lx.CLUSTER_DISTANCE, reach: int = REACH, rows: int | None = None
+) -> DataFrame:
     """Cut every meeting into stretches no cluster can span: `(meeting_id, sentence_id, island)`.
 
     Average linkage merges two clusters only if some pair between them is similar enough, and such pairs are
-    at most `reach` sentences apart. A gap wider than that between neighbouring decisions, or one that no
-    similar pair bridges, is a cut. Stretches of a meeting are then clustered independently.
+    at most `reach` sentences apart. A place that no similar pair bridges is a cut, and the stretches of a
+    meeting can be clustered independently.
     """
     links = decision_pairs(decisions, reach).where(F.col("distance") < limit)
-    # The farthest later sentence each sentence is linked with; a cut is where nobody reaches past.
     far = links.groupBy("meeting_id", F.col("a").alias("sentence_id")).agg(F.max("b").alias("_far"))
-    width = SEGMENT_ROWS
-    # Links are short, so the running maximum only has to look back `reach` sentence ids.
-    w = Window.partitionBy("meeting_id", "_seg").orderBy("sentence_id").rangeBetween(-reach, -1)
-    seg = F.floor(F.col("sentence_id") / width).cast("long")
-    near_end = (F.col("sentence_id") % width) >= width - reach
-    placed = (
-        decisions.select("meeting_id", "sentence_id")
-        .join(far, ["meeting_id", "sentence_id"], "left")
-        .withColumn("_seg", F.explode(F.when(near_end, F.array(seg, seg + 1)).otherwise(F.array(seg))))
-        .withColumn("_halo", F.col("_seg") != seg)
-        .withColumn("_reach", F.max("_far").over(w))
-        .where(~F.col("_halo"))
-    )
-    from gavel.functions.ordered import running_total
-
-    starts = placed.drop("_seg", "_halo").withColumn(
-        "_cut", (F.coalesce("_reach", F.lit(-1)) < F.col("sentence_id")).cast("int")
+    linked = decisions.select("meeting_id", "sentence_id").join(far, ["meeting_id", "sentence_id"], "left")
+    # Links are short, so whether one passes over a sentence shows in the `reach` ids before it. Rows offer
+    # themselves to their own bucket and the next one, which keeps each window two buckets wide.
+    width = reach + 1
+    bucket = F.floor(F.col("sentence_id") / F.lit(width))
+    w = Window.partitionBy("meeting_id", "_b").orderBy("sentence_id").rangeBetween(-reach, -1)
+    looked = (
+        linked.withColumn("_b", F.explode(F.array(bucket, bucket + 1)))
+        .withColumn("_passes", F.max("_far").over(w))
+        .where(F.col("_b") == bucket)
+        .drop("_b", "_far")
     )
-    return running_total(starts, ["meeting_id"], "sentence_id", F.col("_cut"), "island").select(
+    cut = (F.coalesce("_passes", F.lit(-1)) < F.col("sentence_id")).cast("int")
+    return ordered.running_total(looked, ["meeting_id"], "sentence_id", {"island": cut}, rows).select(
         "meeting_id", "sentence_id", "island"
     )
 
 
-def cluster_decisions(decisions: DataFrame, limit: float = lx.CLUSTER_DISTANCE) -> DataFrame:
+def cluster_decisions(
+    decisions: DataFrame, limit: float = lx.CLUSTER_DISTANCE, rows: int | None = None
+) -> DataFrame:
     """O2: average-linkage clusters: `(meeting_id, sentence_id, cluster)`, a cluster named by its first
     sentence. One task clusters one island of one meeting, never a whole hot meeting."""
-    placed = decisions.join(islands(decisions, limit), ["meeting_id", "sentence_id"])
+    placed = decisions.join(islands(decisions, limit, rows=rows), ["meeting_id", "sentence_id"])
     kinds = {f.name: f.dataType.simpleString() for f in decisions.schema}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -13,22 +13,22 @@ from gavel.operators.turns import meeting_type_from
 
 
 def dialogue_windows(
-    sentences: DataFrame, context: int = lx.CONTEXT_SENTENCES, rows: int = ordered.SEGMENT_ROWS
+    sentences: DataFrame, context: int = lx.CONTEXT_SENTENCES, rows: int | None = None
 ) -> DataFrame:
-    """Everything that looks back a bounded number of sentences, in one shuffle on (meeting, segment):
+    """Everything that looks back a bounded number of sentences, in one shuffle:
 
-    `prev_speaker` (for D3), `context_text` (D8), `prev_is_request` (for D9). The segment column stays on the
-    rows so that the fill-forward of D4 can use the same placement.
+    `prev_speaker` (for D3), `context_text` (D8), `prev_is_request` (for D9).
     """
     placed = ordered.with_halo(sentences, "ord", max(context, 1), rows)
-    w = ordered.segment_window(["meeting_id"], "ord")
+    w = ordered.window(["meeting_id"], "ord", rows)
+    texts = F.collect_list("text").over(w.rowsBetween(-context, 0))
     looked = placed.select(
         "*",
         F.lag("speaker").over(w).alias("prev_speaker"),
-        F.array_join(F.collect_list("text").over(w.rowsBetween(-context, 0)), lx.CONTEXT_SEPARATOR).alias("context_text"),
+        F.array_join(texts, lx.CONTEXT_SEPARATOR).alias("context_text"),
         F.coalesce(F.lag(is_request(F.col("text"))).over(w), F.lit(False)).alias("prev_is_request"),
     )
-    return ordered.drop_halo(looked)
+    return ordered.drop_halo(looked, rows)
 
 
 def addressee(text: Column, known: Column | None = None) -> Column:
@@ -62,12 +62,7 @@ def resolve_subjects(df: DataFrame) -> DataFrame:
     )
 
 
-def resolve_objects(
-    df: DataFrame,
-    strict: bool = False,
-    rows: int = ordered.SEGMENT_ROWS,
-    may_exceed: Column | None = None,
-) -> DataFrame:
+def resolve_objects(df: DataFrame, strict: bool = False, rows: int | None = None) -> DataFrame:
     """A pronoun, a weekday-like object or a missing object takes the same speaker's last meaningful one.
 
     Resolved values never feed the carry, so this is a fill-forward over the original objects. With `strict`
@@ -79,9 +74,7 @@ def resolve_objects(
     present = F.coalesce(obj, F.lit("")) != ""
     marked = df.withColumn("_vague", present & vague)
     meaningful = F.when(present & ~F.col("_vague"), obj)
-    filled = ordered.fill_forward(
-        marked, ["meeting_id", "speaker"], "ord", meaningful, "_last", rows, may_exceed, placed=ordered.SEGMENT in df.columns
-    )
+    filled = ordered.fill_forward(marked, ["meeting_id", "speaker"], "ord", meaningful, "_last", rows)
     wants = F.col("_vague") | (~present & F.col("root_verb").isNotNull())
     takes = wants & F.col("_last").isNotNull()
     return (
@@ -117,11 +110,9 @@ def score_triplets(df: DataFrame) -> DataFrame:
     )
 
 
-def resolve_triplets(
-    df: DataFrame, strict: bool = False, rows: int = ordered.SEGMENT_ROWS, may_exceed: Column | None = None
-) -> DataFrame:
+def resolve_triplets(df: DataFrame, strict: bool = False, rows: int | None = None) -> DataFrame:
     """let's, speaker default, you, carry-forward, score; in that order."""
-    return score_triplets(resolve_objects(resolve_subjects(df), strict, rows, may_exceed))
+    return score_triplets(resolve_objects(resolve_subjects(df), strict, rows))
 
 
 def pair_acceptances(df: DataFrame) -> DataFrame:
@@ -139,7 +130,7 @@ def pair_acceptances(df: DataFrame) -> DataFrame:
     )
 
 
-def meeting_types(sentences: DataFrame, rows: int = ordered.SEGMENT_ROWS) -> DataFrame:
+def meeting_types(sentences: DataFrame, rows: int | None = None) -> DataFrame:
     """D10 over a sentence table: each signal is a boolean maximum, combined map-side per meeting.
 
     A signal of several words may start in one sentence and end in a later one, so each text is looked at
@@ -147,7 +138,7 @@ def meeting_types(sentences: DataFrame, rows: int = ordered.SEGMENT_ROWS) -> Dat
     """
     reach = max(len(s.split()) for s in lx.TASK_SIGNALS + lx.STATUS_SIGNALS) - 1
     placed = ordered.with_halo(sentences.select("meeting_id", "ord", "text"), "ord", reach, rows)
-    w = ordered.segment_window(["meeting_id"], "ord").rowsBetween(-reach, 0)
+    w = ordered.window(["meeting_id"], "ord", rows).rowsBetween(-reach, 0)
     joined = placed.select("meeting_id", F.lower(F.array_join(F.collect_list("text").over(w), " ")).alias("t"))
     hits = [
         F.bool_or(F.contains("t", F.lit(s))).alias(f"_{kind}{i}")

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gavel import lexicon as lx
-from gavel.functions import ordered
 from gavel.functions.greedy import first_independent
 from gavel.functions.pairs import similar_pairs
 from gavel.functions.text import strip
+from gavel.session import cut_lineage
 
 
 def drop_equal_titles(tasks: DataFrame) -> DataFrame:
@@ -41,11 +41,13 @@ def drop_similar(
     threshold: float = lx.DUPLICATE_SIMILARITY,
     vectors: str | None = None,
     group: list[str] | None = None,
-    rows: int = ordered.SEGMENT_ROWS,
 ) -> DataFrame:
     """I4: seeds in order; a seed's group is itself plus the later similar tasks not taken yet; each group
     emits its most confident task, the earliest of equals."""
     group = ["meeting_id"] if group is None else group
+    # The candidate tasks are read several times below (blocks, owners); store them instead of recomputing
+    # the transcripts behind them.
+    tasks = cut_lineage(tasks)
     taken = first_independent(duplicate_pairs(tasks, group, threshold, vectors), group)
     owner = tasks.join(taken.withColumnRenamed("node", "ord"), [*group, "ord"], "left").withColumn(
         "_seed", F.coalesce("seed", "ord")

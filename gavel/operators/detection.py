@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gavel import lexicon as lx
 from gavel.functions import signals as sg
+from gavel.functions.text import once
 from gavel.operators.context import pair_acceptances
 
 SCORES = ["p_decision", "p_commitment", "p_discussion"]
@@ -92,7 +93,7 @@ def detect(
             ctx_kind, ctx = sg.class_scores(*[F.col(c) for c in CONTEXT_SCORES])
             df = df.withColumn("context_decision_type", ctx_kind).withColumn("context_confidence", ctx)
             final = sg.fuse_context(F.col("context_confidence"), final, F.col("has_negation"))
-    return pair_acceptances(merge(df.withColumn("_final", final)))
+    return pair_acceptances(merge(once(df, "_final", final)))
 
 
 def merge(df: DataFrame) -> DataFrame:

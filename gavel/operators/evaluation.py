@@ -43,7 +43,10 @@ def exact_matches(pred: DataFrame, gold: DataFrame, by: list[str], pred_text: st
         p.join(g, [*by, "_k"], "full")
         .groupBy(*by)
         .agg(
-            F.coalesce(F.sum(F.least("_p", "_g")), F.lit(0)).alias("tp"),
+            # `least` skips nulls, so one-sided keys are taken out explicitly.
+            F.coalesce(
+                F.sum(F.when(F.col("_p").isNotNull() & F.col("_g").isNotNull(), F.least("_p", "_g"))), F.lit(0)
+            ).alias("tp"),
             F.coalesce(F.sum("_p"), F.lit(0)).alias("n_pred"),
             F.coalesce(F.sum("_g"), F.lit(0)).alias("n_gold"),
         )

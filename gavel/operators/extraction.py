@@ -98,7 +98,7 @@ def extract(detections: DataFrame) -> DataFrame:
             "hard_filtered"
         ),
     )
-    keep = [c for c in ("meeting_chars", "meeting_type") if c in have]
+    keep = [c for c in ("meeting_type",) if c in have]
     return df.select(
         "meeting_id", "ord", "sentence_id", *keep,
         text.alias("raw_text"),

@@ -26,11 +26,9 @@ def titled(extractions: DataFrame) -> DataFrame:
     return tx.once(extractions, "task", title).where(tx.is_valid_title(F.col("task")))
 
 
-def build_tasks(
-    extractions: DataFrame, rows: int = ordered.SEGMENT_ROWS, may_exceed: Column | None = None
-) -> DataFrame:
+def build_tasks(extractions: DataFrame, rows: int | None = None) -> DataFrame:
     """Valid titles, numbered per meeting after filtering."""
-    numbered = ordered.number_rows(titled(extractions), ["meeting_id"], "ord", "_n", rows=rows, may_exceed=may_exceed)
+    numbered = ordered.number_rows(titled(extractions), ["meeting_id"], "ord", "_n", rows)
     return numbered.withColumn("task_id", F.concat(F.lit("task_"), F.col("_n"))).drop("_n")
 
 

@@ -170,11 +170,11 @@ def sentences_from_transcripts(transcripts: DataFrame, allow_mmss: bool = False)
     return (
         sentence_arrays(transcripts, allow_mmss)
         .select(
-            "meeting_id", "meeting_chars", "meeting_type", "known_speakers", F.posexplode_outer("sentences").alias("ord", "s")
+            "meeting_id", "meeting_type", "known_speakers", F.posexplode_outer("sentences").alias("ord", "s")
         )
         .where(F.col("ord").isNotNull())
         .select(
-            "meeting_id", "meeting_chars", "meeting_type", "known_speakers", F.col("ord").cast("long").alias("ord"),
+            "meeting_id", "meeting_type", "known_speakers", F.col("ord").cast("long").alias("ord"),
             "s.sentence_id", "s.turn_id", "s.speaker", "s.timestamp", "s.text",
         )
     )
@@ -191,11 +191,11 @@ def stage_metrics(transcripts: DataFrame) -> DataFrame:
 # --- turn tables: one utterance per row, possibly millions of rows in one meeting ----------------------
 
 
-def turns_from_lines(lines: DataFrame, rows: int = ordered.SEGMENT_ROWS) -> DataFrame:
+def turns_from_lines(lines: DataFrame, rows: int | None = None) -> DataFrame:
     """B2-B6 for transcripts stored one line per row: `(meeting_id, line_no, line)`.
 
-    Turn numbers are a running sum of turn starts, computed per segment, so a meeting of any length works.
-    Turns are grouped by (meeting, turn) and hold only that turn's lines.
+    Turn numbers are a running sum of turn starts. Turns are grouped by (meeting, turn) and hold only that
+    turn's lines. `rows` as given by `ordered.segment_rows`.
     """
     parsed = (
         lines.select("meeting_id", "line_no", strip(F.col("line")).alias("line"))
@@ -203,56 +203,47 @@ def turns_from_lines(lines: DataFrame, rows: int = ordered.SEGMENT_ROWS) -> Data
         .withColumn("p", parse_line(F.col("line")))
     )
     # A turn starts at every matched line and at the first line of a meeting, matched or not.
-    placed = ordered.number_rows(parsed, ["meeting_id"], "line_no", "_n", rows=rows)
+    placed = ordered.number_rows(parsed, ["meeting_id"], "line_no", "_n", rows)
     starts = (F.col("p.speaker").isNotNull() | (F.col("_n") == 1)).cast("int")
-    numbered = ordered.running_total(placed, ["meeting_id"], "line_no", starts, "turn_id", rows)
+    numbered = ordered.running_total(placed, ["meeting_id"], "line_no", {"turn_id": starts}, rows)
+    text = F.transform(
+        F.array_sort(F.collect_list(F.struct("line_no", F.col("p.text").alias("text")))), lambda s: s["text"]
+    )
     return (
         numbered.withColumn("turn_id", F.col("turn_id").cast("int"))
         .groupBy("meeting_id", "turn_id")
         .agg(
             F.coalesce(F.max("p.speaker"), F.lit(lx.UNKNOWN_SPEAKER)).alias("speaker"),
             F.max("p.timestamp").alias("timestamp"),
-            F.array_join(
-                F.transform(
-                    F.array_sort(F.collect_list(F.struct("line_no", F.col("p.text").alias("text")))),
-                    lambda s: s["text"],
-                ),
-                " ",
-            ).alias("text"),
+            F.array_join(text, " ").alias("text"),
         )
     )
 
 
-def sentences_from_turns(turns: DataFrame, rows: int = ordered.SEGMENT_ROWS) -> DataFrame:
+def sentences_from_turns(turns: DataFrame, rows: int | None = None) -> DataFrame:
     """C1, C2, C10, C11 over a turn table `(meeting_id, turn_id, speaker, timestamp, text)`.
 
-    `turn_id` may be any unique non-negative integer per meeting. Sentence numbers are running sums of the
-    sentences per turn; `ord` numbers the survivors. Both are computed per segment.
+    `turn_id` may be any unique non-negative integer per meeting. Sentence ids and the dense order of the
+    survivors are two running sums of per-turn counts, taken in one pass.
     """
-    split = turns.withColumn("_parts", split_sentences(F.col("text")))
-    numbered = ordered.running_total(split, ["meeting_id"], "turn_id", F.size("_parts"), "_through", rows)
-    kept = (
-        numbered.withColumn(
-            "_all",
-            F.transform(
-                "_parts",
-                lambda s, i: F.struct(
-                    (F.col("_through") - F.size("_parts") + i + 1).alias("sentence_id"), clean(s).alias("text")
-                ),
-            ),
-        )
-        .withColumn("_kept", F.filter("_all", lambda s: (s["text"] != "") & ~is_stop_sentence(s["text"])))
-        .drop("_parts", "_through", "_all", "text")
+    cleaned = turns.withColumn("_all", F.transform(split_sentences(F.col("text")), clean))
+    counted = cleaned.withColumn(
+        "_kept",
+        F.filter(
+            F.transform("_all", lambda s, i: F.struct(i.alias("i"), s.alias("text"))),
+            lambda s: (s["text"] != "") & ~is_stop_sentence(s["text"]),
+        ),
+    ).select("meeting_id", "turn_id", "speaker", "timestamp", F.size("_all").alias("_n_all"), "_kept")
+    numbered = ordered.running_total(
+        counted, ["meeting_id"], "turn_id", {"_sentences": F.col("_n_all"), "_survivors": F.size("_kept")}, rows
     )
-    ranked = ordered.running_total(kept, ["meeting_id"], "turn_id", F.size("_kept"), "_through", rows)
     return (
-        ranked.withColumn("_before", F.col("_through") - F.size("_kept"))
-        .select("*", F.posexplode_outer("_kept").alias("_i", "_s"))
-        .where(F.col("_i").isNotNull())
+        numbered.select("*", F.posexplode_outer("_kept").alias("_k", "_s"))
+        .where(F.col("_k").isNotNull())
         .select(
             "meeting_id",
-            (F.col("_before") + F.col("_i")).alias("ord"),
-            "_s.sentence_id",
+            (F.col("_survivors") - F.size("_kept") + F.col("_k")).alias("ord"),
+            (F.col("_sentences") - F.col("_n_all") + F.col("_s.i") + 1).alias("sentence_id"),
             "turn_id",
             "speaker",
             "timestamp",

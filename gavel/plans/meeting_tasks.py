@@ -27,28 +27,24 @@ def prepare(
     sentences: DataFrame,
     annotations: DataFrame | None = None,
     strict: bool = False,
-    rows: int = ordered.SEGMENT_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Annotated, typed sentences with dialogue context resolved.
 
     Expects `(meeting_id, ord, sentence_id, speaker, text)`; an optional `known_speakers` array is used up
-    here, an optional `meeting_chars` bounds a meeting's length and spares the seed pass.
+    here, before anything is shuffled. `rows` as given by `ordered.segment_rows`.
     """
-    may_exceed = F.col("meeting_chars") > rows if "meeting_chars" in sentences.columns else None
-    if "known_speakers" in sentences.columns:
-        sentences = extraction.with_named_speakers(
-            sentences.withColumn("addressee", context.addressee(F.col("text"), F.col("known_speakers")))
-        )
-    else:
-        sentences = sentences.withColumn("addressee", context.addressee(F.col("text")))
+    known = F.col("known_speakers") if "known_speakers" in sentences.columns else None
+    addressed = sentences.withColumn("addressee", context.addressee(F.col("text"), known))
+    if known is not None:
+        addressed = extraction.with_named_speakers(addressed)
     annotated = (
-        syntax.annotate_by_rules(sentences)
+        syntax.annotate_by_rules(addressed)
         if annotations is None
-        else syntax.with_annotations(sentences, annotations)
+        else syntax.with_annotations(addressed, annotations)
     )
     typed = annotated.withColumn("sentence_type", sentence_type(F.col("text")))
-    windows = context.dialogue_windows(typed, rows=rows)
-    return context.resolve_triplets(windows, strict, rows, may_exceed)
+    return context.resolve_triplets(context.dialogue_windows(typed, rows=rows), strict, rows)
 
 
 def tasks_from_sentences(
@@ -59,13 +55,13 @@ def tasks_from_sentences(
     semantic: bool = False,
     vectors: str | None = None,
     detection_col: str | None = None,
-    rows: int = ordered.SEGMENT_ROWS,
+    rows: int | None = None,
 ) -> Stages:
+    """Sentences to tasks. An optional `meeting_type` column is used by the priors and the validator."""
     resolved = prepare(sentences, annotations, rows=rows)
     detected = detection.detect(resolved, mode, scores)
     extracted = extraction.extract(detected)
-    may_exceed = F.col("meeting_chars") > rows if "meeting_chars" in extracted.columns else None
-    built = tasks.build_tasks(extracted, rows, may_exceed)
+    built = tasks.build_tasks(extracted, rows)
     valid = tasks.validate_tasks(tasks.score_tasks(built, detection_col))
     final = dedup.drop_equal_titles(valid)
     if semantic:
@@ -76,9 +72,17 @@ def tasks_from_sentences(
 def extract_tasks(transcripts: DataFrame, allow_mmss: bool = False, **options) -> Stages:
     """Raw `(meeting_id, raw_text)` to action items.
 
-    Parsing, splitting, cleaning and filtering are a narrow stage behind the scan; one shuffle on
-    (meeting, segment) serves all dialogue windows.
+    Parsing, splitting, cleaning and filtering are a narrow stage behind the scan. A meeting is one row of
+    text, bounded by the upload limit, so the windows after it run over whole meetings.
     """
     stages = tasks_from_sentences(turns.sentences_from_transcripts(transcripts, allow_mmss), **options)
     stages.contract = tasks.to_contract(transcripts, stages.tasks)
     return stages
+
+
+def tasks_from_turns(turn_table: DataFrame, **options) -> Stages:
+    """A turn table of any shape to tasks: checks the largest meeting first and splits long ones."""
+    rows = ordered.segment_rows(turn_table, ["meeting_id"])
+    sentences = turns.sentences_from_turns(turn_table, rows)
+    types = context.meeting_types(sentences, rows).select("meeting_id", "meeting_type")
+    return tasks_from_sentences(sentences.join(types, "meeting_id"), rows=rows, **options)

@@ -236,7 +236,9 @@ MODAL = "CASE " + " ".join(
     f"WHEN {like_re('text', chr(92) + 'b' + m + chr(92) + 'b')} THEN {q(m)}" for m, _ in lx.MODALS
 ) + " END"
 STRENGTH = "CASE modal " + " ".join(f"WHEN {q(m)} THEN {s}::DOUBLE" for m, s in lx.MODALS) + " END"
-BOOST = f"coalesce(least(({STRENGTH}) + CASE WHEN has_dobj THEN 0.1::DOUBLE ELSE 0::DOUBLE END, 1::DOUBLE), 0::DOUBLE)"
+BOOST = (
+    f"CASE WHEN modal IS NULL THEN 0::DOUBLE ELSE least(({STRENGTH}) + CASE WHEN has_dobj THEN 0.1::DOUBLE ELSE 0::DOUBLE END, 1::DOUBLE) END"
+)
 PRIOR = (
     f"CASE WHEN {like_re('text', alt(lx.SUGGESTION_MARKERS))} THEN 0.5::DOUBLE ELSE "
     "CASE sentence_type WHEN 'observation' THEN 0.2::DOUBLE WHEN 'consequence' THEN 0.25::DOUBLE WHEN 'metric' THEN 0.15::DOUBLE "

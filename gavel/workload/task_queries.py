@@ -5,16 +5,23 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gavel import lexicon as lx
+from gavel.functions import ordered
 from gavel.functions import signals as sg
 from gavel.functions import text as tx
 from gavel.functions.similarity import cosine, levenshtein_ratio
 from gavel.operators import clusters, dedup, detection, evaluation, extraction, tasks
 from gavel.operators.context import meeting_types
-from gavel.plans.meeting_tasks import extract_tasks, prepare, tasks_from_sentences
+from gavel.plans.meeting_tasks import extract_tasks, prepare, tasks_from_turns
 from gavel.workload import checks as ck
-from gavel.workload.bank import NAMES, call_scores, standups
+from gavel.workload.bank import NAMES, PHRASES, _pick, call_scores, calls, standups
 from gavel.workload.registry import query, table
-from gavel.workload.text_queries import call_sentences, joined, standup_sentences
+from gavel.workload.text_queries import call_rows, call_sentences, joined, standup_sentences
+
+def typed_calls(sentences, rows):
+    """Resolved sentences with their meeting's type."""
+    types = meeting_types(sentences, rows).select("meeting_id", "meeting_type")
+    return prepare(sentences, rows=rows).join(types, "meeting_id")
+
 
 # --- E -------------------------------------------------------------------------------------------------
 CALL_KEPT = ck.CALL_SENTENCES
@@ -36,11 +43,10 @@ def rule_detection(spark, sf):
     ck.with_ctes(ck.CALLS, ck.SENTENCES, ck.CLEANED, select=f"SELECT meeting_id, sentence_id, {ck.HARD} AS hard_filtered FROM cleaned"),
 )
 def hard_filter(spark, sf):
-    from gavel.functions import ordered
-    from gavel.workload.bank import calls
-
     split = calls(spark, sf).withColumn("_parts", tx.split_sentences(F.col("text")))
-    placed = ordered.running_total(split, ["meeting_id"], "turn_id", F.size("_parts"), "_through")
+    placed = ordered.running_total(
+        split, ["meeting_id"], "turn_id", {"_through": F.size("_parts")}, call_rows(spark, sf)
+    )
     return placed.select("*", F.posexplode("_parts").alias("i", "s")).select(
         "meeting_id", (F.col("_through") - F.size("_parts") + F.col("i") + 1).alias("sentence_id"),
         sg.is_hard_filtered(tx.clean(F.col("s"))).alias("hard_filtered"),
@@ -56,7 +62,7 @@ def hard_filter(spark, sf):
 )
 def sentence_features(spark, sf):
     s = call_sentences(spark, sf)
-    typed = prepare(s).join(meeting_types(s).select("meeting_id", "meeting_type"), "meeting_id")
+    typed = typed_calls(s, call_rows(spark, sf))
     return detection.with_features(typed).select(
         "meeting_id", "sentence_id", "modal", "modal_boost", "downward_prior", "tense_prior", "has_negation"
     )
@@ -98,7 +104,7 @@ def class_scores(spark, sf):
 )
 def hybrid_detection(spark, sf):
     s = call_sentences(spark, sf)
-    typed = prepare(s).join(meeting_types(s).select("meeting_id", "meeting_type"), "meeting_id")
+    typed = typed_calls(s, call_rows(spark, sf))
     found = detection.detect(typed, "hybrid", call_scores(s))
     return found.select(
         "meeting_id", "sentence_id", "is_decision", F.round("confidence", 9).alias("confidence"), "confidence_zone", "method",
@@ -139,7 +145,7 @@ _answer = f"CASE sentence_id % 4 WHEN 0 THEN 'participant' WHEN 1 THEN ' ' WHEN
 )
 def assignee_answers(spark, sf):
     n = F.col("sentence_id") % 4
-    answered = detection.detect(prepare(call_sentences(spark, sf))).withColumn(
+    answered = detection.detect(prepare(call_sentences(spark, sf), rows=call_rows(spark, sf))).withColumn(
         "qa_answer", F.when(n == 0, "participant").when(n == 1, " ").when(n == 2, "Dana ")
     )
     return extraction.extract(answered).select("meeting_id", "sentence_id", "assignee")
@@ -176,7 +182,7 @@ def entity_deadlines(spark, sf):
 )
 def extraction_stats(spark, sf):
     s = call_sentences(spark, sf)
-    typed = prepare(s).join(meeting_types(s).select("meeting_id", "meeting_type"), "meeting_id")
+    typed = typed_calls(s, call_rows(spark, sf))
     stats = extraction.extraction_stats(extraction.extract(detection.detect(typed, "hybrid", call_scores(s))))
     return stats.withColumns({c: F.round(c, 9) for c in ("avg_confidence", "modal_share")})
 
@@ -190,7 +196,7 @@ def extraction_stats(spark, sf):
     ),
 )
 def triplet_titles(spark, sf):
-    out = extraction.extract(detection.detect(prepare(call_sentences(spark, sf))))
+    out = extraction.extract(detection.detect(prepare(call_sentences(spark, sf), rows=call_rows(spark, sf))))
     title = tx.triplet_title(F.col("root_verb"), F.col("object"))
     return out.select(
         "meeting_id", "sentence_id", title.alias("title"), tx.is_valid_title(title, F.col("root_verb"), F.col("object")).alias("valid")
@@ -206,8 +212,6 @@ def triplet_titles(spark, sf):
     ),
 )
 def rule_titles(spark, sf):
-    from gavel.workload.bank import calls
-
     title = tx.rule_based_title(F.col("text"))
     return tx.once(calls(spark, sf).select("turn_id", "text"), "title", title).select(
         "turn_id", "title", tx.is_valid_title(F.col("title")).alias("valid")
@@ -226,9 +230,10 @@ def rule_titles(spark, sf):
     ),
 )
 def generated_titles(spark, sf):
-    out = detection.detect(prepare(call_sentences(spark, sf)))
+    out = detection.detect(prepare(call_sentences(spark, sf), rows=call_rows(spark, sf)))
     lead = F.when(F.col("sentence_id") % 2 == 0, "Great ").otherwise("Prepare: ")
-    built = tasks.build_tasks(extraction.extract(out.withColumn("generated", F.concat(lead, F.col("text")))))
+    extracted = extraction.extract(out.withColumn("generated", F.concat(lead, F.col("text"))))
+    built = tasks.build_tasks(extracted, call_rows(spark, sf))
     return built.select("meeting_id", "task_id", "task")
 
 
@@ -241,8 +246,8 @@ def generated_titles(spark, sf):
 )
 def scored_tasks(spark, sf):
     s = call_sentences(spark, sf)
-    typed = prepare(s).join(meeting_types(s).select("meeting_id", "meeting_type"), "meeting_id")
-    built = tasks.build_tasks(extraction.extract(detection.detect(typed)))
+    typed = typed_calls(s, call_rows(spark, sf))
+    built = tasks.build_tasks(extraction.extract(detection.detect(typed)), call_rows(spark, sf))
     return tasks.validate_tasks(tasks.score_tasks(built)).select(
         "meeting_id", "task_id", "task", "assignee", "deadline", "confidence", "requires_manual_review"
     )
@@ -258,8 +263,8 @@ def scored_tasks(spark, sf):
 )
 def reviewed_tasks(spark, sf):
     s = call_sentences(spark, sf)
-    typed = prepare(s).join(meeting_types(s).select("meeting_id", "meeting_type"), "meeting_id")
-    built = tasks.build_tasks(extraction.extract(detection.detect(typed, "hybrid", call_scores(s))))
+    typed = typed_calls(s, call_rows(spark, sf))
+    built = tasks.build_tasks(extraction.extract(detection.detect(typed, "hybrid", call_scores(s))), call_rows(spark, sf))
     valid = tasks.validate_tasks(tasks.score_tasks(built, "detection_confidence"))
     return valid.select("meeting_id", "task_id", F.round("confidence", 9).alias("confidence"), "requires_manual_review")
 
@@ -274,9 +279,7 @@ def action_items_of_standups(spark, sf):
 
 @query("unique_titles_i1", ck.with_ctes(*ck.CALL_RULE, ck.EXTRACTED, ck.TITLED, ck.TASKS, select=TASK_SQL))
 def unique_titles(spark, sf):
-    s = call_sentences(spark, sf)
-    with_type = s.join(meeting_types(s).select("meeting_id", "meeting_type"), "meeting_id")
-    return tasks_from_sentences(with_type).tasks.select("meeting_id", "task_id", "task", "assignee", "deadline", "confidence")
+    return tasks_from_turns(calls(spark, sf)).tasks.select("meeting_id", "task_id", "task", "assignee", "deadline", "confidence")
 
 
 @query(
@@ -351,8 +354,7 @@ def greedy_dedup(spark, sf):
 
 @query("text_dedup_i4")
 def text_dedup(spark, sf):
-    s = call_sentences(spark, sf)
-    return tasks_from_sentences(s, semantic=True).tasks.select("meeting_id", "task_id", "task", "confidence")
+    return tasks_from_turns(calls(spark, sf), semantic=True).tasks.select("meeting_id", "task_id", "task", "confidence")
 
 
 # --- J -------------------------------------------------------------------------------------------------
@@ -423,10 +425,11 @@ def edit_distance_match(spark, sf):
 
 @query("partial_matching_j2_j4")
 def partial_matching(spark, sf):
-    pred, gold = judged(spark, sf)
-    counts = evaluation.similar_matches(
-        pred.select("meeting_id", "idx", "task"), gold.select("meeting_id", "idx", "task"), ["meeting_id"], "task", "task", lx.PARTIAL_MATCH_RATIO
-    )
+    e = F.col("event_id")
+    rows = table(spark, sf, "events").select(F.floor(e / 8).alias("meeting_id"), e.alias("idx"))
+    pred = rows.withColumn("task", _pick(PHRASES, F.col("idx") * 11 % 64))
+    gold = rows.withColumn("task", F.concat(_pick(PHRASES, F.col("idx") * 5 % 64), F.lit(" Now")))
+    counts = evaluation.similar_matches(pred, gold, ["meeting_id"], "task", "task", lx.PARTIAL_MATCH_RATIO)
     return evaluation.match_metrics(counts)
 
 
@@ -585,7 +588,7 @@ def evaluation_report(spark, sf):
 @query(
     "annotator_agreement_j13",
     "SELECT source, n, round(observed, 9) AS observed, round(pa * pb + (1 - pa) * (1 - pb), 9) AS expected, "
-    "round(CASE WHEN pa * pb + (1 - pa) * (1 - pb) < 1 THEN (observed - (pa * pb + (1 - pa) * (1 - pb))) / (1 - (pa * pb + (1 - pa) * (1 - pb))) ELSE 1 END, 9) AS kappa, "
+    "round(CASE WHEN pa * pb + (1 - pa) * (1 - pb) < 1 THEN (observed - (pa * pb + (1 - pa) * (1 - pb))) / (1 - (pa * pb + (1 - pa) * (1 - pb))) ELSE 1 END, 9) + 0 AS kappa, "
     "CASE WHEN pa * pb + (1 - pa) * (1 - pb) < 1 THEN (observed - (pa * pb + (1 - pa) * (1 - pb))) / (1 - (pa * pb + (1 - pa) * (1 - pb))) ELSE 1 END >= 0.7 AS acceptable "
     "FROM (SELECT source, count(*) AS n, avg((quality = toxic)::INT) AS observed, avg(quality) AS pa, avg(toxic) AS pb FROM labels JOIN documents USING (doc_id) GROUP BY 1)",
 )
@@ -603,8 +606,6 @@ DECISIONS = (
 
 
 def decisions(spark, sf):
-    from gavel.workload.bank import PHRASES, _pick
-
     v = F.col("vec_id")
     return table(spark, sf, "embeddings").select(
         F.col("label").alias("meeting_id"), v.alias("sentence_id"), F.col("embedding").alias("vector"),
@@ -718,8 +719,6 @@ def cluster_tasks(spark, sf):
     + f"WHEN 2 THEN 'the ' || m || ' group' ELSE 'nobody,' END AS raw FROM (SELECT event_id, ({ck.sql_list(NAMES)})[event_id % 7 + 1] AS n, ({ck.sql_list(NAMES)})[(event_id // 7) % 7 + 1] AS m FROM events)))",
 )
 def answer_cleaning(spark, sf):
-    from gavel.workload.bank import _pick
-
     e = F.col("event_id")
     n, m = _pick(NAMES, e % 7), _pick(NAMES, F.floor(e / 7) % 7)
     raw = (

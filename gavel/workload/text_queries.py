@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gavel import lexicon as lx
+from gavel.functions import ordered
 from gavel.functions import text as tx
 from gavel.operators import context, syntax, turns
 from gavel.plans.meeting_tasks import prepare
@@ -32,7 +33,13 @@ def standup_sentences(spark, sf):
 
 
 def call_sentences(spark, sf):
-    return turns.sentences_from_turns(calls(spark, sf))
+    table_of_turns = calls(spark, sf)
+    return turns.sentences_from_turns(table_of_turns, call_rows(spark, sf))
+
+
+def call_rows(spark, sf):
+    """Whether a caller's meeting is too long for one window; reads the key column only."""
+    return ordered.segment_rows(table(spark, sf, "events"), ["user_id"])
 
 
 def joined(column, sep="|"):
@@ -126,7 +133,7 @@ def turns_of_line_tables(spark, sf):
     lines = table(spark, sf, "events").select(
         F.col("user_id").alias("meeting_id"), e.alias("line_no"), F.concat(head, _pick(PHRASES, e % 64)).alias("line")
     )
-    return turns.turns_from_lines(lines).select("meeting_id", "turn_id", "speaker", "timestamp", "text")
+    return turns.turns_from_lines(lines, call_rows(spark, sf)).select("meeting_id", "turn_id", "speaker", "timestamp", "text")
 
 
 @query(
@@ -162,10 +169,9 @@ def stage_metrics(spark, sf):
     ck.with_ctes(ck.CHATS, ck.SENTENCES, select="SELECT meeting_id, sentence_id, turn_id, speaker, text FROM sents"),
 )
 def sentence_split(spark, sf):
-    from gavel.functions import ordered
-
     split = chats(spark, sf).withColumn("_parts", tx.split_sentences(F.col("text")))
-    placed = ordered.running_total(split, ["meeting_id"], "turn_id", F.size("_parts"), "_through")
+    rows = ordered.segment_rows(split, ["meeting_id"])
+    placed = ordered.running_total(split, ["meeting_id"], "turn_id", {"_through": F.size("_parts")}, rows)
     return placed.select("*", F.posexplode("_parts").alias("i", "s")).select(
         "meeting_id", (F.col("_through") - F.size("_parts") + F.col("i") + 1).alias("sentence_id"), "turn_id", "speaker",
         F.col("s").alias("text"),
@@ -430,7 +436,7 @@ def resolved_columns(df):
 
 @query("triplets_of_calls_d1_d6", ck.with_ctes(*ck.CALL_RESOLVED, select=RESOLVED_SQL))
 def triplets_of_calls(spark, sf):
-    return resolved_columns(prepare(call_sentences(spark, sf)))
+    return resolved_columns(prepare(call_sentences(spark, sf), rows=call_rows(spark, sf)))
 
 
 @query("triplets_of_standups_d1_d6", ck.with_ctes(*ck.STANDUP_RESOLVED, select=RESOLVED_SQL))
@@ -447,7 +453,7 @@ def triplets_of_standups(spark, sf):
     ),
 )
 def carry_forward_strict(spark, sf):
-    return prepare(call_sentences(spark, sf), strict=True).select("meeting_id", "sentence_id", "object", "object_resolved")
+    return prepare(call_sentences(spark, sf), strict=True, rows=call_rows(spark, sf)).select("meeting_id", "sentence_id", "object", "object_resolved")
 
 
 @query(
@@ -455,7 +461,7 @@ def carry_forward_strict(spark, sf):
     ck.with_ctes(*ck.CALL_SENTENCES, ck.ANNOTATED, ck.NO_SPEAKERS, ck.CONTEXT, select="SELECT meeting_id, sentence_id, context_text, prev_speaker FROM context"),
 )
 def context_windows(spark, sf):
-    return context.dialogue_windows(call_sentences(spark, sf)).select("meeting_id", "sentence_id", "context_text", "prev_speaker")
+    return context.dialogue_windows(call_sentences(spark, sf), rows=call_rows(spark, sf)).select("meeting_id", "sentence_id", "context_text", "prev_speaker")
 
 
 @query(
@@ -466,7 +472,7 @@ def context_windows(spark, sf):
     ),
 )
 def request_pairs(spark, sf):
-    looked = context.dialogue_windows(call_sentences(spark, sf))
+    looked = context.dialogue_windows(call_sentences(spark, sf), rows=call_rows(spark, sf))
     blank = looked.withColumns({"is_decision": F.lit(False), "confidence": F.lit(0.0), "confidence_zone": F.lit("low")})
     return context.pair_acceptances(blank).where("is_turn_pair_acceptance").select("meeting_id", "sentence_id", "paired_request_idx")
 
@@ -476,7 +482,7 @@ TYPE_SQL = "SELECT meeting_id, task_signals, status_signals, meeting_type FROM m
 
 @query("meeting_types_of_calls_d10", ck.with_ctes(*ck.CALL_SENTENCES, ck.MEETING_TYPES, select=TYPE_SQL))
 def meeting_types_of_calls(spark, sf):
-    return context.meeting_types(call_sentences(spark, sf))
+    return context.meeting_types(call_sentences(spark, sf), call_rows(spark, sf))
 
 
 @query(
