@@ -204,7 +204,7 @@ def set_evaluation(pred: DataFrame, gold: DataFrame) -> DataFrame:
 
 def report_lines(results: DataFrame) -> DataFrame:
     """One formatted text per evaluated meeting."""
-    three = lambda c: F.format_string("%.3f", F.coalesce(c, F.lit(0.0)))
+    three = lambda c: F.format_string("%.3f", F.round(F.coalesce(c, F.lit(0.0)), 3))
     return results.select(
         "meeting_id",
         F.concat_ws(

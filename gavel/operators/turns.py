@@ -77,9 +77,9 @@ def turn_arrays(transcripts: DataFrame, allow_mmss: bool = False) -> DataFrame:
 def parse_turns(transcripts: DataFrame, allow_mmss: bool = False) -> DataFrame:
     """One row per turn."""
     exploded = turn_arrays(transcripts.select("meeting_id", "raw_text"), allow_mmss).select(
-        "meeting_id", F.explode("turns").alias("t")
+        "meeting_id", F.explode_outer("turns").alias("t")
     )
-    return exploded.select("meeting_id", "t.turn_id", "t.speaker", "t.timestamp", "t.text")
+    return exploded.where(F.col("t").isNotNull()).select("meeting_id", "t.turn_id", "t.speaker", "t.timestamp", "t.text")
 
 
 def known_speakers(turns: DataFrame) -> DataFrame:

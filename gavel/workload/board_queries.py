@@ -153,14 +153,14 @@ def listing(spark, sf):
 
 @query(
     "collection_save_a9",
-    ck.with_ctes(USERS, select="SELECT id, email, CASE WHEN id % 10 = 3 THEN 'Renamed' ELSE full_name END AS full_name, role FROM users "
-                 "UNION ALL SELECT id + 10000000, 'new@mail.test', 'New', 'member' FROM users WHERE id % 10 = 4"),
+    ck.with_ctes(USERS, select="SELECT id, email, CASE WHEN role = 'Manager' THEN 'Renamed' ELSE full_name END AS full_name, role FROM users "
+                 "UNION ALL SELECT -1 - s_suppkey, 'new@mail.test', s_name, 'member' FROM supplier"),
 )
 def collection_save(spark, sf):
     rows = users(spark, sf)
-    changed = rows.where(F.col("id") % 10 == 3).withColumn("full_name", F.lit("Renamed"))
-    fresh = rows.where(F.col("id") % 10 == 4).select(
-        (F.col("id") + 10000000).alias("id"), F.lit("new@mail.test").alias("email"), F.lit("New").alias("full_name"), F.lit("member").alias("role")
+    changed = rows.where(F.col("role") == "Manager").withColumn("full_name", F.lit("Renamed"))
+    fresh = table(spark, sf, "supplier").select(
+        (-1 - F.col("s_suppkey")).alias("id"), F.lit("new@mail.test").alias("email"), F.col("s_name").alias("full_name"), F.lit("member").alias("role")
     )
     return collections.save(rows, changed.unionByName(fresh))
 
@@ -492,12 +492,12 @@ def initials(spark, sf):
 
 @query(
     "page_merge_k27",
-    ck.with_ctes(USERS, select="SELECT id, full_name FROM users WHERE id % 2 = 0 UNION ALL SELECT id, 'second page' FROM users WHERE id % 3 = 0 AND id % 2 <> 0"),
+    ck.with_ctes(USERS, select="SELECT id, CASE WHEN role = 'Manager' THEN full_name ELSE 'second page' END AS full_name FROM users"),
 )
 def page_merge(spark, sf):
-    rows = users(spark, sf).select("id", "full_name")
-    more = rows.where(F.col("id") % 3 == 0).withColumn("full_name", F.lit("second page"))
-    return board.merge_pages(rows.where(F.col("id") % 2 == 0), more, "full_name")
+    rows = users(spark, sf)
+    first = rows.where(F.col("role") == "Manager").select("id", "full_name")
+    return board.merge_pages(first, rows.select("id", F.lit("second page").alias("full_name")), "full_name")
 
 
 @query(
@@ -759,11 +759,13 @@ def publish_items(spark, sf):
 
 
 def published(spark, sf):
-    # Orders divisible by three have not been published before.
-    changes = mutations.publish_changes(
-        tasks(spark, sf).where(F.col("transcript_reference") % 3 != 0), publish_items(spark, sf), F.col("_a").rlike("^[0-9]+$")
-    )
-    return changes
+    return mutations.publish_changes(board_before(spark, sf), publish_items(spark, sf), F.col("_a").rlike("^[0-9]+$"))
+
+
+def board_before(spark, sf):
+    """The board before publishing: every third transcript has manual tasks only, so it is published first now."""
+    manual = F.col("is_manual") | (F.col("transcript_reference") % 3 == 0)
+    return tasks(spark, sf).withColumn("is_manual", manual)
 
 
 PUBLISH = (
@@ -806,28 +808,29 @@ def publish_counts(spark, sf):
         TASKS, PUBLISH,
         "eff AS (SELECT transcript_id, k, arg_min(title, pos) AS title, arg_max(description, pos) AS description, arg_max(coalesce(a, '-'), pos) AS a, arg_max(coalesce(CAST(u AS VARCHAR), '-'), pos) AS u, max(task_id) AS task_id FROM acts WHERE action IN ('created', 'updated') GROUP BY 1, 2)",
         select="SELECT t.id, t.title, coalesce(e.description, t.description) AS description, CASE WHEN e.task_id IS NOT NULL THEN nullif(e.a, '-') ELSE CAST(t.assignee_id AS VARCHAR) END AS assignee_id, "
-        "CASE WHEN e.task_id IS NOT NULL THEN nullif(e.u, '-') ELSE CAST(t.due_date AS VARCHAR) END AS due_date, t.status FROM tasks t LEFT JOIN eff e ON e.task_id = t.id WHERE t.transcript_reference % 3 <> 0 "
+        "CASE WHEN e.task_id IS NOT NULL THEN nullif(e.u, '-') ELSE CAST(t.due_date AS VARCHAR) END AS due_date, t.status FROM tasks t LEFT JOIN eff e ON e.task_id = t.id "
         "UNION ALL SELECT transcript_id || ':' || k, title, description, nullif(a, '-'), nullif(u, '-'), 'TODO' FROM eff WHERE task_id IS NULL",
     ),
 )
 def publish_result(spark, sf):
-    before = tasks(spark, sf).where(F.col("transcript_reference") % 3 != 0)
-    after = mutations.apply_publish(before, published(spark, sf), F.concat_ws(":", "transcript_id", "title_key"))
+    after = mutations.apply_publish(board_before(spark, sf), published(spark, sf), F.concat_ws(":", "transcript_id", "title_key"))
     return after.select("id", "title", "description", F.col("assignee_id").cast("string").alias("assignee_id"), F.col("due_date").cast("string").alias("due_date"), "status")
 
 
 @query(
     "summary_upsert_m3_m4",
     ck.with_ctes(
-        "base AS (SELECT o_orderkey AS id, 'old' AS summary_text, o_custkey AS owner_id FROM orders WHERE o_orderkey % 2 = 0), ch AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'new ' || o_orderkey END AS summary_text FROM orders WHERE o_orderkey % 5 = 0)",
+        "base AS (SELECT o_orderkey AS id, 'old' AS summary_text, o_custkey AS owner_id FROM orders), ch AS (SELECT event_id * 3 AS id, CASE WHEN value > 5 THEN 'new ' || event_id END AS summary_text FROM events)",
         select="SELECT coalesce(base.id, ch.id) AS id, coalesce(ch.summary_text, base.summary_text) AS summary_text, owner_id FROM base FULL JOIN ch ON base.id = ch.id",
     ),
 )
 def summary_upsert(spark, sf):
-    o = table(spark, sf, "orders")
-    k = F.col("o_orderkey")
-    base = o.where(k % 2 == 0).select(k.alias("id"), F.lit("old").alias("summary_text"), F.col("o_custkey").alias("owner_id"))
-    changes = o.where(k % 5 == 0).select(k.alias("id"), F.when(k % 3 == 0, F.concat(F.lit("new "), k)).alias("summary_text"))
+    base = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"), F.lit("old").alias("summary_text"), F.col("o_custkey").alias("owner_id")
+    )
+    changes = table(spark, sf, "events").select(
+        (F.col("event_id") * 3).alias("id"), F.when(F.col("value") > 5, F.concat(F.lit("new "), "event_id")).alias("summary_text")
+    )
     return mutations.upsert_by_key(base, changes, ["id"], ["summary_text"])
 
 
@@ -879,7 +882,7 @@ def task_updates(spark, sf):
     "notes_and_subtasks_m8",
     ck.with_ctes(
         "subs AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos, l_partkey, l_linenumber FROM lineitem)",
-        select="SELECT o_orderkey AS id, string_agg(CASE WHEN s.pos IS NULL THEN NULL ELSE s.l_partkey || CASE WHEN s.pos = 2 AND o_orderkey % 2 = 0 THEN ':DONE' ELSE ':TODO' END END, ',' ORDER BY s.pos) AS subtasks FROM orders LEFT JOIN subs s ON s.id = o_orderkey GROUP BY 1",
+        select="SELECT o_orderkey AS id, string_agg(CASE WHEN s.pos IS NULL THEN NULL ELSE s.l_partkey || CASE WHEN s.pos = 2 AND o_orderstatus = 'F' THEN ':DONE' ELSE ':TODO' END END, ',' ORDER BY s.pos) AS subtasks FROM orders LEFT JOIN subs s ON s.id = o_orderkey GROUP BY 1",
     ),
 )
 def notes_and_subtasks(spark, sf):
@@ -890,10 +893,11 @@ def notes_and_subtasks(spark, sf):
     rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.row_number().over(w).alias("pos"), "l_partkey")
     entry = F.struct(F.col("pos").alias("id"), F.col("l_partkey").cast("string").alias("title"), F.lit("TODO").alias("status"))
     grown = mutations.append_entries(o, rows.select("id", "pos", entry.alias("entry")), "subtasks")
-    patches = o.where(F.col("id") % 2 == 0).select("id", F.lit(2).alias("entry_id"), F.lit("DONE").alias("status"))
-    done = mutations.patch_entries(grown, patches, "subtasks", ["status"])
+    done = table(spark, sf, "orders").where(F.col("o_orderstatus") == "F")
+    patches = done.select(F.col("o_orderkey").alias("id"), F.lit(2).alias("entry_id"), F.lit("DONE").alias("status"))
+    patched = mutations.patch_entries(grown, patches, "subtasks", ["status"])
     text = F.array_join(F.transform("subtasks", lambda s: F.concat(s["title"], F.lit(":"), s["status"])), ",")
-    return done.select("id", F.nullif(text, F.lit("")).alias("subtasks"))
+    return patched.select("id", F.nullif(text, F.lit("")).alias("subtasks"))
 
 
 @query(
@@ -923,13 +927,13 @@ def member_changes(spark, sf):
     "cascade_delete_m10",
     ck.with_ctes(
         MEETINGS, TASKS,
-        select="SELECT 'meeting' AS kind, CAST(id AS VARCHAR) AS id FROM meetings WHERE id % 4 <> 0 UNION ALL SELECT 'transcript', CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id % 4 <> 0 "
+        select="SELECT 'meeting' AS kind, CAST(id AS VARCHAR) AS id FROM meetings WHERE meeting_date IS NOT NULL UNION ALL SELECT 'transcript', CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id NOT IN (SELECT id FROM meetings WHERE meeting_date IS NULL) "
         "UNION ALL SELECT 'task', id FROM tasks WHERE NOT (priority = 'LOW' AND (owner_id IS NULL OR owner_id = 35))",
     ),
 )
 def cascade_delete(spark, sf):
     m, docs = meetings(spark, sf), table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("meeting_id"))
-    left, scripts = mutations.delete_meetings(m, docs, m.where(F.col("id") % 4 == 0).select("id"))
+    left, scripts = mutations.delete_meetings(m, docs, m.where(F.col("meeting_date").isNull()).select("id"))
     t = tasks(spark, sf)
     rest = mutations.delete_tasks(t, t.where(F.col("priority") == "LOW").select("id"), 35)
     tag = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"))
@@ -958,14 +962,14 @@ def mark_read(spark, sf):
     "edit_sync_m13",
     ck.with_ctes(
         TASKS,
-        "num AS (SELECT *, row_number() OVER (PARTITION BY transcript_reference ORDER BY id) AS pos FROM tasks)",
-        select="SELECT id, CASE WHEN transcript_reference % 3 = 0 AND pos <= 2 THEN CASE WHEN pos = 1 THEN 'Edited ' || transcript_reference ELSE title END ELSE title END AS title, "
-        "CASE WHEN transcript_reference % 3 = 0 AND pos <= 2 THEN CASE WHEN pos = 1 THEN 17 END ELSE assignee_id END AS assignee_id, "
-        "CASE WHEN transcript_reference % 3 = 0 AND pos = 1 THEN DATE '2024-01-31' ELSE due_date END AS due_date FROM num",
+        "num AS (SELECT t.*, o_orderstatus, row_number() OVER (PARTITION BY transcript_reference ORDER BY id) AS pos FROM tasks t LEFT JOIN orders ON o_orderkey = transcript_reference)",
+        select="SELECT id, CASE WHEN o_orderstatus = 'F' AND pos <= 2 THEN CASE WHEN pos = 1 THEN 'Edited ' || transcript_reference ELSE title END ELSE title END AS title, "
+        "CASE WHEN o_orderstatus = 'F' AND pos <= 2 THEN CASE WHEN pos = 1 THEN 17 END ELSE assignee_id END AS assignee_id, "
+        "CASE WHEN o_orderstatus = 'F' AND pos = 1 THEN DATE '2024-01-31' ELSE due_date END AS due_date FROM num",
     ),
 )
 def edit_sync(spark, sf):
-    keys = table(spark, sf, "orders").where(F.col("o_orderkey") % 3 == 0).select(F.col("o_orderkey").alias("transcript_id"))
+    keys = table(spark, sf, "orders").where(F.col("o_orderstatus") == "F").select(F.col("o_orderkey").alias("transcript_id"))
     first = keys.select(
         "transcript_id", F.lit(1).alias("pos"), F.concat(F.lit(" Edited "), "transcript_id").alias("title"), F.lit(None).cast("string").alias("description"),
         F.lit("17").alias("assignee"), F.lit("2024-01-31").alias("deadline"),

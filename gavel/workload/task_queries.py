@@ -576,8 +576,8 @@ def set_evaluation(spark, sf):
     "evaluation_report_j11",
     ck.with_ctes(
         JUDGED, MATCHED, EVALUATED,
-        select="SELECT meeting_id, meeting_id || ':' || chr(10) || '  Gold: ' || n_gold || ' tasks' || chr(10) || '  Predicted: ' || n_pred || ' tasks' || chr(10) || '  Precision: ' || printf('%.3f', precision) || chr(10) "
-        "|| '  Recall: ' || printf('%.3f', recall) || chr(10) || '  F1-Score: ' || printf('%.3f', f1) || chr(10) || '  Completeness: ' || printf('%.3f', completeness) || chr(10) || '  Avg Confidence: ' || printf('%.3f', round(avg_confidence, 6)) AS report FROM evaluated",
+        select="SELECT meeting_id, meeting_id || ':' || chr(10) || '  Gold: ' || n_gold || ' tasks' || chr(10) || '  Predicted: ' || n_pred || ' tasks' || chr(10) || '  Precision: ' || printf('%.3f', round(precision, 3)) || chr(10) "
+        "|| '  Recall: ' || printf('%.3f', round(recall, 3)) || chr(10) || '  F1-Score: ' || printf('%.3f', round(f1, 3)) || chr(10) || '  Completeness: ' || printf('%.3f', round(completeness, 3)) || chr(10) || '  Avg Confidence: ' || printf('%.3f', round(round(avg_confidence, 6), 3)) AS report FROM evaluated",
     ),
 )
 def evaluation_report(spark, sf):
@@ -733,12 +733,12 @@ def answer_cleaning(spark, sf):
     "task_evidence_o8",
     ck.with_ctes(
         DECISIONS, CLUSTERED,
-        select="SELECT meeting_id, cluster, sentence_id, speaker, text FROM clustered WHERE sentence_id % 3 <> 0",
+        select="SELECT meeting_id, cluster, sentence_id, speaker, text FROM clustered WHERE action IS NOT NULL",
     ),
 )
 def task_evidence(spark, sf):
     rows = clustered(spark, sf)
-    return clusters.evidence_rows(clusters.cluster_tasks(rows), rows.where(F.col("sentence_id") % 3 != 0))
+    return clusters.evidence_rows(clusters.cluster_tasks(rows), rows.where(F.col("action").isNotNull()))
 
 
 @query(

@@ -85,7 +85,8 @@ def one_transcript(spark, sf):
 )
 def line_explode(spark, sf):
     lines = turns.lines_of(F.col("raw_text"))
-    return documents(spark, sf).select("meeting_id", F.posexplode(lines).alias("i", "line")).select(
+    rows = documents(spark, sf).select("meeting_id", F.posexplode_outer(lines).alias("i", "line"))
+    return rows.where(F.col("line").isNotNull()).select(
         "meeting_id", (F.col("i") + 1).cast("long").alias("line_no"), "line"
     )
 
@@ -197,7 +198,7 @@ def text_cleaning(spark, sf):
 )
 def stop_sentences(spark, sf):
     parts = F.filter(F.transform(tx.split_sentences(F.col("text")), tx.clean), lambda s: s != "")
-    flat = calls(spark, sf).select("meeting_id", F.explode(parts).alias("s"))
+    flat = calls(spark, sf).select("meeting_id", F.explode_outer(parts).alias("s")).where(F.col("s").isNotNull())
     stop = tx.is_stop_sentence(F.col("s"))
     return flat.groupBy("meeting_id").agg(
         F.count(F.lit(1)).alias("n_sentences"), F.count_if(~stop).alias("n_kept"), F.count_if(stop).alias("n_removed")
