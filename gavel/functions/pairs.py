@@ -43,6 +43,11 @@ def _meet(a: DataFrame, b: DataFrame, group: list[str], value: str, symmetric: b
     return spread_left.join(spread_right, [*group, "lo", "hi"])
 
 
+def _repeat(value, n: int) -> pd.Series:
+    """A constant column; text stays an object column, which converts to one Arrow array."""
+    return pd.Series([value] * n, dtype=object if isinstance(value, str) else None)
+
+
 def _compare(blocks: DataFrame, group: list[str], threshold: float, texts: bool, symmetric: bool) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.schema if f.name in group)
 
@@ -80,7 +85,7 @@ def _compare(blocks: DataFrame, group: list[str], threshold: float, texts: bool,
                 ids_a = np.array([r["idx"] for r in a])[i] if len(i) else np.array([], int)
                 ids_b = np.array([r["idx"] for r in b])[j] if len(j) else np.array([], int)
                 keep = ids_a < ids_b if symmetric else np.ones(len(ids_a), bool)
-                data = {g: [getattr(row, g)] * int(keep.sum()) for g in group}
+                data = {g: _repeat(getattr(row, g), int(keep.sum())) for g in group}
                 yield pd.DataFrame({**data, "lo": ids_a[keep], "hi": ids_b[keep], "similarity": s[keep]})
 
     return blocks.mapInPandas(run, f"{fields}, lo long, hi long, similarity double")

@@ -26,11 +26,15 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """A1, A2: one row per `*.txt` file, `meeting_id` from its name."""
-    return (
-        spark.read.option("pathGlobFilter", "*" + lx.UPLOAD_SUFFIX)
-        .text(path, wholetext=True)
-        .select(file_stem(lx.UPLOAD_SUFFIX).alias("meeting_id"), F.col("value").alias("raw_text"))
+    """A1, A2: one row per `*.txt` file, `meeting_id` from its name.
+
+    Files are read as bytes, so that bad bytes never fail a scan. File sources skip files of zero bytes; a file
+    of blanks gives a meeting without turns.
+    """
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*" + lx.UPLOAD_SUFFIX).load(path)
+    return raw.select(
+        file_stem(lx.UPLOAD_SUFFIX).alias("meeting_id"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("raw_text"),
     )
 
 
