@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gavel import lexicon as lx
-from gavel.functions.text import any_of, regex, strip, word_count
+from gavel.functions.text import any_of, has_any, let, regex, strip, word_count
 
 
 def is_actionable(text: Column, min_words: int = lx.MIN_DECISION_WORDS) -> Column:
@@ -130,12 +130,22 @@ def is_valid_deadline(text: Column) -> Column:
     )
 
 
+# Every valid deadline holds one of these; a text without any of them needs no pattern search.
+DEADLINE_HINTS = ["day", "tomorrow", "tonight", "end", "next", "q1", "q2", "q3", "q4", *lx.MONTHS]
+
+
 def deadline(text: Column, date_entities: Column | None = None) -> Column:
-    """F3 + F5: first valid entity when entities are given, else the first valid pattern match."""
-    matches = F.array(*[strip(F.regexp_extract(text, regex(p), 0)) for p in lx.DEADLINES])
-    by_pattern = F.when(
-        text.rlike(any_of(lx.DEADLINES)), F.get(F.filter(matches, is_valid_deadline), F.lit(0))
-    )
+    """F3 + F5: first valid entity when entities are given, else the first valid pattern match.
+
+    Patterns are tried one after the other, each only when the ones before gave nothing valid.
+    """
+    def attempt(patterns: list[str]) -> Column:
+        if not patterns:
+            return F.lit(None).cast("string")
+        match = strip(F.regexp_extract(text, regex(patterns[0]), 0))
+        return let(match, lambda m: F.when(is_valid_deadline(m), m).otherwise(attempt(patterns[1:])))
+
+    by_pattern = F.when(has_any(F.lower(text), DEADLINE_HINTS), attempt(lx.DEADLINES))
     if date_entities is None:
         return by_pattern
     entities = F.transform(date_entities, lambda e: strip(e))

@@ -10,6 +10,10 @@ from gavel.functions import signals as sg
 from gavel.functions.text import capitalize_word, let, replace, strip, words
 
 
+# The first three tokens of a text.
+OPENING = r"(?U)^\s*\S+(?:\s+\S+){0,2}"
+
+
 def named_speakers(text: Column, known: Column) -> tuple[Column, Column]:
     """F1 rules 2 and 4 against a meeting's speakers: (leading name, mentioned name), null where none.
 
@@ -18,7 +22,7 @@ def named_speakers(text: Column, known: Column) -> tuple[Column, Column]:
     compiled for names that occur at all.
     """
     lead = F.filter(
-        F.transform(F.slice(words(F.lower(text)), 1, 3), lambda w: F.rtrim(w, F.lit(",:"))),
+        F.transform(words(F.lower(F.regexp_extract(text, OPENING, 0))), lambda w: F.rtrim(w, F.lit(",:"))),
         lambda w: (w != "") & (F.array_contains(known, w) | F.array_contains(known, capitalize_word(w))),
     )
     lower = F.lower(text)

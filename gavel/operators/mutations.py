@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gavel import lexicon as lx
+from gavel.functions import ordered
 from gavel.functions.text import strip
 from gavel.operators.results import iso_date
 
@@ -44,7 +45,9 @@ def replace_pending(suggestions: DataFrame, items: DataFrame, dedup_titles: bool
     return settled.unionByName(untouched).unionByName(fresh, allowMissingColumns=True)
 
 
-def publish_changes(tasks: DataFrame, items: DataFrame, valid_assignee: Column | None = None) -> DataFrame:
+def publish_changes(
+    tasks: DataFrame, items: DataFrame, valid_assignee: Column | None = None, rows: int | None = None
+) -> DataFrame:
     """M2: the change set of publishing `items(transcript_id, pos, title, description, assignee, deadline)`
     against the non-manual tasks of the same transcripts.
 
@@ -52,7 +55,8 @@ def publish_changes(tasks: DataFrame, items: DataFrame, valid_assignee: Column |
     publish the first of equal titles is created and the others are duplicates. On a later one an item whose
     title exists updates that task when description, assignee or deadline differ from what the previous item
     of the same title left behind, and is unchanged otherwise; a new title is created and then treated alike.
-    The window is over one (transcript, title): the items of one uploaded transcript.
+    The state before an item is a fill-forward over (transcript, title); `rows` as given by
+    `ordered.segment_rows` splits it where one title is repeated without end.
     """
     title = strip(F.when(F.coalesce("title", F.lit("")) == "", lx.UNTITLED).otherwise(F.col("title")))
     ok_assignee = F.col("_a").rlike("^[0-9a-f]{24}$") if valid_assignee is None else valid_assignee
@@ -75,18 +79,18 @@ def publish_changes(tasks: DataFrame, items: DataFrame, valid_assignee: Column |
     seen = published.select(F.col("transcript_reference").alias("transcript_id")).distinct().withColumn("_republish", F.lit(True))
     joined = incoming.join(existing, ["transcript_id", "_k"], "left").join(seen, "transcript_id", "left")
 
-    w = Window.partitionBy("transcript_id", "_k").orderBy("pos")
     state = F.struct(strip(F.col("description")).alias("d"), F.col("assignee_id").alias("a"), F.col("due_date").alias("u"))
-    before = F.struct(
+    old = F.struct(
         strip(F.coalesce(F.col("_old.description"), F.lit(""))).alias("d"), F.col("_old.assignee_id").alias("a"), F.col("_old.due_date").alias("u")
     )
-    stated = joined.withColumn("_state", state).withColumn("_n", F.row_number().over(w))
+    stated = ordered.fill_forward(
+        joined.withColumn("_state", state), ["transcript_id", "_k"], "pos", F.col("_state"), "_previous", rows
+    )
     # What a title looked like before this item: the previous item's state, for the first one the old task's.
-    prior = F.coalesce(F.lag("_state").over(w), F.when(F.col("_old").isNotNull(), before))
-    republish = F.coalesce("_republish", F.lit(False))
+    prior = F.coalesce("_previous", F.when(F.col("_old").isNotNull(), old))
     action = (
-        F.when(F.col("_old").isNull() & (F.col("_n") == 1), "created")
-        .when(~republish, "duplicate")
+        F.when(F.col("_old").isNull() & F.col("_previous").isNull(), "created")
+        .when(~F.coalesce("_republish", F.lit(False)), "duplicate")
         .when(F.col("_state").eqNullSafe(F.col("_prior")), "unchanged")
         .otherwise("updated")
     )
@@ -315,11 +319,18 @@ def cleaned_count(table: DataFrame, pattern: str = lx.CLEANUP_NAMES) -> DataFram
 def sync_by_position(tasks: DataFrame, edits: DataFrame, order: str = "id") -> DataFrame:
     """The n-th task of a transcript takes the n-th edited item `(transcript_id, pos)`, `pos` from 1.
 
-    Only transcripts with edits are numbered, and a transcript's published tasks are as many as its items.
+    Only the first tasks of a transcript, as many as it has edited positions, can change. They are found in
+    two steps, first inside random shares of the transcript's tasks, then among the few that are left, so that
+    a transcript of any size is ranked in parallel.
     """
-    touched = edits.select(F.col("transcript_id").alias("transcript_reference")).distinct()
+    reach = edits.groupBy(F.col("transcript_id").alias("transcript_reference")).agg(F.max("pos").alias("_reach"))
+    asked = tasks.join(reach, "transcript_reference", "left").withColumn("_share", F.pmod(F.xxhash64(order), F.lit(64)))
+    share = Window.partitionBy("transcript_reference", "_share").orderBy(order)
+    first = asked.withColumn("_rank", F.row_number().over(share)).withColumn(
+        "_near", F.coalesce(F.col("_rank") <= F.col("_reach"), F.lit(False))
+    )
     w = Window.partitionBy("transcript_reference").orderBy(order)
-    numbered = tasks.join(touched, "transcript_reference", "left_semi").withColumn("pos", F.row_number().over(w))
+    numbered = first.where("_near").withColumn("pos", F.row_number().over(w))
     item = edits.select(
         F.col("transcript_id").alias("transcript_reference"), "pos",
         F.struct("title", "description", "assignee", "deadline").alias("_item"),
@@ -334,7 +345,7 @@ def sync_by_position(tasks: DataFrame, edits: DataFrame, order: str = "id") -> D
         .withColumn("assignee_id", F.when(has, F.nullif(F.col("_item.assignee"), F.lit("")).cast(kind["assignee_id"])).otherwise(F.col("assignee_id")))
         .select(*tasks.columns)
     )
-    return tasks.join(touched, "transcript_reference", "left_anti").select(*tasks.columns).unionByName(edited)
+    return first.where(~F.col("_near")).select(*tasks.columns).unionByName(edited)
 
 
 def default_meetings(uploads: DataFrame, meetings: DataFrame) -> DataFrame:

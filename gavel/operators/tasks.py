@@ -26,9 +26,15 @@ def titled(extractions: DataFrame) -> DataFrame:
     return tx.once(extractions, "task", title).where(tx.is_valid_title(F.col("task")))
 
 
+TASK_COLUMNS = [
+    "meeting_id", "ord", "sentence_id", "meeting_type", "detection_confidence", "task", "assignee", "deadline", "evidence",
+]
+
+
 def build_tasks(extractions: DataFrame, rows: int | None = None) -> DataFrame:
-    """Valid titles, numbered per meeting after filtering."""
-    numbered = ordered.number_rows(titled(extractions), ["meeting_id"], "ord", "_n", rows)
+    """Valid titles, numbered per meeting after filtering. What only the titles needed is dropped here."""
+    slim = titled(extractions).select(*[c for c in TASK_COLUMNS if c in [*extractions.columns, "task"]])
+    numbered = ordered.number_rows(slim, ["meeting_id"], "ord", "_n", rows)
     return numbered.withColumn("task_id", F.concat(F.lit("task_"), F.col("_n"))).drop("_n")
 
 

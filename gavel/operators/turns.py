@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gavel import lexicon as lx
 from gavel.functions import ordered
-from gavel.functions.text import clean, is_stop_sentence, split_sentences, strip
+from gavel.functions.text import clean, is_stop_sentence, let, split_sentences, strip
 
 
 def lines_of(raw_text: Column) -> Column:
@@ -21,27 +21,44 @@ def lines_of(raw_text: Column) -> Column:
 
 
 def parse_line(line: Column, allow_mmss: bool = False) -> Column:
-    """struct(timestamp, speaker, text); the speaker is null where no format matches."""
-    pattern = "(?dU)" + (lx.SHORT_TIMESTAMP_LINE if allow_mmss else lx.TIMESTAMP_LINE)
-    dash = "(?dU)" + lx.DASH_LINE
-    stamped_speaker = strip(F.regexp_extract(line, pattern, 2))
-    stamped = line.startswith("[") & (stamped_speaker != "")
-    colon_speaker = strip(F.substring_index(line, ":", 1))
-    colon_text = strip(F.substr(line, F.instr(line, ":") + 1))
-    colon = (F.instr(line, ":") > 0) & (colon_speaker != "") & (colon_text != "")
-    dashed = F.contains(line, F.lit("-")) & line.rlike(dash)
-    return F.struct(
-        F.when(stamped, F.regexp_extract(line, pattern, 1)).alias("timestamp"),
-        F.when(stamped, stamped_speaker)
-        .when(colon, colon_speaker)
-        .when(dashed, strip(F.regexp_extract(line, dash, 1)))
-        .alias("speaker"),
-        F.when(stamped, strip(F.regexp_extract(line, pattern, 3)))
-        .when(colon, colon_text)
-        .when(dashed, strip(F.regexp_extract(line, dash, 2)))
-        .otherwise(line)
-        .alias("text"),
+    """struct(timestamp, speaker, text); the speaker is null where no format matches.
+
+    Plain character tests decide which format can apply; each pattern then runs once, rewriting the line to its
+    fields around a separator that no trimmed line holds (a line break).
+    """
+    def fields(pattern: str, order: str) -> Column:
+        return F.split(F.regexp_replace(line, "(?dU)" + pattern, order), "\n")
+
+    def entry(timestamp: Column, speaker: Column, text: Column) -> Column:
+        null = F.lit(None).cast("string")
+        return F.struct(
+            (null if timestamp is None else timestamp).alias("timestamp"),
+            (null if speaker is None else speaker).alias("speaker"),
+            text.alias("text"),
+        )
+
+    def dashed(_: Column | None = None) -> Column:
+        parts = fields(lx.DASH_LINE, "$1\n$2")
+        match = let(
+            parts,
+            lambda p: F.when(F.size(p) == 2, entry(None, strip(p[0]), strip(p[1]))).otherwise(entry(None, None, line)),
+        )
+        return F.when(F.contains(line, F.lit("-")), match).otherwise(entry(None, None, line))
+
+    def coloned() -> Column:
+        pair = F.array(strip(F.substring_index(line, ":", 1)), strip(F.substr(line, F.instr(line, ":") + 1)))
+        match = let(
+            pair,
+            lambda p: F.when((p[0] != "") & (p[1] != ""), entry(None, p[0], p[1])).otherwise(dashed()),
+        )
+        return F.when(F.contains(line, F.lit(":")), match).otherwise(dashed())
+
+    stamp = lx.SHORT_TIMESTAMP_LINE if allow_mmss else lx.TIMESTAMP_LINE
+    stamped = let(
+        fields(stamp, "$1\n$2\n$3"),
+        lambda p: F.when((F.size(p) == 3) & (strip(p[1]) != ""), entry(p[0], strip(p[1]), strip(p[2]))).otherwise(coloned()),
     )
+    return F.when(line.startswith("["), stamped).otherwise(coloned())
 
 
 def turn_arrays(transcripts: DataFrame, allow_mmss: bool = False) -> DataFrame:

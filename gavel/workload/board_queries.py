@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gavel import lexicon as lx
+from gavel.functions import ordered
 from gavel.functions import text as tx
 from gavel.operators import board, mutations, notifications, results
 from gavel.sources import collections
@@ -750,7 +751,7 @@ def replace_pending_all(spark, sf):
 def publish_items(spark, sf):
     o, n, p = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")
     return table(spark, sf, "lineitem").select(
-        o.alias("transcript_id"), (n * 1000000 + p * 100 + F.col("l_suppkey")).alias("pos"),
+        o.alias("transcript_id"), (((n * 100000 + p) * 100000 + F.col("l_suppkey")) * 10000000 + F.round(F.col("l_extendedprice") * 100).cast("long")).alias("pos"),
         F.when(p % 11 == 0, "  ").when(p % 13 == 0, F.lit("")).otherwise(F.upper(_pick(PHRASES, p % 64))).alias("title"),
         F.when(n % 2 == 0, F.concat(F.lit("from line "), n)).otherwise("edited").alias("description"),
         F.when(F.col("l_quantity") >= 10, ((p * 3 + F.col("l_suppkey")) % 1500).cast("string")).otherwise("bad id").alias("assignee"),
@@ -759,7 +760,9 @@ def publish_items(spark, sf):
 
 
 def published(spark, sf):
-    return mutations.publish_changes(board_before(spark, sf), publish_items(spark, sf), F.col("_a").rlike("^[0-9]+$"))
+    items = publish_items(spark, sf)
+    rows = ordered.segment_rows(items, ["transcript_id"])
+    return mutations.publish_changes(board_before(spark, sf), items, F.col("_a").rlike("^[0-9]+$"), rows)
 
 
 def board_before(spark, sf):
@@ -769,7 +772,7 @@ def board_before(spark, sf):
 
 
 PUBLISH = (
-    f"pitems AS (SELECT l_orderkey AS transcript_id, l_linenumber * 1000000 + l_partkey * 100 + l_suppkey AS pos, CASE WHEN l_partkey % 11 = 0 THEN '  ' WHEN l_partkey % 13 = 0 THEN 'Untitled' ELSE upper({ck._TEXT}[l_partkey % 64 + 1]) END AS title, "
+    f"pitems AS (SELECT l_orderkey AS transcript_id, ((l_linenumber * 100000 + l_partkey) * 100000 + l_suppkey) * 10000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS pos, CASE WHEN l_partkey % 11 = 0 THEN '  ' WHEN l_partkey % 13 = 0 THEN 'Untitled' ELSE upper({ck._TEXT}[l_partkey % 64 + 1]) END AS title, "
     "CASE WHEN l_linenumber % 2 = 0 THEN 'from line ' || l_linenumber ELSE 'edited' END AS description, CASE WHEN l_quantity >= 10 THEN CAST((l_partkey * 3 + l_suppkey) % 1500 AS VARCHAR) END AS a, "
     "CASE WHEN l_discount > 0 THEN CAST(l_shipdate AS DATE) END AS u FROM lineitem), "
     "old AS (SELECT transcript_reference AS transcript_id, lower(trim(title)) AS k, max(id) AS id, arg_max(trim(description), id) AS d, arg_max(coalesce(CAST(assignee_id AS VARCHAR), '-'), id) AS a, arg_max(coalesce(CAST(due_date AS VARCHAR), '-'), id) AS u "
