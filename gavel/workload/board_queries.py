@@ -42,7 +42,7 @@ MEETINGS = (
     "CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(o_orderdate AS DATE) END AS meeting_date, o_orderkey * 7 % 1000 AS created_at, o_totalprice FROM orders)"
 )
 TASKS = (
-    f"tasks AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, l_partkey AS project_id, l_suppkey AS team_id, l_orderkey AS meeting_id, l_orderkey AS transcript_reference, "
+    f"tasks AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(round(l_extendedprice * 100) AS BIGINT) AS id, l_partkey AS project_id, l_suppkey AS team_id, l_orderkey AS meeting_id, l_orderkey AS transcript_reference, "
     f"{ck._TEXT}[l_partkey % 64 + 1] AS title, 'from line ' || l_linenumber AS description, ({ck.sql_list(STATUSES)})[(l_orderkey + l_linenumber) % 6 + 1] AS status, "
     f"({ck.sql_list(PRIORITIES)})[l_linenumber % 4 + 1] AS priority, CASE WHEN l_quantity >= 10 THEN (l_partkey * 3 + l_suppkey) % 1500 END AS assignee_id, "
     "CASE WHEN l_tax > 0 THEN l_suppkey * 7 % 1500 END AS owner_id, CASE WHEN l_discount > 0 THEN CAST(l_shipdate AS DATE) END AS due_date, l_returnflag = 'R' AS is_manual, "
@@ -58,6 +58,11 @@ NOTES = (
 )
 
 
+def cents():
+    """Part of a line item's key: order, line, part and supplier alone may repeat."""
+    return F.round(F.col("l_extendedprice") * 100).cast("long")
+
+
 def users(spark, sf):
     return table(spark, sf, "customer").select(
         F.col("c_custkey").alias("id"),
@@ -109,7 +114,7 @@ def meetings(spark, sf):
 def tasks(spark, sf):
     o, n, p, s = (F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
     return table(spark, sf, "lineitem").select(
-        F.concat_ws("-", o, n, p, s).alias("id"), p.alias("project_id"), s.alias("team_id"), o.alias("meeting_id"), o.alias("transcript_reference"),
+        F.concat_ws("-", o, n, p, s, cents()).alias("id"), p.alias("project_id"), s.alias("team_id"), o.alias("meeting_id"), o.alias("transcript_reference"),
         _pick(PHRASES, p % 64).alias("title"), F.concat(F.lit("from line "), n).alias("description"), _pick(STATUSES, (o + n) % 6).alias("status"),
         _pick(PRIORITIES, n % 4).alias("priority"), F.when(F.col("l_quantity") >= 10, (p * 3 + s) % 1500).alias("assignee_id"),
         F.when(F.col("l_tax") > 0, s * 7 % 1500).alias("owner_id"), F.when(F.col("l_discount") > 0, F.col("l_shipdate").cast("date")).alias("due_date"),
@@ -314,7 +319,7 @@ def project_transcripts(spark, sf):
 
 
 SUGGESTIONS = (
-    f"suggestions AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, l_orderkey AS meeting_id, l_orderkey AS transcript_id, {ck._TEXT}[l_partkey % 64 + 1] AS suggested_title, "
+    f"suggestions AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(round(l_extendedprice * 100) AS BIGINT) AS id, l_orderkey AS meeting_id, l_orderkey AS transcript_id, {ck._TEXT}[l_partkey % 64 + 1] AS suggested_title, "
     f"'about ' || l_partkey AS suggested_description, ({ck.sql_list(lx.REVIEW_STATUSES)})[l_linenumber % 4 + 1] AS review_status, CASE WHEN l_linenumber % 4 = 1 THEN 'task' || l_partkey END AS task_id, "
     "CASE WHEN l_discount > 0 THEN CAST(l_shipdate AS DATE) END AS suggested_deadline, CASE WHEN l_tax > 0.04 THEN 'quote ' || l_suppkey END AS transcript_quote FROM lineitem)"
 )
@@ -323,7 +328,7 @@ SUGGESTIONS = (
 def suggestions(spark, sf):
     o, n, p, s = (F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
     return table(spark, sf, "lineitem").select(
-        F.concat_ws("-", o, n, p, s).alias("id"), o.alias("meeting_id"), o.alias("transcript_id"), _pick(PHRASES, p % 64).alias("suggested_title"),
+        F.concat_ws("-", o, n, p, s, cents()).alias("id"), o.alias("meeting_id"), o.alias("transcript_id"), _pick(PHRASES, p % 64).alias("suggested_title"),
         F.concat(F.lit("about "), p).alias("suggested_description"), _pick(lx.REVIEW_STATUSES, n % 4).alias("review_status"),
         F.when(n % 4 == 1, F.concat(F.lit("task"), p)).alias("task_id"), F.when(F.col("l_discount") > 0, F.col("l_shipdate").cast("date")).alias("suggested_deadline"),
         F.when(F.col("l_tax") > 0.04, F.concat(F.lit("quote "), s)).alias("transcript_quote"),
@@ -751,7 +756,7 @@ def replace_pending_all(spark, sf):
 def publish_items(spark, sf):
     o, n, p = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")
     return table(spark, sf, "lineitem").select(
-        o.alias("transcript_id"), (((n * 100000 + p) * 100000 + F.col("l_suppkey")) * 10000000 + F.round(F.col("l_extendedprice") * 100).cast("long")).alias("pos"),
+        o.alias("transcript_id"), (((n * 100000 + p) * 100000 + F.col("l_suppkey")) * 10000000 + cents()).alias("pos"),
         F.when(p % 11 == 0, "  ").when(p % 13 == 0, F.lit("")).otherwise(F.upper(_pick(PHRASES, p % 64))).alias("title"),
         F.when(n % 2 == 0, F.concat(F.lit("from line "), n)).otherwise("edited").alias("description"),
         F.when(F.col("l_quantity") >= 10, ((p * 3 + F.col("l_suppkey")) % 1500).cast("string")).otherwise("bad id").alias("assignee"),
