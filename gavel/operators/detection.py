@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gavel import lexicon as lx
 from gavel.functions import signals as sg
+from gavel.functions.models import apply_where
 from gavel.functions.text import once
 from gavel.operators.context import pair_acceptances
 
@@ -43,15 +44,14 @@ def with_features(sentences: DataFrame, include_lets: bool = False) -> DataFrame
 
 
 def score_sentences(sentences: DataFrame, scorer, columns: list[str] = SCORES, text: str = "text") -> DataFrame:
-    """Run a caller's iterator pandas UDF (struct of three probabilities) where the hard filter lets it.
+    """Class scores from a caller's model (see `models.per_worker` with `models.CLASS_SCORES`).
 
-    Hard-filtered rows never reach the model: they are split off before the Python stage and joined by union,
-    so the expensive part sees only the rows whose result is used.
+    Hard-filtered rows are not sent to the model, since their scores are never used. Run it once on `text` and,
+    for context scores, once on `context_text` with `columns=CONTEXT_SCORES`.
     """
-    filtered = sg.is_hard_filtered(F.col("text"))
-    scored = sentences.where(~filtered).withColumn("_s", scorer(F.col(text)))
-    scored = scored.select("*", *[F.col(f"_s.{c}").alias(c) for c in columns]).drop("_s")
-    return scored.unionByName(sentences.where(filtered), allowMissingColumns=True)
+    scored = apply_where(sentences, ~sg.is_hard_filtered(F.col("text")), "_s", scorer(F.col(text)))
+    picked = [F.col("_s")[field].alias(name) for field, name in zip(SCORES, columns)]
+    return scored.select(*sentences.columns, *picked)
 
 
 def detect(

@@ -202,3 +202,35 @@ def test_full_plan(spark, rows):
 def test_one_shuffle_before_the_windows(spark):
     plan = extract_tasks(transcripts(spark, MEETING)).tasks._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1, plan
+
+
+def test_models_run_only_where_needed(spark, rows):
+    import pandas as pd
+
+    from gavel.functions import models
+    from gavel.operators import extraction
+
+    def load():
+        def score(texts):
+            if texts.str.contains("competitor").any():
+                raise AssertionError("a hard-filtered sentence reached the model")
+            hit = texts.str.contains("will").astype(float)
+            return pd.DataFrame({"p_decision": hit * 0.6 + 0.1, "p_commitment": 0.2, "p_discussion": 0.3})
+
+        return score
+
+    table = spark.createDataFrame(
+        [("m", 0, "A", None, "We will ship the new release."), ("m", 1, "B", None, "They switched to a competitor again."), ("m", 2, "B", None, "Nice weather in the city today.")],
+        "meeting_id string, turn_id long, speaker string, timestamp string, text string",
+    )
+    s = prepare(turns.sentences_from_turns(table))
+    scored = detection.score_sentences(s, models.per_worker(load, models.CLASS_SCORES))
+    assert rows(scored, "ord", "p_decision") == [(0, 0.7), (1, None), (2, 0.1)]
+    found = detection.detect(scored, "hybrid")
+    got = {r.ord: (r.transformer_decision_type, r.is_decision, r.hard_filtered) for r in found.collect()}
+    assert got == {0: ("decision", True, None), 1: (None, False, True), 2: ("discussion", False, None)}
+
+    answer = models.per_worker(lambda: lambda texts: texts.str.split().str[0])
+    asked = models.apply_where(s.withColumn("is_decision", F.lit(True)), F.col("subject") == "they", "qa_answer", answer(F.col("text")))
+    assert asked.where("qa_answer is not null").count() <= 1
+    assert extraction.extract(asked.withColumns({"confidence": F.lit(1.0)})).count() == 3
