@@ -62,7 +62,7 @@ def _compare(blocks: DataFrame, group: list[str], threshold: float, texts: bool,
         matcher = SequenceMatcher(None)
         lower_a = [r["v"].lower() for r in a]
         for j, r in enumerate(b):
-            # The reference order of arguments matters for the ratio: the earlier text is the first sequence.
+            # The ratio depends on the order of its arguments: the earlier text is the first sequence.
             matcher.set_seq2(r["v"].lower())
             for i, x in enumerate(lower_a):
                 if not x or not r["v"]:

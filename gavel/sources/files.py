@@ -12,7 +12,9 @@ from gavel import schemas
 def file_stem(suffix: str) -> Column:
     """File name without folder and the given ending."""
     escaped = suffix.replace(".", r"\.")
-    return F.regexp_extract(F.url_decode(F.col("_metadata.file_name")), rf"^(.*){escaped}$", 1)
+    encoded = F.col("_metadata.file_name")
+    name = F.coalesce(F.try_url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B"))), encoded)
+    return F.regexp_extract(name, rf"^(.*){escaped}$", 1)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -109,13 +111,15 @@ def meeting_format(sentences: DataFrame, keep_metadata: bool = True) -> DataFram
     return sentences.select("meeting_id", *[c for c in names if c in sentences.columns])
 
 
-def write_stage(df: DataFrame, stage: str, path: str, fmt: str = "json") -> None:
-    """A5: one stage's serialisable columns, partitioned by meeting.
+def write_stage(df: DataFrame, stage: str, path: str, fmt: str = "json", per_meeting: bool = False) -> None:
+    """A5: one stage's serialisable columns, with the meeting id.
 
-    Each task writes its own file per meeting it holds, so a large meeting needs no extra shuffle.
+    `per_meeting` writes a folder per meeting, which suits some hundred meetings; a large corpus would turn into
+    as many small files, so by default rows of many meetings share files.
     """
     names = [c for c in STAGE_COLUMNS[stage] if c in df.columns]
-    df.select("meeting_id", *names).write.mode("overwrite").partitionBy("meeting_id").format(fmt).save(f"{path}/{stage}")
+    writer = df.select("meeting_id", *names).write.mode("overwrite").format(fmt)
+    (writer.partitionBy("meeting_id") if per_meeting else writer).save(f"{path}/{stage}")
 
 
 def write_contract(contract: DataFrame, path: str) -> None:

@@ -11,7 +11,7 @@ from gavel.streaming import ingest
 
 TEXTS = {
     "planning one": "Mara: I will draft the launch plan by Monday.\nTheo: Sure.\nTheo: We need to send the report today.",
-    "retro": "Wei: Please update the wiki page tomorrow.",
+    "retro+1": "Wei: Please update the wiki page tomorrow.",
     "empty": " \n",
 }
 
@@ -41,7 +41,7 @@ def test_stage_files_and_contract(spark, tmp_path, rows):
     write_texts(tmp_path)
     stages = extract_tasks(files.read_transcripts(spark, str(tmp_path)))
     for name, df in (("processed", stages.sentences), ("decisions", stages.detections), ("extractions", stages.extractions), ("outputs", stages.tasks)):
-        files.write_stage(df, name, str(tmp_path / "out"))
+        files.write_stage(df, name, str(tmp_path / "out"), per_meeting=name == "outputs")
     back = spark.read.json(str(tmp_path / "out" / "outputs"))
     assert rows(back, "meeting_id", "task_id") == rows(stages.tasks, "meeting_id", "task_id")
     files.write_contract(stages.contract, str(tmp_path / "contract"))
@@ -85,7 +85,7 @@ def test_streamed_uploads_equal_the_batch(spark, tmp_path, rows):
 
     write_texts(landing, ["planning one"])
     run()
-    write_texts(landing, ["retro"])
+    write_texts(landing, ["retro+1"])
     run()
     got = rows(spark.read.json(str(out)), "meeting_id", "task_id", "task", "assignee", "deadline")
     batch = extract_tasks(files.read_transcripts(spark, str(landing))).tasks
