@@ -12,6 +12,7 @@ from gavel.functions import text as tx
 from gavel.functions import ordered
 from gavel.functions.similarity import cosine, normalized
 from gavel.functions.signals import deadline
+from gavel.session import cut_lineage
 
 # Two sentences this far apart cannot reach the merge similarity, whatever their cosine is: solve
 # 1 / (1 + decay * gap) >= 1 - distance for the gap.
@@ -129,6 +130,8 @@ def cluster_decisions(
 ) -> DataFrame:
     """O2: average-linkage clusters: `(meeting_id, sentence_id, cluster)`, a cluster named by its first
     sentence. One task clusters one island of one meeting, never a whole hot meeting."""
+    # Pairs, islands and the grouped step all read the decisions; store them once.
+    decisions = cut_lineage(decisions.select("meeting_id", "sentence_id", "vector", "action", "object"))
     placed = decisions.join(islands(decisions, limit, rows=rows), ["meeting_id", "sentence_id"])
     kinds = {f.name: f.dataType.simpleString() for f in decisions.schema}
 

@@ -9,6 +9,7 @@ from gavel import lexicon as lx
 from gavel.functions.greedy import first_matching
 from gavel.functions.pairs import similar_across
 from gavel.functions.text import strip
+from gavel.session import cut_lineage
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:
@@ -64,11 +65,10 @@ def similar_matches(
 ) -> DataFrame:
     """J2-J4, partial and semantic: candidate pairs at or above the threshold, then the greedy matching in
     prediction order. Both sides need `idx`, their order inside the meeting."""
-    candidates = similar_across(
-        pred.select(*by, "idx", F.col(pred_value).alias("v")),
-        gold.select(*by, "idx", F.col(gold_value).alias("v")),
-        by, "v", threshold, texts=not vectors,
-    ).select(*by, F.col("lo").alias("left"), F.col("hi").alias("right"))
+    # Both sides are read several times (blocks, sizes); store them instead of recomputing what made them.
+    pred = cut_lineage(pred.select(*by, "idx", F.col(pred_value).alias("v")))
+    gold = cut_lineage(gold.select(*by, "idx", F.col(gold_value).alias("v")))
+    candidates = similar_across(pred, gold, by, "v", threshold, texts=not vectors).select(*by, F.col("lo").alias("left"), F.col("hi").alias("right"))
     tp = first_matching(candidates, by).groupBy(*by).agg(F.count(F.lit(1)).alias("tp"))
     n_pred = pred.groupBy(*by).agg(F.count(F.lit(1)).alias("n_pred"))
     n_gold = gold.groupBy(*by).agg(F.count(F.lit(1)).alias("n_gold"))
