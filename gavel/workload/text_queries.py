@@ -12,7 +12,7 @@ from gavel.plans.meeting_tasks import prepare
 from gavel.sources import files
 from gavel.workload import checks as ck
 from gavel.workload.bank import calls, standups
-from gavel.workload.registry import query, table
+from gavel.workload.registry import CHECKS, query, table
 
 AS_TEXT = "string"
 
@@ -417,7 +417,13 @@ def parse_direct_objects(spark, sf):
     return syntax.direct_objects(tokens(spark, sf))
 
 
-@query("parse_annotations_c3_c6")
+@query(
+    "parse_annotations_c3_c6",
+    "SELECT r.meeting_id, r.sentence_id, root_verb, subject, coalesce(resultative, object) AS object, root_tag, coalesce(has_dobj, false) AS has_dobj, is_passive "
+    f"FROM ({CHECKS['parse_root_verbs_c3']}) r LEFT JOIN ({CHECKS['parse_subjects_c4']}) s USING (meeting_id, sentence_id) "
+    f"LEFT JOIN ({CHECKS['parse_objects_c5']}) o USING (meeting_id, sentence_id) LEFT JOIN ({CHECKS['parse_resultatives_c6']}) x USING (meeting_id, sentence_id) "
+    f"LEFT JOIN ({CHECKS['parse_direct_objects_d7']}) d USING (meeting_id, sentence_id)",
+)
 def parse_annotations(spark, sf):
     return syntax.annotate_from_parse(tokens(spark, sf))
 
