@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import html as entities
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -77,14 +76,11 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = DEPTH):
     return f, cut, grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1)
 
 
-@lru_cache(1)
-def tree():
-    table = np.array(LABELLED, float)
-    return grow(table[:, :-1], table[:, -1])
+TREE = grow(np.array(LABELLED, float)[:, :-1], np.array(LABELLED, float)[:, -1])
 
 
 def keeps(features: tuple[float, ...], node=None) -> bool:
-    node = tree() if node is None else node
+    node = TREE if node is None else node
     while isinstance(node, tuple):
         node = node[2] if features[node[0]] <= node[1] else node[3]
     return bool(node)

@@ -10,7 +10,6 @@ numpy on whole slices.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -128,7 +127,6 @@ class SuffixAutomaton:
             yield state, length
 
 
-@lru_cache(4)
 def _model(templates=TEMPLATES, phrases=PHRASES):
     sequences = [t.split() for _, t in templates]
     asked = [p.split() for p, _ in phrases]
@@ -170,9 +168,9 @@ def chain(matches: list[tuple[int, int, int, int]], sizes: list[int], gap: int =
     return out
 
 
-def scan_batch(column, templates=TEMPLATES, phrases=PHRASES, least: int = MIN_MATCH, gap: int = MAX_GAP, cover: float = MIN_COVER) -> list[tuple]:
+def scan_batch(column, templates=TEMPLATES, phrases=PHRASES, least: int = MIN_MATCH, gap: int = MAX_GAP, cover: float = MIN_COVER, model=None) -> list[tuple]:
     """A tuple in the order of SCHEMA for each text."""
-    codes, order, automaton, sizes, asked = _model(templates, phrases)
+    codes, order, automaton, sizes, asked = model or _model(templates, phrases)
     out = []
     for _, data, offsets in W.slices(column):
         starts, ends, _, first = W.runs(data, offsets)
@@ -230,8 +228,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), struct]
 
     def scan(batches):
+        model = _model(options.get("templates", TEMPLATES), options.get("phrases", PHRASES))
         for batch in batches:
-            columns = list(zip(*scan_batch(batch.column(1), **options))) or [()] * len(names)
+            columns = list(zip(*scan_batch(batch.column(1), model=model, **options))) or [()] * len(names)
             yield pa.record_batch([batch.column(0), *(pa.array(list(c), t) for c, t in zip(columns, types))], names=[id_col, *names])
 
     return rows.mapInArrow(scan, schema)

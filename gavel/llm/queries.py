@@ -11,6 +11,7 @@ from gavel.llm.html_text import extract_text
 from gavel.llm.licenses import scan_licenses
 from gavel.llm.secret_scan import scan_secrets
 from gavel.llm.sharding import place
+from gavel.llm.simhash_dedup import simhash_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -62,3 +63,9 @@ def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_sharding")
 def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(table(spark, sf_dir, "documents")).select("doc_id", "slot", "shard")
+
+
+@query("op8_simhash_dedup")
+def simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")

@@ -7,7 +7,6 @@ text makes a slice of its own.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,27 +18,14 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-@lru_cache(None)
-def classes(symbols: bool = False) -> np.ndarray:
-    """Class of each byte: 1 in words (digits, letters, all beyond ASCII), 2 for other visible bytes, 0 else."""
-    table = np.zeros(256, np.uint8)
-    if symbols:
-        table[33:127] = 2
-    for low, high in ((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)):
-        table[low : high + 1] = 1
-    return table
-
-
-@lru_cache(None)
-def lower() -> np.ndarray:
-    table = np.arange(256, dtype=np.uint8)
-    table[0x41:0x5B] += 32
-    return table
-
-
-@lru_cache(None)
-def _byte_values() -> np.ndarray:
-    return np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+WORD_BYTES = np.zeros(256, np.uint8)  # 1 in words: digits, letters, all beyond ASCII
+for _low, _high in ((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)):
+    WORD_BYTES[_low : _high + 1] = 1
+SYMBOL_BYTES = WORD_BYTES.copy()  # and 2 for other visible bytes
+SYMBOL_BYTES[33:127][WORD_BYTES[33:127] == 0] = 2
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 32
+_VALUES = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def slices(column, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -63,7 +49,7 @@ def slices(column, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray,
 
 def runs(data: np.ndarray, offsets: np.ndarray, symbols: bool = False):
     """Starts, ends and classes of the tokens, and the first token of every text (one more at the end)."""
-    kind = classes(symbols)[data]
+    kind = (SYMBOL_BYTES if symbols else WORD_BYTES)[data]
     change = np.empty(len(data) + 1, bool)
     change[0] = change[-1] = True
     np.not_equal(kind[1:], kind[:-1], out=change[1:-1])
@@ -79,7 +65,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, symbols: bool = False):
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
     """A 64-bit hash of each byte range (not empty), A-Z folded."""
     out = np.empty(len(starts), np.uint64)
-    values = _byte_values()[lower()] if fold else _byte_values()
+    values = _VALUES[LOWER] if fold else _VALUES
     for a in range(0, len(starts), _HASH_WORDS):
         s, e = starts[a : a + _HASH_WORDS], ends[a : a + _HASH_WORDS]
         length = e - s
