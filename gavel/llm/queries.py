@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gavel.llm.decontamination import leaks
+from gavel.llm.fingerprints import as_text, containment, distinct_shingles, edited_pairs, resemblance
 from gavel.llm.html_text import extract_text
 from gavel.llm.licenses import scan_licenses
 from gavel.llm.secret_scan import scan_secrets
@@ -69,3 +71,44 @@ def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op7_fingerprints")
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = edited_pairs(table(spark, sf_dir, "documents"))
+    return pairs.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("sketch")).alias("fingerprint"),
+        as_text(F.col("edited_sketch")).alias("edited_fingerprint"), resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"), containment(F.col("edited_sketch"), F.col("sketch")).alias("edited_contained"),
+        distinct_shingles(F.col("sketch")).alias("n_shingles"),
+    )
+
+
+@query("op10_decontamination", sql=r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+b AS (
+  SELECT min(item_id) AS item_id, w, len(w) AS n
+  FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark) WHERE len(w) > 0 GROUP BY w
+),
+ds AS (SELECT doc_id, p, array_to_string(w[p:p + 4], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 2))) AS p FROM d WHERE len(w) > 0)),
+bs AS (SELECT item_id, n, p, array_to_string(w[p:p + 4], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(n - 3, 2))) AS p FROM b)),
+windows AS (
+  SELECT DISTINCT ds.doc_id, bs.item_id, bs.n, ds.p - bs.p + 1 AS a FROM ds JOIN bs USING (s) JOIN d ON d.doc_id = ds.doc_id
+  WHERE ds.p - bs.p + 1 >= 1 AND ds.p - bs.p + bs.n <= len(d.w)
+),
+ws AS (
+  SELECT doc_id, item_id, a, s, count(*) AS k
+  FROM windows JOIN ds USING (doc_id) WHERE ds.p BETWEEN a AND greatest(a + n - 5, a) GROUP BY ALL
+),
+bw AS (SELECT item_id, s, count(*) AS k FROM bs GROUP BY ALL),
+scored AS (
+  SELECT ws.doc_id, ws.item_id, ws.a, sum(least(ws.k, coalesce(bw.k, 0))) AS both_, sum(ws.k) AS own
+  FROM ws LEFT JOIN bw ON bw.item_id = ws.item_id AND bw.s = ws.s GROUP BY ALL
+),
+rated AS (
+  SELECT doc_id, item_id, both_::DOUBLE / (own + (SELECT sum(k) FROM bw WHERE bw.item_id = scored.item_id) - both_)::DOUBLE AS similarity FROM scored
+)
+SELECT doc_id, item_id, max(similarity) AS similarity FROM rated WHERE similarity >= 0.8 GROUP BY ALL
+""")
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
