@@ -11,6 +11,7 @@ from gavel.llm.decontamination import leaks
 from gavel.llm.fingerprints import as_text, containment, distinct_shingles, edited_pairs, resemblance
 from gavel.llm.html_text import extract_text
 from gavel.llm.licenses import scan_licenses
+from gavel.llm.mixing import LEVELS, mix, tokens_of
 from gavel.llm.secret_scan import scan_secrets
 from gavel.llm.sharding import place
 from gavel.llm.simhash_dedup import simhash_components
@@ -112,3 +113,57 @@ SELECT doc_id, item_id, max(similarity) AS similarity FROM rated WHERE similarit
 """)
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# The production mix: weights by domain and language, sources alike, nine tenths of the corpus' tokens, two epochs at most.
+MIX_WEIGHTS = {"domain": {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 2}, "lang": {"en": 6, "de": 3, "fr": 3, "es": 2}}
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.9, 2, 42
+
+
+def mix_sql() -> str:
+    """The same mix in SQL: shares level by level, then cumulative sums over each leaf's shuffled order."""
+    steps, above = [], "SELECT 0 AS root, least(floor(sum(tokens) * 0.9)::BIGINT, sum(tokens) * 2) AS budget FROM leaves"
+    steps.append(f"root_ AS ({above})")
+    before = "root_"
+    for depth, level in enumerate(LEVELS):
+        parent = ", ".join(("root", *LEVELS[:depth]))
+        weight = "CASE " + " ".join(f"WHEN {level} = '{k}' THEN {v}" for k, v in MIX_WEIGHTS.get(level, {"": 1}).items()) + " ELSE 1 END"
+        join = " AND ".join(f"c.{x} = p.{x}" for x in ("root", *LEVELS[:depth]))
+        columns = ", ".join(f"c.{x}" for x in ("root", *LEVELS[: depth + 1]))
+        steps.append(f"""
+{level}_c AS (SELECT {parent}, {level}, sum(tokens) * 2 AS cap, {weight} AS w FROM (SELECT 0 AS root, * FROM leaves) GROUP BY ALL),
+{level}_o AS (
+  SELECT {columns}, c.cap, c.w, p.budget - coalesce(sum(c.cap) OVER (PARTITION BY {columns.rpartition(", ")[0]} ORDER BY c.cap::DOUBLE / c.w, c.{level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(c.w) OVER (PARTITION BY {columns.rpartition(", ")[0]} ORDER BY c.cap::DOUBLE / c.w, c.{level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws
+  FROM {level}_c c JOIN {before} p ON {join}
+),
+{level}_s AS (
+  SELECT *, cap * ws > rest * w AS free, max(CASE WHEN cap * ws > rest * w THEN rest END) OVER (PARTITION BY {parent}) AS r, max(CASE WHEN cap * ws > rest * w THEN ws END) OVER (PARTITION BY {parent}) AS s FROM {level}_o
+),
+{level}_b AS (SELECT *, CASE WHEN free THEN (r * w) // s ELSE cap END AS b0 FROM {level}_s),
+{level}_f AS (
+  SELECT {parent}, {level}, (b0 + CASE WHEN free AND row_number() OVER (PARTITION BY {parent}, free ORDER BY {level}) <= r - sum(CASE WHEN free THEN b0 ELSE 0 END) OVER (PARTITION BY {parent}) THEN 1 ELSE 0 END) AS budget FROM {level}_b
+)""")
+        before = f"{level}_f"
+    return f"""
+WITH docs AS (
+  SELECT doc_id, 'domain' || (coalesce(try_cast(regexp_extract(source, '([0-9]+)', 1) AS BIGINT), 0) % 4) AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r]+')) AS tokens FROM documents
+),
+leaves AS (SELECT domain, lang, source, sum(tokens) AS tokens FROM docs GROUP BY ALL),
+{", ".join(steps)},
+cut AS (
+  SELECT l.*, CASE WHEN l.tokens > 0 THEN f.budget // l.tokens ELSE 0 END AS whole, CASE WHEN l.tokens > 0 THEN f.budget % l.tokens ELSE 0 END AS part
+  FROM leaves l JOIN source_f f USING (domain, lang, source)
+),
+placed AS (SELECT d.*, whole, part, md5('42:' || whole || ':' || doc_id) AS k FROM docs d JOIN cut USING (domain, lang, source)),
+summed AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY k) AS upto FROM placed),
+taken AS (SELECT *, (whole + CASE WHEN part > 0 AND upto <= part THEN 1 ELSE 0 END)::BIGINT AS copies FROM summed)
+SELECT doc_id, domain, lang, source, tokens::BIGINT AS n_tokens, copies FROM taken WHERE copies > 0
+""".replace("\\\\", "\\")
+
+
+@query("op4_source_mixing", sql=mix_sql())
+def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED)
+    return mixed.select("doc_id", *[F.col(f"_{x}").alias(x) for x in LEVELS], tokens_of(F.col("text")).alias("n_tokens"), F.col("_copies").alias("copies"))
