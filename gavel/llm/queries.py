@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gavel.llm import quality
 from gavel.llm.decontamination import leaks
 from gavel.llm.fingerprints import as_text, containment, distinct_shingles, edited_pairs, resemblance
 from gavel.llm.html_text import extract_text
@@ -167,3 +168,8 @@ SELECT doc_id, domain, lang, source, tokens::BIGINT AS n_tokens, copies FROM tak
 def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED)
     return mixed.select("doc_id", *[F.col(f"_{x}").alias(x) for x in LEVELS], tokens_of(F.col("text")).alias("n_tokens"), F.col("_copies").alias("copies"))
+
+
+@query("op1_quality")
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
