@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavel.llm import quality
+from gavel.llm import quality, toxicity
 from gavel.llm.decontamination import leaks
 from gavel.llm.fingerprints import as_text, containment, distinct_shingles, edited_pairs, resemblance
 from gavel.llm.html_text import extract_text
@@ -173,3 +173,8 @@ def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_quality")
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op2_toxicity")
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
