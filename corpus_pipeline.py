@@ -1,7 +1,58 @@
-"""The corpus pipeline: documents to sharded training documents, one stage after the other."""
-STAGES = []
+"""The corpus pipeline: documents to sharded training documents, stage by stage."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from gavel.llm.decontamination import drop_leaks
+from gavel.llm.mixing import mixed_documents
+from gavel.llm.quality import keep_good
+from gavel.llm.queries import MIX_EPOCHS, MIX_SEED, MIX_SHARE, MIX_WEIGHTS, table
+from gavel.llm.sharding import place
+from gavel.llm.simhash_dedup import drop_near_copies
+from gavel.session import cut_lineage
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that with the smallest id."""
+    return drop_near_copies(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of the benchmark go."""
+    return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix reads them: in no, one or two epochs."""
+    return mixed_documents(docs, MIX_WEIGHTS, MIX_SHARE, epochs=MIX_EPOCHS, seed=MIX_SEED)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with their slot and shard."""
+    return place(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding),
+]
+# The quality network and 64-bit fingerprints have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = cut_lineage(docs)
+    return docs

@@ -122,6 +122,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows without a leak, with all columns as they were; rows without text stay."""
-    found = contaminated(docs, benchmark, text_col, **options).select(F.col("digest").alias("_digest")).distinct()
-    marked = docs.withColumn("_digest", F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    return marked.join(found, "_digest", "left_anti").select(*docs.columns)
+    found = contaminated(docs, benchmark, text_col, **options).select(F.col("digest").alias("_llm_digest")).distinct()
+    marked = docs.withColumn("_llm_digest", F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    return marked.join(found, "_llm_digest", "left_anti").select(*docs.columns)

@@ -116,7 +116,7 @@ def mix(
     docs: DataFrame, weights: dict[str, dict[str, int]], share: float, epochs: int = EPOCHS, seed: int = 42,
     levels: dict[str, Column] | None = None, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """The rows that are read, with the names of their leaf (`_domain`, `_lang`, `_source`) and `_copies`, the epochs that read them.
+    """The rows that are read, with the names of their leaf (`_llm_domain`, `_llm_lang`, `_llm_source`) and `_llm_copies`, the epochs that read them.
 
     weights: by level, by name, positive integers; names not listed have weight 1. share: the budget as a part of all
     tokens. Null names make a leaf of their own (""), null ids are ordered by the text's MD5. Rows that stand equal in
@@ -128,14 +128,14 @@ def mix(
     identity = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     rows = cut_lineage(docs.select(*[v.alias(k) for k, v in names.items()], identity.alias("id"), tokens_of(F.col(text_col)).alias("tokens")))
     found = plan(rows, weights, share, epochs, seed, tuple(levels))
-    found = _hinted(found.select(*[F.col(k).alias(f"_{k}") for k in levels], F.col("whole").alias("_whole"), F.col("last").alias("_last")))
-    marked = docs.withColumns({f"_{k}": v for k, v in names.items()} | {"_id": identity}).join(found, [f"_{k}" for k in levels])
-    more = F.when(order_key(F.col("_id"), F.col("_whole"), seed) <= F.col("_last"), 1).otherwise(0)
-    marked = marked.withColumn("_copies", (F.col("_whole") + more).cast("long")).where("_copies > 0")
-    return marked.drop("_id", "_whole", "_last")
+    found = _hinted(found.select(*[F.col(k).alias(f"_llm_{k}") for k in levels], F.col("whole").alias("_llm_whole"), F.col("last").alias("_llm_last")))
+    marked = docs.withColumns({f"_llm_{k}": v for k, v in names.items()} | {"_llm_id": identity}).join(found, [f"_llm_{k}" for k in levels])
+    more = F.when(order_key(F.col("_llm_id"), F.col("_llm_whole"), seed) <= F.col("_llm_last"), 1).otherwise(0)
+    marked = marked.withColumn("_llm_copies", (F.col("_llm_whole") + more).cast("long")).where("_llm_copies > 0")
+    return marked.drop("_llm_id", "_llm_whole", "_llm_last")
 
 
 def mixed_documents(docs: DataFrame, weights: dict[str, dict[str, int]], share: float, **options) -> DataFrame:
     """The rows that are read, once for each epoch, with the columns of docs."""
-    copies = mix(docs, weights, share, **options).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    copies = mix(docs, weights, share, **options).withColumn("_llm_copy", F.explode(F.sequence(F.lit(1), F.col("_llm_copies").cast("int"))))
     return copies.select(*docs.columns)

@@ -201,10 +201,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     return Model(vectors, fit_network(x, y, np.array([stands_for[int(v)] for v in y])))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """All rows and columns with `score` (probability of class 1) and `predicted` (1 from the threshold on).
+def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """All rows and columns with the probability of class 1; a column of that name is replaced.
 
-    Null and empty texts have the score of a text without words; columns of these names are replaced.
+    Null and empty texts have the score of a text without words.
     """
     shared = docs.sparkSession.sparkContext.broadcast((vars(model.vectors), vars(model.network)))  # plain arrays
 
@@ -213,12 +213,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         vectors, network = Vectors(**shared.value[0]), Network(**shared.value[1])
         return pd.Series(network.scores(pooled(pa.array(texts, pa.string()), vectors)).astype(float))
 
-    rows = docs.drop("score", "predicted").withColumn("score", scored(F.col(text_col)))
-    return rows.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+    return docs.withColumn(score_col, scored(F.col(text_col)))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that score at least the threshold, by a model of their own corpus, with all columns as they were."""
+    model = fit(docs, labels, id_col=id_col, text_col=text_col)
+    return score(docs, model, text_col, "_llm_score").where(F.col("_llm_score") >= threshold).select(*docs.columns)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, score, predicted) of all rows by a model of their own corpus; repeated rows stay."""
     rows = docs.select(F.col(id_col), F.col(text_col))
-    found = score(rows, fit(docs, labels, id_col=id_col, text_col=text_col), id_col, text_col)
-    return found.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", "predicted")
+    found = score(rows, fit(docs, labels, id_col=id_col, text_col=text_col), text_col)
+    return found.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))

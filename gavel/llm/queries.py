@@ -167,7 +167,7 @@ SELECT doc_id, domain, lang, source, tokens::BIGINT AS n_tokens, copies FROM tak
 @query("op4_source_mixing", sql=mix_sql())
 def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED)
-    return mixed.select("doc_id", *[F.col(f"_{x}").alias(x) for x in LEVELS], tokens_of(F.col("text")).alias("n_tokens"), F.col("_copies").alias("copies"))
+    return mixed.select("doc_id", *[F.col(f"_llm_{x}").alias(x) for x in LEVELS], tokens_of(F.col("text")).alias("n_tokens"), F.col("_llm_copies").alias("copies"))
 
 
 @query("op1_quality")

@@ -202,6 +202,6 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     digest, key = F.md5(F.coalesce(F.col(text_col), F.lit(""))), F.coalesce(F.col(id_col).cast("string"), F.lit("~"))
     rows = cut_lineage(docs.select(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), digest.alias("digest"), fingerprint_of(F.col(text_col)).alias("fp")))
     first = groups(rows, ["none", "id", "digest"], radius).select("first").distinct()
-    stay = first.select(F.coalesce(F.col("first.id").cast("string"), F.lit("~")).alias("_key"), F.col("first.digest").alias("_digest"))
-    marked = docs.withColumns({"_key": key, "_digest": digest})
-    return marked.join(stay, ["_key", "_digest"], "left_semi").dropDuplicates(["_key", "_digest"]).select(*docs.columns)
+    stay = first.select(F.coalesce(F.col("first.id").cast("string"), F.lit("~")).alias("_llm_key"), F.col("first.digest").alias("_llm_digest"))
+    marked = docs.withColumns({"_llm_key": key, "_llm_digest": digest})
+    return marked.join(stay, ["_llm_key", "_llm_digest"], "left_semi").dropDuplicates(["_llm_key", "_llm_digest"]).select(*docs.columns)

@@ -39,7 +39,8 @@ AFFIXES = (("start", 4), ("start", 5), ("start", 6), ("end", 4), ("end", 5))  #
 CANDIDATES = 40_000  # features of toxic rows that are looked at, the most frequent first
 FEATURES = 2_048  # features that the classifier keeps
 LEAST_ROWS = 3  # sample rows that a feature must occur in
-FAIRNESS, DECAY = 1.0, 2e-3
+LEAST_GAIN = 5.0  # log likelihood ratio that a kept feature must reach, beyond what chance gives among the candidates
+FAIRNESS, DECAY = 1.0, 1e-5
 THRESHOLD = 0.5
 SLICE_BYTES = 1 << 20
 _TERM = {t: kind for kind in IDENTITY_TERMS for t in kind}
@@ -121,7 +122,7 @@ def fit_weights(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, pairs
     for step in range(1, steps + 1):
         z = np.bincount(owner, w[feature], len(rows)) + w[size]
         error = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / total
-        grad = np.append(np.bincount(feature, error[owner], size) + DECAY * w[:size] / size, error.sum())
+        grad = np.append(np.bincount(feature, error[owner], size) + 2 * DECAY * w[:size], error.sum())
         if pairs:
             moved = np.bincount(change_owner, sign * w[change_feature], len(pairs))
             grad[:size] += 2 * FAIRNESS / len(pairs) * np.bincount(change_feature, sign * moved[change_owner], size)
@@ -170,8 +171,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     n = {y: max(1, c) for y, c in sample.groupBy("label").count().collect()}
     table = counts.pivot(index="feature", columns="label", values="n").reindex(columns=[0, 1]).fillna(0.0)
     a, b = (table[1] + 0.5) / (n[1] + 1), (table[0] + 0.5) / (n[0] + 1)
-    table["gain"] = table[1] * np.log(a / b) + (n[1] - table[1]) * np.log((1 - a).clip(1e-9) / (1 - b).clip(1e-9))
-    kept = table[a > b].reset_index().sort_values(["gain", "feature"], ascending=[False, True]).head(FEATURES)
+    table["gain"] = table[1] * np.log(a / b) + (n[1] - table[1]).clip(0) * np.log((1 - a).clip(1e-9) / (1 - b).clip(1e-9))
+    kept = table[(a > b) & (table["gain"] >= LEAST_GAIN)].reset_index().sort_values(["gain", "feature"], ascending=[False, True]).head(FEATURES)
     known = np.sort(kept["feature"].to_numpy(np.int64).view(np.uint64))
 
     def present(batches):
@@ -208,10 +209,10 @@ def scores(column, known: np.ndarray, weights: np.ndarray, bias: float) -> np.nd
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """All rows and columns with `score` (probability of class 1) and `predicted` (1 from the threshold on).
+def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """All rows and columns with the probability of class 1; a column of that name is replaced.
 
-    Null and empty texts have the score of a text without features; columns of these names are replaced.
+    Null and empty texts have the score of a text without features.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # plain arrays
 
@@ -219,12 +220,11 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
     def scored(texts: pd.Series) -> pd.Series:
         return pd.Series(scores(pa.array(texts, pa.string()), **shared.value))
 
-    rows = docs.drop("score", "predicted").withColumn("score", scored(F.col(text_col)))
-    return rows.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+    return docs.withColumn(score_col, scored(F.col(text_col)))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, score, predicted) of all rows by a model of their own corpus; repeated rows stay."""
     rows = docs.select(F.col(id_col), F.col(text_col))
     found = score(rows, fit(docs, labels, id_col=id_col, text_col=text_col), text_col)
-    return found.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", "predicted")
+    return found.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
