@@ -28,5 +28,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     order = F.md5(F.col("_id").cast("string"))
     some = [known.where(F.col("label") == y).orderBy(order).limit(per_class) for y in (0, 1)]
     taken = F.broadcast(some[0].unionByName(some[1]))  # 2 * per_class ids at most
-    sample = docs.join(taken, docs[id_col] == taken["_id"]).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), "label")
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sample = texts.join(taken, "_id").select("text", "label")
     return cut_lineage(sample), {y: n / min(n, per_class) for y, n in total.items()}

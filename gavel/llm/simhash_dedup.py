@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from gavel.llm.components import components
 from gavel.session import cut_lineage
@@ -65,7 +66,7 @@ def fingerprint(raw: bytes, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def fingerprint_of(texts: pd.Series) -> pd.Series:
     found = [fingerprint(t.encode()) if t else 0 for t in texts]
     return pd.Series(np.array(found, np.uint64).view(np.int64))

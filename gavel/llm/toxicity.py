@@ -163,12 +163,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     are kept. The driver gets candidate counts and the sample's kept features, both bounded by the parameters above.
     """
     sample, stands_for = labelled_sample(docs, labels, label, per_class, id_col, text_col)
-    if len(stands_for) < 2:
-        only = [np.zeros(0, np.int64)] * len(stands_for)
-        return Model(np.zeros(0, np.uint64), *fit_weights(only, np.array(list(stands_for), float), np.ones(len(only)), [], 0))
+    n = dict(sample.groupBy("label").count().collect())
+    if len(n) < 2:
+        return Model(np.zeros(0, np.uint64), *fit_weights([np.zeros(0, np.int64)] * len(n), np.array(list(n), float), np.ones(len(n)), [], 0))
     toxic = _counts(sample.where("label = 1"), None, LEAST_ROWS)
     counts = _counts(sample, np.sort(toxic["feature"].to_numpy(np.int64).view(np.uint64)))
-    n = {y: max(1, c) for y, c in sample.groupBy("label").count().collect()}
     table = counts.pivot(index="feature", columns="label", values="n").reindex(columns=[0, 1]).fillna(0.0)
     a, b = (table[1] + 0.5) / (n[1] + 1), (table[0] + 0.5) / (n[0] + 1)
     table["gain"] = table[1] * np.log(a / b) + (n[1] - table[1]).clip(0) * np.log((1 - a).clip(1e-9) / (1 - b).clip(1e-9))
