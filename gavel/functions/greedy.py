@@ -1,40 +1,69 @@
-"""Order-dependent greedy choices as a few rounds of joins.
+"""Order-dependent greedy choices over a sparse edge table, block by block.
 
-The sequential rules ("take the first item, drop what resembles it, go on" and "match each prediction with
-the first free gold item") pick the lexicographically first independent set, respectively matching, of a
-sparse graph. Items that are first among their undecided neighbours can be decided at once, so the number of
-rounds follows the longest chain of dependent items rather than the number of items. Only the edge table is
-iterated over; each round is cut by a checkpoint.
+The sequential rules ("take the first item, drop what resembles it, go on" and "match each prediction with the first
+free gold item") pick the lexicographically first independent set, respectively matching, of a sparse graph. The
+items that have edges are numbered inside their group and cut into blocks of BLOCK. A round settles one block of every
+group at once: what earlier blocks decided is joined in, and the order inside the block is walked in one task per
+group over the block's own edges. Rounds count blocks, not the length of a chain of dependent items; each is cut by a
+checkpoint.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gavel.session import cut_lineage
 
+BLOCK = 2048
 
-def first_independent(edges: DataFrame, group: list[str]) -> DataFrame:
+
+def _numbered(edges: DataFrame, group: list[str], ends: list[str], block: int) -> DataFrame:
+    """Adds the block of each end, `<end>_b`; both ends are numbered together."""
+    nodes = None
+    for end in ends:
+        own = edges.select(*group, F.col(end).alias("_node"))
+        nodes = own if nodes is None else nodes.unionByName(own)
+    number = F.row_number().over(Window.partitionBy(*group).orderBy("_node"))
+    blocks = cut_lineage(nodes.distinct().select(*group, "_node", F.floor((number - 1) / block).cast("int").alias("_b")))
+    for end in ends:
+        edges = edges.join(blocks.withColumnsRenamed({"_node": end, "_b": f"{end}_b"}), [*group, end])
+    return cut_lineage(edges)
+
+
+def _blocks(edges: DataFrame, end: str) -> range:
+    last = edges.agg(F.max(f"{end}_b")).first()[0]
+    return range(0 if last is None else last + 1)
+
+
+def _fields(edges: DataFrame, columns: list[str]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in edges.schema if f.name in columns)
+
+
+def first_independent(edges: DataFrame, group: list[str], block: int = BLOCK) -> DataFrame:
     """Covered nodes of the greedy pass over `edges(group…, lo, hi)`, lo < hi: `(group…, node, seed)`.
 
     A node is a seed unless an earlier seed resembles it; a covered node belongs to its first seed. Nodes
     missing from the result are seeds.
     """
-    all_edges = cut_lineage(edges.select(*group, "lo", "hi").distinct())
-    open_edges, covered = all_edges, all_edges.limit(0).select(*group, F.col("hi").alias("lo"))
-    while not open_edges.isEmpty():
-        # A node with an undecided earlier neighbour must wait; the other left ends are seeds now and cover
-        # their later neighbours. Both leave the graph; what is never covered is a seed.
-        waiting = open_edges.select(*group, F.col("hi").alias("lo")).distinct()
-        ready = open_edges.select(*group, "lo").distinct().join(waiting, [*group, "lo"], "left_anti")
-        hit = (
-            open_edges.join(ready, [*group, "lo"], "left_semi").select(*group, F.col("hi").alias("lo")).distinct()
-        )
-        rest = open_edges.join(ready.unionByName(hit), [*group, "lo"], "left_anti").join(
-            hit.withColumnRenamed("lo", "hi"), [*group, "hi"], "left_anti"
-        )
-        covered, open_edges = cut_lineage(covered.unionByName(hit)), cut_lineage(rest.select(*group, "lo", "hi"))
+    all_edges = _numbered(edges.select(*group, "lo", "hi").distinct(), group, ["lo", "hi"], block)
+
+    def walk(part: pd.DataFrame) -> pd.DataFrame:
+        """Covered nodes of a block by its own seeds."""
+        gone: set = set()
+        for lo, hi in part.sort_values(["lo", "hi"])[["lo", "hi"]].itertuples(index=False):
+            if lo not in gone:
+                gone.add(hi)
+        out = part.iloc[:1][group].loc[lambda d: d.index.repeat(len(gone))].reset_index(drop=True)
+        return out.assign(lo=pd.Series(sorted(gone), dtype=part["lo"].dtype))
+
+    covered = all_edges.limit(0).select(*group, F.col("hi").alias("lo"))
+    for b in _blocks(all_edges, "lo"):
+        own = all_edges.where(F.col("lo_b") == b).join(covered, [*group, "lo"], "left_anti")
+        inside = own.where(F.col("hi_b") == b).select(*group, "lo", "hi").groupBy(*group).applyInPandas(walk, _fields(all_edges, [*group, "lo"]))
+        hit = own.join(inside, [*group, "lo"], "left_anti").select(*group, F.col("hi").alias("lo"))
+        covered = cut_lineage(covered.unionByName(hit).distinct())
     return (
         all_edges.join(covered, [*group, "lo"], "left_anti")
         .groupBy(*group, F.col("hi").alias("node"))
@@ -42,18 +71,25 @@ def first_independent(edges: DataFrame, group: list[str]) -> DataFrame:
     )
 
 
-def first_matching(edges: DataFrame, group: list[str]) -> DataFrame:
+def first_matching(edges: DataFrame, group: list[str], block: int = BLOCK) -> DataFrame:
     """Greedy one-to-one pairs of `edges(group…, left, right)`: every left item, in order, takes its first
     free right item. Returns the chosen `(group…, left, right)`."""
-    open_edges = cut_lineage(edges.select(*group, "left", "right").distinct())
-    chosen = open_edges.limit(0)
-    while not open_edges.isEmpty():
-        best_right = open_edges.groupBy(*group, "left").agg(F.min("right").alias("right"))
-        best_left = open_edges.groupBy(*group, "right").agg(F.min("left").alias("left"))
-        now = cut_lineage(best_right.join(best_left, [*group, "left", "right"]))
-        chosen = chosen.unionByName(now)
-        rest = open_edges.join(now.select(*group, "left"), [*group, "left"], "left_anti").join(
-            now.select(*group, "right"), [*group, "right"], "left_anti"
-        )
-        open_edges = cut_lineage(rest.select(*group, "left", "right"))
+    all_edges = _numbered(edges.select(*group, "left", "right").distinct(), group, ["left"], block)
+    columns = [*group, "left", "right"]
+
+    def walk(part: pd.DataFrame) -> pd.DataFrame:
+        lefts, rights, keep = set(), set(), []
+        part = part.sort_values(["left", "right"], ignore_index=True)
+        for i, (left, right) in enumerate(part[["left", "right"]].itertuples(index=False)):
+            if left not in lefts and right not in rights:
+                lefts.add(left)
+                rights.add(right)
+                keep.append(i)
+        return part.loc[keep, columns]
+
+    chosen = all_edges.limit(0).select(*columns)
+    for b in _blocks(all_edges, "left"):
+        open_edges = all_edges.where(F.col("left_b") == b).join(chosen.select(*group, "right"), [*group, "right"], "left_anti")
+        now = open_edges.select(*columns).groupBy(*group).applyInPandas(walk, _fields(all_edges, columns))
+        chosen = cut_lineage(chosen.unionByName(now.select(*columns)))
     return chosen

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gavel import lexicon as lx
@@ -292,6 +292,17 @@ def board_sort(tasks: DataFrame, ascending: bool = True, due: str = "due_date")
     return tasks.orderBy(key, "id")
 
 
+def board_positions(tasks: DataFrame, ascending: bool = True, due: str = "due_date") -> DataFrame:
+    """K23 for tables of any size: `position` of each task in that order, equal deadlines sharing the first one.
+
+    Counts per deadline are ordered, one row per day, so no task sorts the whole board."""
+    key = F.col(due).asc_nulls_last() if ascending else F.col(due).desc_nulls_first()
+    days = tasks.groupBy(due).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1))
+    placed = days.select(F.col(due).alias("_due"), (F.coalesce(before, F.lit(0)) + 1).alias("position"))
+    return tasks.join(placed, F.col(due).eqNullSafe(F.col("_due"))).drop("_due")
+
+
 def board_buckets(tasks: DataFrame, by: list[str]) -> DataFrame:
     """Counts of the three lists."""
     return (

@@ -14,9 +14,13 @@ from gavel.functions.similarity import cosine, normalized
 from gavel.functions.signals import deadline
 from gavel.session import cut_lineage
 
-# Two sentences this far apart cannot reach the merge similarity, whatever their cosine is: solve
-# 1 / (1 + decay * gap) >= 1 - distance for the gap.
-REACH = int((1.0 / (1.0 - lx.CLUSTER_DISTANCE) - 1.0) / lx.POSITION_DECAY)
+
+
+def reach_of(least: float) -> int:
+    """Sentences farther apart than this cannot reach the similarity, whatever their cosine is: solve
+    1 / (1 + decay * gap) >= least for the gap."""
+    return int((1.0 / least - 1.0) / lx.POSITION_DECAY + 1e-9)
+
 
 # --- fixed values: conversational openings of cluster sentences, longest first --------------------------
 CLUSTER_OPENINGS = [
@@ -49,13 +53,16 @@ def adjusted_similarity(cos: Column, gap: Column, same_action: Column, other_obj
     return F.when(cos < lx.MIN_COSINE, 0.0).otherwise(cos * weight * factor)
 
 
-def decision_pairs(decisions: DataFrame, reach: int = REACH) -> DataFrame:
-    """O1 for the pairs of a meeting at most `reach` sentences apart (farther ones cannot start a merge).
+def decision_pairs(decisions: DataFrame, least: float = 1.0 - lx.CLUSTER_DISTANCE) -> DataFrame:
+    """O1: all pairs of a meeting whose adjusted similarity is at least `least` (positive).
+
+    The similarity bounds the distance of such pairs, so no farther pair is looked at.
 
     `decisions` is `(meeting_id, sentence_id, vector, action, object)`. Rows meet by an equi-join on
     (meeting, bucket of sentence ids): a row offers itself to its own bucket and the next one, so a meeting of
     any length costs a constant number of comparisons per row.
     """
+    reach = reach_of(least)
     width = reach + 1
     bucket = F.floor(F.col("sentence_id") / F.lit(width))
     a = decisions.select(
@@ -73,7 +80,7 @@ def decision_pairs(decisions: DataFrame, reach: int = REACH) -> DataFrame:
         adjusted_similarity(
             F.col("cosine"), gap, F.col("a_action") == F.col("b_action"), ~F.col("a_object").eqNullSafe(F.col("b_object"))
         ).alias("similarity"),
-    ).withColumn("distance", 1.0 - F.col("similarity"))
+    ).where(F.col("similarity") >= least).withColumn("distance", 1.0 - F.col("similarity"))
 
 
 def _average_linkage(distance: np.ndarray, limit: float) -> np.ndarray:
@@ -97,7 +104,7 @@ def _average_linkage(distance: np.ndarray, limit: float) -> np.ndarray:
 
 
 def islands(
-    decisions: DataFrame, limit: float = lx.CLUSTER_DISTANCE, reach: int = REACH, rows: int | None = None
+    decisions: DataFrame, limit: float = lx.CLUSTER_DISTANCE, rows: int | None = None
 ) -> DataFrame:
     """Cut every meeting into stretches no cluster can span: `(meeting_id, sentence_id, island)`.
 
@@ -105,7 +112,8 @@ def islands(
     at most `reach` sentences apart. A place that no similar pair bridges is a cut, and the stretches of a
     meeting can be clustered independently.
     """
-    links = decision_pairs(decisions, reach).where(F.col("distance") < limit)
+    reach = reach_of(1.0 - limit)
+    links = decision_pairs(decisions, 1.0 - limit).where(F.col("distance") < limit)
     far = links.groupBy("meeting_id", F.col("a").alias("sentence_id")).agg(F.max("b").alias("_far"))
     linked = decisions.select("meeting_id", "sentence_id").join(far, ["meeting_id", "sentence_id"], "left")
     # Links are short, so whether one passes over a sentence shows in the `reach` ids before it. Rows offer

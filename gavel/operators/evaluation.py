@@ -68,7 +68,9 @@ def similar_matches(
     # Both sides are read several times (blocks, sizes); store them instead of recomputing what made them.
     pred = cut_lineage(pred.select(*by, "idx", F.col(pred_value).alias("v")))
     gold = cut_lineage(gold.select(*by, "idx", F.col(gold_value).alias("v")))
-    candidates = similar_across(pred, gold, by, "v", threshold, texts=not vectors).select(*by, F.col("lo").alias("left"), F.col("hi").alias("right"))
+    usable = (lambda df: df) if vectors else (lambda df: df.withColumn("v", F.nullif(strip(F.col("v")), F.lit(""))))
+    # Missing and blank values match nothing; they stay in the counts.
+    candidates = similar_across(*[usable(df).where("v IS NOT NULL") for df in (pred, gold)], by, "v", threshold, texts=not vectors).select(*by, F.col("lo").alias("left"), F.col("hi").alias("right"))
     tp = first_matching(candidates, by).groupBy(*by).agg(F.count(F.lit(1)).alias("tp"))
     n_pred = pred.groupBy(*by).agg(F.count(F.lit(1)).alias("n_pred"))
     n_gold = gold.groupBy(*by).agg(F.count(F.lit(1)).alias("n_gold"))
@@ -162,11 +164,13 @@ def confidence_distribution(predictions: DataFrame, by: list[str]) -> DataFrame:
 
 
 def evaluate_tasks(
-    pred: DataFrame, gold: DataFrame, match_type: str = "exact", threshold: float | None = None
+    pred: DataFrame, gold: DataFrame, match_type: str = "exact", threshold: float | None = None,
+    meetings: DataFrame | None = None,
 ) -> DataFrame:
     """Metrics, quality and counts per predicted meeting that has gold; the others are skipped.
 
-    `semantic` compares `vector` columns, `partial` text ratios, `exact` keys.
+    `meetings` lists the predicted meetings (meeting_id), among them those whose prediction is empty, which count
+    as zeros; by default those with a prediction. `semantic` compares `vector` columns, `partial` text ratios, `exact` keys.
     """
     by = ["meeting_id"]
     if match_type == "partial":
@@ -175,8 +179,10 @@ def evaluate_tasks(
         counts = similar_matches(pred, gold, by, "vector", "vector", threshold or lx.SEMANTIC_TASK_COSINE, True)
     else:
         counts = exact_matches(pred, gold, by, "task", "task")
-    measured = match_metrics(counts).where((F.col("n_gold") > 0) & (F.col("n_pred") > 0))
-    return measured.join(extraction_quality(pred, by), by).withColumn("match_type", F.lit(match_type))
+    measured = match_metrics(counts).where(F.col("n_gold") > 0).join((pred if meetings is None else meetings).select(*by).distinct(), by)
+    quality = extraction_quality(pred, by)
+    zeros = {c: 0 for c in quality.columns if c not in by}
+    return measured.join(quality, by, "left").fillna(zeros).withColumn("match_type", F.lit(match_type))
 
 
 def set_evaluation(pred: DataFrame, gold: DataFrame) -> DataFrame:

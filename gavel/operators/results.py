@@ -94,9 +94,9 @@ def resolve_assignees(items: DataFrame, users: DataFrame, name: str = "assignee"
         "id",
         F.explode(F.transform(F.sequence(F.lit(1), F.length("email")), lambda n: F.substr(email, F.lit(1), n))).alias("_k"),
     )
-    by_email = (
-        first.where(F.col("_by_name").isNull()).select("_k").join(offered, "_k").groupBy("_k").agg(F.min("id").alias("_by_email"))
-    )
+    # One row per prefix before the join: partial sums make a common prefix one row, not all its users.
+    best = offered.groupBy("_k").agg(F.min("id").alias("_by_email"))
+    by_email = first.where(F.col("_by_name").isNull()).select("_k").join(best, "_k")
     resolved = first.join(by_email, "_k", "left").select("_k", F.coalesce("_by_name", "_by_email").alias("assignee_id"))
     return items.withColumn("_k", key).join(resolved, "_k", "left").drop("_k")
 

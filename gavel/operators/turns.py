@@ -108,6 +108,13 @@ def known_speakers(turns: DataFrame) -> DataFrame:
     )
 
 
+def with_known_speakers(sentences: DataFrame, turns: DataFrame) -> DataFrame:
+    """Sentences of a turn table with their meeting's speakers, as the raw-text path has them; an empty list where
+    nobody is named. One small row per meeting is joined; `prepare` uses the list up before anything else moves."""
+    known = F.coalesce("known_speakers", F.array().cast("array<string>"))
+    return sentences.join(known_speakers(turns), "meeting_id", "left").withColumn("known_speakers", known)
+
+
 def meeting_type_of(lower_text: Column) -> Column:
     """D10 on a meeting's joined lower-case text: counts of distinct signals, compared."""
     def hits(signals):

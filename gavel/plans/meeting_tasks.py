@@ -32,7 +32,7 @@ def prepare(
     """Annotated, typed sentences with dialogue context resolved.
 
     Expects `(meeting_id, ord, sentence_id, speaker, text)`; an optional `known_speakers` array is used up
-    here, before anything is shuffled. `rows` as given by `ordered.segment_rows`.
+    here, before anything is shuffled. `rows` as in `ordered`.
     """
     known = F.col("known_speakers") if "known_speakers" in sentences.columns else None
     addressed = sentences.withColumn("addressee", context.addressee(F.col("text"), known))
@@ -80,9 +80,16 @@ def extract_tasks(transcripts: DataFrame, allow_mmss: bool = False, **options) -
     return stages
 
 
-def tasks_from_turns(turn_table: DataFrame, **options) -> Stages:
-    """A turn table of any shape to tasks: checks the largest meeting first and splits long ones."""
-    rows = ordered.segment_rows(turn_table, ["meeting_id"])
+def tasks_from_turns(
+    turn_table: DataFrame, rows: int | None = ordered.SEGMENT_ROWS, known_speakers: bool = True, **options
+) -> Stages:
+    """A turn table of any shape to tasks, as `extract_tasks` makes them from raw text.
+
+    Windows run over segments of `rows` turns, whatever the size of a meeting; None means whole meetings. With
+    `known_speakers=False` names in the text are not taken for speakers.
+    """
     sentences = turns.sentences_from_turns(turn_table, rows)
+    if known_speakers:
+        sentences = turns.with_known_speakers(sentences, turn_table)
     types = context.meeting_types(sentences, rows).select("meeting_id", "meeting_type")
     return tasks_from_sentences(sentences.join(types, "meeting_id"), rows=rows, **options)

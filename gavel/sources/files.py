@@ -43,12 +43,12 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
 def checked_uploads(files: DataFrame) -> DataFrame:
     """A3 on `(path, length, content)`: `error` for wrong type or size; otherwise the text, with invalid
     UTF-8 bytes replaced."""
-    error = F.when(~F.lower("path").endswith(lx.UPLOAD_SUFFIX), "Only .txt files are supported.").when(
+    error = F.when(~F.col("path").endswith(lx.UPLOAD_SUFFIX), "Only .txt files are supported.").when(
         F.col("length") > lx.MAX_UPLOAD_BYTES, "File too large."
     )
     name = F.element_at(F.split("path", "/"), -1)
     return files.select(
-        F.regexp_replace(name, r"(?i)\.txt$", "").alias("meeting_id"), "path", "length", error.alias("error"),
+        F.regexp_replace(name, r"\.txt$", "").alias("meeting_id"), "path", "length", error.alias("error"),
         F.when(error.isNull(), F.make_valid_utf8(F.col("content").cast("string"))).alias("raw_text"),
     )
 

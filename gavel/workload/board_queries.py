@@ -459,12 +459,16 @@ def board_filter(spark, sf):
 
 @query(
     "board_sort_k23",
-    ck.with_ctes(TASKS, select="SELECT * FROM (SELECT 'asc' AS direction, id, due_date FROM tasks ORDER BY due_date ASC NULLS LAST, id LIMIT 25) UNION ALL SELECT * FROM (SELECT 'desc', id, due_date FROM tasks ORDER BY due_date DESC NULLS FIRST, id LIMIT 25)"),
+    ck.with_ctes(
+        TASKS,
+        select="SELECT 'asc' AS direction, id, due_date, rank() OVER (ORDER BY due_date ASC NULLS LAST) AS position FROM tasks "
+        "UNION ALL SELECT 'desc', id, due_date, rank() OVER (ORDER BY due_date DESC NULLS FIRST) FROM tasks",
+    ),
 )
 def board_sort(spark, sf):
     t = tasks(spark, sf).select("id", "due_date")
-    first = lambda up, name: board.board_sort(t, up).limit(25).select(F.lit(name).alias("direction"), "id", "due_date")
-    return first(True, "asc").unionByName(first(False, "desc"))
+    placed = lambda up, name: board.board_positions(t, up).select(F.lit(name).alias("direction"), "id", "due_date", "position")
+    return placed(True, "asc").unionByName(placed(False, "desc"))
 
 
 @query(

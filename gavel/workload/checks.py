@@ -368,7 +368,7 @@ TASKS = (
 STANDUP_SENTENCES = [STANDUPS, *RAW_TURNS, *SENTENCE_CHAIN]
 CALL_SENTENCES = [CALLS, *SENTENCE_CHAIN]
 STANDUP_RESOLVED = [*STANDUP_SENTENCES, ANNOTATED, SPEAKERS, CONTEXT, RESOLVED]
-CALL_RESOLVED = [*CALL_SENTENCES, ANNOTATED, NO_SPEAKERS, CONTEXT, RESOLVED]
+CALL_RESOLVED = [*CALL_SENTENCES, ANNOTATED, SPEAKERS, CONTEXT, RESOLVED]
 STANDUP_TASKS = [*STANDUP_RESOLVED, MEETING_TYPES, RULE, EXTRACTED, TITLED, TASKS]
 CALL_RULE = [*CALL_RESOLVED, MEETING_TYPES, RULE]
 CALL_HYBRID = [*CALL_RESOLVED, MEETING_TYPES, FEATURES, CALL_SCORES, HYBRID]

@@ -15,7 +15,7 @@ from gavel.plans.meeting_tasks import extract_tasks, prepare, tasks_from_turns
 from gavel.workload import checks as ck
 from gavel.workload.bank import NAMES, PHRASES, _pick, call_scores, calls, standups
 from gavel.workload.registry import query, table
-from gavel.workload.text_queries import call_rows, call_sentences, joined, standup_sentences
+from gavel.workload.text_queries import call_known, call_rows, call_sentences, joined, standup_sentences
 
 def typed_calls(sentences, rows):
     """Resolved sentences with their meeting's type."""
@@ -61,7 +61,7 @@ def hard_filter(spark, sf):
     ),
 )
 def sentence_features(spark, sf):
-    s = call_sentences(spark, sf)
+    s = call_known(spark, sf)
     typed = typed_calls(s, call_rows(spark, sf))
     return detection.with_features(typed).select(
         "meeting_id", "sentence_id", "modal", "modal_boost", "downward_prior", "tense_prior", "has_negation"
@@ -82,10 +82,11 @@ def requests_and_acceptances(spark, sf):
 @query(
     "class_scores_e11",
     "SELECT vec_id, " + ck._class("a", "b", "c") + " AS kind, round(greatest(a, b, c) / (a + b + c), 9) AS score FROM "
-    "(SELECT vec_id, abs(embedding[1])::DOUBLE AS a, abs(embedding[2])::DOUBLE AS b, abs(embedding[3])::DOUBLE AS c FROM embeddings)",
+    "(SELECT vec_id, " + ", ".join(f"list_sum(list_transform(embedding[{a}:{b}], lambda x: abs(x::DOUBLE))) AS {n}" for n, a, b in (("a", 1, 21), ("b", 22, 42), ("c", 43, 64))) + " FROM embeddings)",
 )
 def class_scores(spark, sf):
-    p = [F.abs(F.get("embedding", F.lit(i))).cast("double") for i in range(3)]
+    third = lambda a, n: F.aggregate(F.slice("embedding", a, n), F.lit(0.0), lambda s, x: s + F.abs(x.cast("double")))
+    p = [third(1, 21), third(22, 21), third(43, 22)]
     kind, score = sg.class_scores(*p)
     return table(spark, sf, "embeddings").select("vec_id", kind.alias("kind"), F.round(score, 9).alias("score"))
 
@@ -103,7 +104,7 @@ def class_scores(spark, sf):
     ),
 )
 def hybrid_detection(spark, sf):
-    s = call_sentences(spark, sf)
+    s = call_known(spark, sf)
     typed = typed_calls(s, call_rows(spark, sf))
     found = detection.detect(typed, "hybrid", call_scores(s))
     return found.select(
@@ -139,13 +140,13 @@ _answer = f"CASE sentence_id % 4 WHEN 0 THEN 'participant' WHEN 1 THEN ' ' WHEN
     "assignee_answers_f2",
     ck.with_ctes(
         *ck.CALL_RULE, ck.EXTRACTED,
-        select="SELECT meeting_id, sentence_id, CASE WHEN who IN ('i', 'me') THEN speaker WHEN who IN "
-        f"{ck.in_list(lx.TEAM_SUBJECTS)} THEN 'team' WHEN sentence_id % 4 = 2 THEN 'Dana' ELSE speaker END AS assignee FROM extracted",
+        select="SELECT meeting_id, sentence_id, CASE WHEN who IN ('i', 'me') THEN speaker WHEN lead_speaker IS NOT NULL THEN lead_speaker WHEN who IN "
+        f"{ck.in_list(lx.TEAM_SUBJECTS)} THEN 'team' WHEN mentioned_speaker IS NOT NULL THEN mentioned_speaker WHEN sentence_id % 4 = 2 THEN 'Dana' ELSE speaker END AS assignee FROM extracted",
     ),
 )
 def assignee_answers(spark, sf):
     n = F.col("sentence_id") % 4
-    answered = detection.detect(prepare(call_sentences(spark, sf), rows=call_rows(spark, sf))).withColumn(
+    answered = detection.detect(prepare(call_known(spark, sf), rows=call_rows(spark, sf))).withColumn(
         "qa_answer", F.when(n == 0, "participant").when(n == 1, " ").when(n == 2, "Dana ")
     )
     return extraction.extract(answered).select("meeting_id", "sentence_id", "assignee")
@@ -181,7 +182,7 @@ def entity_deadlines(spark, sf):
     ),
 )
 def extraction_stats(spark, sf):
-    s = call_sentences(spark, sf)
+    s = call_known(spark, sf)
     typed = typed_calls(s, call_rows(spark, sf))
     stats = extraction.extraction_stats(extraction.extract(detection.detect(typed, "hybrid", call_scores(s))))
     return stats.withColumns({c: F.round(c, 9) for c in ("avg_confidence", "modal_share")})
@@ -196,7 +197,7 @@ def extraction_stats(spark, sf):
     ),
 )
 def triplet_titles(spark, sf):
-    out = extraction.extract(detection.detect(prepare(call_sentences(spark, sf), rows=call_rows(spark, sf))))
+    out = extraction.extract(detection.detect(prepare(call_known(spark, sf), rows=call_rows(spark, sf))))
     title = tx.triplet_title(F.col("root_verb"), F.col("object"))
     return out.select(
         "meeting_id", "sentence_id", title.alias("title"), tx.is_valid_title(title, F.col("root_verb"), F.col("object")).alias("valid")
@@ -230,7 +231,7 @@ def rule_titles(spark, sf):
     ),
 )
 def generated_titles(spark, sf):
-    out = detection.detect(prepare(call_sentences(spark, sf), rows=call_rows(spark, sf)))
+    out = detection.detect(prepare(call_known(spark, sf), rows=call_rows(spark, sf)))
     lead = F.when(F.col("sentence_id") % 2 == 0, "Great ").otherwise("Prepare: ")
     extracted = extraction.extract(out.withColumn("generated", F.concat(lead, F.col("text"))))
     built = tasks.build_tasks(extracted, call_rows(spark, sf))
@@ -245,7 +246,7 @@ def generated_titles(spark, sf):
     ),
 )
 def scored_tasks(spark, sf):
-    s = call_sentences(spark, sf)
+    s = call_known(spark, sf)
     typed = typed_calls(s, call_rows(spark, sf))
     built = tasks.build_tasks(extraction.extract(detection.detect(typed)), call_rows(spark, sf))
     return tasks.validate_tasks(tasks.score_tasks(built)).select(
@@ -262,7 +263,7 @@ def scored_tasks(spark, sf):
     ),
 )
 def reviewed_tasks(spark, sf):
-    s = call_sentences(spark, sf)
+    s = call_known(spark, sf)
     typed = typed_calls(s, call_rows(spark, sf))
     built = tasks.build_tasks(extraction.extract(detection.detect(typed, "hybrid", call_scores(s))), call_rows(spark, sf))
     valid = tasks.validate_tasks(tasks.score_tasks(built, "detection_confidence"))
@@ -302,17 +303,27 @@ def contracts(spark, sf):
 
 
 # --- I -------------------------------------------------------------------------------------------------
+# Each given vector and two near copies of it, at the operators' own thresholds.
+def _copies_sql(k: str) -> str:
+    return f"list_transform(embedding::DOUBLE[], lambda x, i: x * (1 + 0.1 * {k} * ((i - 1) % 3 - 1)))"
+
+
+def near_copy(k):
+    return F.transform(F.col("embedding").cast("array<double>"), lambda x, i: x * (1 + F.lit(0.1) * k * (i % 3 - 1)))
+
+
 VECTORS = (
-    "vecs AS (SELECT label AS meeting_id, vec_id AS ord, embedding::DOUBLE[] AS v, 'task ' || vec_id AS task, "
-    "((vec_id * 7) % 10) / 10.0::DOUBLE AS confidence FROM embeddings)"
+    f"vecs AS (SELECT label AS meeting_id, vec_id * 3 + k AS ord, {_copies_sql('k')} AS v, 'task ' || (vec_id * 3 + k) AS task, "
+    "(((vec_id * 3 + k) * 7) % 10) / 10.0::DOUBLE AS confidence FROM embeddings, (SELECT unnest([0, 1, 2]) AS k))"
 )
-VECTOR_CUT = 0.2
+VECTOR_CUT = lx.DUPLICATE_SIMILARITY
 
 
 def vector_tasks(spark, sf):
-    v = F.col("vec_id")
-    return table(spark, sf, "embeddings").select(
-        F.col("label").alias("meeting_id"), v.alias("ord"), F.col("embedding").alias("v"),
+    rows = table(spark, sf, "embeddings").withColumn("k", F.explode(F.array(*map(F.lit, range(3)))))
+    v = F.col("vec_id") * 3 + F.col("k")
+    return rows.select(
+        F.col("label").alias("meeting_id"), v.alias("ord"), near_copy(F.col("k")).alias("v"),
         F.concat(F.lit("task "), v).alias("task"), ((v * 7) % 10 / F.lit(10.0)).alias("confidence"),
     )
 
@@ -361,21 +372,26 @@ def text_dedup(spark, sf):
 JUDGED = (
     "pred AS (SELECT l_suppkey AS meeting_id, l_orderkey * 10 + l_linenumber AS idx, trim(p_name) || CASE WHEN l_linenumber % 3 = 0 THEN '!' ELSE '' END AS task, "
     "l_discount * 10 AS confidence, CASE WHEN l_linenumber < 6 THEN 'Mara' END AS assignee, CASE WHEN l_linenumber % 2 = 0 THEN 'Friday' END AS deadline "
-    "FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'A'), "
+    "FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'R' AND l_suppkey % 10 <> 0), "
     "gold AS (SELECT l_suppkey AS meeting_id, l_orderkey * 10 + l_linenumber AS idx, CASE WHEN l_linenumber = 7 THEN ' ' ELSE upper(p_name) END AS task "
-    "FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R')"
+    "FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' OR l_suppkey % 10 = 0)"
 )
 
 
+def judged_meetings(spark, sf):
+    """All meetings have a prediction; those of every tenth supplier an empty one."""
+    return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("meeting_id"))
+
+
 def judged(spark, sf):
     rows = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     n = F.col("l_linenumber")
     keyed = rows.select("*", F.col("l_suppkey").alias("meeting_id"), (F.col("l_orderkey") * 10 + n).alias("idx"))
-    pred = keyed.where(F.col("l_returnflag") == "A").select(
+    pred = keyed.where((F.col("l_returnflag") != "R") & (F.col("l_suppkey") % 10 != 0)).select(
         "meeting_id", "idx", F.concat(F.trim("p_name"), F.when(n % 3 == 0, "!").otherwise("")).alias("task"),
         (F.col("l_discount") * 10).alias("confidence"), F.when(n < 6, "Mara").alias("assignee"), F.when(n % 2 == 0, "Friday").alias("deadline"),
     )
-    gold = keyed.where(F.col("l_returnflag") == "R").select(
+    gold = keyed.where((F.col("l_returnflag") == "R") | (F.col("l_suppkey") % 10 == 0)).select(
         "meeting_id", "idx", F.when(n == 7, " ").otherwise(F.upper("p_name")).alias("task")
     )
     return pred, gold
@@ -397,7 +413,7 @@ MATCHED = (
     "pk AS (SELECT meeting_id, lower(trim(task)) AS k, count(*) AS n FROM pred GROUP BY 1, 2), gk AS (SELECT meeting_id, lower(trim(task)) AS k, count(*) AS n FROM gold GROUP BY 1, 2), "
     "sizes AS (SELECT meeting_id, sum(p)::BIGINT AS n_pred, sum(g)::BIGINT AS n_gold FROM (SELECT meeting_id, count(*) AS p, 0 AS g FROM pred GROUP BY 1 UNION ALL SELECT meeting_id, 0, count(*) FROM gold GROUP BY 1) GROUP BY 1), "
     "hits AS (SELECT pk.meeting_id, sum(least(pk.n, gk.n))::BIGINT AS tp FROM pk JOIN gk ON pk.meeting_id = gk.meeting_id AND pk.k = gk.k AND pk.k <> '' GROUP BY 1), "
-    "counts AS (SELECT meeting_id, n_pred, n_gold, coalesce(tp, 0) AS tp, n_pred - coalesce(tp, 0) AS fp, n_gold - coalesce(tp, 0) AS fn FROM sizes LEFT JOIN hits USING (meeting_id))"
+    "counts AS (SELECT meeting_id, n_pred, n_gold, coalesce(tp, 0) AS tp, CASE WHEN n_pred = 0 OR n_gold = 0 THEN 0 ELSE n_pred - coalesce(tp, 0) END AS fp, CASE WHEN n_pred = 0 OR n_gold = 0 THEN 0 ELSE n_gold - coalesce(tp, 0) END AS fn FROM sizes LEFT JOIN hits USING (meeting_id))"
 )
 
 
@@ -434,8 +450,8 @@ def partial_matching(spark, sf):
 
 
 SPLIT_VECTORS = (
-    "pv AS (SELECT label AS meeting_id, vec_id AS idx, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 2 = 0), "
-    "gv AS (SELECT label AS meeting_id, vec_id AS idx, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 2 = 1)"
+    "pv AS (SELECT label AS meeting_id, vec_id AS idx, embedding::DOUBLE[] AS v FROM embeddings), "
+    f"gv AS (SELECT label AS meeting_id, vec_id AS idx, {_copies_sql('1')} AS v FROM embeddings)"
 )
 
 
@@ -444,7 +460,7 @@ SPLIT_VECTORS = (
     ck.with_ctes(
         SPLIT_VECTORS,
         select="SELECT pv.meeting_id, pv.idx AS lo, gv.idx AS hi, round(list_cosine_similarity(pv.v, gv.v), 6) AS similarity FROM pv JOIN gv ON pv.meeting_id = gv.meeting_id "
-        f"WHERE list_cosine_similarity(pv.v, gv.v) >= {VECTOR_CUT}",
+        f"WHERE list_cosine_similarity(pv.v, gv.v) >= {lx.SEMANTIC_TASK_COSINE}",
     ),
 )
 def semantic_pairs(spark, sf):
@@ -456,8 +472,9 @@ def semantic_pairs(spark, sf):
 
 
 def split_vectors(spark, sf):
-    rows = table(spark, sf, "embeddings").select(F.col("label").alias("meeting_id"), F.col("vec_id").alias("idx"), F.col("embedding").alias("v"))
-    return rows.where(F.col("idx") % 2 == 0), rows.where(F.col("idx") % 2 == 1)
+    rows = table(spark, sf, "embeddings")
+    keyed = lambda v: rows.select(F.col("label").alias("meeting_id"), F.col("vec_id").alias("idx"), v.alias("v"))
+    return keyed(F.col("embedding").cast("array<double>")), keyed(near_copy(1))
 
 
 WALK = (
@@ -536,8 +553,8 @@ def confidence_distribution(spark, sf):
 
 EVALUATED = (
     "quality AS (SELECT meeting_id, avg(confidence) AS avg_confidence, avg(CASE WHEN assignee IS NOT NULL AND deadline IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END) AS completeness FROM pred GROUP BY 1), "
-    f"measured AS (SELECT *, {_prf} FROM counts WHERE n_pred > 0 AND n_gold > 0), "
-    "evaluated AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM measured JOIN quality USING (meeting_id))"
+    f"measured AS (SELECT *, {_prf} FROM counts WHERE n_gold > 0), "
+    "evaluated AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM (SELECT m.*, coalesce(avg_confidence, 0) AS avg_confidence, coalesce(completeness, 0) AS completeness FROM measured m LEFT JOIN quality USING (meeting_id)))"
 )
 
 
@@ -549,7 +566,7 @@ EVALUATED = (
     ),
 )
 def meeting_evaluation(spark, sf):
-    out = evaluation.evaluate_tasks(*judged(spark, sf))
+    out = evaluation.evaluate_tasks(*judged(spark, sf), meetings=judged_meetings(spark, sf))
     return rounded(out, "f1", "avg_confidence", "completeness").select(
         "meeting_id", "n_pred", "n_gold", "tp", "fp", "fn", "f1", "avg_confidence", "completeness", "match_type"
     )
@@ -581,7 +598,7 @@ def set_evaluation(spark, sf):
     ),
 )
 def evaluation_report(spark, sf):
-    out = evaluation.evaluate_tasks(*judged(spark, sf)).withColumn("avg_confidence", F.round("avg_confidence", 6))
+    out = evaluation.evaluate_tasks(*judged(spark, sf), meetings=judged_meetings(spark, sf)).withColumn("avg_confidence", F.round("avg_confidence", 6))
     return evaluation.report_lines(out)
 
 
@@ -605,6 +622,10 @@ DECISIONS = (
 )
 
 
+# Every pair from this adjusted similarity on is reported.
+PAIR_SIMILARITY = 0.1
+
+
 def decisions(spark, sf):
     v = F.col("vec_id")
     return table(spark, sf, "embeddings").select(
@@ -619,12 +640,13 @@ def decisions(spark, sf):
     ck.with_ctes(
         DECISIONS,
         "p AS (SELECT a.meeting_id, a.sentence_id AS a, b.sentence_id AS b, list_cosine_similarity(a.v, b.v) AS c, a.action = b.action AND a.object IS DISTINCT FROM b.object AS clash "
-        "FROM decs a JOIN decs b ON a.meeting_id = b.meeting_id AND b.sentence_id - a.sentence_id BETWEEN 1 AND 46)",
-        select="SELECT meeting_id, a, b, round(c, 6) AS cosine, round(CASE WHEN c < 0.4 THEN 0 ELSE c / (1 + 0.05 * (b - a)) * CASE WHEN clash THEN 0.6 ELSE 1 END END, 6) AS similarity FROM p",
+        "FROM decs a JOIN decs b ON a.meeting_id = b.meeting_id AND b.sentence_id > a.sentence_id)",
+        "s AS (SELECT *, CASE WHEN c < 0.4 THEN 0 ELSE c / (1 + 0.05 * (b - a)) * CASE WHEN clash THEN 0.6 ELSE 1 END END AS sim FROM p)",
+        select=f"SELECT meeting_id, a, b, round(c, 6) AS cosine, round(sim, 6) AS similarity FROM s WHERE sim >= {PAIR_SIMILARITY}",
     ),
 )
 def decision_similarity(spark, sf):
-    return clusters.decision_pairs(decisions(spark, sf)).select(
+    return clusters.decision_pairs(decisions(spark, sf), PAIR_SIMILARITY).select(
         "meeting_id", "a", "b", F.round("cosine", 6).alias("cosine"), F.round("similarity", 6).alias("similarity")
     )
 

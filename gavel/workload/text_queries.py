@@ -37,9 +37,14 @@ def call_sentences(spark, sf):
     return turns.sentences_from_turns(table_of_turns, call_rows(spark, sf))
 
 
+def call_known(spark, sf):
+    """The sentences with their meeting's speakers."""
+    return turns.with_known_speakers(call_sentences(spark, sf), calls(spark, sf))
+
+
 def call_rows(spark, sf):
-    """Whether a caller's meeting is too long for one window; reads the key column only."""
-    return ordered.segment_rows(table(spark, sf, "events"), ["user_id"])
+    """Turns of a segment; meetings of any size are cut into such segments."""
+    return ordered.SEGMENT_ROWS
 
 
 def joined(column, sep="|"):
@@ -51,13 +56,13 @@ def joined(column, sep="|"):
 
 @query(
     "upload_check_a3",
-    "SELECT doc_id AS meeting_id, octet_length(encode(text)) AS length, CASE WHEN doc_id % 5 = 0 THEN 'Only .txt files are supported.' END AS error, "
-    "CASE WHEN doc_id % 5 = 0 THEN NULL ELSE md5(text) END AS digest FROM documents",
+    "SELECT doc_id AS meeting_id, octet_length(encode(text)) AS length, CASE WHEN doc_id % 5 < 2 THEN 'Only .txt files are supported.' END AS error, "
+    "CASE WHEN doc_id % 5 < 2 THEN NULL ELSE md5(text) END AS digest FROM documents",
 )
 def upload_check(spark, sf):
     source = table(spark, sf, "documents")
     uploads = source.select(
-        F.concat(F.lit("/landing/"), F.col("doc_id"), F.when(F.col("doc_id") % 5 == 0, ".pdf").otherwise(".txt")).alias("path"),
+        F.concat(F.lit("/landing/"), F.col("doc_id"), F.when(F.col("doc_id") % 5 == 0, ".pdf").when(F.col("doc_id") % 5 == 1, ".TXT").otherwise(".txt")).alias("path"),
         F.octet_length("text").cast("long").alias("length"),
         F.encode("text", "utf-8").alias("content"),
     )
@@ -443,7 +448,7 @@ def resolved_columns(df):
 
 @query("triplets_of_calls_d1_d6", ck.with_ctes(*ck.CALL_RESOLVED, select=RESOLVED_SQL))
 def triplets_of_calls(spark, sf):
-    return resolved_columns(prepare(call_sentences(spark, sf), rows=call_rows(spark, sf)))
+    return resolved_columns(prepare(call_known(spark, sf), rows=call_rows(spark, sf)))
 
 
 @query("triplets_of_standups_d1_d6", ck.with_ctes(*ck.STANDUP_RESOLVED, select=RESOLVED_SQL))

@@ -126,12 +126,21 @@ def turn_table(spark, n, seed):
     return spark.createDataFrame(data, "meeting_id string, turn_id long, speaker string, timestamp string, text string")
 
 
-def test_segmented_pipeline_equals_plain(spark, rows, monkeypatch):
+def test_raw_text_and_turn_table_give_the_same_tasks(spark, rows):
+    lines = ["Mara: Theo, can you send the report by Friday?", "Theo: Sure, I can do that.", "Priya: Mara will fix the login page tomorrow.", "Mara: Ask Priya to review the plan."]
+    raw = spark.createDataFrame([("m", "\n".join(lines)), ("n", "\n".join(lines[::-1]))], "meeting_id string, raw_text string")
+    columns = ["meeting_id", "task_id", "task", "assignee", "deadline", "confidence"]
+    from_raw = rows(extract_tasks(raw).tasks, *columns)
+    assert rows(tasks_from_turns(turns.parse_turns(raw)).tasks, *columns) == from_raw
+    assert {r[3] for r in from_raw} >= {"Theo", "Mara"}
+    assert rows(tasks_from_turns(turns.parse_turns(raw), known_speakers=False).tasks, *columns) != from_raw
+
+
+def test_segmented_pipeline_equals_plain(spark, rows):
     table = turn_table(spark, 90, 3)
     columns = ["meeting_id", "task_id", "task", "assignee", "deadline", "confidence"]
-    plain = rows(tasks_from_turns(table).tasks, *columns)
-    monkeypatch.setattr("gavel.plans.meeting_tasks.ordered.segment_rows", lambda df, keys: 8)
-    assert rows(tasks_from_turns(table).tasks, *columns) == plain and plain
+    plain = rows(tasks_from_turns(table, rows=None).tasks, *columns)
+    assert rows(tasks_from_turns(table, rows=8).tasks, *columns) == plain and plain
 
 
 def test_triplets_against_a_sequential_walk(spark):

@@ -9,9 +9,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gavel.functions import pairs
+from gavel.functions import greedy, pairs
 from gavel.functions.greedy import first_independent, first_matching
 from gavel.operators import clusters, dedup, evaluation
+from gavel.session import cut_lineage
 
 
 def sample(n, dims, seed):
@@ -68,8 +69,9 @@ def test_first_independent_is_the_sequential_rule(spark, edges):
             if a == i and b not in taken:
                 taken.add(b)
                 owner[b] = i
-    got = {r.node: r.seed for r in first_independent(df, ["g"]).collect()}
-    assert got == owner
+    for block in (1, 3, 2048):
+        got = {r.node: r.seed for r in first_independent(df, ["g"], block).collect()}
+        assert got == owner
 
 
 @settings(max_examples=10, deadline=None)
@@ -83,7 +85,32 @@ def test_first_matching_is_the_sequential_rule(spark, edges):
         if free:
             used.add(free[0])
             want.add((left, free[0]))
-    assert {(r.left, r.right) for r in first_matching(df, ["g"]).collect()} == want
+    for block in (1, 3, 1024):
+        assert {(r.left, r.right) for r in first_matching(df, ["g"], block).collect()} == want
+
+
+def test_rounds_do_not_follow_a_chain(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(greedy, "cut_lineage", lambda df: (rounds.append(1), cut_lineage(df))[1])
+    n = 5000
+    chain = spark.range(n - 1).selectExpr("'g' AS g", "id AS lo", "id + 1 AS hi")
+    covered = {r.node: r.seed for r in first_independent(chain, ["g"]).collect()}
+    assert covered == {i: i - 1 for i in range(1, n, 2)}
+    assert len(rounds) <= 2 + 3  # the numbering, the edges, three blocks
+
+
+def test_missing_and_blank_values_match_nothing(spark):
+    df = lambda rows: spark.createDataFrame([("m", i, t) for i, t in enumerate(rows)], "meeting_id string, idx long, task string")
+    counts = evaluation.similar_matches(df(["send the report", None, " ", ""]), df([None, "", " Send the report "]), ["meeting_id"], "task", "task", 0.8)
+    assert [tuple(r) for r in counts.collect()] == [("m", 1, 4, 3)]
+
+
+def test_meetings_with_empty_predictions_count_as_zeros(spark):
+    tasks = lambda rows: spark.createDataFrame(rows, "meeting_id string, idx long, task string, confidence double, assignee string, deadline string")
+    pred, gold = tasks([("a", 0, "x", 0.5, None, None)]), tasks([(m, 0, "x", None, None, None) for m in "abc"])
+    meetings = spark.createDataFrame([("a",), ("b",), ("d",)], "meeting_id string")
+    found = {r.meeting_id: (r.tp, r.fp, r.fn, r.f1, r.avg_confidence, r.total_tasks) for r in evaluation.evaluate_tasks(pred, gold, meetings=meetings).collect()}
+    assert found == {"a": (1, 0, 0, 1.0, 0.5, 1), "b": (0, 0, 0, 0.0, 0.0, 0)}
 
 
 def test_exact_dedup_keeps_the_best_and_every_blank(spark, rows):
