@@ -81,16 +81,17 @@ def _bucket(key: Column, bounds: list) -> Column:
     return F.when(key.isNull(), len(bounds)).when(coarse == 0, 0).otherwise((coarse - 1) * step + up_to(F.element_at(fine, F.greatest(coarse, F.lit(1)))))
 
 
-def with_next(rows: DataFrame, key: str, columns: list[str], tie: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def with_next(rows: DataFrame, keys: DataFrame, key: str, columns: list[str], tie: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Adds next_<column> of the row after, in ascending key order; after the last row the first.
 
     Null keys come last, equal keys by the tie column. Rows are dealt to buckets of consecutive keys once; the first
     key of a bucket also goes to the bucket before as a stand-in, so no task sees more than a bucket and its successor.
+    `keys` holds the key column alone, so that finding the buckets computes nothing else of the rows.
     """
-    n, first = rows.agg(F.count("*"), F.min(key)).first()
+    n, first = keys.agg(F.count("*"), F.min(key)).first()
     buckets = min(MAX_BUCKETS, n // bucket_rows + 1)
     shares = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(set(rows.agg(F.percentile_approx(key, shares, 10 * buckets)).first()[0] or [])) if shares else []
+    bounds = sorted(set(keys.agg(F.percentile_approx(key, shares, 10 * buckets)).first()[0] or [])) if shares else []
     bounds = [b for b in bounds if b is not None and b > first]
     where = _bucket(F.col(key), bounds) if bounds else F.lit(0)
     own = F.struct(where.alias("bucket"), F.lit(0).alias("stand"))
@@ -112,7 +113,8 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null texts count as empty; rows with equal ids are ordered by text, null ids come last; repeated rows stay.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = with_next(once(rows, "sketch", sketch(F.col("text"), k, size)), "id", ["text", "sketch"], "text")
+    sketched = once(rows, "sketch", sketch(F.col("text"), k, size))
+    rows = with_next(sketched, rows.select("id"), "id", ["text", "sketch"], "text")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
