@@ -242,11 +242,10 @@ def stored_status(status: Column) -> Column:
 
 
 def parse_deadline(text: Column) -> Column:
-    """Yyyy-MM-dd, dd-MM-yyyy, dd/MM/yyyy, else an ISO timestamp; null when none fits."""
+    """Yyyy-MM-dd, day-first with - or / in any mix, else an ISO timestamp; null when none fits."""
     return F.coalesce(
         F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd")),
-        F.when(text.rlike(r"^\d{2}-\d{2}-\d{4}$"), F.try_to_date(text, "dd-MM-yyyy")),
-        F.when(text.rlike(r"^\d{2}/\d{2}/\d{4}$"), F.try_to_date(text, "dd/MM/yyyy")),
+        F.when(text.rlike(r"^\d{2}[-/]\d{2}[-/]\d{4}$"), F.try_to_date(F.translate(text, "/", "-"), "dd-MM-yyyy")),
         F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]"), F.try_to_timestamp(text).cast("date")),
     )
 
@@ -388,6 +387,11 @@ def workspaces_of(workspaces: DataFrame, user_id) -> DataFrame:
     return workspaces.where(has_member(F.col("members"), user_id))
 
 
+def teams_of_workspaces(teams: DataFrame, workspaces: DataFrame) -> DataFrame:
+    """The teams of the given workspaces (`id`)."""
+    return teams.join(workspaces.select(F.col("id").alias("workspace_id")), "workspace_id", "left_semi")
+
+
 def slug_conflicts(workspaces: DataFrame) -> DataFrame:
     """K32."""
     return workspaces.groupBy("slug").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)

@@ -61,6 +61,29 @@ def drop_similar(
     return best.select(*group, "_best.*").select(*tasks.columns)
 
 
+def near_titles(tasks: DataFrame, threshold: float = lx.DUPLICATE_SIMILARITY, title_col: str = "task") -> DataFrame:
+    """Pairs `(a, b, similarity)` of different titles of the whole corpus whose word sets have at least that Jaccard similarity.
+
+    Titles are taken once, lower-cased, however many tasks have them; join back on the title for the tasks. Words are
+    ordered from rare to frequent. Two similar sets share one of the first n - ceil(t n) + 1 words of either, so an
+    equi-join on these finds every pair, and frequent words hardly ever are keys. Titles without words have no pairs.
+    """
+    title = strip(F.lower(F.col(title_col)))
+    words = F.array_distinct(F.filter(F.split("title", r"\s+"), lambda w: w != ""))
+    titles = cut_lineage(tasks.select(title.alias("title")).where("title <> ''").distinct().select("title", words.alias("words")))
+    each = titles.select("title", F.explode("words").alias("w"))
+    counts = each.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    ranked = each.join(counts, "w").groupBy("title").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("ws"))
+    n = F.size("ws")
+    prefix = F.slice("ws", F.lit(1), (n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int"))
+    keyed = ranked.select("title", n.alias("size"), F.transform("ws", lambda x: x["w"]).alias("words"), F.explode(prefix).alias("p")).select("title", "size", "words", F.col("p.w").alias("w"))
+    a, b = keyed.toDF("a", "a_size", "a_words", "w"), keyed.toDF("b", "b_size", "b_words", "w")
+    shared = F.size(F.array_intersect("a_words", "b_words"))
+    close = (F.col("a") < F.col("b")) & (F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * threshold - 1e-9)
+    pairs = a.join(b, "w").where(close).select("a", "b", (shared / (F.col("a_size") + F.col("b_size") - shared)).alias("similarity"))
+    return pairs.where(F.col("similarity") >= threshold).distinct()
+
+
 def deduplicate(tasks: DataFrame, threshold: float = lx.DUPLICATE_SIMILARITY, vectors: str | None = None) -> DataFrame:
     """I1, then I4 on what is left; the first pass also keeps the pair step small."""
     return drop_similar(drop_equal_titles(tasks), threshold, vectors)

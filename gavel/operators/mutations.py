@@ -197,6 +197,45 @@ def review_suggestions(suggestions: DataFrame, decisions: DataFrame) -> DataFram
     )
 
 
+def approved_tasks(reviews: DataFrame, meetings: DataFrame, at: Column) -> DataFrame:
+    """M5: the task row of every sound approval in `review_suggestions`' result.
+
+    Project and team come from the meeting, the owner defaults to the reviewer, the quote becomes the first evidence
+    and the status the first history entry. `task_of` names the row.
+    """
+    quote = F.struct(F.col("transcript_id"), F.col("evidence_quote").alias("quote"))
+    by = F.col("reviewed_by")
+    return reviews.where("decision = 'approve' AND error IS NULL").join(
+        meetings.select(F.col("id").alias("meeting_id"), "project_id", "team_id"), "meeting_id"
+    ).select(
+        task_of(F.col("id")).alias("id"), "project_id", "team_id", "meeting_id", F.col("id").alias("task_suggestion_id"),
+        F.col("transcript_id").alias("transcript_reference"), F.col("task_title").alias("title"), F.col("task_description").alias("description"),
+        F.lit("TODO").alias("status"), F.lit("MEDIUM").alias("priority"), by.alias("owner_id"), F.col("task_due_date").alias("due_date"),
+        by.alias("created_by"), F.lit(False).alias("is_manual"), F.array_compact(F.array(F.when(F.coalesce("evidence_quote", F.lit("")) != "", quote))).alias("evidence"),
+        F.array(history_entry(F.lit(None), F.lit("TODO"), by, at)).alias("status_history"),
+    )
+
+
+def task_of(suggestion_id: Column) -> Column:
+    return F.concat(F.lit("task-"), suggestion_id.cast("string"))
+
+
+def reviewed_suggestions(suggestions: DataFrame, decisions: DataFrame) -> DataFrame:
+    """M5: the suggestions after their review, with the new status, reviewer and task; an edit applies its fields."""
+    reviews = review_suggestions(suggestions, decisions).select(
+        "id", F.col("error").isNull().alias("_sound"), "decision", F.col("review_status").alias("_status"), F.col("reviewed_by").alias("_by")
+    )
+    edits = decisions.where("decision = 'edit'").select("id", F.col("title").alias("_title"), F.col("description").alias("_description"), F.col("due_date").alias("_due"))
+    joined = suggestions.join(reviews, "id", "left").join(edits, "id", "left")
+    new = {
+        "review_status": F.coalesce("_status", "review_status"),
+        "task_id": F.when((F.col("decision") == "approve") & F.col("_sound"), task_of(F.col("id"))).otherwise(F.col("task_id")),
+        "suggested_title": F.coalesce("_title", "suggested_title"), "suggested_description": F.coalesce("_description", "suggested_description"),
+        "suggested_deadline": F.coalesce("_due", "suggested_deadline"),
+    }
+    return joined.withColumns(new).select(*suggestions.columns, F.col("_by").alias("reviewed_by"))
+
+
 def history_entry(old: Column, new: Column, by: Column, at: Column) -> Column:
     return F.struct(
         old.cast("string").alias("old_status"), new.alias("new_status"), by.alias("changed_by"), at.alias("changed_at")
@@ -376,6 +415,13 @@ def create_projects(requests: DataFrame, projects: DataFrame) -> DataFrame:
     )
 
 
+def create_teams(requests: DataFrame, at: Column) -> DataFrame:
+    """Team rows of `requests(id, workspace_id, name, description, creator_id)`; the creator is the first owner."""
+    return requests.select(
+        "id", "workspace_id", "name", "description", F.col("creator_id").alias("created_by"), new_team_members(F.col("creator_id"), at).alias("members")
+    )
+
+
 def new_team_members(creator: Column, at: Column) -> Column:
     """A new team's creator is its first owner."""
     return F.array(F.struct(creator.alias("user_id"), F.lit("OWNER").alias("role"), at.alias("joined_at")))

@@ -88,16 +88,27 @@ def task_events(tasks: DataFrame, kind: str = "task_created") -> DataFrame:
     )
 
 
-def publish_events(counts: DataFrame) -> DataFrame:
-    return counts.select(
-        "transcript_id",
+def publish_events(published: DataFrame) -> DataFrame:
+    """N3 of `published(project_id, transcript_id, task_ids, duplicates)`, one row per published transcript."""
+    return published.select(
+        "project_id", "transcript_id",
         event(
-            "publish_completed", transcriptId=F.col("transcript_id").cast("string"),
-            count=F.col("created") + F.col("updated"), duplicates=F.col("duplicates"),
+            "publish_completed", projectId=F.col("project_id").cast("string"), transcriptId=F.col("transcript_id").cast("string"),
+            taskIds=F.col("task_ids"), count=F.size("task_ids"), duplicates=F.col("duplicates"),
         ).alias("event"),
     )
 
 
+def deliver(events: DataFrame, people: DataFrame) -> DataFrame:
+    """One row per event and recipient; `people` is `(project_id, user_id)` as of N1."""
+    return events.join(people, "project_id")
+
+
+def changed_count(marked: DataFrame) -> DataFrame:
+    """How many notifications the marking changed."""
+    return marked.agg(F.count_if("changed").alias("changed"))
+
+
 def latest_job_state(log: DataFrame) -> DataFrame:
     """The last transition of every job, combined map-side."""
     row = F.struct(*[c for c in log.columns if c != "job_id"])

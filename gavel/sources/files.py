@@ -31,9 +31,11 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """A1, A2: one row per `*.txt` file, `meeting_id` from its name.
 
     Files are read as bytes, so that bad bytes never fail a scan. File sources skip files of zero bytes; a file
-    of blanks gives a meeting without turns.
+    of blanks gives a meeting without turns. Files beyond the upload limit are never loaded; `read_uploads` lists
+    them, and those of other types, with the reason.
     """
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*" + lx.UPLOAD_SUFFIX).load(path)
+    raw = raw.where(F.col("length") <= lx.MAX_UPLOAD_BYTES)
     return raw.select(
         file_stem(lx.UPLOAD_SUFFIX).alias("meeting_id"),
         F.make_valid_utf8(F.col("content").cast("string")).alias("raw_text"),

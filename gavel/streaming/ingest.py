@@ -23,8 +23,8 @@ def admitted(requests: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def landing_stream(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
-    """Uploads as they arrive in a folder; each file is seen once."""
-    reader = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("pathGlobFilter", "*.txt")
+    """Uploads of any name as they arrive in a folder; each file is seen once."""
+    reader = spark.readStream.format("binaryFile").schema(BINARY_FILE)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.load(folder)
@@ -35,15 +35,20 @@ def run_transcripts(
     sink: Callable[[DataFrame, int], None],
     checkpoint: str,
     available_now: bool = True,
+    rejects: Callable[[DataFrame, int], None] | None = None,
     **options,
 ) -> StreamingQuery:
-    """Every upload runs through the plan once; `sink(tasks, batch_id)` stores a batch's tasks.
+    """Every upload runs through the plan once; `sink(tasks, batch_id)` stores a batch's tasks and
+    `rejects(uploads, batch_id)` its refused uploads with path, length and reason.
 
     A transcript is complete in its file, so batches carry no state. A batch may be replayed after a failure;
     a sink that overwrites by batch id (or by meeting) makes the result exactly-once.
     """
     def process(batch: DataFrame, batch_id: int) -> None:
-        sound = checked_uploads(batch).where(F.col("error").isNull()).select("meeting_id", "raw_text")
+        checked = checked_uploads(batch)
+        if rejects is not None:
+            rejects(checked.where(F.col("error").isNotNull()).select("path", "length", "error"), batch_id)
+        sound = checked.where(F.col("error").isNull()).select("meeting_id", "raw_text")
         sink(extract_tasks(sound, **options).tasks, batch_id)
 
     writer = uploads.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)

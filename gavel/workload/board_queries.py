@@ -1107,3 +1107,122 @@ def daily_counts(spark, sf):
 
     out = counts(table(spark, sf, "events").select("ts", "event_type"), "ts", "event_type")
     return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+# --- M4, M5, M12, M15, K32, N3: what changes leave behind -----------------------------------------------------------
+DECIDED = (
+    "dec AS (SELECT *, CASE length(id) % 3 WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' ELSE 'edit' END AS decision, CASE WHEN transcript_id % 2 = 0 THEN 'Override' END AS t FROM suggestions), "
+    "err AS (SELECT *, (decision = 'approve' AND review_status <> 'REJECTED' AND task_id IS NULL) AS taken FROM dec)"
+)
+
+
+def review_decisions(s):
+    n = F.length("id") % 3
+    return s.select(
+        "id", F.when(n == 0, "approve").when(n == 1, "reject").otherwise("edit").alias("decision"), F.when(F.col("transcript_id") % 2 == 0, "Override").alias("title"),
+        F.lit(None).cast("string").alias("description"), F.lit(None).cast("date").alias("due_date"), F.lit(9).alias("reviewer"),
+    )
+
+
+@query(
+    "approved_tasks_m5",
+    ck.with_ctes(
+        SUGGESTIONS, MEETINGS, DECIDED,
+        select="SELECT 'task-' || err.id AS id, project_id, team_id, meeting_id, coalesce(t, suggested_title) AS title, suggested_description AS description, 'TODO' AS status, 9 AS owner_id, "
+        "suggested_deadline AS due_date, transcript_quote AS quote, 'TODO by 9' AS history FROM err JOIN meetings m ON m.id = err.meeting_id WHERE taken",
+    ),
+)
+def approved_tasks(spark, sf):
+    s = suggestions(spark, sf)
+    built = mutations.approved_tasks(mutations.review_suggestions(s, review_decisions(s)), meetings(spark, sf), F.lit("2024-01-01"))
+    first = F.col("status_history")[0]
+    return built.select(
+        "id", "project_id", "team_id", "meeting_id", "title", "description", "status", "owner_id", "due_date",
+        F.get("evidence", F.lit(0))["quote"].alias("quote"), F.concat(first["new_status"], F.lit(" by "), first["changed_by"]).alias("history"),
+    )
+
+
+@query(
+    "reviewed_suggestions_m5",
+    ck.with_ctes(
+        SUGGESTIONS, DECIDED,
+        select="SELECT id, CASE WHEN decision = 'edit' THEN coalesce(t, suggested_title) ELSE suggested_title END AS suggested_title, CASE WHEN taken THEN 'APPROVED' WHEN decision = 'reject' THEN 'REJECTED' "
+        "WHEN decision = 'edit' AND review_status = 'PENDING' THEN 'MODIFIED' ELSE review_status END AS review_status, CASE WHEN taken THEN 'task-' || id ELSE task_id END AS task_id, "
+        "CASE WHEN taken OR decision = 'reject' THEN 9 END AS reviewed_by FROM err",
+    ),
+)
+def reviewed_suggestions(spark, sf):
+    s = suggestions(spark, sf)
+    return mutations.reviewed_suggestions(s, review_decisions(s)).select("id", "suggested_title", "review_status", "task_id", "reviewed_by")
+
+
+@query(
+    "transcript_edits_m4",
+    ck.with_ctes(
+        "base AS (SELECT o_orderkey AS id, 'old' AS summary_text, o_custkey AS owner_id FROM orders), ch AS (SELECT event_id * 3 AS id, CASE WHEN value > 5 THEN 'new ' || event_id END AS summary_text FROM events)",
+        select="SELECT base.id, coalesce(ch.summary_text, base.summary_text) AS summary_text, owner_id FROM base LEFT JOIN ch ON base.id = ch.id",
+    ),
+)
+def transcript_edits(spark, sf):
+    base = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.lit("old").alias("summary_text"), F.col("o_custkey").alias("owner_id"))
+    changes = table(spark, sf, "events").select((F.col("event_id") * 3).alias("id"), F.when(F.col("value") > 5, F.concat(F.lit("new "), "event_id")).alias("summary_text"))
+    return mutations.update_by_key(base, changes, ["id"], ["summary_text"])
+
+
+@query(
+    "mark_given_m12",
+    ck.with_ctes(NOTES, select="SELECT id, read OR (user_id = 8 AND id % 3 = 0) AS read, user_id = 8 AND id % 3 = 0 AND NOT read AS changed FROM notes"),
+)
+def mark_given(spark, sf):
+    given = table(spark, sf, "events").select(F.col("event_id").alias("id")).where("id % 3 = 0")
+    return notifications.mark_read(notes(spark, sf), 8, given).select("id", "read", "changed")
+
+
+@query("marked_count_m12", ck.with_ctes(NOTES, select="SELECT count(*) AS changed FROM notes WHERE user_id = 8 AND NOT read"))
+def marked_count(spark, sf):
+    return notifications.changed_count(notifications.mark_read(notes(spark, sf), 8))
+
+
+@query(
+    "new_teams_m15",
+    "SELECT c_custkey AS id, c_nationkey AS workspace_id, c_name AS name, c_custkey % 700 AS created_by, (c_custkey % 700) || ':OWNER' AS members FROM customer",
+)
+def new_teams(spark, sf):
+    requests = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("workspace_id"), F.col("c_name").alias("name"), F.lit(None).cast("string").alias("description"), (F.col("c_custkey") % 700).alias("creator_id"),
+    )
+    people = F.array_join(F.transform("members", lambda m: F.concat_ws(":", m["user_id"], m["role"])), ",")
+    return mutations.create_teams(requests, F.lit(0)).select("id", "workspace_id", "name", "created_by", people.alias("members"))
+
+
+@query("workspace_teams_k32", ck.with_ctes(TEAMS, select="SELECT id, name, workspace_id FROM teams WHERE workspace_id IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)"))
+def workspace_teams(spark, sf):
+    spaces = table(spark, sf, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("id"))
+    return board.teams_of_workspaces(teams(spark, sf), spaces).select("id", "name", "workspace_id")
+
+
+@query(
+    "delivered_events_n3",
+    ck.with_ctes(
+        TASKS, PROJECTS, PEOPLE,
+        select="""SELECT t.id AS task_id, user_id, '{"type":"task_created","payload":{"id":"' || t.id || '","projectId":"' || t.project_id || '","title":"' || title || '","status":"' || status || '","priority":"' || priority || '"}}' AS event FROM tasks t JOIN people p ON p.project_id = t.project_id""",
+    ),
+)
+def delivered_events(spark, sf):
+    people = notifications.recipients(projects(spark, sf))
+    return notifications.deliver(notifications.task_events(tasks(spark, sf)), people).select("task_id", "user_id", "event")
+
+
+@query(
+    "publish_events_n3",
+    ck.with_ctes(
+        TASKS,
+        "pub AS (SELECT transcript_reference AS transcript_id, min(project_id) AS project_id, list_sort(list(id)) AS ids, count(*) - count(DISTINCT title) AS duplicates FROM tasks GROUP BY 1)",
+        select="""SELECT transcript_id, '{"type":"publish_completed","payload":{"projectId":"' || project_id || '","transcriptId":"' || transcript_id || '","taskIds":["' || array_to_string(ids, '","') || '"],"count":' || len(ids) || ',"duplicates":' || duplicates || '}}' AS event FROM pub""",
+    ),
+)
+def publish_events(spark, sf):
+    published = tasks(spark, sf).groupBy(F.col("transcript_reference").alias("transcript_id")).agg(
+        F.min("project_id").alias("project_id"), F.array_sort(F.collect_list("id")).alias("task_ids"), (F.count(F.lit(1)) - F.countDistinct("title")).alias("duplicates")
+    )
+    return notifications.publish_events(published).select("transcript_id", "event")

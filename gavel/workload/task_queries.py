@@ -368,6 +368,21 @@ def text_dedup(spark, sf):
     return tasks_from_turns(calls(spark, sf), semantic=True).tasks.select("meeting_id", "task_id", "task", "confidence")
 
 
+@query(
+    "near_titles_i5",
+    "WITH said AS (SELECT text FROM conversations UNION ALL SELECT regexp_replace(text, '\\s+\\S+$', '') FROM conversations), "
+    "t AS (SELECT DISTINCT lower(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS title FROM said), "
+    "w AS (SELECT DISTINCT title, unnest(string_split_regex(title, '\\s+')) AS w FROM t WHERE title <> ''), n AS (SELECT title, count(*) AS n FROM w GROUP BY 1), "
+    "p AS (SELECT x.title AS a, y.title AS b, count(*) AS s FROM w x JOIN w y ON x.w = y.w AND x.title < y.title GROUP BY 1, 2) "
+    "SELECT md5(a) AS a, md5(b) AS b, s::DOUBLE / (na.n + nb.n - s)::DOUBLE AS similarity FROM p JOIN n na ON na.title = a JOIN n nb ON nb.title = b WHERE s::DOUBLE / (na.n + nb.n - s)::DOUBLE >= 0.8",
+)
+def near_titles(spark, sf):
+    said = table(spark, sf, "conversations").select(F.col("text").alias("task"))
+    shorter = said.select(F.regexp_replace("task", r"\s+\S+$", "").alias("task"))
+    found = dedup.near_titles(said.unionByName(shorter))
+    return found.select(F.md5("a").alias("a"), F.md5("b").alias("b"), "similarity")
+
+
 # --- J -------------------------------------------------------------------------------------------------
 JUDGED = (
     "pred AS (SELECT l_suppkey AS meeting_id, l_orderkey * 10 + l_linenumber AS idx, trim(p_name) || CASE WHEN l_linenumber % 3 = 0 THEN '!' ELSE '' END AS task, "

@@ -1,10 +1,13 @@
 """Sources, sinks and the streaming operators on small folders."""
 
 import json
+import os
+import subprocess
+import sys
 
 from pyspark.sql import functions as F
 
-from gavel.operators import mutations, results
+from gavel.operators import board, mutations, results
 from gavel.plans.meeting_tasks import extract_tasks
 from gavel.sources import collections, files
 from gavel.streaming import ingest
@@ -29,11 +32,12 @@ def test_read_transcripts(spark, tmp_path, rows):
 
 def test_upload_checks(spark, tmp_path, rows, monkeypatch):
     monkeypatch.setattr(files.lx, "MAX_UPLOAD_BYTES", 20)
-    (tmp_path / "ok.TXT").write_bytes(b"caf\xe9 ok")
+    (tmp_path / "ok.txt").write_bytes(b"caf\xe9 ok")
+    (tmp_path / "loud.TXT").write_bytes(b"loud")
     (tmp_path / "big.txt").write_bytes(b"x" * 21)
     (tmp_path / "image.png").write_bytes(b"1")
     assert rows(files.read_uploads(spark, str(tmp_path)), "meeting_id", "error", "raw_text") == [
-        ("big", "File too large.", None), ("image.png", "Only .txt files are supported.", None), ("ok", None, "caf� ok"),
+        ("big", "File too large.", None), ("image.png", "Only .txt files are supported.", None), ("loud.TXT", "Only .txt files are supported.", None), ("ok", None, "caf� ok"),
     ]
 
 
@@ -92,6 +96,42 @@ def test_streamed_uploads_equal_the_batch(spark, tmp_path, rows):
     assert got == rows(batch, "meeting_id", "task_id", "task", "assignee", "deadline") and len(got) == 3
 
 
+def test_refused_uploads_reach_their_sink(spark, tmp_path, rows):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    write_texts(landing, ["planning one"])
+    (landing / "notes.pdf").write_text("x")
+    (landing / "LOUD.TXT").write_text("Mara: I will send it.")
+    seen = []
+
+    def rejects(uploads, batch_id):
+        seen.extend((r.path.rsplit("/", 1)[1], r.error) for r in uploads.collect())
+
+    uploads = ingest.landing_stream(spark, str(landing))
+    ingest.run_transcripts(uploads, lambda tasks, batch_id: None, str(tmp_path / "checkpoint"), rejects=rejects).awaitTermination()
+    assert sorted(seen) == [(n, "Only .txt files are supported.") for n in ("LOUD.TXT", "notes.pdf")]
+
+
+def test_deadline_texts(spark):
+    texts = {"2024-03-05": "2024-03-05", "05-03-2024": "2024-03-05", "05/03/2024": "2024-03-05", "05-03/2024": "2024-03-05", "2024-03-05T10:00:00": "2024-03-05", "31-02-2024": None, "soon": None, "5/3/2024": None}
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", board.parse_deadline(F.col("t")).cast("string").alias("d")).collect()
+    assert {r.t: r.d for r in found} == texts
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """Drivers started elsewhere, with the package on their own path only."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "from gavel.session import local_session\nfrom __spark_entry__ import queries\n"
+        "spark = local_session('2', 2)\n"
+        "print('rows', [queries()[q](spark, '/root/testdata/sf0.001').count() for q in ('similar_pairs_i2_i3', 'decision_clusters_o2')])"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows [" in done.stdout, done.stderr[-2000:]
+
+
 def stream_of(spark, tmp_path, name, data, schema):
     """One file per row set, read as a stream in order."""
     folder = tmp_path / name
