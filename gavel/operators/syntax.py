@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavel import lexicon as lx
-from gavel.functions.text import regex, strip
+from gavel.functions.text import let, once, regex, strip
 
 RULE_VERBS = sorted(set(lx.VERB_IMPERATIVES) | {"handle", "share", "need", "have", "get", "make", "be", "go", "think"})
 VERB_FORMS = r"\b(" + "|".join(RULE_VERBS) + r")(s|ed|d|ing)?\b"
@@ -229,20 +229,54 @@ def direct_objects(tokens: DataFrame) -> DataFrame:
     )
 
 
+TOKEN_FIELDS = ("i", "text", "lemma", "pos", "tag", "dep", "head", "ent_type")
+
+
+def _phrase_of(t: Column, token: Column, modifiers: list[str], reverse: bool = False) -> Column:
+    """A token with its modifiers in front, from the sentence's token array."""
+    kids = F.filter(t, lambda c: c["dep"].isin(modifiers) & (c["i"] != c["head"]) & (c["head"] == token["i"]))
+    front = F.array_join(F.transform(F.reverse(kids) if reverse else kids, lambda k: k["text"]), " ")
+    return F.when(token.isNotNull(), F.concat_ws(" ", F.nullif(front, F.lit("")), token["text"]))
+
+
 def annotate_from_parse(tokens: DataFrame) -> DataFrame:
-    """C3-C6 together: one annotation row per sentence, ready for `with_annotations`.
+    """C3-C6 and `has_dobj` together: one annotation row per sentence, ready for `with_annotations`.
 
-    All steps group or join on (meeting_id, sentence_id), so one hash partitioning on that pair serves them.
+    The tokens of a sentence, a bounded group, are gathered once; all rules are array expressions on them, so the
+    whole step takes one exchange and no join.
     """
-    base = tokens.repartition(*KEY)
-    return (
-        root_verbs(base)
-        .join(subjects(base), KEY, "left")
-        .join(best_objects(object_candidates(base)), KEY, "left")
-        .join(resultative_objects(base), KEY, "left")
-        .join(direct_objects(base).select(*KEY, "has_dobj"), KEY, "left")
-        .select(
-            *KEY, "root_verb", "subject", F.coalesce("resultative", "object").alias("object"), "root_tag",
-            F.coalesce("has_dobj", F.lit(False)).alias("has_dobj"), "is_passive",
-        )
+    t, root = F.col("_t"), F.col("_root")
+    head = lambda array: F.get(array, F.lit(0))
+    first = lambda rule: head(F.filter(t, rule))
+    sentences = tokens.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct(*TOKEN_FIELDS))).alias("_t"))
+    sentences = once(sentences, "_root", first(lambda x: x["dep"] == "ROOT"))
+    sentences = once(sentences, "_commas", F.transform(F.filter(t, lambda x: x["text"] == ","), lambda x: x["i"] - 1))
+
+    inner = first(lambda x: (x["pos"] == "VERB") & x["dep"].isin("xcomp", "ccomp", "advcl") & (x["head"] == root["i"]))
+    light = root["lemma"].isin(lx.LIGHT_ROOTS)
+    verb = F.when(root["pos"].isin("VERB", "AUX"), F.when(light, F.coalesce(inner["lemma"], root["lemma"])).otherwise(root["lemma"]))
+
+    named = lambda x: x["pos"].isin("NOUN", "PROPN") | x["ent_type"].isin("PERSON", "ORG")
+    subject = F.coalesce(
+        first(lambda x: x["dep"].isin("nsubj", "nsubjpass")), first(lambda x: x["dep"] == "npadvmod"),
+        first(lambda x: F.array_contains("_commas", x["i"]) & named(x)), first(lambda x: (x["pos"] == "PROPN") & (x["i"] < root["i"])),
+    )
+
+    rank = F.create_map(*[F.lit(x) for pair in lx.OBJECT_PRIORITY.items() for x in pair])
+    temporal = lambda c: (c["dep"] == "pobj") & F.exists(t, lambda h: (h["i"] == c["head"]) & h["lemma"].isin(lx.OBJECT_TEMPORAL_HEADS))
+    objects = F.filter(t, lambda c: c["dep"].isin(list(lx.OBJECT_PRIORITY)) & ~F.coalesce(temporal(c), F.lit(False)))
+    best = F.array_min(F.transform(objects, lambda c: F.struct(F.try_element_at(rank, c["dep"]).alias("p"), (c["pos"] == "PRON").alias("pronoun"), c["i"].alias("i"), c.alias("token"))))
+
+    inside = F.transform(F.filter(t, lambda x: (x["head"] == root["i"]) & x["dep"].isin("ccomp", "acomp")), lambda x: x["i"])
+    sentences = once(sentences, "_inside", F.when(root["lemma"].isin(lx.RESULTATIVE_VERBS), inside).otherwise(F.array().cast("array<bigint>")))
+    results = F.filter(t, lambda x: (x["dep"] == "nsubj") & F.array_contains("_inside", x["head"].cast("bigint")))
+    last = F.array_max(F.transform(results, lambda x: F.struct(x["head"].alias("head"), (-x["i"]).alias("i"), x.alias("token"))))
+
+    noun = ["det", "amod", "compound"]
+    phrase = lambda token, modifiers, reverse=False: let(token, lambda k: _phrase_of(t, k, modifiers, reverse))
+    return sentences.select(
+        *KEY, verb.alias("root_verb"), phrase(subject, ["compound", "amod"], True).alias("subject"),
+        F.coalesce(phrase(last["token"], noun), phrase(best["token"], noun)).alias("object"), root["tag"].alias("root_tag"),
+        F.coalesce(F.exists(t, lambda x: x["dep"].isin("dobj", "obj") & (x["head"] == root["i"])), F.lit(False)).alias("has_dobj"),
+        F.coalesce(F.exists(t, lambda x: x["dep"] == "nsubjpass"), F.lit(False)).alias("is_passive"),
     )

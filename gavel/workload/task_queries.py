@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
 from pyspark.sql import functions as F
 
 from gavel import lexicon as lx
@@ -454,14 +456,39 @@ def edit_distance_match(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.round(levenshtein_ratio(F.col("p_name"), F.col("p_type")), 9).alias("ratio"))
 
 
-@query("partial_matching_j2_j4")
+def walk_sql(candidates: str, left: str) -> str:
+    """The greedy matching as a walk over the left side in order: `final(meeting_id, tp)`."""
+    return (
+        f"cand AS ({candidates}), ordered AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY idx) AS n FROM {left}), "
+        f"walk AS (SELECT meeting_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS used FROM (SELECT DISTINCT meeting_id FROM {left}) "
+        "UNION ALL SELECT w.meeting_id, w.n + 1, coalesce(list_append(w.used, (SELECT min(c.r) FROM cand c WHERE c.meeting_id = w.meeting_id AND c.l = o.idx AND NOT list_contains(w.used, c.r))), w.used) "
+        "FROM walk w JOIN ordered o ON o.meeting_id = w.meeting_id AND o.n = w.n + 1), "
+        "final AS (SELECT meeting_id, len(list_filter(used, lambda u: u IS NOT NULL)) AS tp FROM walk QUALIFY row_number() OVER (PARTITION BY meeting_id ORDER BY n DESC) = 1)"
+    )
+
+
+# The text ratios of the few distinct wordings, as a table for the checking SQL.
+ALIKE = ", ".join(
+    f"({i}, {j})" for i, a in enumerate(PHRASES) for j, b in enumerate(PHRASES)
+    if SequenceMatcher(None, a.strip().lower(), f"{b} now".lower()).ratio() >= lx.PARTIAL_MATCH_RATIO
+)
+
+
+@query(
+    "partial_matching_j2_j4",
+    "WITH RECURSIVE pv AS (SELECT event_id // 8 AS meeting_id, event_id AS idx, event_id * 11 % 64 AS p FROM events), gv AS (SELECT event_id // 8 AS meeting_id, event_id AS idx, event_id * 5 % 64 AS g FROM events), "
+    f"alike AS (SELECT * FROM (VALUES {ALIKE}) t(p, g)), "
+    + walk_sql("SELECT pv.meeting_id, pv.idx AS l, gv.idx AS r FROM pv JOIN gv ON pv.meeting_id = gv.meeting_id JOIN alike ON alike.p = pv.p AND alike.g = gv.g", "pv")
+    + ", counts AS (SELECT meeting_id, tp, n AS n_pred, n AS n_gold, n - tp AS fp, n - tp AS fn FROM final JOIN (SELECT meeting_id, count(*) AS n FROM pv GROUP BY 1) USING (meeting_id)) "
+    + _prf_sql("counts", "meeting_id, n_pred, n_gold"),
+)
 def partial_matching(spark, sf):
     e = F.col("event_id")
     rows = table(spark, sf, "events").select(F.floor(e / 8).alias("meeting_id"), e.alias("idx"))
     pred = rows.withColumn("task", _pick(PHRASES, F.col("idx") * 11 % 64))
     gold = rows.withColumn("task", F.concat(_pick(PHRASES, F.col("idx") * 5 % 64), F.lit(" Now")))
     counts = evaluation.similar_matches(pred, gold, ["meeting_id"], "task", "task", lx.PARTIAL_MATCH_RATIO)
-    return evaluation.match_metrics(counts)
+    return rounded(evaluation.match_metrics(counts), "precision", "recall", "f1")
 
 
 SPLIT_VECTORS = (
@@ -482,7 +509,7 @@ def semantic_pairs(spark, sf):
     from gavel.functions.pairs import similar_across
 
     pred, gold = split_vectors(spark, sf)
-    found = similar_across(pred, gold, ["meeting_id"], "v", VECTOR_CUT, texts=False)
+    found = similar_across(pred, gold, ["meeting_id"], "v", lx.SEMANTIC_TASK_COSINE, texts=False)
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
@@ -492,22 +519,34 @@ def split_vectors(spark, sf):
     return keyed(F.col("embedding").cast("array<double>")), keyed(near_copy(1))
 
 
+def vector_candidates(threshold: float) -> str:
+    return f"SELECT pv.meeting_id, pv.idx AS l, gv.idx AS r FROM pv JOIN gv ON pv.meeting_id = gv.meeting_id WHERE list_cosine_similarity(pv.v, gv.v) >= {threshold}"
+
+
 WALK = (
-    "cand AS (SELECT pv.meeting_id, pv.idx AS l, gv.idx AS r FROM pv JOIN gv ON pv.meeting_id = gv.meeting_id "
-    f"WHERE list_cosine_similarity(pv.v, gv.v) >= {VECTOR_CUT}), "
-    "ordered AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY idx) AS n FROM pv), "
-    "walk AS (SELECT meeting_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS used FROM (SELECT DISTINCT meeting_id FROM pv) "
-    "UNION ALL SELECT w.meeting_id, w.n + 1, coalesce(list_append(w.used, (SELECT min(c.r) FROM cand c WHERE c.meeting_id = w.meeting_id AND c.l = o.idx AND NOT list_contains(w.used, c.r))), w.used) "
-    "FROM walk w JOIN ordered o ON o.meeting_id = w.meeting_id AND o.n = w.n + 1), "
-    "final AS (SELECT meeting_id, len(list_filter(used, lambda u: u IS NOT NULL)) AS tp FROM walk QUALIFY row_number() OVER (PARTITION BY meeting_id ORDER BY n DESC) = 1), "
-    "counts AS (SELECT meeting_id, tp, np - tp AS fp, ng - tp AS fn FROM final JOIN (SELECT meeting_id, count(*) AS np FROM pv GROUP BY 1) USING (meeting_id) JOIN (SELECT meeting_id, count(*) AS ng FROM gv GROUP BY 1) USING (meeting_id))"
+    walk_sql(vector_candidates(lx.SEMANTIC_TASK_COSINE), "pv")
+    + ", counts AS (SELECT meeting_id, tp, np - tp AS fp, ng - tp AS fn FROM final JOIN (SELECT meeting_id, count(*) AS np FROM pv GROUP BY 1) USING (meeting_id) JOIN (SELECT meeting_id, count(*) AS ng FROM gv GROUP BY 1) USING (meeting_id))"
 )
+# Decisions: a meeting in three has no gold, and its predictions count as false positives.
+DECISION_WALK = (
+    "gold AS (SELECT * FROM gv WHERE meeting_id % 3 <> 0), "
+    + walk_sql(vector_candidates(lx.SEMANTIC_DECISION_COSINE).replace("gv", "gold"), "pv")
+    + ", counts AS (SELECT meeting_id, tp, np - tp AS fp, coalesce(ng, 0) - tp AS fn FROM final JOIN (SELECT meeting_id, count(*) AS np FROM pv GROUP BY 1) USING (meeting_id) LEFT JOIN (SELECT meeting_id, count(*) AS ng FROM gold GROUP BY 1) USING (meeting_id))"
+)
+
+
+@query("decision_matching_j4", "WITH RECURSIVE " + SPLIT_VECTORS + ", " + DECISION_WALK + " " + _prf_sql("counts", "meeting_id"))
+def decision_matching(spark, sf):
+    pred, gold = split_vectors(spark, sf)
+    counts = evaluation.similar_matches(pred, gold.where("meeting_id % 3 <> 0"), ["meeting_id"], "v", "v", lx.SEMANTIC_DECISION_COSINE, vectors=True)
+    measured = evaluation.match_metrics(counts, empty_gold_counts_predictions=True)
+    return rounded(measured.drop("n_pred", "n_gold"), "precision", "recall", "f1")
 
 
 @query("semantic_matching_j3_j4", "WITH RECURSIVE " + SPLIT_VECTORS + ", " + WALK + " " + _prf_sql("counts", "meeting_id"))
 def semantic_matching(spark, sf):
     pred, gold = split_vectors(spark, sf)
-    counts = evaluation.similar_matches(pred, gold, ["meeting_id"], "v", "v", VECTOR_CUT, vectors=True)
+    counts = evaluation.similar_matches(pred, gold, ["meeting_id"], "v", "v", lx.SEMANTIC_TASK_COSINE, vectors=True)
     return rounded(evaluation.match_metrics(counts).drop("n_pred", "n_gold"), "precision", "recall", "f1")
 
 

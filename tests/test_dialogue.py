@@ -243,3 +243,11 @@ def test_models_run_only_where_needed(spark, rows):
     asked = models.apply_where(s.withColumn("is_decision", F.lit(True)), F.col("subject") == "they", "qa_answer", answer(F.col("text")))
     assert asked.where("qa_answer is not null").count() <= 1
     assert extraction.extract(asked.withColumns({"confidence": F.lit(1.0)})).count() == 3
+
+
+def test_parse_annotations_take_one_exchange_and_no_join(spark):
+    tokens = spark.createDataFrame([(1, 1, 0, "Do", "do", "VERB", "VB", "ROOT", 0, None)], "meeting_id int, sentence_id int, i long, text string, lemma string, pos string, tag string, dep string, head long, ent_type string")
+    from gavel.operators.syntax import annotate_from_parse
+
+    plan = annotate_from_parse(tokens)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
