@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -22,15 +18,6 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
-@F.pandas_udf(DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The Ratcliff-Obershelp ratio of two lower-cased texts, Arrow batches in and out."""
-    return pd.Series([
-        SequenceMatcher(None, x.lower(), y.lower()).ratio() if x is not None and y is not None else None
-        for x, y in zip(a, b)
-    ], dtype="float64")
-
-
 def levenshtein_ratio(a: Column, b: Column) -> Column:
     """J2, JVM-side variant: 1 - edit distance / longer length."""
     longer = F.greatest(F.length(a), F.length(b))

@@ -74,7 +74,6 @@ TEMPORAL_OBJECTS = [
     "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday",
 ]
 FIXED_ADDRESSEES = ["PM", "Dev1", "Dev2", "QA", "Designer", "Everyone"]
-TEMPORAL_PREPOSITIONS = ["by", "before", "after", "during", "over", "until", "since", "within"]
 RESULTATIVE_VERBS = ["have", "get", "make", "keep"]
 TRIPLET_PENALTY = {
     "resolved_via_context": 0.2,
@@ -218,11 +217,6 @@ PAIR_CONFIDENCE_FLOOR = 0.8
 PAIR_CONFIDENCE = 0.85
 CONTEXT_SENTENCES = 2
 CONTEXT_SEPARATOR = " [SEP] "
-ZERO_SHOT_HYPOTHESES = [
-    ("decision", "This text is a decision made in the meeting."),
-    ("commitment", "This text is a person committing to do a future action."),
-    ("discussion", "This text is general discussion or opinion."),
-]
 
 # --- fixed values: assignee and deadline ---------------------------------------------------------------
 SELF_SUBJECTS = ["i", "me"]
@@ -384,3 +378,26 @@ CLUSTER_DISTANCE = 0.70
 SUMMARY_PRONOUNS = [("it", "the system"), ("them", "the items"), ("this", "the task")]
 SELF_ASSIGNMENT = ["I will", "I'll", "I can", "let me"]
 DELEGATION = ["can you", "could you"]
+
+# --- fixed values: conversational openings of cluster sentences, longest first --------------------------
+CLUSTER_OPENINGS = [
+    r"^also\s+we\s+need\s+to\s+",
+    r"^maybe\s+we\s+should\s+",
+    r"^i\s+think\s+we\s+should\s+",
+    r"^i\s+will\s+also\s+",
+    r"^i\s+think\s+",
+    r"^we\s+should\s+",
+    r"^we\s+need\s+to\s+",
+    r"^i\s+need\s+to\s+",
+    r"^can\s+you\s+",
+    r"^could\s+you\s+",
+    r"^you\s+should\s+",
+    r"^i\s+will\s+",
+    r"^i'?ll\s+",
+    r"^we'?ll\s+",
+    r"^we\s+will\s+",
+    r"^let\s+me\s+",
+    r"^let'?s\s+",
+    r"^please\s+",
+    r"^also\s+",
+]

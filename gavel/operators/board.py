@@ -327,14 +327,19 @@ def merge_pages(pages: DataFrame, more: DataFrame, order: str) -> DataFrame:
 
 
 PROJECT_RESPONSE = {
-    "id": "id", "teamId": "team_id", "ownerId": "owner_id", "name": "name", "isArchived": "is_archived",
+    "id": "id", "teamId": "team_id", "ownerId": "owner_id", "name": "name", "description": "description", "isArchived": "is_archived",
     "createdBy": "created_by", "createdAt": "created_at", "updatedAt": "updated_at",
 }
 TASK_RESPONSE = {
-    "id": "id", "projectId": "project_id", "teamId": "team_id", "meetingId": "meeting_id", "title": "title",
-    "status": "status", "priority": "priority", "ownerId": "owner_id", "deadline": "due_date",
+    "id": "id", "projectId": "project_id", "teamId": "team_id", "meetingId": "meeting_id",
+    "transcriptReference": "transcript_reference", "title": "title", "description": "description", "status": "status", "priority": "priority", "ownerId": "owner_id", "deadline": "due_date",
     "createdAt": "created_at", "updatedAt": "updated_at",
 }
+TRANSCRIPT_RESPONSE = {
+    "id": "id", "meetingId": "meeting_id", "processingStatus": "processing_status", "errorMessage": "error_message",
+    "createdAt": "created_at", "processedAt": "processed_at", "content": "raw_text", "summary": "_summary",
+    "actionItemIds": "_ids", "actionItems": "_items",
+}
 NOTIFICATION_RESPONSE = {"id": "id", "message": "message", "type": "type", "read": "read", "createdAt": "created_at"}
 
 
@@ -353,6 +358,29 @@ def task_response(tasks: DataFrame) -> DataFrame:
     return respond(tasks.withColumn("_ids", ids), {**TASK_RESPONSE, "assigneeIds": "_ids"})
 
 
+def transcript_response(transcripts: DataFrame) -> DataFrame:
+    """`action_items` (structs with a `title`) and `action_item_ids` may be null; without a summary one is made
+    of the number of items and the first three titles."""
+    titles = F.transform(F.slice("action_items", 1, 3), lambda i: F.coalesce(i["title"], F.lit("Untitled")))
+    made = F.concat(
+        F.lit("Meeting produced "), F.size("action_items").cast("string"), F.lit(" action items. Key actions: "),
+        F.array_join(titles, ", "), F.lit("."),
+    )
+    some = F.coalesce(F.size("action_items"), F.lit(0)) > 0
+    return respond(
+        transcripts.withColumns({
+            "_summary": F.coalesce(F.nullif(F.col("summary_text"), F.lit("")), F.when(some, made), F.lit("")),
+            "_ids": F.coalesce(F.col("action_item_ids").cast("array<string>"), F.array().cast("array<string>")),
+            "_items": F.when(F.col("action_items").isNull(), F.filter(F.array(F.lit(None).cast(dict(transcripts.dtypes)["action_items"][6:-1])), lambda x: x.isNotNull())).otherwise(F.col("action_items")),
+        }),
+        TRANSCRIPT_RESPONSE,
+    )
+
+
+def notification_response(notifications: DataFrame) -> DataFrame:
+    return respond(notifications, NOTIFICATION_RESPONSE)
+
+
 def team_sizes(teams: DataFrame) -> DataFrame:
     """K29 and the owner count of K34."""
     return teams.select(

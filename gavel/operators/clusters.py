@@ -22,30 +22,6 @@ def reach_of(least: float) -> int:
     return int((1.0 / least - 1.0) / lx.POSITION_DECAY + 1e-9)
 
 
-# --- fixed values: conversational openings of cluster sentences, longest first --------------------------
-CLUSTER_OPENINGS = [
-    r"^also\s+we\s+need\s+to\s+",
-    r"^maybe\s+we\s+should\s+",
-    r"^i\s+think\s+we\s+should\s+",
-    r"^i\s+will\s+also\s+",
-    r"^i\s+think\s+",
-    r"^we\s+should\s+",
-    r"^we\s+need\s+to\s+",
-    r"^i\s+need\s+to\s+",
-    r"^can\s+you\s+",
-    r"^could\s+you\s+",
-    r"^you\s+should\s+",
-    r"^i\s+will\s+",
-    r"^i'?ll\s+",
-    r"^we'?ll\s+",
-    r"^we\s+will\s+",
-    r"^let\s+me\s+",
-    r"^let'?s\s+",
-    r"^please\s+",
-    r"^also\s+",
-]
-
-
 def adjusted_similarity(cos: Column, gap: Column, same_action: Column, other_object: Column) -> Column:
     """O1: cosine times position weight times object-mismatch factor; 0 below the cosine gate."""
     weight = F.lit(1.0) / (F.lit(1.0) + F.lit(lx.POSITION_DECAY) * F.abs(gap))
@@ -177,7 +153,7 @@ def cluster_arrays(clustered: DataFrame) -> DataFrame:
 
 def clean_sentence(text: Column) -> Column:
     """O4."""
-    return tx.clean_cluster_sentence(text, CLUSTER_OPENINGS)
+    return tx.clean_cluster_sentence(text, lx.CLUSTER_OPENINGS)
 
 
 def representatives(clustered: DataFrame) -> DataFrame:

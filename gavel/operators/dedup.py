@@ -82,8 +82,3 @@ def near_titles(tasks: DataFrame, threshold: float = lx.DUPLICATE_SIMILARITY, ti
     close = (F.col("a") < F.col("b")) & (F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * threshold - 1e-9)
     pairs = a.join(b, "w").where(close).select("a", "b", (shared / (F.col("a_size") + F.col("b_size") - shared)).alias("similarity"))
     return pairs.where(F.col("similarity") >= threshold).distinct()
-
-
-def deduplicate(tasks: DataFrame, threshold: float = lx.DUPLICATE_SIMILARITY, vectors: str | None = None) -> DataFrame:
-    """I1, then I4 on what is left; the first pass also keeps the pair step small."""
-    return drop_similar(drop_equal_titles(tasks), threshold, vectors)

@@ -514,12 +514,12 @@ def page_merge(spark, sf):
     "project_response_k28",
     ck.with_ctes(
         PROJECTS,
-        select='SELECT id, team_id AS "teamId", owner_id AS "ownerId", name, is_archived AS "isArchived", created_by AS "createdBy", created_at AS "createdAt", updated_at AS "updatedAt", '
+        select='SELECT id, team_id AS "teamId", owner_id AS "ownerId", name, \'about \' || name AS description, is_archived AS "isArchived", created_by AS "createdBy", created_at AS "createdAt", updated_at AS "updatedAt", '
         "(SELECT string_agg(user_id::VARCHAR, ',' ORDER BY k) FROM project_members m WHERE m.project_id = p.id) AS \"participantIds\" FROM projects p",
     ),
 )
 def project_response(spark, sf):
-    out = board.project_response(projects(spark, sf))
+    out = board.project_response(projects(spark, sf).withColumn("description", F.concat(F.lit("about "), "name")))
     return out.withColumn("participantIds", F.array_join(F.col("participantIds").cast("array<string>"), ","))
 
 
@@ -527,16 +527,42 @@ def project_response(spark, sf):
     "task_response_k28",
     ck.with_ctes(
         TASKS,
-        select='SELECT id, project_id AS "projectId", meeting_id AS "meetingId", title, due_date AS deadline, coalesce(CAST(assignee_id AS VARCHAR), \'\') AS "assigneeIds" FROM tasks',
+        select='SELECT id, project_id AS "projectId", meeting_id AS "meetingId", transcript_reference AS "transcriptReference", title, description, due_date AS deadline, coalesce(CAST(assignee_id AS VARCHAR), \'\') AS "assigneeIds" FROM tasks',
     ),
 )
 def task_response(spark, sf):
     t = tasks(spark, sf).withColumn("updated_at", F.col("created_at"))
     return board.task_response(t).select(
-        "id", "projectId", "meetingId", "title", "deadline", F.array_join(F.col("assigneeIds").cast("array<string>"), ",").alias("assigneeIds")
+        "id", "projectId", "meetingId", "transcriptReference", "title", "description", "deadline", F.array_join(F.col("assigneeIds").cast("array<string>"), ",").alias("assigneeIds")
     )
 
 
+@query(
+    "transcript_response_k28",
+    ck.with_ctes(
+        TASKS,
+        "items AS (SELECT transcript_reference AS id, list(title ORDER BY id) AS titles FROM tasks GROUP BY 1)",
+        select="""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'Given ' || o_orderkey WHEN len(titles) > 0 THEN 'Meeting produced ' || len(titles) || ' action items. Key actions: ' || array_to_string(titles[1:3], ', ') || '.' ELSE '' END AS summary, """
+        """o_orderstatus AS "processingStatus", coalesce(len(titles), 0)::INTEGER AS items FROM orders LEFT JOIN items ON items.id = o_orderkey""",
+    ),
+)
+def transcript_response(spark, sf):
+    o = F.col("o_orderkey")
+    pair = F.struct("id", "title")
+    items = tasks(spark, sf).groupBy(F.col("transcript_reference").alias("id")).agg(F.array_sort(F.collect_list(pair)).alias("action_items"))
+    rows = table(spark, sf, "orders").select(
+        o.alias("id"), o.alias("meeting_id"), F.col("o_orderstatus").alias("processing_status"), F.lit(None).cast("string").alias("error_message"), F.col("o_orderdate").alias("created_at"),
+        F.lit(None).cast("timestamp").alias("processed_at"), F.lit("").alias("raw_text"), F.when(o % 3 == 0, F.concat(F.lit("Given "), o)).otherwise("").alias("summary_text"),
+    )
+    full = rows.join(items, "id", "left").withColumn("action_item_ids", F.transform("action_items", lambda i: i["id"]))
+    return board.transcript_response(full).select("id", "summary", "processingStatus", F.size("actionItems").alias("items"))
+
+
+@query("notification_response_k28", ck.with_ctes(NOTES, select='SELECT id, message, type, read, created_at AS "createdAt" FROM notes'))
+def notification_response(spark, sf):
+    return board.notification_response(notes(spark, sf))
+
+
 @query(
     "team_sizes_k29",
     ck.with_ctes(TEAMS, select="SELECT t.id, name, CAST(count(*) AS INTEGER) AS members, CAST(count(*) FILTER (role = 'OWNER') AS INTEGER) AS owners FROM teams t JOIN team_members m ON m.team_id = t.id GROUP BY 1, 2"),

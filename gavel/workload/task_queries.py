@@ -671,8 +671,9 @@ def annotator_agreement(spark, sf):
 
 # --- O -------------------------------------------------------------------------------------------------
 DECISIONS = (
+    f"near AS (SELECT label, vec_id * 3 + k AS vec_id, {_copies_sql('k')} AS embedding FROM embeddings, (SELECT unnest([0, 1, 2]) AS k)), "
     "decs AS (SELECT label AS meeting_id, vec_id AS sentence_id, embedding::DOUBLE[] AS v, CASE WHEN vec_id % 5 < 4 THEN 'act' || (vec_id % 3) END AS action, "
-    f"'obj' || (vec_id % 4) AS object, ({ck.sql_list(NAMES)})[vec_id % 7 + 1] AS speaker, {ck._TEXT}[vec_id % 64 + 1] AS text FROM embeddings)"
+    f"'obj' || (vec_id % 4) AS object, ({ck.sql_list(NAMES)})[vec_id % 7 + 1] AS speaker, {ck._TEXT}[vec_id % 64 + 1] AS text FROM near)"
 )
 
 
@@ -681,9 +682,9 @@ PAIR_SIMILARITY = 0.1
 
 
 def decisions(spark, sf):
-    v = F.col("vec_id")
-    return table(spark, sf, "embeddings").select(
-        F.col("label").alias("meeting_id"), v.alias("sentence_id"), F.col("embedding").alias("vector"),
+    v = F.col("vec_id") * 3 + F.col("k")
+    return table(spark, sf, "embeddings").withColumn("k", F.explode(F.array(*map(F.lit, range(3))))).select(
+        F.col("label").alias("meeting_id"), v.alias("sentence_id"), near_copy(F.col("k")).alias("vector"),
         F.when(v % 5 < 4, F.concat(F.lit("act"), v % 3)).alias("action"), F.concat(F.lit("obj"), v % 4).alias("object"),
         _pick(NAMES, v % 7).alias("speaker"), _pick(PHRASES, v % 64).alias("text"),
     )
@@ -734,7 +735,7 @@ def cluster_arrays(spark, sf):
 
 def _cluster_clean(column: str) -> str:
     out = ck.trim(column)
-    for opening in clusters.CLUSTER_OPENINGS:
+    for opening in lx.CLUSTER_OPENINGS:
         out = ck.trim(ck.sub(out, opening, "", "i"))
     for filler in lx.TITLE_FILLERS:
         out = ck.trim(ck.sub(out, filler))
