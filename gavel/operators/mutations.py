@@ -355,15 +355,15 @@ def cleaned_count(table: DataFrame, pattern: str = lx.CLEANUP_NAMES) -> DataFram
     return table.agg(F.count_if(F.col("name").rlike(pattern)).alias("deleted"))
 
 
-def sync_by_position(tasks: DataFrame, edits: DataFrame, order: str = "id") -> DataFrame:
+def sync_by_position(tasks: DataFrame, edits: DataFrame, order: str = "id", shares: int = 64) -> DataFrame:
     """The n-th task of a transcript takes the n-th edited item `(transcript_id, pos)`, `pos` from 1.
 
     Only the first tasks of a transcript, as many as it has edited positions, can change. They are found in
-    two steps, first inside random shares of the transcript's tasks, then among the few that are left, so that
+    two steps, first inside `shares` random shares of the transcript's tasks, then among the few that are left, so that
     a transcript of any size is ranked in parallel.
     """
     reach = edits.groupBy(F.col("transcript_id").alias("transcript_reference")).agg(F.max("pos").alias("_reach"))
-    asked = tasks.join(reach, "transcript_reference", "left").withColumn("_share", F.pmod(F.xxhash64(order), F.lit(64)))
+    asked = tasks.join(reach, "transcript_reference", "left").withColumn("_share", F.pmod(F.xxhash64(order), F.lit(shares)))
     share = Window.partitionBy("transcript_reference", "_share").orderBy(order)
     first = asked.withColumn("_rank", F.row_number().over(share)).withColumn(
         "_near", F.coalesce(F.col("_rank") <= F.col("_reach"), F.lit(False))

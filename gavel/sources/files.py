@@ -17,16 +17,6 @@ def file_stem(suffix: str) -> Column:
     return F.regexp_extract(name, rf"^(.*){escaped}$", 1)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan with fewer splits than cores one partition per core before row-wise heavy work.
-
-    Large inputs come with more splits than that and stay untouched; only small or unsplittable files are
-    redistributed.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """A1, A2: one row per `*.txt` file, `meeting_id` from its name.
 

@@ -14,7 +14,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavel.sources.files import spread
 
 NAMES = ["Mara", "Theo", "Priya", "Luca", "Ines", "Omar", "Wei"]
 
@@ -92,6 +91,12 @@ def _pick(values: list[str], index: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
 
 
+def event_rows(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The events that name the rows, dealt evenly: wordings of many characters are made from each narrow row."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(*columns)
+    return rows.repartition(spark.sparkContext.defaultParallelism)
+
+
 def standups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`(meeting_id, raw_text)`, one transcript per event."""
     e = F.col("event_id")
@@ -108,7 +113,7 @@ def standups(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(LINES - 1)), lambda k: line(k.cast("long"))), "\n")
-    events = spread(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id"))
+    events = event_rows(spark, sf_dir, "event_id")
     return events.select(e.alias("meeting_id"), text.alias("raw_text"))
 
 
@@ -117,7 +122,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     first = _pick(PHRASES, (e * 11 + F.floor(e / 64)) % 64)
     second = _pick(PHRASES, (e * 5 + 3) % 64)
-    return spread(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id")).select(
+    return event_rows(spark, sf_dir, "event_id", "user_id").select(
         F.col("user_id").alias("meeting_id"),
         e.alias("turn_id"),
         _pick(NAMES, (e + F.floor(e / 50)) % 7).alias("speaker"),
