@@ -1,25 +1,26 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
+"""Benchmark decontamination: exact weighted Jaccard of item-sized windows, found from shared shingles.
 
-A window of a document is as many words as a benchmark item has. Its SimHash over word shingles is looked up in an
-index of the items' fingerprints: 64 bits are cut into radius + 1 blocks, so two fingerprints within the radius agree
-in at least one block. Candidates within the radius are verified by the exact weighted Jaccard similarity of their
-shingles (weight: number of occurrences).
+A window of a document is as many words as a benchmark item has; a document with fewer words is one window. Windows
+and items are compared by the weighted Jaccard similarity of their word shingles (weight: number of occurrences).
 
-Windows that share no shingle with an item of their size have similarity 0 to all of them, so only others are
-fingerprinted. They are found from anchors: each item shingle is looked up by its longest word (the alphabetically first of equal ones); a document
-word that is an anchor is checked for the whole shingle around it, which fixes the window's place. No window that
-could be verified is lost by this. The radius leaves room: at similarity 0.8 fingerprints differ in some 10 bits.
+Item shingles are looked up by their longest word (the alphabetically first of equal ones): a document word that is
+such an anchor is checked for the whole shingle around it. The shingles that a document shares with an item are
+joined by the shingle; pairs with too few of them for any window go. For the others the best of all windows is found
+exactly: each shared occurrence counts in a range of starts, from which it enters the window to where it leaves,
+and the start where most ranges meet is the best, wherever the shingles stand in the item. Nothing is estimated.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gavel.functions.text import once
+
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 22
-BITS = 64
 BROADCAST_ROWS = 200_000  # of distinct anchor words (some 20 MB); more are joined by shuffle
 
 
@@ -36,28 +37,13 @@ def shingles_of(words: Column, size: int = SHINGLE) -> Column:
     return F.when(F.size(words) >= size, several).when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(none)
 
 
-def _fingerprint(hash_col: str, weight: str) -> Column:
-    """SimHash as an aggregate: bit b is set where more than half of the weight has it."""
-    total = F.sum(weight)
-    bits = [F.when(F.sum(F.shiftrightunsigned(hash_col, b).bitwiseAND(F.lit(1)) * F.col(weight)) * 2 > total, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")) for b in range(BITS)]
-    out = bits[0]
-    for b in range(1, BITS):
-        out = out.bitwiseOR(F.shiftleft(bits[b], b))
-    return out
-
-
-def _blocks(fingerprint: Column, radius: int) -> Column:
-    """radius + 1 values: number of the block and its bits."""
-    cuts = [BITS * i // (radius + 1) for i in range(radius + 2)]
-    parts = [
-        F.lit(i).cast("long") * (1 << 32) + F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1))
-        for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))
-    ]
-    return F.array(*parts)
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body with the value computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def _anchored_items(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> tuple[DataFrame, DataFrame]:
-    """(item, n_words, shingle, at) of each shingle place, and (word, anchors) of each anchor word.
+    """(item, n_words, shingle, weight) of each shingle, and (word, anchors) of each anchor word.
 
     Equal wordings are one item, named by the smallest id; items without words are left out.
     """
@@ -68,48 +54,63 @@ def _anchored_items(benchmark: DataFrame, id_col: str, text_col: str, size: int)
     inside = F.slice("words", F.col("at") + 1, size)
     longest = F.array_sort(F.transform(inside, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w"))))[0]["w"]
     places = places.withColumn("inside", inside).withColumn("word", longest).withColumn("skip", (F.array_position("inside", F.col("word")) - 1).cast("int"))
-    anchors = places.groupBy("word").agg(F.collect_set(F.struct("shingle", "skip", "at", "n_words")).alias("anchors"))
-    return places.select("item", "n_words", "shingle", "at"), anchors
+    anchors = places.groupBy("word").agg(F.collect_set(F.struct("shingle", "skip", F.size("inside").alias("n"))).alias("anchors"))
+    return places.groupBy("item", "n_words", "shingle").agg(F.count("*").cast("int").alias("weight")), anchors
+
+
+def _best_window(hits: Column, window: Column, last: Column) -> Column:
+    """(both, at): most shingles that a window shares with the item, occurrences counted up to the item's, and its start.
+
+    hits: sorted structs (shingle, at, weight); window: shingles in a window; last: the last start. An occurrence
+    counts in the windows that hold it, but not as many equal ones before it as the item has. These are windows
+    with consecutive starts; the largest number of such ranges that meet in one start is the answer, and it is reached where
+    one of them begins.
+    """
+    def events(found: Column) -> Column:
+        def of(h: Column, i: Column) -> Column:
+            before = F.get(found, i - h["weight"])
+            after = F.when(before["shingle"] == h["shingle"], before["at"] + 1).otherwise(F.lit(0))
+            low, high = F.greatest(after, h["at"] - window + 1, F.lit(0)), F.least(h["at"], last)
+            pair = F.array(F.struct(low.alias("at"), F.lit(1).alias("add")), F.struct((high + 1).alias("at"), F.lit(-1).alias("add")))
+            return F.when(low <= high, pair).otherwise(F.filter(pair, lambda _: F.lit(False)))
+
+        return F.array_sort(F.flatten(F.transform(found, of)))  # at one start, ends before beginnings
+
+    none = F.struct(F.lit(0).alias("now"), F.lit(0).alias("both"), F.lit(0).alias("at"))
+    step = lambda s, e: _let(s["now"] + e["add"], lambda now: F.struct(now.alias("now"), F.greatest(s["both"], now).alias("both"), F.when(now > s["both"], e["at"]).otherwise(s["at"]).alias("at")))
+    return _let(hits, lambda found: F.aggregate(events(found), none, step))
 
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    size: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS,
+    size: int = SHINGLE, similarity: float = SIMILARITY,
 ) -> DataFrame:
-    """(digest, item, at, similarity): windows of texts that are like an item, by the MD5 of the text.
+    """(digest, item, at, similarity): the window of each text that is most like an item, by the MD5 of the text.
 
     `at` is the window's first word, from 0. Equal texts have equal results and are searched as they come. Null and
-    empty texts and items have no windows. A text shorter than an item is no window of its size; texts and items of
-    fewer words than a shingle are one shingle.
+    empty texts and items have no windows. A text shorter than an item is one window; texts and items of fewer words
+    than a shingle are one shingle.
     """
-    places, anchors = _anchored_items(benchmark, item_col, item_text, size)
-    counted = places.groupBy("item", "n_words", "shingle").agg(F.count("*").alias("weight"))
+    shingles, anchors = _anchored_items(benchmark, item_col, item_text, size)
     if anchors.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         anchors = F.broadcast(anchors)
     texts = docs.select(F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"), words_of(F.col(text_col)).alias("words"))
-    hits = texts.select("digest", "words", F.posexplode("words").alias("pos", "word")).join(anchors, "word")
-    hits = hits.select("digest", "words", "pos", F.explode("anchors").alias("a")).select("digest", "words", "a.n_words", "a.shingle", (F.col("pos") - F.col("a.skip")).alias("from"), (F.col("pos") - F.col("a.skip") - F.col("a.at")).alias("at"))
-    inside = (F.col("from") >= 0) & (F.col("at") >= 0) & (F.col("at") + F.col("n_words") <= F.size("words"))
-    same = F.xxhash64(F.slice("words", F.greatest(F.col("from"), F.lit(0)) + 1, F.least(F.lit(size), F.col("n_words")))) == F.col("shingle")
-    windows = hits.where(inside & same).select("digest", "n_words", "at", F.slice("words", F.col("at") + 1, F.col("n_words")).alias("window"))
-    windows = windows.dropDuplicates(["digest", "n_words", "at"])
-
-    parts = windows.select("digest", "n_words", "at", F.explode(shingles_of(F.col("window"), size)).alias("shingle"))
-    parts = parts.groupBy("digest", "n_words", "at", "shingle").agg(F.count("*").alias("weight"))
-    printed = parts.groupBy("digest", "n_words", "at").agg(
-        _fingerprint("shingle", "weight").alias("fp"), F.collect_list(F.struct("shingle", "weight")).alias("shingles"),
-    )
-    items = counted.groupBy("item", "n_words").agg(_fingerprint("shingle", "weight").alias("item_fp"), F.collect_list(F.struct("shingle", "weight")).alias("item_shingles"))
-    index = items.select("n_words", "item", "item_fp", "item_shingles", F.explode(_blocks(F.col("item_fp"), radius)).alias("block"))
-    shared = F.aggregate(_blocks(F.col("fp").bitwiseXOR(F.col("item_fp")), radius), F.struct(F.lit(-1).alias("first"), F.lit(0).alias("i")), lambda s, b: F.struct(F.when((s["first"] < 0) & (F.pmod(b, F.lit(1 << 32)) == 0), s["i"]).otherwise(s["first"]).alias("first"), (s["i"] + 1).alias("i")))["first"]
-    near = printed.withColumn("block", F.explode(_blocks(F.col("fp"), radius))).join(index, ["n_words", "block"])
-    # a pair counts once, in the first block that it shares
-    near = near.where((F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius) & (shared == F.floor(F.col("block") / (1 << 32))))
-    own = F.map_from_entries("item_shingles")
-    both = F.aggregate("shingles", F.lit(0).cast("long"), lambda s, x: s + F.least(x["weight"], F.coalesce(F.try_element_at(own, x["shingle"]), F.lit(0).cast("long"))))
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x["weight"])
-    near = near.select("digest", "item", "at", both.alias("both"), (total("shingles") + total("item_shingles")).alias("all"))
-    result = near.select("digest", "item", "at", (F.col("both") / (F.col("all") - F.col("both"))).alias("similarity"))
+    found = texts.select("digest", "words", F.posexplode("words").alias("pos", "word")).join(anchors, "word")
+    found = found.select("digest", "words", "pos", F.explode("anchors").alias("a")).select("digest", "words", (F.col("pos") - F.col("a.skip")).alias("at"), "a.n", "a.shingle")
+    inside = (F.col("at") >= 0) & (F.col("at") + F.col("n") <= F.size("words"))
+    same = F.xxhash64(F.slice("words", F.greatest(F.col("at"), F.lit(0)) + 1, F.col("n"))) == F.col("shingle")
+    found = found.where(inside & same).select("digest", F.size("words").alias("n_text"), "at", "shingle").distinct()
+
+    # shingles of an item's own window, of the text's
+    own = F.greatest(F.col("n_words") - (size - 1), F.lit(1))
+    window = F.when(F.col("n_text") >= F.col("n_words"), own).otherwise(F.greatest(F.col("n_text") - (size - 1), F.lit(1)))
+    least = lambda a, b: F.ceil((a + b) * (similarity / (1 + similarity)) - 1e-6)  # noqa: E731  # that two of these sizes must share
+    found = found.join(shingles, "shingle").withColumns({"own": own, "window": window})
+    pairs = found.groupBy("digest", "item", "n_words", "n_text", "own", "window").agg(F.collect_list(F.struct("shingle", "at", "weight")).alias("hits"))
+    pairs = pairs.where(F.size("hits") >= least(F.col("own"), F.col("window")))
+    best = once(pairs, "best", _best_window(F.array_sort("hits"), F.col("window"), F.greatest(F.col("n_text") - F.col("n_words"), F.lit(0))))
+    both = F.col("best.both")
+    result = best.select("digest", "item", F.col("best.at").alias("at"), (both / (F.col("own") + F.col("window") - both)).alias("similarity"))
     return result.where(F.col("similarity") >= similarity)
 
 

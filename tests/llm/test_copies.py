@@ -134,6 +134,28 @@ def test_leaks_by_brute_force(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in decontamination.leaks(d, b).collect()} == expected
 
 
+def test_leaks_at_text_edges_and_of_moved_words(spark):
+    item = [f"i{k}" for k in range(60)]
+    other = [f"o{k}" for k in range(80)]
+    docs = [
+        (1, item[2:] + other), (2, other + item[:-2]), (3, item[30:] + item[:30]), (4, item[:-1]), (5, other + item[31:] + item[:29] + other),
+        (6, item[:40] + other), (7, item[:20]), (8, item[:1]), (9, other[:5] + item[:20] + ["new"] + item[20:] + other),
+    ]
+    items = [(1, " ".join(item)), (2, "i0 i1 i2"), (3, "i58 i59 o0 o1")]
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    found = decontamination.leaks(d, spark.createDataFrame(items, "item_id long, text string"))
+    target = Counter(shingles(item, 5))
+    expected = {}
+    for i, w in docs:
+        for a in range(max(1, len(w) - 59)):
+            own = Counter(shingles(w[a : a + 60], 5))
+            both = sum((own & target).values())
+            expected[i] = max(expected.get(i, 0), both / (sum(own.values()) + sum(target.values()) - both))
+    assert {1, 2, 3, 4, 5, 9} == {i for i, s in expected.items() if s >= 0.8}
+    assert {r.doc_id: r.similarity for r in found.where("item_id = 1").collect()} == {i: s for i, s in expected.items() if s >= 0.8}
+    assert {(r.doc_id, r.item_id) for r in found.where("item_id > 1").collect()} == {(i, n) for i, w in docs for n, t in items[1:] if f" {t} " in f" {' '.join(w)} "}
+
+
 def test_leak_rows(spark):
     docs, items = awkward(spark), spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
     assert [r.doc_id for r in decontamination.leaks(docs, items).collect()] == [8]
