@@ -42,20 +42,22 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _anchored_items(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> tuple[DataFrame, DataFrame]:
-    """(item, n_words, shingle, weight) of each shingle, and (word, anchors) of each anchor word.
+def _anchored_items(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(key, item) of each wording, (key, n_words, shingle, weight) of its shingles, and (word, anchors) of each anchor word.
 
-    Equal wordings are one item, named by the smallest id; items without words are left out.
+    Equal wordings are one item, named by the smallest id; items without words are left out. An item's key is the MD5
+    of its words, as ids may be null or repeated.
     """
     items = benchmark.select(F.col(id_col).alias("item"), words_of(F.col(text_col)).alias("words")).where(F.size("words") > 0)
-    items = items.groupBy("words").agg(F.min("item").alias("item"))
-    items = items.select("item", "words", F.size("words").alias("n_words"), shingles_of(F.col("words"), size).alias("shingles"))
-    places = items.select("item", "words", "n_words", F.posexplode("shingles").alias("at", "shingle"))
+    items = items.groupBy("words").agg(F.min("item").alias("item")).withColumn("key", F.md5(F.concat_ws(" ", "words")))
+    names = items.select("key", "item")
+    items = items.select("key", "words", F.size("words").alias("n_words"), shingles_of(F.col("words"), size).alias("shingles"))
+    places = items.select("key", "words", "n_words", F.posexplode("shingles").alias("at", "shingle"))
     inside = F.slice("words", F.col("at") + 1, size)
     longest = F.array_sort(F.transform(inside, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w"))))[0]["w"]
     places = places.withColumn("inside", inside).withColumn("word", longest).withColumn("skip", (F.array_position("inside", F.col("word")) - 1).cast("int"))
     anchors = places.groupBy("word").agg(F.collect_set(F.struct("shingle", "skip", F.size("inside").alias("n"))).alias("anchors"))
-    return places.groupBy("item", "n_words", "shingle").agg(F.count("*").cast("int").alias("weight")), anchors
+    return names, places.groupBy("key", "n_words", "shingle").agg(F.count("*").cast("int").alias("weight")), anchors
 
 
 def _best_window(hits: Column, window: Column, last: Column) -> Column:
@@ -89,9 +91,9 @@ def contaminated(
 
     `at` is the window's first word, from 0. Equal texts have equal results and are searched as they come. Null and
     empty texts and items have no windows. A text shorter than an item is one window; texts and items of fewer words
-    than a shingle are one shingle.
+    than a shingle are one shingle. Wordings that share an id, or have none, are searched one by one.
     """
-    shingles, anchors = _anchored_items(benchmark, item_col, item_text, size)
+    names, shingles, anchors = _anchored_items(benchmark, item_col, item_text, size)
     if anchors.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         anchors = F.broadcast(anchors)
     texts = docs.select(F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"), words_of(F.col(text_col)).alias("words"))
@@ -106,12 +108,12 @@ def contaminated(
     window = F.when(F.col("n_text") >= F.col("n_words"), own).otherwise(F.greatest(F.col("n_text") - (size - 1), F.lit(1)))
     least = lambda a, b: F.ceil((a + b) * (similarity / (1 + similarity)) - 1e-6)  # noqa: E731  # that two of these sizes must share
     found = found.join(shingles, "shingle").withColumns({"own": own, "window": window})
-    pairs = found.groupBy("digest", "item", "n_words", "n_text", "own", "window").agg(F.collect_list(F.struct("shingle", "at", "weight")).alias("hits"))
+    pairs = found.groupBy("digest", "key", "n_words", "n_text", "own", "window").agg(F.collect_list(F.struct("shingle", "at", "weight")).alias("hits"))
     pairs = pairs.where(F.size("hits") >= least(F.col("own"), F.col("window")))
     best = once(pairs, "best", _best_window(F.array_sort("hits"), F.col("window"), F.greatest(F.col("n_text") - F.col("n_words"), F.lit(0))))
     both = F.col("best.both")
-    result = best.select("digest", "item", F.col("best.at").alias("at"), (both / (F.col("own") + F.col("window") - both)).alias("similarity"))
-    return result.where(F.col("similarity") >= similarity)
+    result = best.select("digest", "key", F.col("best.at").alias("at"), (both / (F.col("own") + F.col("window") - both)).alias("similarity"))
+    return result.where(F.col("similarity") >= similarity).join(names, "key").select("digest", "item", "at", "similarity")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

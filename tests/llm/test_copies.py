@@ -156,6 +156,16 @@ def test_leaks_at_text_edges_and_of_moved_words(spark):
     assert {(r.doc_id, r.item_id) for r in found.where("item_id > 1").collect()} == {(i, n) for i, w in docs for n, t in items[1:] if f" {t} " in f" {' '.join(w)} "}
 
 
+def test_items_that_share_an_id_or_have_none(spark):
+    wordings = {name: " ".join(f"{name}{k}" for k in range(n)) for name, n in (("a", 20), ("b", 20), ("c", 12), ("d", 12), ("e", 9))}
+    items = [(None, wordings["a"]), (None, wordings["b"]), (7, wordings["c"]), (7, wordings["d"]), (7, wordings["e"])]
+    docs = spark.createDataFrame([(i, f"before {t} after") for i, t in enumerate(wordings.values())] + [(9, wordings["c"] + " " + wordings["d"])], "doc_id long, text string")
+    items = spark.createDataFrame(items, "item_id long, text string")
+    found = [tuple(r) for r in decontamination.leaks(docs, items).collect()]
+    assert sorted(found, key=str) == [(0, None, 1.0), (1, None, 1.0), (2, 7, 1.0), (3, 7, 1.0), (4, 7, 1.0), (9, 7, 1.0)]
+    assert decontamination.drop_leaks(docs, items).count() == 0
+
+
 def test_leak_rows(spark):
     docs, items = awkward(spark), spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
     assert [r.doc_id for r in decontamination.leaks(docs, items).collect()] == [8]
