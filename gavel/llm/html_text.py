@@ -2,7 +2,7 @@
 
 A page is cut at its block tags into flat blocks. A block's features are the word counts and link densities of the
 block before it, itself and the block after it, and what its containers say (-1: a menu, footer, advert or the like;
-1: the article; 0: nothing). A decision tree, trained on the small labelled table below, keeps or drops it.
+-0.5: perhaps one, as part of a name says so; 1: the article; 0: nothing). A decision tree, trained on the small labelled table below, keeps or drops it.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ CONTAINERS = frozenset("div section article main nav aside header footer form ul
 OUTSIDE = frozenset("nav aside footer form dialog menu search".split())
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
 NAME_PARTS = re.compile(r"[a-z]+")
+CONTENT_NAMES = frozenset("article body content entry layout main page post story text wrapper".split())
+BY_TAG, BY_NAME, DOUBTFUL = -2, -1, -0.5  # what containers say against their text; by tag counts as -1
 OUTSIDE_NAMES = frozenset(
     "nav navbar navigation menu footer header masthead sidebar ad ads advert adverts advertisement advertising promo promotion sponsor sponsored banner "
     "cookie cookies consent gdpr notice notices alert popup modal overlay comment comments discussion replies reply respond disqus share sharing social "
@@ -52,6 +54,11 @@ LABELLED = (
     (0, 0, 1, 100, 1, 100, -1, 0), (1, 100, 2, 100, 9, 0, -1, 0), (60, 0, 12, 0, 0, 0, -1, 0), (2, 100, 9, 0, 10, 0, -1, 0),
     (40, 0, 45, 0, 30, 0, -1, 0), (45, 0, 30, 0, 0, 0, -1, 0), (80, 0, 70, 5, 60, 0, -1, 0), (3, 0, 2, 0, 3, 0, -1, 0),
     (50, 0, 20, 0, 2, 100, -1, 0), (0, 0, 25, 10, 5, 100, -1, 0), (9, 0, 6, 50, 50, 0, -1, 0), (1, 100, 1, 0, 60, 0, -1, 0),
+    # inside a container of which part of a name is that of a menu, footer, advert, notice, comment
+    (0, 0, 60, 0, 45, 2, -0.5, 1), (60, 0, 45, 2, 80, 0, -0.5, 1), (45, 2, 30, 0, 0, 0, -0.5, 1), (1, 100, 70, 5, 1, 100, -0.5, 1),
+    (9, 0, 25, 10, 40, 0, -0.5, 1), (80, 0, 90, 10, 2, 100, -0.5, 1), (2, 0, 40, 0, 50, 0, -0.5, 1), (30, 0, 35, 5, 3, 0, -0.5, 1),
+    (0, 0, 2, 0, 1, 100, -0.5, 0), (60, 0, 5, 0, 0, 0, -0.5, 0), (1, 100, 3, 0, 0, 0, -0.5, 0), (40, 0, 4, 0, 2, 100, -0.5, 0),
+    (60, 0, 12, 80, 10, 90, -0.5, 0), (2, 100, 1, 100, 1, 100, -0.5, 0), (12, 90, 30, 85, 20, 90, -0.5, 0), (3, 0, 6, 50, 2, 100, -0.5, 0),
 )
 FEATURES = ("words_before", "links_before", "words", "links", "words_after", "links_after", "container")
 DEPTH = 4
@@ -86,23 +93,41 @@ def keeps(features: tuple[float, ...], node=None) -> bool:
     return bool(node)
 
 
-def says(tag: str, attributes: str, above: int) -> int:
-    """What a container adds to what those above it say."""
-    if above < 0 or tag in OUTSIDE:
-        return -1
-    if attributes and tag not in ("article", "main"):
-        for value in NAMES.findall(attributes):
-            if not OUTSIDE_NAMES.isdisjoint(NAME_PARTS.findall(value.lower())):
-                return -1
+def named(attributes: str) -> float:
+    """BY_NAME: a whole name, all parts of it, is of OUTSIDE_NAMES; DOUBTFUL: parts of names only, or names of content stand beside it."""
+    whole = part = content = False
+    for value in NAMES.findall(attributes):
+        for name in value.lower().strip("\"'").split():
+            parts = NAME_PARTS.findall(name)
+            outside = [p in OUTSIDE_NAMES for p in parts]
+            whole |= any(outside) and all(outside)
+            part |= any(outside)
+            content |= len(parts) == 1 and parts[0] in CONTENT_NAMES
+    return BY_NAME if whole and not content else DOUBTFUL if part else 0
+
+
+def says(tag: str, attributes: str, above: float) -> float:
+    """What a container adds to what those above it say.
+
+    An article or main part of no such name is one, whatever the names above it say; tags above it count. Inside one,
+    part of a name says nothing.
+    """
+    if above == BY_TAG or tag in OUTSIDE:
+        return BY_TAG
+    name = named(attributes) if attributes else 0
+    if tag in ("article", "main"):
+        return above if above < 0 and name < 0 else 1
+    if above == BY_NAME or name == BY_NAME:
+        return BY_NAME
     if tag == "header":
-        return above if above > 0 else -1
-    return 1 if tag in ("article", "main") else above
+        return above if above > 0 else BY_TAG
+    return DOUBTFUL if name < 0 and above <= 0 else above
 
 
-def blocks(page: str) -> list[tuple[str, int, int, int]]:
+def blocks(page: str) -> list[tuple[str, int, int, float]]:
     """(text, words, linked words, what the containers say) of the blocks that have text."""
-    out: list[tuple[str, int, int, int]] = []
-    stack: list[tuple[str, int]] = []
+    out: list[tuple[str, int, int, float]] = []
+    stack: list[tuple[str, float]] = []
     pieces: list[str] = []
     linked = depth = state = 0
 
@@ -111,7 +136,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
         if pieces:
             text = entities.unescape("".join(pieces)).split()
             if text:
-                out.append((" ".join(text), len(text), min(linked, len(text)), state))
+                out.append((" ".join(text), len(text), min(linked, len(text)), max(state, -1)))
             pieces, linked = [], 0
 
     def add(text: str) -> None:

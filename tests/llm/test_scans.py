@@ -113,6 +113,19 @@ def test_page_by_hand():
     assert html_text.main_blocks(PAGE) == ["The & title", "First paragraph with bold text, two lines <here>.", "Second linked words paragraph.", "Hi."]
 
 
+@pytest.mark.parametrize("wrapper", ["class='layout has-sidebar'", "id='page-with-comments'", "class='content widget'", "class=widget", "role='banner'"])
+def test_wrappers_with_a_listed_word_keep_the_article(wrapper):
+    long = ["many plain words of the article " * 6, "and more of its text in another block " * 5]
+    texts = [" ".join(t.split()) for t in long]
+    menu = "<ul><li><a href=/a>Menu one</a></li><li><a href=/b>Menu two</a></li></ul>"
+    article = f"<main><article><div class='post-header'><h1>The title</h1></div><p>{long[0]}<p>{long[1]}</article></main>"
+    aside = f"<div class='sidebar'><p>{long[1]}</div><aside><article>{long[0]}</article></aside>"
+    assert html_text.main_blocks(f"<div {wrapper}>{menu}{article}{aside}</div>") == ["The title", *texts]
+    flat = f"<div {wrapper}>{menu}<p>{long[0]}</p><p>{long[1]}</p><p>Imprint</p></div>"
+    assert html_text.main_blocks(flat) == ([] if wrapper in ("class=widget", "role='banner'") else texts)
+    assert html_text.main_blocks(f"<div class='comments'><article class='comment-body'>{long[0]}</article></div>") == []
+
+
 def test_odd_pages():
     for page in (None, "", "   ", "<", "<p", "<script>never closed", "<!-- never closed", "</div></div>", "<div>" * 2000, "&#x110000; &bogus;"):
         html_text.main_blocks(page)
