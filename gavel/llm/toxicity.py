@@ -36,10 +36,8 @@ NEUTRAL = (
     "the report counts {} voters in each region", "a {} writer won the prize this year",
 )
 AFFIXES = (("start", 4), ("start", 5), ("start", 6), ("end", 4), ("end", 5))  # bytes
-CANDIDATES = 40_000  # features of toxic rows that are looked at, the most frequent first
-FEATURES = 2_048  # features that the classifier keeps
-LEAST_ROWS = 3  # sample rows that a feature must occur in
-LEAST_GAIN = 5.0  # log likelihood ratio that a kept feature must reach, beyond what chance gives among the candidates
+LEAST_ROWS = 3  # toxic sample rows that a feature must occur in
+LEAST_GAIN = 5.0  # log likelihood ratio that a kept feature must reach, beyond what chance gives among the features
 FAIRNESS, DECAY = 1.0, 1e-5
 THRESHOLD = 0.5
 SLICE_BYTES = 1 << 20
@@ -102,6 +100,15 @@ def _rows(lookup: Lookup, texts: list[str]) -> list[np.ndarray]:
     return out
 
 
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray | None]:
+    """The lists of a column, without copies."""
+    out = []
+    for chunk in column.chunks:
+        values, at, some = chunk.values.to_numpy(), chunk.offsets.to_numpy(), chunk.is_valid().to_numpy(zero_copy_only=False)
+        out += [values[a:b] if valid else None for a, b, valid in zip(at[:-1], at[1:], some)]
+    return out
+
+
 @dataclass
 class Model:
     known: np.ndarray  # sorted
@@ -113,10 +120,10 @@ def fit_weights(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, pairs
     """Adam on weighted log loss + FAIRNESS * mean squared change of the logit over pairs + DECAY * squares."""
     if len(y) == 0 or y.min() == y.max():
         return np.zeros(size), 0.0 if len(y) == 0 else float(np.log(99) * (2 * y[0] - 1))
-    owner, feature = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
-    change_owner = np.repeat(np.arange(2 * len(pairs)), [len(r) for p in pairs for r in p]) // 2 if pairs else np.zeros(0, np.int64)
-    change_feature = np.concatenate([r for p in pairs for r in p]) if pairs else np.zeros(0, np.int64)
-    sign = np.concatenate([np.full(len(r), s) for p in pairs for r, s in zip(p, (1.0, -1.0))]) if pairs else np.zeros(0)
+    owner, feature = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows]), np.concatenate(rows, dtype=np.int32)
+    change_owner = np.repeat(np.arange(2 * len(pairs), dtype=np.int32), [len(r) for p in pairs for r in p]) // 2 if pairs else np.zeros(0, np.int64)
+    change_feature = np.concatenate([r for p in pairs for r in p], dtype=np.int32) if pairs else np.zeros(0, np.int64)
+    sign = np.concatenate([np.full(len(r), s, np.int8) for p in pairs for r, s in zip(p, (1, -1))]) if pairs else np.zeros(0)
     w, m, v, total = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1), weight.sum()
     w[size] = np.log((weight * y).sum() / (weight * (1 - y)).sum())
     for step in range(1, steps + 1):
@@ -131,48 +138,47 @@ def fit_weights(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, pairs
     return w[:size], float(w[size])
 
 
-def _counts(sample: DataFrame, known: np.ndarray | None, least: int = 1) -> pd.DataFrame:
-    """(feature, label, n): sample rows of each label with a feature, of all or of the known ones."""
+def _counts(sample: DataFrame) -> DataFrame:
+    """(feature, toxic, others): sample rows of each class with a feature."""
 
     def count(batches):
-        lookup = None if known is None else Lookup(known)
         for batch in batches:
             labels = batch.column(1).to_numpy(zero_copy_only=False)
             for at, owner, feature in features(batch.column(0)):
-                if lookup is None:
-                    order = np.lexsort((feature, owner))
-                    owner, feature = owner[order], feature[order]
-                    new = np.ones(len(owner), bool)
-                    new[1:] = (owner[1:] != owner[:-1]) | (feature[1:] != feature[:-1])
-                    owner, feature = owner[new], feature[new]
-                else:
-                    owner, index = lookup.find(owner, feature)
-                    feature = lookup.known[index]
-                for label in (0, 1):
-                    found, n = np.unique(feature[labels[at + owner] == label], return_counts=True)
-                    yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(np.full(len(found), label, np.int32)), pa.array(n.astype(np.int64))], names=["feature", "label", "n"])
-
-    found = sample.mapInArrow(count, "feature long, label int, n long").groupBy("feature", "label").agg(F.sum("n").alias("n"))
-    return found.where(F.col("n") >= least).orderBy(F.desc("n"), "feature").limit(2 * CANDIDATES if known is not None else CANDIDATES).toPandas()
+                order = np.lexsort((feature, owner))
+                owner, feature = owner[order], feature[order]
+                new = np.ones(len(owner), bool)
+                new[1:] = (owner[1:] != owner[:-1]) | (feature[1:] != feature[:-1])
+                owner, feature = owner[new], feature[new]
+                found, index = np.unique(feature, return_inverse=True)
+                toxic = labels[at + owner] == 1
+                n = [np.bincount(index[of], minlength=len(found)).astype(np.int64) for of in (toxic, ~toxic)]
+                yield pa.record_batch([pa.array(found.view(np.int64)), *map(pa.array, n)], names=["feature", "toxic", "others"])
+
+    found = sample.mapInArrow(count, "feature long, toxic long, others long")
+    return found.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("others").alias("others"))
+
+
+def telling(sample: DataFrame, n: dict[int, int]) -> np.ndarray:
+    """All features that tell toxic rows from the others by a likelihood ratio, sorted; n: rows of each label."""
+    a, b = (F.col("toxic") + 0.5) / (n[1] + 1), (F.col("others") + 0.5) / (n[0] + 1)
+    none = F.greatest(n[1] - F.col("toxic"), F.lit(0)) * F.log(F.greatest(1 - a, F.lit(1e-9)) / F.greatest(1 - b, F.lit(1e-9)))
+    found = _counts(sample).where((F.col("toxic") >= LEAST_ROWS) & (a > b) & (F.col("toxic") * F.log(a / b) + none >= LEAST_GAIN))
+    return np.sort(found.select("feature").toPandas()["feature"].to_numpy(np.int64).view(np.uint64))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fitted on up to per_class labelled rows of each class.
 
-    Candidates are the features of the most toxic rows; those that tell the classes apart best by a likelihood ratio
-    are kept. The driver gets candidate counts and the sample's kept features, both bounded by the parameters above.
+    Of all features in LEAST_ROWS toxic rows those are kept that tell the classes apart by a likelihood ratio of at
+    least LEAST_GAIN. The counts stay in Spark; the driver gets the kept features and which of them each row of the
+    sample has. Both are bounded by the sample.
     """
     sample, stands_for = labelled_sample(docs, labels, label, per_class, id_col, text_col)
     n = dict(sample.groupBy("label").count().collect())
     if len(n) < 2:
         return Model(np.zeros(0, np.uint64), *fit_weights([np.zeros(0, np.int64)] * len(n), np.array(list(n), float), np.ones(len(n)), [], 0))
-    toxic = _counts(sample.where("label = 1"), None, LEAST_ROWS)
-    counts = _counts(sample, np.sort(toxic["feature"].to_numpy(np.int64).view(np.uint64)))
-    table = counts.pivot(index="feature", columns="label", values="n").reindex(columns=[0, 1]).fillna(0.0)
-    a, b = (table[1] + 0.5) / (n[1] + 1), (table[0] + 0.5) / (n[0] + 1)
-    table["gain"] = table[1] * np.log(a / b) + (n[1] - table[1]).clip(0) * np.log((1 - a).clip(1e-9) / (1 - b).clip(1e-9))
-    kept = table[(a > b) & (table["gain"] >= LEAST_GAIN)].reset_index().sort_values(["gain", "feature"], ascending=[False, True]).head(FEATURES)
-    known = np.sort(kept["feature"].to_numpy(np.int64).view(np.uint64))
+    known = telling(sample, n)
 
     def present(batches):
         lookup = Lookup(known)
@@ -180,14 +186,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
             texts = batch.column(0).to_pylist()
             other = [swapped(t) for t in texts]
             own, changed = _rows(lookup, texts), _rows(lookup, [o or "" for o in other])
-            lists = pa.list_(pa.int64())
+            lists = pa.list_(pa.int32())
             yield pa.record_batch([batch.column(1), pa.array(own, lists), pa.array([c if o else None for o, c in zip(other, changed)], lists)], names=["label", "own", "changed"])
 
-    rows = sample.mapInArrow(present, "label int, own array<long>, changed array<long>").toPandas()
-    own = [np.asarray(r, np.int64) for r in rows["own"]]
-    order = sorted(range(len(own)), key=lambda i: (rows["label"][i], own[i].tolist()))
-    pairs = [(own[i], np.asarray(rows["changed"][i], np.int64)) for i in order if rows["changed"][i] is not None]
-    own, y = [own[i] for i in order], rows["label"].to_numpy(np.float64)[order]
+    rows = sample.mapInArrow(present, "label int, own array<int>, changed array<int>").toArrow().combine_chunks()
+    own, changed, y = _lists(rows["own"]), _lists(rows["changed"]), rows["label"].to_numpy()
+    order = sorted(range(len(own)), key=lambda i: (y[i], own[i].astype(">i4").tobytes()))  # as the numbers are ordered
+    pairs = [(own[i], changed[i]) for i in order if changed[i] is not None]
+    own, y = [own[i] for i in order], y.astype(np.float64)[order]
     lookup = Lookup(known)
     neutral = [[s.format(t) for t in kind] for kind in IDENTITY_TERMS for s in NEUTRAL]
     encoded = [_rows(lookup, group) for group in neutral]

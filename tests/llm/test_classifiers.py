@@ -50,6 +50,19 @@ def test_toxicity_on_held_out_rows(spark):
     assert held_out_accuracy(found, {r[0]: r[3] for r in rows}) > 0.95
 
 
+def test_all_telling_features_are_kept(spark):
+    """2,100 rare insults, each in 3 toxic rows only."""
+    insults = [f"q{i}x" for i in range(2100)]
+    texts = [(" ".join([*insults[k // 3 * 30 : k // 3 * 30 + 30], "plain", f"w{k % 50}"]), 1) for k in range(210)]
+    texts += [(f"plain w{k % 50} words", 0) for k in range(840)]
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in zip(ids, texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in zip(ids, texts)], "doc_id long, toxic int")
+    known = set(toxicity.fit(docs, labels).known.tolist())
+    assert {W.hash_of(w) for w in insults} <= known
+    assert W.hash_of("plain") not in known and W.hash_of("w7") not in known
+
+
 def test_held_out_labels_are_never_used(spark):
     rows = corpus(200)
     docs, labels = tables(spark, rows)
