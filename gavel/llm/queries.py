@@ -13,6 +13,7 @@ from gavel.llm.fingerprints import as_text, containment, distinct_shingles, edit
 from gavel.llm.html_text import extract_text
 from gavel.llm.licenses import scan_licenses
 from gavel.llm.mixing import LEVELS, mix, tokens_of
+from gavel.llm.pieces import Vocabulary, encode_texts
 from gavel.llm.secret_scan import scan_secrets
 from gavel.llm.sharding import place
 from gavel.llm.simhash_dedup import simhash_components
@@ -170,6 +171,22 @@ def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", *[F.col(f"_llm_{x}").alias(x) for x in LEVELS], tokens_of(F.col("text")).alias("n_tokens"), F.col("_llm_copies").alias("copies"))
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file is; the package that knows is needed by these queries only."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op12_sentencepiece")
+def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encode_texts(table(spark, sf_dir, "documents"), Vocabulary.read(tokenizer_file("piece_bpe_32k.model")))
+    return found.select(
+        "doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 @query("op1_quality")
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
