@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavel.llm import quality, toxicity
+from gavel.llm.alignment import Files, aligned_documents
 from gavel.llm.decontamination import leaks
 from gavel.llm.fingerprints import as_text, containment, distinct_shingles, edited_pairs, resemblance
 from gavel.llm.html_text import extract_text
@@ -187,6 +188,12 @@ def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op13_alignment")
+def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = Files.read(tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+    return aligned_documents(table(spark, sf_dir, "documents"), files)
+
+
 @query("op1_quality")
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -9,8 +10,10 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from gavel.llm import pieces
+from gavel.llm import alignment, blocks, pieces
 from gavel.llm.queries import QUERIES
 from tests.llm.data import awkward, empty, same_rows
 
@@ -86,3 +89,79 @@ def test_encoding_query(spark):
     got = QUERIES["op12_sentencepiece"](spark, SF)
     assert got.dtypes[:2] == [("doc_id", "bigint"), ("n_tokens", "bigint")]
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_packed_integers():
+    rng = np.random.default_rng(1)
+    for values in ([], [0], [2**32 - 1, 0, 7], rng.integers(0, 2**32, 1000), rng.integers(0, 300, 5000)):
+        assert blocks.unpack(blocks.pack(np.array(values, np.int64))).tolist() == list(values)
+
+
+FILES = alignment.Files.read(public_tokenizers.path("byte_bpe_50k.json"), PIECES)
+
+
+def brute_alignment(rows):
+    """The contract, token by token."""
+    first = Tokenizer.from_str(FILES.byte_level)
+    first.encode_special_tokens = True
+    sign, names = alignment.byte_of_sign(), {i: t for t, i in first.get_vocab().items()}
+    lib, found, count = ENCODER.lib, [], Counter()
+    for key, text in rows:
+        raw, spans = (" " + (text or "")).encode(), []
+        for ids in (first.encode(" " + (text or ""), add_special_tokens=False).ids, lib.encode(text or "")):
+            at, own = 0, []
+            for i in ids:
+                piece = bytes(sign[c] for c in names[i]) if not spans else (bytes([int(lib.id_to_piece(i)[3:5], 16)]) if lib.is_byte(i) else lib.id_to_piece(i).replace("▁", " ").encode())
+                own.append((i, at, at + len(piece), piece))
+                at += len(piece)
+            spans.append(own)
+        if not text or any(b"".join(t[3] for t in own) != raw for own in spans):
+            spans = [[], []]
+        links = [(a[0], b[0]) for a in spans[0] for b in spans[1] if a[1] < b[2] and b[1] < a[2]]
+        cuts = sorted({t[2] for t in spans[0]} & {t[2] for t in spans[1]})
+        groups, low = [], 0
+        for cut in cuts:
+            groups.append("|".join(",".join(str(t[0]) for t in own if low < t[2] <= cut) for own in spans))
+            low = cut
+        count.update(set(links))
+        found.append((key, len(spans[0]), len(spans[1]), len(cuts), links, hashlib.sha256(";".join(groups).encode()).hexdigest() if cuts else ""))
+    best = Counter()
+    for (a, _), n in count.items():
+        best[a] = max(best[a], n)
+    return sorted((str(k), a, b, g, len(ls), sum(count[x] == best[x[0]] for x in ls), sum(count[x] for x in ls), h) for k, a, b, g, ls, h in found)
+
+
+def as_rows(df):
+    return sorted((str(r[0]), *r[1:]) for r in df.collect())
+
+
+@pytest.mark.parametrize("block_bytes", [1, 500, 1 << 24])
+def test_alignment_by_brute_force(spark, block_bytes):
+    rng = random.Random(2)
+    pool = ["the", " ", "  ", "\n", "naïve", "漢字", "𝄞", "<s>", "<|endoftext|>", "word", "Ordnung", "123", "▁", ".", "'s", "\x00", "ﬁ", "é"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(30))) for _ in range(60)]
+    rows = [(i, texts[i % 50]) for i in range(70)] + [(None, None), (None, ""), (3, texts[3]), (3, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert as_rows(alignment.aligned_documents(docs, FILES, block_bytes=block_bytes, hot=2)) == brute_alignment(rows)
+
+
+def test_alignment_rows(spark):
+    docs = awkward(spark).where("doc_id IS NULL OR doc_id <> 6")
+    assert as_rows(alignment.aligned_documents(docs, FILES)) == brute_alignment([tuple(r) for r in docs.select("doc_id", "text").collect()])
+    assert alignment.aligned_documents(awkward(spark), FILES).where("doc_id = 6").first().n_a > 100_000
+    assert alignment.aligned_documents(empty(spark), FILES).collect() == []
+
+
+def test_copies_count_as_documents(spark):
+    docs = spark.createDataFrame([(i, "same words") for i in range(40)] + [(99, "same other")], "doc_id long, text string")
+    got = alignment.aligned_documents(docs, FILES, hot=7)
+    assert got.count() == 41 and got.agg(F.max("count_sum")).first()[0] == 41 + 40
+
+
+def test_alignment_query(spark):
+    rows = [(r[0], r[1]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect() if len(r[1] or "") < 3000]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert as_rows(alignment.aligned_documents(docs, FILES)) == brute_alignment(rows)
+    got = QUERIES["op13_alignment"](spark, SF)
+    assert got.dtypes == [("doc_id", "bigint"), *[(n, "bigint") for n in alignment.MEASURES], ("groups_sha256", "string")]
+    assert got.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
