@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gavel.llm import quality, toxicity
 from gavel.llm.alignment import Files, aligned_documents
+from gavel.llm.collocations import collocations
 from gavel.llm.decontamination import leaks
 from gavel.llm.fingerprints import as_text, containment, distinct_shingles, edited_pairs, resemblance
 from gavel.llm.html_text import extract_text
@@ -179,6 +180,39 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op11_collocations", sql=r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+f1 AS (SELECT lang, w1, count(*) AS f FROM (SELECT lang, unnest(w) AS w1 FROM w) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY ALL),
+f2 AS (SELECT lang, w[i] AS w1, w[i + 1] AS w2, count(*) AS f FROM (SELECT lang, w, unnest(range(1, len(w))) AS i FROM w) GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (
+  SELECT lang, w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3, count(*) AS f
+  FROM (SELECT lang, w, unnest(range(1, len(w) - 1)) AS i FROM w) GROUP BY ALL HAVING count(*) >= 10
+),
+two AS (
+  SELECT c.lang, c.w1 || ' ' || c.w2 AS phrase, c.f AS a, x.f AS l, y.f AS r, (1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f) AS score
+  FROM f2 c JOIN f1 x ON x.lang = c.lang AND x.w1 = c.w1 JOIN f1 y ON y.lang = c.lang AND y.w1 = c.w2
+  WHERE NOT EXISTS (FROM f3 t WHERE t.lang = c.lang AND t.w1 = c.w1 AND t.w2 = c.w2 AND 100 * t.f >= 50 * c.f)
+    AND NOT EXISTS (FROM f3 t WHERE t.lang = c.lang AND t.w2 = c.w1 AND t.w3 = c.w2 AND 100 * t.f >= 50 * c.f)
+),
+cuts AS (
+  SELECT c.*, x.f AS l1, y.f AS r1, (1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f) AS s1, u.f AS l2, v.f AS r2, (1000000::HUGEINT * c.f * c.f) // (u.f::HUGEINT * v.f) AS s2
+  FROM f3 c JOIN f1 x ON x.lang = c.lang AND x.w1 = c.w1 JOIN f2 y ON y.lang = c.lang AND y.w1 = c.w2 AND y.w2 = c.w3
+    JOIN f2 u ON u.lang = c.lang AND u.w1 = c.w1 AND u.w2 = c.w2 JOIN f1 v ON v.lang = c.lang AND v.w1 = c.w3
+),
+every AS (
+  FROM two UNION ALL
+  SELECT lang, w1 || ' ' || w2 || ' ' || w3, f, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2) FROM cuts
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM every)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM placed JOIN n USING (lang) WHERE rank <= 2000
+""")
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 @query("op12_sentencepiece")
 def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = encode_texts(table(spark, sf_dir, "documents"), Vocabulary.read(tokenizer_file("piece_bpe_32k.model")))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -13,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gavel.llm import alignment, blocks, pieces
+from gavel.llm import alignment, blocks, collocations, pieces
 from gavel.llm.queries import QUERIES
 from tests.llm.data import awkward, empty, same_rows
 
@@ -165,3 +166,66 @@ def test_alignment_query(spark):
     got = QUERIES["op13_alignment"](spark, SF)
     assert got.dtypes == [("doc_id", "bigint"), *[(n, "bigint") for n in alignment.MEASURES], ("groups_sha256", "string")]
     assert got.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def brute_phrases(rows, least, share, top):
+    """The contract with dictionaries."""
+    counts, totals = {}, Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        folded = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        for piece in re.split("[.,;:!?\x0a-\x0d]", folded):
+            words = re.findall("[^\x20\x09]+", piece)
+            totals[lang] += len(words)
+            for size in (1, 2, 3):
+                counts.setdefault(lang, Counter()).update(tuple(words[i : i + size]) for i in range(len(words) - size + 1))
+    out = []
+    for lang, f in counts.items():
+        candidates = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        found = []
+        for p, a in candidates.items():
+            if any(len(q) > len(p) and 100 * b >= share * a and any(q[i : i + len(p)] == p for i in range(len(q))) for q, b in candidates.items()):
+                continue
+            score, k = min((1_000_000 * a * a // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p)))
+            found.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        out += [(lang, i, p.decode(), -a, l, r, totals[lang], -s) for i, (s, a, p, l, r) in enumerate(sorted(found)[:top], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block_bytes,tile,least,top", [(1, 1, 2, 5), (300, 2, 3, 1000), (1 << 24, 4, 10, 40), (1 << 24, 1024, 2, 1000)])
+def test_phrases_by_brute_force(spark, block_bytes, tile, least, top):
+    rng = random.Random(block_bytes)
+    pool = ["a", "b", "c", "New", "new", "york", "city", "é", "漢", "x\x00y", "\u00a0", "the"]
+    gaps = [" ", " ", " ", " ", "  ", "\t", ". ", ",", "\n", "\x0b"]
+    rows = [(rng.choice(["en", "en", "de", "", None]), "".join(rng.choice(pool) + rng.choice(gaps) for _ in range(rng.randrange(60)))) for _ in range(80)]
+    rows += [("en", None), (None, None), ("fr", ""), ("fr", " \t\n..")]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    got = collocations.collocations(docs, least=least, top=top, block_bytes=block_bytes, tile=tile)
+    assert sorted(map(tuple, got.collect())) == brute_phrases(rows, least, 50, top)
+
+
+def test_phrases_that_overlap_themselves(spark):
+    docs = spark.createDataFrame([("en", "a a a a a a a a a a a a")], "lang string, text string")
+    assert sorted(map(tuple, collocations.collocations(docs).collect())) == brute_phrases([("en", "a " * 12)], 10, 50, 2000)
+
+
+def test_tile_counts_by_direct_address_and_by_coordinates():
+    rng = np.random.default_rng(4)
+    for high, tile, full in ((5, 4, 1), (300, 16, 8), (300, 16, 10**9), (300, 16, 1)):
+        first, second = rng.integers(0, high, 4000), rng.integers(0, high, 4000)
+        codes, n = collocations.tile_counts(first, second, tile, full)
+        want = np.unique(first << 32 | second, return_counts=True)
+        assert codes.tolist() == want[0].tolist() and n.tolist() == want[1].tolist()
+    assert [len(x) for x in collocations.tile_counts(np.zeros(0, np.int64), np.zeros(0, np.int64))] == [0, 0]
+
+
+def test_phrase_rows(spark):
+    docs = awkward(spark)
+    rows = [tuple(r) for r in docs.select("lang", "text").collect()]
+    for least in (1, 2, 10):
+        got = sorted(map(tuple, collocations.collocations(docs.where("doc_id IS NULL OR doc_id <> 6"), least=least).collect()))
+        assert got == brute_phrases([r for r in rows if len(r[1] or "") < 10_000], least, 50, 2000)
+    assert collocations.collocations(docs).where("lang = 'es'").count() > 0
+    assert collocations.collocations(empty(spark)).collect() == []
+    every = collocations.collocations(docs, least=2, top=None)
+    assert every.count() == collocations.collocations(docs, least=2, top=10**6).count() and every.where("rank IS NOT NULL").isEmpty()
