@@ -8,6 +8,8 @@ above it are joined into a span. Candidates on the allow-list (plain words, iden
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from itertools import accumulate
 from math import log2
 
 import pyarrow as pa
@@ -22,11 +24,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "entropy")
 # What candidates look like, what is never a secret, bits of entropy by class.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-ALLOWED = (
-    re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"),  # UUID
-    re.compile(r"(?:[A-Za-z]*|[0-9]*)(?:[-_/=+](?:[A-Za-z]*|[0-9]*))*"),  # words and numbers in a row: slugs, paths, dates
-    re.compile(r".*(?:example|placeholder|changeme|xxxx).*", re.IGNORECASE),
-)
+UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
+MIXED = re.compile(r"[A-Za-z][0-9]|[0-9][A-Za-z]")  # without it, words and numbers in a row: slugs, paths, dates
+EXAMPLE = re.compile(r"example|placeholder|changeme|xxxx", re.IGNORECASE)
 THRESHOLDS = {"hex": 2.9, "alphanumeric": 3.5, "base64": 3.6}
 WINDOW = 20
 
@@ -40,6 +40,11 @@ def class_of(candidate: str) -> str | None:
     return "alphanumeric" if candidate.isalnum() else "base64"
 
 
+def allowed(candidate: str) -> bool:
+    """On the allow-list: no letter beside a digit, a UUID, or an example by its words. One pass each."""
+    return not MIXED.search(candidate) or bool(UUID.fullmatch(candidate) or EXAMPLE.search(candidate))
+
+
 def high_windows(text: str, threshold: float, window: int = WINDOW) -> list[tuple[int, int]]:
     """Joined (start, end) of the windows whose entropy reaches the threshold."""
     counts: dict[str, int] = {}
@@ -75,13 +80,15 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def entropy_spans(text: str, taken: list[tuple[str, int, int]], window: int = WINDOW, thresholds: dict[str, float] | None = None) -> list[tuple[str, int, int]]:
     """Spans of high entropy outside those that the patterns cover already."""
     thresholds = thresholds or THRESHOLDS
+    taken = sorted((s, e) for _, s, e in taken)
+    starts, reach = [s for s, _ in taken], [0, *accumulate((e for _, e in taken), max)]  # reach: farthest end of the first spans
     out = []
     for m in CANDIDATE.finditer(text):
-        if not (kind := class_of(m[0])) or any(p.fullmatch(m[0]) for p in ALLOWED):
+        if not (kind := class_of(m[0])) or allowed(m[0]):
             continue
         for a, b in high_windows(m[0], thresholds[kind], window):
             a, b = a + m.start(), b + m.start()
-            if not any(s <= a and b <= e for _, s, e in taken):
+            if reach[bisect_right(starts, a)] < b:
                 out.append(("entropy", a, b))
     return out
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -93,6 +94,28 @@ def test_entropy_finds_keys_and_spares_the_allow_list():
         assert secret_scan.find_spans(fine) == [], fine
 
 
+def test_allow_list_is_the_plain_rule_and_takes_linear_time():
+    rng = random.Random(8)
+    in_a_row = re.compile(r"(?:[A-Za-z]*|[0-9]*)(?:[-_/=+](?:[A-Za-z]*|[0-9]*))*")
+    for _ in range(3000):
+        text = "".join(rng.choice("aB1290-_/=+") for _ in range(rng.randrange(1, 12)))
+        assert secret_scan.allowed(text) == bool(in_a_row.fullmatch(text)), text
+    for text in ("-" * 10_000 + "section2b", "=" * 100_000 + "q7Zt9PbW2xLr8VnKc4Jd6MhY", "a-" * 50_000 + "b2", ("0123456789abcdef" * 2 + " ") * 5_000, "password=" * 20_000):
+        start = time.perf_counter()
+        secret_scan.find_spans(text)
+        assert time.perf_counter() - start < 1, text[:20]
+
+
+def test_spans_inside_others_are_left_out_as_by_looking_at_all():
+    rng = random.Random(9)
+    for _ in range(60):
+        text = " ".join(rng.choice(["q7Zt9PbW2xLr8VnKc4Jd6MhY", "token=q7Zt9PbW2xLr8VnKc4Jd", "0123456789abcdef01234567", "plain"]) + rng.choice(["", "ab", "/x9"]) for _ in range(rng.randrange(8)))
+        base = secret_scan.base_spans(text)
+        assert all(not any(s <= a and b <= e for _, s, e in base) for _, a, b in secret_scan.entropy_spans(text, base))
+        every = secret_scan.entropy_spans(text, [])
+        assert secret_scan.entropy_spans(text, base) == [x for x in every if not any(s <= x[1] and x[2] <= e for _, s, e in base)]
+
+
 def test_secret_rows(spark):
     docs = awkward(spark)
     assert secret_scan.scan_secrets(docs).count() == docs.count()

@@ -225,7 +225,8 @@ def test_phrase_rows(spark):
     for least in (1, 2, 10):
         got = sorted(map(tuple, collocations.collocations(docs.where("doc_id IS NULL OR doc_id <> 6"), least=least).collect()))
         assert got == brute_phrases([r for r in rows if len(r[1] or "") < 10_000], least, 50, 2000)
-    assert collocations.collocations(docs).where("lang = 'es'").count() > 0
+    long = sorted(map(tuple, collocations.collocations(docs.where("doc_id = 6"), least=4).collect()))
+    assert len(long) == 2000 and long == brute_phrases([r for r in rows if r[0] == "es"], 4, 50, 2000)
     assert collocations.collocations(empty(spark)).collect() == []
     every = collocations.collocations(docs, least=2, top=None)
     assert every.count() == collocations.collocations(docs, least=2, top=10**6).count() and every.where("rank IS NOT NULL").isEmpty()
