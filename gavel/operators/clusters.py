@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavel import lexicon as lx
 from gavel.functions import text as tx
-from gavel.functions import ordered
 from gavel.functions.similarity import cosine, normalized
 from gavel.functions.signals import deadline
 from gavel.session import cut_lineage
@@ -59,85 +58,122 @@ def decision_pairs(decisions: DataFrame, least: float = 1.0 - lx.CLUSTER_DISTANC
     ).where(F.col("similarity") >= least).withColumn("distance", 1.0 - F.col("similarity"))
 
 
-def _average_linkage(distance: np.ndarray, limit: float) -> np.ndarray:
-    """Cluster label per row: merge the closest pair of clusters while their mean distance is below the limit."""
-    n = len(distance)
-    label, size = np.arange(n), np.ones(n)
-    d = distance.astype(float).copy()
-    np.fill_diagonal(d, np.inf)
-    for _ in range(n - 1):
-        i, j = divmod(int(np.argmin(d)), n)
-        if d[i, j] >= limit:
-            break
-        i, j = min(i, j), max(i, j)
-        merged = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i], d[:, i] = merged, merged
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        label[label == j] = i
-    return label
+SPAN = 1024  # sentence ids of a stretch that one task clusters
+DIGITS = 9  # of mean distances, so that equal ones are equal in whatever order they were summed
+
 
+def _similarity(pdf: pd.DataFrame) -> np.ndarray:
+    """O1 between all rows of a stretch."""
+    unit, ids = normalized(np.array(pdf["vector"].tolist(), dtype=float)), pdf["sentence_id"].to_numpy()
+    cos = unit @ unit.T
+    action, obj = pdf["action"].to_numpy(object), pdf["object"].to_numpy(object)
+    known = np.array([a is not None for a in action])
+    same = (action[:, None] == action[None, :]) & known[:, None] & known[None, :]
+    weight = 1.0 / (1.0 + lx.POSITION_DECAY * np.abs(ids[:, None] - ids[None, :]))
+    sim = cos * weight * np.where(same & (obj[:, None] != obj[None, :]), lx.OBJECT_MISMATCH_FACTOR, 1.0)
+    sim[cos < lx.MIN_COSINE] = 0.0
+    return sim
 
-def islands(
-    decisions: DataFrame, limit: float = lx.CLUSTER_DISTANCE, rows: int | None = None
-) -> DataFrame:
-    """Cut every meeting into stretches no cluster can span: `(meeting_id, sentence_id, island)`.
 
-    Average linkage merges two clusters only if some pair between them is similar enough, and such pairs are
-    at most `reach` sentences apart. A place that no similar pair bridges is a cut, and the stretches of a
-    meeting can be clustered independently.
+def merge_nearest(total: np.ndarray, size: np.ndarray, near: np.ndarray, free: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Average linkage by mutually nearest clusters: (the cluster that each one ends in, which have nobody to merge with).
+
+    total: similarities summed over the rows of two clusters; near: whether any two rows of them are near enough to
+    merge; free: clusters of which all such neighbours are at hand, which then holds of what they merge into. The mean
+    distance of a merged cluster to a third one lies between those of its parts, so what is mutually nearest stays so
+    whatever else merges, and may merge at once. Of equal distances the pair with the smaller numbers is nearer.
     """
-    reach = reach_of(1.0 - limit)
-    links = decision_pairs(decisions, 1.0 - limit).where(F.col("distance") < limit)
-    far = links.groupBy("meeting_id", F.col("a").alias("sentence_id")).agg(F.max("b").alias("_far"))
-    linked = decisions.select("meeting_id", "sentence_id").join(far, ["meeting_id", "sentence_id"], "left")
-    # Links are short, so whether one passes over a sentence shows in the `reach` ids before it. Rows offer
-    # themselves to their own bucket and the next one, which keeps each window two buckets wide.
-    width = reach + 1
-    bucket = F.floor(F.col("sentence_id") / F.lit(width))
-    w = Window.partitionBy("meeting_id", "_b").orderBy("sentence_id").rangeBetween(-reach, -1)
-    looked = (
-        linked.withColumn("_b", F.explode(F.array(bucket, bucket + 1)))
-        .withColumn("_passes", F.max("_far").over(w))
-        .where(F.col("_b") == bucket)
-        .drop("_b", "_far")
-    )
-    cut = (F.coalesce("_passes", F.lit(-1)) < F.col("sentence_id")).cast("int")
-    return ordered.running_total(looked, ["meeting_id"], "sentence_id", {"island": cut}, rows).select(
-        "meeting_id", "sentence_id", "island"
-    )
+    n = len(size)
+    of, there, size = np.arange(n), np.ones(n, bool), size.astype(float)
+    total, near, distance = total.copy(), near.copy(), np.empty_like(total)
+
+    def valid(rows: np.ndarray) -> None:
+        distance[rows] = np.round(1.0 - total[rows] / (size[rows, None] * size[None, :]), DIGITS)
+        distance[rows] = np.where(near[rows] & there[None, :] & there[rows, None] & (distance[rows] < limit), distance[rows], np.inf)
+        distance[rows, rows] = np.inf
+        distance[:, rows] = distance[rows].T
+
+    valid(np.arange(n))
+    while True:
+        nearest = distance.argmin(axis=1)
+        open_ = np.isfinite(distance[np.arange(n), nearest]) & there
+        ready = free & open_
+        i = np.flatnonzero(ready & ready[nearest] & (nearest[nearest] == np.arange(n)) & (np.arange(n) < nearest))
+        if not len(i):
+            return of, ~open_
+        j = nearest[i]
+        total[i] += total[j]
+        total[:, i] += total[:, j]
+        near[i] |= near[j]
+        near[:, i] |= near[:, j]
+        size[i] += size[j]
+        there[j] = False
+        to = np.arange(n)
+        to[j] = i
+        of = to[of]
+        valid(np.concatenate([i, j]))
 
 
-def cluster_decisions(
-    decisions: DataFrame, limit: float = lx.CLUSTER_DISTANCE, rows: int | None = None
-) -> DataFrame:
-    """O2: average-linkage clusters: `(meeting_id, sentence_id, cluster)`, a cluster named by its first
-    sentence. One task clusters one island of one meeting, never a whole hot meeting."""
-    # Pairs, islands and the grouped step all read the decisions; store them once.
-    decisions = cut_lineage(decisions.select("meeting_id", "sentence_id", "vector", "action", "object"))
-    placed = decisions.join(islands(decisions, limit, rows=rows), ["meeting_id", "sentence_id"])
-    kinds = {f.name: f.dataType.simpleString() for f in decisions.schema}
+def _cluster_stretch(limit: float, span: int, start: int):
+    """One stretch of a meeting: merges what can be judged inside it."""
+    reach = reach_of(1.0 - limit)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sentence_id", ignore_index=True)
-        vectors = normalized(np.array(pdf["vector"].tolist(), dtype=float))
-        ids = pdf["sentence_id"].to_numpy()
-        cos = vectors @ vectors.T
-        action, obj = pdf["action"].to_numpy(object), pdf["object"].to_numpy(object)
-        known = np.array([a is not None for a in action])
-        same = (action[:, None] == action[None, :]) & known[:, None] & known[None, :]
-        other = obj[:, None] != obj[None, :]
-        weight = 1.0 / (1.0 + lx.POSITION_DECAY * np.abs(ids[:, None] - ids[None, :]))
-        sim = cos * weight * np.where(same & other, lx.OBJECT_MISMATCH_FACTOR, 1.0)
-        sim[cos < lx.MIN_COSINE] = 0.0
-        label = _average_linkage(1.0 - sim, limit)
-        first = {l: ids[label == l].min() for l in np.unique(label)}
-        return pd.DataFrame({"meeting_id": pdf["meeting_id"], "sentence_id": ids, "cluster": [first[l] for l in label]})
-
-    return placed.select("meeting_id", "island", "sentence_id", "vector", "action", "object").groupBy(
-        "meeting_id", "island"
-    ).applyInPandas(run, f"meeting_id {kinds['meeting_id']}, sentence_id {kinds['sentence_id']}, cluster {kinds['sentence_id']}")
+        low = int(pdf["_stretch"].iloc[0]) * span + start
+        first, index = np.unique(pdf["cluster"].to_numpy(), return_inverse=True)
+        from_, to = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        from_[index], to[index] = pdf["_from"], pdf["_to"]
+        sim = _similarity(pdf)
+        part = np.zeros((len(first), len(pdf)))
+        part[index, np.arange(len(pdf))] = 1
+        close = part @ (sim > 1.0 - limit) @ part.T > 0
+        whole = (from_ >= low) & (to < low + span)
+        open_low, open_high = pdf["_least"].iloc[0] >= low, pdf["_most"].iloc[0] < low + span  # the meeting ends there
+
+        inside = whole & (open_low | (from_ - reach >= low)) & (open_high | (to + reach < low + span))
+        free = inside & ~(close & ~whole[None, :]).any(axis=1)
+        of, alone = merge_nearest(part @ sim @ part.T, part.sum(axis=1), close, free, limit)
+        mine = of[index]
+        done = (free & alone)[mine]
+        ends = pd.DataFrame({"c": mine, "f": from_[index], "t": to[index]}).groupby("c").agg(f=("f", "min"), t=("t", "max"))
+        return pdf.assign(cluster=first[mine], _from=ends["f"].to_numpy()[np.searchsorted(ends.index, mine)], _to=ends["t"].to_numpy()[np.searchsorted(ends.index, mine)], _done=done).drop(columns="_stretch")
+
+    return run
+
+
+def cluster_decisions(decisions: DataFrame, limit: float = lx.CLUSTER_DISTANCE, span: int = SPAN) -> DataFrame:
+    """O2: average-linkage clusters: `(meeting_id, sentence_id, cluster)`, a cluster named by its first sentence.
+
+    The result is that of merging the closest two clusters of the meeting again and again while their mean distance is
+    below the limit. It is found by rounds over stretches of `span` sentence ids: in a stretch, mutually nearest
+    clusters merge if they and all they might merge with lie inside; where a cluster has nobody left it is done and
+    goes. The next round moves the stretches by half. A task holds `span` sentences however long the meeting is; only if
+    open clusters can't be judged in either round, because they are as long as a stretch, are stretches doubled.
+    Sentences without an id are clusters of their own; the vectors of a meeting are of one length.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in decisions.schema}
+    rows = decisions.select("meeting_id", "sentence_id", "vector", "action", "object")
+    bounds = rows.groupBy(F.col("meeting_id").alias("_meeting")).agg(F.min("sentence_id").alias("_least"), F.max("sentence_id").alias("_most"))
+    own = F.col("sentence_id")
+    rows = rows.where(own.isNotNull()).join(bounds, F.col("meeting_id").eqNullSafe(F.col("_meeting"))).drop("_meeting").withColumns({"cluster": own, "_from": own.cast("long"), "_to": own.cast("long"), "_done": F.lit(False)})
+    open_ = cut_lineage(rows)
+    done = decisions.where(F.col("sentence_id").isNull()).select("meeting_id", "sentence_id", F.col("sentence_id").alias("cluster"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in open_.schema)
+    before, moved = None, 0
+    while not open_.isEmpty():
+        start = moved * span // 2
+        stretch = F.floor((own - F.lit(start)) / F.lit(span)).cast("long")
+        judged = open_.withColumn("_stretch", stretch).groupBy("meeting_id", "_stretch").applyInPandas(_cluster_stretch(limit, span, start), fields)
+        judged = cut_lineage(judged)
+        done = done.unionByName(judged.where("_done").select("meeting_id", "sentence_id", "cluster"))
+        open_ = judged.where("NOT _done")
+        if moved:
+            now = open_.agg(F.count("*"), F.count(F.when(F.col("cluster") == own, True))).first()
+            span *= 2 if now == before else 1
+            before = now
+        moved = 1 - moved
+    return done.select("meeting_id", F.col("sentence_id").cast(kinds["sentence_id"]).alias("sentence_id"), F.col("cluster").cast(kinds["sentence_id"]).alias("cluster"))
 
 
 def cluster_arrays(clustered: DataFrame) -> DataFrame:

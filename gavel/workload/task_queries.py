@@ -706,7 +706,26 @@ def decision_similarity(spark, sf):
     )
 
 
-@query("decision_clusters_o2")
+@query(
+    "decision_clusters_o2",
+    "WITH RECURSIVE " + DECISIONS + """,
+ids AS (SELECT meeting_id, sentence_id, row_number() OVER (PARTITION BY meeting_id ORDER BY sentence_id) AS i FROM decs),
+p AS (SELECT a.meeting_id, a.sentence_id AS a, b.sentence_id AS b, list_cosine_similarity(a.v, b.v) AS c, a.action = b.action AND a.object IS DISTINCT FROM b.object AS clash
+  FROM decs a JOIN decs b ON a.meeting_id = b.meeting_id AND b.sentence_id > a.sentence_id),
+s AS (SELECT p.meeting_id, x.i, y.i AS j, CASE WHEN c < 0.4 THEN 0 ELSE c / (1 + 0.05 * (b - a)) * CASE WHEN clash THEN 0.6 ELSE 1 END END AS sim
+  FROM p JOIN ids x ON x.meeting_id = p.meeting_id AND x.sentence_id = a JOIN ids y ON y.meeting_id = p.meeting_id AND y.sentence_id = b),
+walk AS (
+  SELECT meeting_id, 0 AS step, list(sentence_id ORDER BY i) AS labels FROM ids GROUP BY 1
+  UNION ALL
+  SELECT meeting_id, step + 1, list_transform(labels, lambda l: CASE WHEN l = y THEN x ELSE l END) FROM (
+    SELECT meeting_id, x, y, any_value(step) AS step, any_value(labels) AS labels, round(1 - avg(sim), 9) AS d
+    FROM (SELECT w.*, sim, least(labels[i], labels[j]) AS x, greatest(labels[i], labels[j]) AS y FROM walk w JOIN s ON s.meeting_id = w.meeting_id WHERE labels[i] <> labels[j])
+    GROUP BY 1, 2, 3 HAVING round(1 - avg(sim), 9) < 0.7
+  ) QUALIFY row_number() OVER (PARTITION BY meeting_id ORDER BY d, x, y) = 1
+),
+last AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY meeting_id ORDER BY step DESC) = 1)
+SELECT ids.meeting_id, ids.sentence_id, last.labels[ids.i] AS cluster FROM ids JOIN last ON last.meeting_id = ids.meeting_id""",
+)
 def decision_clusters(spark, sf):
     return clusters.cluster_decisions(decisions(spark, sf))
 

@@ -187,24 +187,51 @@ def brute_clusters(ids, vectors, action, obj, limit=0.7):
     return sorted(tuple(sorted(int(ids[i]) for i in g)) for g in groups)
 
 
-def test_clusters_equal_whole_meeting_linkage(spark):
-    rng = np.random.default_rng(8)
-    vectors = sample(40, 5, 2)
-    ids = np.sort(rng.choice(np.arange(1, 220), 40, replace=False))
-    action = [rng.choice(["send", "plan", "fix"]) if rng.random() < 0.8 else None for _ in ids]
-    obj = [rng.choice(["a", "b"]) for _ in ids]
-    df = spark.createDataFrame(
-        [("m", int(i), [float(x) for x in v], None if a is None else str(a), str(o)) for i, v, a, o in zip(ids, vectors, action, obj)],
-        "meeting_id string, sentence_id long, vector array<double>, action string, object string",
-    )
-    want = brute_clusters(ids, vectors, action, obj)
-    for rows_per_segment in (None, 16):
-        got = {}
-        for r in clusters.cluster_decisions(df, rows=rows_per_segment).collect():
-            got.setdefault(r.cluster, []).append(r.sentence_id)
-        assert sorted(tuple(sorted(g)) for g in got.values()) == want
-    assert any(len(g) > 1 for g in want)
-    assert clusters.islands(df).select("island").distinct().count() > 1
+KIND = "meeting_id string, sentence_id long, vector array<double>, action string, object string"
+
+
+def meeting(seed, n, most, dims=5):
+    rng = np.random.default_rng(seed)
+    vectors = sample(n, dims, seed)
+    ids = np.sort(rng.choice(np.arange(-20, most), n, replace=False))
+    action = [str(rng.choice(["send", "plan", "fix"])) if rng.random() < 0.8 else None for _ in ids]
+    return ids, vectors, action, [str(rng.choice(["a", "b"])) for _ in ids]
+
+
+def clusters_of(found):
+    got = {}
+    for r in found.collect():
+        got.setdefault((r.meeting_id, r.cluster), []).append(r.sentence_id)
+    assert all(min(g) == c for (_, c), g in got.items())
+    return sorted((m, tuple(sorted(g))) for (m, _), g in got.items())
+
+
+@pytest.mark.parametrize("span", [8, 64, 100, 1024])
+def test_clusters_equal_whole_meeting_linkage(spark, span):
+    meetings = {f"m{k}": meeting(k, 40, 60 + 50 * k) for k in range(5)}
+    rows = [
+        (m, int(i), [float(x) for x in v], a, o) for m, (ids, vectors, action, obj) in meetings.items() for i, v, a, o in zip(ids, vectors, action, obj)
+    ]
+    want = sorted((m, g) for m, x in meetings.items() for g in brute_clusters(*x))
+    assert clusters_of(clusters.cluster_decisions(spark.createDataFrame(rows, KIND).repartition(3), span=span)) == want
+    assert any(len(g) > 1 for _, g in want)
+
+
+def test_clusters_of_a_meeting_of_one_long_chain(spark):
+    """Each sentence resembles the next one, so nothing cuts the meeting; most tasks see a small part of it."""
+    n = 3000
+    turn = [(np.cos(i * 0.9), np.sin(i * 0.9)) for i in range(n)]
+    rows = [("m", i, [float(x), float(y)], None, None) for i, (x, y) in enumerate(turn)]
+    got = clusters_of(clusters.cluster_decisions(spark.createDataFrame(rows, KIND), span=256))
+    same = clusters_of(clusters.cluster_decisions(spark.createDataFrame(rows, KIND), span=4096))
+    assert got == same and sum(len(g) for _, g in got) == n and 100 < len(got) < n
+
+
+def test_clusters_of_odd_decisions(spark):
+    rows = [("m", 1, [1.0, 0.0], None, None), ("m", 2, [0.0, 0.0], "send", None), ("m", None, [1.0, 0.0], None, None), (None, 4, [1.0, 0.0], None, None), (None, 5, [1.0, 0.0], None, None)]
+    got = sorted(map(str, map(tuple, clusters.cluster_decisions(spark.createDataFrame(rows, KIND)).collect())))
+    assert got == sorted(map(str, [("m", 1, 1), ("m", 2, 2), ("m", None, None), (None, 4, 4), (None, 5, 4)]))
+    assert clusters.cluster_decisions(spark.createDataFrame([], KIND)).collect() == []
 
 
 def test_cluster_sentences(spark):
