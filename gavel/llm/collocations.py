@@ -2,9 +2,9 @@
 
 Texts become blocks of word numbers. Words that are frequent enough get ids by rank, frequent ones first, so the pairs
 of neighbours fall into tiles of a square of ids: full tiles are counted by direct address (one cell a pair, numpy's
-bincount), sparse ones as sorted coordinates. The counts of all blocks are summed by pair; pairs that are frequent
-enough are ranked in the same way and become the ids of the next level, where two overlapping neighbours are three
-words. A phrase that is frequent enough consists of such parts only, so no other is ever counted.
+bincount), sparse ones as sorted coordinates. The counts of all blocks are summed by pair; in each block the pairs that
+are frequent enough are ranked by these sums and become the ids of the next level, where two overlapping neighbours are
+three words. A phrase that is frequent enough consists of such parts only, so no other is ever counted.
 """
 
 from __future__ import annotations
@@ -164,24 +164,31 @@ def _pairs(batches):
                 yield pa.record_batch([pa.array(np.full(len(pair), batch.column(0)[i].as_py())), pa.array(np.arange(a + 1, a + 1 + len(pair))), pa.array(pair), pa.array(counts[s])], names=["block", "pos", "pair", "n"])
 
 
-def _triples(tile: int):
-    """(pair, n): neighbouring ranks of pairs; pairs that overlap by a word are three words."""
+def _phrases(tile: int):
+    """(pair, third, n): a block's phrases of three words, and with third -1 the sums of the pairs that it stands for."""
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                first, second, _ = _neighbours(_ranks(batch.column(1)[i].as_py(), batch.column(2)[i]))
-                pairs, counts = tile_counts(first, second, tile)
-                for a in range(0, len(pairs), 1 << 18):
-                    yield pa.record_batch([pa.array(pairs[a : a + (1 << 18)]), pa.array(counts[a : a + (1 << 18)])], names=["pair", "n"])
+                pair = B.unpack(batch.column(2)[i].as_py()) << 32 | B.unpack(batch.column(3)[i].as_py())
+                pos, f, first = B.columns_of(batch.column(4)[i], ("pos", "f", "first"))
+                mine = first.astype(bool)
+                by_rank = pos[np.argsort(-f, kind="stable")]  # frequent pairs first
+                rank = np.full(len(pair) + 1, -1, np.int64)
+                rank[by_rank] = np.arange(len(by_rank))
+                one, two, _ = _neighbours(rank[B.unpack(batch.column(1)[i].as_py())])
+                codes, n = tile_counts(one, two, tile)
+                ranked = pair[by_rank - 1]
+                rows = (
+                    np.concatenate([pair[pos[mine] - 1], ranked[codes >> 32]]),
+                    np.concatenate([np.full(int(mine.sum()), -1), ranked[codes & 0xFFFFFFFF] & 0xFFFFFFFF]), np.concatenate([f[mine], n]),
+                )
+                for a in range(0, len(rows[0]), 1 << 18):
+                    yield pa.record_batch([pa.array(x[a : a + (1 << 18)].astype(np.int64)) for x in rows], names=["pair", "third", "n"])
 
     return run
 
 
-def _halves(pair) -> tuple:
-    return F.shiftright(pair, 32), pair.bitwiseAND(F.lit(0xFFFFFFFF))
-
-
 def best_of_groups(rows: DataFrame, group: str, order: list, top: int, salts: int = SALTS) -> DataFrame:
     """The first `top` rows of each group with their `rank`. Groups may be of any size: each is cut by salts first."""
     salt = F.pmod(F.xxhash64(*rows.columns), F.lit(salts))
@@ -216,22 +223,23 @@ def collocations(
     pair_blocks = cut_lineage(known.mapInArrow(_pair_blocks(tile), "block long, codes binary, first binary, second binary, counts binary"))
 
     each = pair_blocks.drop("codes").mapInArrow(_pairs, "block long, pos long, pair long, n long")
-    pairs = each.groupBy("pair").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    pairs = cut_lineage(B.ranked(pairs, [F.desc("f"), "pair"], cut_lineage))
-    known = B.answers(pair_blocks.select("block", "codes"), each.drop("n"), pairs, ["pair"], ["id"])
-    triples = known.mapInArrow(_triples(tile), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    triples = cut_lineage(triples)
-
-    first, second = _halves(F.col("pair"))
+    alike = Window.partitionBy("pair")  # at most one row a block
+    summed = each.select("block", "pos", F.sum("n").over(alike).alias("f"), (F.min("block").over(alike) == F.col("block")).cast("int").alias("first")).where(F.col("f") >= least)
+    found = summed.groupBy("block").agg(F.collect_list(F.struct("pos", "f", "first")).alias("found"))
+    counted = pair_blocks.drop("counts").join(found, "block").mapInArrow(_phrases(tile), "pair long, third long, n long")
+    counted = cut_lineage(counted.groupBy("pair", "third").agg(F.sum("n").alias("a")).where(F.col("a") >= least))
+    pairs, triples = counted.where("third < 0").drop("third"), counted.where("third >= 0")
+
+    first, second = F.shiftright("pair", 32), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))
     one, two = (words.select(F.col("id").alias(f"id{k}"), *(["lang"] if k == 1 else []), F.col("word").alias(f"w{k}"), F.col("f").alias(f"f{k}")) for k in (1, 2))
-    of_two = pairs.select("id", F.col("f").alias("a"), first.alias("id1"), second.alias("id2")).join(one, "id1").join(two, "id2")
-    of_two = of_two.select("id", "lang", "a", "w1", "w2", "f1", "f2")
-    longer = triples.select(F.explode(F.array(first, second)).alias("id"), "f").groupBy("id").agg(F.max("f").alias("longer"))
-    kept = of_two.join(longer, "id", "left").where(F.col("longer").isNull() | (100 * F.col("longer").cast("decimal(38,0)") < share * F.col("a").cast("decimal(38,0)")))
+    of_two = pairs.select("pair", "a", first.alias("id1"), second.alias("id2")).join(one, "id1").join(two, "id2").select("pair", "lang", "a", "w1", "w2", "f1", "f2")
+    tail = F.shiftleft(second, 32).bitwiseOR(F.col("third"))  # the last two words
+    longer = triples.select(F.explode(F.array(F.col("pair"), tail)).alias("pair"), "a").groupBy("pair").agg(F.max("a").alias("longer"))
+    kept = of_two.join(longer, "pair", "left").where(F.col("longer").isNull() | (100 * F.col("longer").cast("decimal(38,0)") < share * F.col("a").cast("decimal(38,0)")))
     phrases_two = kept.select("lang", F.concat_ws(" ", "w1", "w2").alias("phrase"), "a", F.array(_cut("f1", "f2")).alias("cuts"))
-    left = of_two.select(F.col("id").alias("p"), "lang", "w1", F.col("f1"), F.col("a").alias("f12"))
-    right = of_two.select(F.col("id").alias("q"), F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("f2").alias("f3"), F.col("a").alias("f23"))
-    of_three = triples.select(first.alias("p"), second.alias("q"), F.col("f").alias("a")).join(left, "p").join(right, "q")
+    left = of_two.select("pair", "lang", "w1", "f1", F.col("a").alias("f12"))
+    right = of_two.select(F.col("pair").alias("tail"), F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("f2").alias("f3"), F.col("a").alias("f23"))
+    of_three = triples.select("pair", tail.alias("tail"), "a").join(left, "pair").join(right, "tail")
     phrases_three = of_three.select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a", F.array(_cut("f1", "f23"), _cut("f12", "f3")).alias("cuts"))
 
     every = phrases_two.unionByName(phrases_three).join(totals, "lang")
