@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gavel.llm.decontamination import drop_leaks
 from gavel.llm.mixing import mixed_documents
+from gavel.llm.near_copies import drop_near_texts
 from gavel.llm.quality import keep_good
 from gavel.llm.queries import MIX_EPOCHS, MIX_SEED, MIX_SHARE, MIX_WEIGHTS, table
 from gavel.llm.sharding import place
-from gavel.llm.simhash_dedup import drop_near_copies
 from gavel.session import cut_lineage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest id."""
-    return drop_near_copies(docs)
+    """One document of each group of near copies stays, that with the smallest id: five-word shingles, a similarity of 0.8."""
+    return drop_near_texts(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Stage]] = [
     ("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding),
 ]
-# The quality network and 64-bit fingerprints have no SQL form; tests compare the stages with brute force.
+# The quality network and the fingerprints have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
