@@ -152,19 +152,26 @@ def _maximal(automaton: SuffixAutomaton, tokens: list[int], at: int, least: int)
 def chain(matches: list[tuple[int, int, int, int]], sizes: list[int], gap: int = MAX_GAP) -> list[tuple[int, int, int, float]]:
     """Chains of one template's matches: (template, first word, last word, covered part of the template)."""
     out = []
-    for template in sorted({m[0] for m in matches}):
-        open_chains: list[list[int]] = []  # first word, end in the text, end in the template, covered words
-        for _, start, word, length in sorted((m for m in matches if m[0] == template), key=lambda m: (m[2], m[1])):
+    by_template: dict[int, list[tuple[int, int, int]]] = {}
+    for template, start, word, length in matches:
+        by_template.setdefault(template, []).append((word, start, length))
+    for template, found in sorted(by_template.items()):
+        closed: list[list[int]] = []
+        open_: list[list[int]] = []  # first word, end in the text, end in the template, covered words
+        for word, start, length in sorted(found):
+            if any(word - c[1] > gap for c in open_):  # too far behind for this match and all later ones
+                closed += [c for c in open_ if word - c[1] > gap]
+                open_ = [c for c in open_ if word - c[1] <= gap]
             best = None
-            for c in open_chains:
+            for c in open_:
                 fresh = length - max(0, c[1] - word, c[2] - start)
-                if word + length > c[1] and start + length > c[2] and fresh > 0 and word - c[1] <= gap and start - c[2] <= gap and (best is None or c[3] > best[0][3]):
+                if word + length > c[1] and start + length > c[2] and fresh > 0 and start - c[2] <= gap and (best is None or c[3] > best[0][3]):
                     best = c, fresh
             if best:
                 best[0][1:] = [word + length, start + length, best[0][3] + best[1]]
             else:
-                open_chains.append([word, word + length, start + length, length])
-        out += [(template, c[0], c[1] - 1, c[3] / sizes[template]) for c in open_chains]
+                open_.append([word, word + length, start + length, length])
+        out += [(template, c[0], c[1] - 1, c[3] / sizes[template]) for c in sorted(closed + open_)]
     return out
 
 

@@ -57,6 +57,43 @@ def test_license_of_a_template_with_gaps():
     assert "mit" in row[0][5] and 0.75 <= row[0][6] <= 1 and row[1][5] == ""
 
 
+def chains_by_looking_at_all(matches, sizes, gap):
+    """Chains with no chain ever closed."""
+    out = []
+    for template in sorted({m[0] for m in matches}):
+        chains = []
+        for word, start, length in sorted((w, s, n) for t, s, w, n in matches if t == template):
+            fit = [
+                c for c in chains
+                if word + length > c[1] and start + length > c[2] and length > max(0, c[1] - word, c[2] - start) and word - c[1] <= gap and start - c[2] <= gap
+            ]
+            if fit:
+                c = max(fit, key=lambda c: (c[3], -c[4]))
+                c[1:4] = [word + length, start + length, c[3] + length - max(0, c[1] - word, c[2] - start)]
+            else:
+                chains.append([word, word + length, start + length, length, len(chains)])
+        out += sorted((template, c[0], c[1] - 1, c[3] / sizes[template]) for c in chains)
+    return sorted(out)
+
+
+def test_chains_close_behind_the_text():
+    rng = random.Random(12)
+    for _ in range(300):
+        matches = [(rng.randrange(2), rng.randrange(12), rng.randrange(60), rng.randrange(3, 6)) for _ in range(rng.randrange(25))]
+        assert sorted(licenses.chain(matches, [20, 20], 8)) == chains_by_looking_at_all(matches, [20, 20], 8)
+    notice = licenses.TEMPLATES[2][1]
+    start = time.perf_counter()
+    row = licenses.scan_batch(pa.array([" ".join([notice] * 8_000)]))[0]
+    assert len(row[7]) >= 8_000 and time.perf_counter() - start < 8  # in proportion; see the next lines
+    halves = []
+    for n in (2_000, 8_000):
+        matches = [(0, 0, i * 60, 50) for i in range(n)]
+        start = time.perf_counter()
+        licenses.chain(matches, [50])
+        halves.append(time.perf_counter() - start)
+    assert halves[1] < 0.5
+
+
 def test_license_rows(spark):
     docs = awkward(spark)
     assert licenses.scan_licenses(docs).count() == docs.count()
