@@ -16,12 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Tags and names.
-SILENT = "script|style|title|noscript|template|iframe|svg|select|textarea|button|object|canvas|audio|video|math"
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + SILENT + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s>/]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.DOTALL | re.IGNORECASE,
-)
+SILENT = frozenset("script style title noscript template iframe svg select textarea button object canvas audio video math".split())
+OPENING = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s>/\"']*))")
+QUOTE_OR_END = re.compile(r"[\"'>]")
+SILENT_END = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in SILENT}
 INLINE = frozenset("a b i u s em strong span small big sub sup code tt kbd samp var q cite abbr acronym mark time del ins font wbr label bdi bdo dfn img input data meter output".split())
 SPACES = frozenset(["br", "wbr"])
 CONTAINERS = frozenset("div section article main nav aside header footer form ul ol dl table figure dialog details menu search".split())
@@ -30,6 +28,12 @@ NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re
 NAME_PARTS = re.compile(r"[a-z]+")
 CONTENT_NAMES = frozenset("article body content entry layout main page post story text wrapper".split())
 BY_TAG, BY_NAME, DOUBTFUL = -2, -1, -0.5  # what containers say against their text; by tag counts as -1
+# Names of which such a part comes first or last are outside in any place, also in an article, unless a part qualifies it.
+SURELY_OUTSIDE = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored footer cookie cookies consent gdpr comment comments reply replies respond disqus discussion "
+    "newsletter subscribe subscription signup related recommended recommendations share sharing".split()
+)
+QUALIFIERS = frozenset("has have with without no non hide show layout wrapper wrap page body main".split())
 OUTSIDE_NAMES = frozenset(
     "nav navbar navigation menu footer header masthead sidebar ad ads advert adverts advertisement advertising promo promotion sponsor sponsored banner "
     "cookie cookies consent gdpr notice notices alert popup modal overlay comment comments discussion replies reply respond disqus share sharing social "
@@ -94,11 +98,14 @@ def keeps(features: tuple[float, ...], node=None) -> bool:
 
 
 def named(attributes: str) -> float:
-    """BY_NAME: a whole name, all parts of it, is of OUTSIDE_NAMES; DOUBTFUL: parts of names only, or names of content stand beside it."""
+    """BY_TAG: a name begins or ends with a part of SURELY_OUTSIDE and no part qualifies it. BY_NAME: all parts of a name are
+    of OUTSIDE_NAMES. DOUBTFUL: some parts are, or names of content stand beside it."""
     whole = part = content = False
     for value in NAMES.findall(attributes):
         for name in value.lower().strip("\"'").split():
             parts = NAME_PARTS.findall(name)
+            if parts and (parts[0] in SURELY_OUTSIDE or parts[-1] in SURELY_OUTSIDE) and not QUALIFIERS.intersection(parts):
+                return BY_TAG
             outside = [p in OUTSIDE_NAMES for p in parts]
             whole |= any(outside) and all(outside)
             part |= any(outside)
@@ -109,12 +116,14 @@ def named(attributes: str) -> float:
 def says(tag: str, attributes: str, above: float) -> float:
     """What a container adds to what those above it say.
 
-    An article or main part of no such name is one, whatever the names above it say; tags above it count. Inside one,
-    part of a name says nothing.
+    Tags, and names that are surely outside, count for all that is in them. An article or main part of no such name is
+    one, whatever other names above it say. Inside one, part of such a name says nothing.
     """
     if above == BY_TAG or tag in OUTSIDE:
         return BY_TAG
     name = named(attributes) if attributes else 0
+    if name == BY_TAG:
+        return BY_TAG
     if tag in ("article", "main"):
         return above if above < 0 and name < 0 else 1
     if above == BY_NAME or name == BY_NAME:
@@ -124,19 +133,71 @@ def says(tag: str, attributes: str, above: float) -> float:
     return DOUBTFUL if name < 0 and above <= 0 else above
 
 
+def tags(page: str):
+    """(start, end, closing, name, attributes) of tags, comments and silent elements; the name is empty for the latter two.
+
+    A tag that nothing closes is text. Each quote is looked at once, however many such tags there are.
+    """
+    dead: set[int] = set()  # quotes from which no end of a tag is reached
+    none_from = {'"': len(page), "'": len(page)}  # no such quote from there on
+
+    def end_of(at: int) -> int:
+        """Where the tag ends whose attributes begin here, 0 for nowhere."""
+        seen = []
+        while (m := QUOTE_OR_END.search(page, at)) and m.start() not in dead:
+            if m[0] == ">":
+                return m.end()
+            seen.append(m.start())
+            other = page.find(m[0], m.end()) if m.end() < none_from[m[0]] else -1
+            if other < 0:
+                none_from[m[0]] = min(none_from[m[0]], m.end())
+                break
+            at = other + 1
+        dead.update(seen)
+        return 0
+
+    at = 0
+    while m := OPENING.search(page, at):
+        if m[1] or m[2]:
+            end = page.find("-->" if m[1] else ">", m.end())
+            if end < 0 and m[2]:
+                at = m.end()
+                break
+            at = len(page) if end < 0 else end + (3 if m[1] else 1)
+            yield m.start(), at, "", "", ""
+            continue
+        end = end_of(m.end())
+        if not end:
+            at = m.start() + 1
+            if page.find(">", at) < 0:
+                break
+            continue
+        at, name = end, m[4].lower()
+        if name in SILENT and not m[3]:
+            last = SILENT_END[name].search(page, end)
+            at = last.end() if last else len(page)
+            yield m.start(), at, "", "", ""
+        else:
+            yield m.start(), end, m[3], name, page[m.end() : end - 1]
+    comment = page.find("<!--", at)  # where no tag can end any more, one may still begin
+    if comment >= 0:
+        yield comment, len(page), "", "", ""
+
+
 def blocks(page: str) -> list[tuple[str, int, int, float]]:
     """(text, words, linked words, what the containers say) of the blocks that have text."""
     out: list[tuple[str, int, int, float]] = []
     stack: list[tuple[str, float]] = []
     pieces: list[str] = []
     linked = depth = state = 0
+    alone = False  # the block's own name is outside
 
     def close() -> None:
         nonlocal pieces, linked
         if pieces:
             text = entities.unescape("".join(pieces)).split()
             if text:
-                out.append((" ".join(text), len(text), min(linked, len(text)), max(state, -1)))
+                out.append((" ".join(text), len(text), min(linked, len(text)), -1 if alone else max(state, -1)))
             pieces, linked = [], 0
 
     def add(text: str) -> None:
@@ -147,23 +208,22 @@ def blocks(page: str) -> list[tuple[str, int, int, float]]:
                 linked += len(text.split())
 
     at = 0
-    for m in TOKEN.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = m[3]
-        if tag is None:
+    for start, end, closing, tag, attributes in tags(page):
+        add(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag = tag.lower()
         if tag == "a":
-            depth = 0 if m[2] else 1
+            depth = 0 if closing else 1
         elif tag in SPACES:
             pieces.append(" ")
         elif tag not in INLINE:
             close()
             depth = 0
+            alone = not closing and bool(attributes) and tag not in CONTAINERS and named(attributes) == BY_TAG
             if tag in CONTAINERS:
-                if not m[2]:
-                    stack.append((tag, says(tag, m[4], state)))
+                if not closing:
+                    stack.append((tag, says(tag, attributes, state)))
                 elif any(t == tag for t, _ in stack):
                     while stack.pop()[0] != tag:
                         pass

@@ -173,6 +173,40 @@ def test_page_by_hand():
     assert html_text.main_blocks(PAGE) == ["The & title", "First paragraph with bold text, two lines <here>.", "Second linked words paragraph.", "Hi."]
 
 
+PLAIN = "plain words that nobody linked " * 9
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article><p>{a}</p><section class='reader-comments'><p>{b}</p></section></article>", "<article><p>{a}</p><div class='article-ad'><p>{b}</p></div></article>",
+        "<article><p>{a}</p><div class='newsletter-box'><p>{b}</p></div></article>", "<article><p>{a}</p></article><div class='user-comments'><p>{b}</p></div>",
+        "<article><p>{a}</p></article><ol class='comment-list'><li>{b}</li></ol>", "<main><p>{a}</p><div id='post-comments'><p>{b}</p></div></main>",
+        "<main><p>{a}</p></main><div class='site-footer'><p>{b}</p></div>", "<article><p>{a}</p></article><div class='content ad'><p>{b}</p></div>",
+        "<article><p>{a}</p></article><div class='comments'><article><p>{b}</p></article></div>", "<article><p>{a}</p><p class=advert>{b}</p></article>",
+    ],
+)
+def test_comments_adverts_and_footers_are_outside(page):
+    first, second = " ".join(("article text " + PLAIN).split()), " ".join(("other text " + PLAIN).split())
+    assert html_text.main_blocks(page.format(a=first, b=second)) == [first]
+
+
+def test_tags_that_nothing_closes_take_linear_time():
+    for part in ("<a ", "<a", "<a \"", "<a '>\"", "<!", "<div class=\"x> ", "<p title='>", "</", "<script ", "<!-- "):
+        start = time.perf_counter()
+        html_text.main_blocks((part * (1_000_000 // len(part))))
+        html_text.main_blocks("<p>" + (part * (300_000 // len(part))) + ">\"'")
+        assert time.perf_counter() - start < 4, part
+
+
+def test_tags_of_random_pages_are_those_of_a_plain_pattern():
+    rng = random.Random(14)
+    tag = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s>/\"']*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+    for _ in range(3000):
+        page = "".join(rng.choice(["<a ", "<b>", "</p>", "<p", ">", "\"", "'", "x=", "/", " ", "<!--", "-->", "<!x", "text", "<", "\n"]) for _ in range(rng.randrange(14)))
+        assert [(a, b, c, n) for a, b, c, n, _ in html_text.tags(page)] == [(*m.span(), m[1] or "", (m[2] or "").lower()) for m in tag.finditer(page)], page
+
+
 @pytest.mark.parametrize("wrapper", ["class='layout has-sidebar'", "id='page-with-comments'", "class='content widget'", "class=widget", "role='banner'"])
 def test_wrappers_with_a_listed_word_keep_the_article(wrapper):
     long = ["many plain words of the article " * 6, "and more of its text in another block " * 5]
