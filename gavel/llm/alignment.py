@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +24,9 @@ from gavel.llm import blocks as B
 from gavel.session import cut_lineage
 
 SLICE_BYTES = 2 << 20
+APART = re.compile(r"(?<=\S)(?= )|(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,;:!?])")  # no byte-level token reaches across such places
+STRETCHES = 600_000  # whose ids a worker keeps; what is not kept is tokenised again
+SHORT = 64  # characters of a stretch that is kept
 HOT_COPIES = 10_000  # a text with more copies is joined to them in parts
 HOT_SHARE = 100_000  # and no text counts as hot that has less than this part of all rows, so there are at most as many
 MEASURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -88,6 +92,7 @@ class Aligner:
         self.first = Tokenizer.from_str(files.byte_level)
         self.first.encode_special_tokens = True
         self.second = sentencepiece.SentencePieceProcessor(model_proto=files.pieces)
+        self.kept: dict[str, bytes | None] = {}
         sign = byte_of_sign()
         vocabulary = self.first.get_vocab()
         self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
@@ -101,22 +106,46 @@ class Aligner:
         # each id as text with what follows it: inside a group, at the end of its side
         self.signs = [f"{i}{c}" for i in range(len(self.bytes_a)) for c in ",|"] + [f"{i}{c}" for i in range(len(self.bytes_b)) for c in ",;"]
 
-    def tokens(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+    def _learn(self, new: list[str]) -> None:
+        """Keeps the ids of stretches, packed; None where the tokens' bytes aren't the stretch."""
+        for stretch, found in zip(new, self.first.encode_batch_fast(new, add_special_tokens=False)):
+            ids = found.ids
+            same = b"".join(map(self.bytes_a.__getitem__, ids)) == stretch.encode()
+            self.kept[stretch] = np.array(ids, "<i4").tobytes() if same else None
+
+    def first_ids(self, spaced: list[str]) -> list[np.ndarray | None]:
+        """A's ids of whole texts: they are cut after words, and each stretch is tokenised once.
+
+        None where a text isn't what its tokens' bytes are.
+        """
+        cut = [APART.split(t) for t in spaced]
+        every = {s for stretches in cut for s in stretches}
+        new = every.difference(self.kept)
+        if len(self.kept) + len(new) > STRETCHES:
+            self.kept, new = {}, every
+        self._learn(list(new))
+        out = []
+        for stretches in cut:
+            found = list(map(self.kept.__getitem__, stretches))
+            out.append(None if None in found else np.frombuffer(b"".join(found), "<i4"))
+        for s in new:
+            if len(s) > SHORT:
+                del self.kept[s]
+        return out
+
+    def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of both; none where a text is empty or the tokens' bytes aren't a space and the text."""
-        spaced = [" " + t for t in texts]
-        first = [e.ids for e in self.first.encode_batch_fast(spaced, add_special_tokens=False)]
-        second = self.second.encode(texts, num_threads=1)
+        spaced, none = [" " + t for t in texts], np.zeros(0, np.int32)
         out = []
-        for text, whole, a, b in zip(texts, spaced, first, second):
-            raw = whole.encode()
-            same = text and b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
-            out.append((a, b) if same else ([], []))
+        for whole, a, b in zip(spaced, self.first_ids(spaced), self.second.encode(texts, num_threads=1)):
+            same = len(whole) > 1 and a is not None and b"".join(map(self.bytes_b.__getitem__, b)) == whole.encode()
+            out.append((a, np.array(b, np.int32)) if same else (none, none))
         return out
 
     def align(self, texts: list[str]) -> Aligned:
         found = self.tokens(texts)
         n_a, n_b = (np.array([len(x[k]) for x in found], np.int64) for k in (0, 1))
-        a, b = (np.fromiter((i for x in found for i in x[k]), np.int64, int(n.sum())) for k, n in ((0, n_a), (1, n_b)))
+        a, b = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in found)]) for k in (0, 1))
         ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         ends, link_a, link_b, both, group_a, group_b, last_a, last_b = overlaps(a, b, ends_a, ends_b)
         to_a, to_b = np.cumsum(n_a), np.cumsum(n_b)
