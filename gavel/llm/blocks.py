@@ -16,6 +16,15 @@ from pyspark.taskcontext import TaskContext
 BLOCK_BYTES = 16 << 20
 
 
+def pack_bytes(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(data, asbytes=True)
+
+
+def unpack_bytes(data: bytes) -> bytes:
+    size = int.from_bytes(data[:8], "little")
+    return pa.Codec("zstd").decompress(data[8:], size, asbytes=True) if size else b""
+
+
 def pack(values: np.ndarray) -> bytes:
     """Integers from 0 to 2**32 - 1 as compressed byte planes."""
     planes = np.ascontiguousarray(np.asarray(values).astype("<u4").view(np.uint8).reshape(-1, 4).T)

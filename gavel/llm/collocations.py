@@ -27,7 +27,7 @@ SCALE = 1_000_000
 UNKNOWN = "und"
 TILE = 1024  # ids a side
 FULL = 8  # a tile is counted by direct address from one occurrence in so many cells on
-SALTS = 64
+SALTS = 16
 BREAK, SPACE = b"\n", b" "
 _SIGNS = bytes.maketrans(b"\t.,;:!?\x0b\x0c\r", SPACE + BREAK * 9)
 _CUT = re.compile(BREAK)
@@ -88,11 +88,8 @@ class _Words:
         new = np.zeros(len(n), np.int64)
         new[order] = np.arange(1, len(order) + 1)
         words = list(self.number)
-        lists = lambda values, kind: pa.array([values], pa.list_(kind))
-        return pa.record_batch(
-            [pa.array([number]), pa.array([lang]), lists([words[i].decode() for i in order], pa.string()), lists(n[order], pa.int64()), pa.array([B.pack(new[codes])], pa.binary())],
-            names=["block", "lang", "words", "counts", "codes"],
-        )
+        packed = (B.pack_bytes(BREAK.join(words[i] for i in order)), B.pack(n[order]), B.pack(new[codes]))
+        return pa.record_batch([pa.array([number]), pa.array([lang]), pa.array([int(n[order].sum())]), *(pa.array([x], pa.binary()) for x in packed)], names=["block", "lang", "n", "words", "counts", "codes"])
 
 
 def _word_blocks(block_bytes: int):
@@ -118,6 +115,17 @@ def _word_blocks(block_bytes: int):
     return run
 
 
+def _asked_words(batches):
+    """(block, lang, pos, word, n) of a block's words."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            words, counts = B.unpack_bytes(batch.column(2)[i].as_py()), B.unpack(batch.column(3)[i].as_py())
+            n = len(counts)
+            same = [pa.array([batch.column(k)[i].as_py()] * n, t) for k, t in ((0, pa.int64()), (1, pa.string()))]
+            text = pa.array([w.decode() for w in words.split(BREAK)] if n else [], pa.string())
+            yield pa.record_batch([*same, pa.array(np.arange(1, n + 1)), text, pa.array(counts)], names=["block", "lang", "pos", "word", "n"])
+
+
 def _ranks(row_codes: bytes, found) -> np.ndarray:
     """Rank at each position, -1 for what has none."""
     pos, ids = B.columns_of(found, ("pos", "id"))
@@ -142,12 +150,9 @@ def _pair_blocks(tile: int):
                 ranks = _ranks(batch.column(1)[i].as_py(), batch.column(2)[i])
                 first, second, at = _neighbours(ranks)
                 pairs, counts = tile_counts(first, second, tile)
-                order = np.argsort(-counts, kind="stable")
-                number = np.empty(len(pairs), np.int64)
-                number[order] = np.arange(1, len(pairs) + 1)
                 codes = np.zeros(len(ranks), np.int64)
-                codes[at] = number[np.searchsorted(pairs, first << 32 | second)]
-                packed = [B.pack(x) for x in (codes, pairs[order] >> 32, pairs[order] & 0xFFFFFFFF, counts[order])]
+                codes[at] = np.searchsorted(pairs, first << 32 | second) + 1
+                packed = [B.pack(x) for x in (codes, pairs >> 32, pairs & 0xFFFFFFFF, counts)]
                 yield pa.record_batch([batch.column(0).slice(i, 1), *(pa.array([x], pa.binary()) for x in packed)], names=["block", "codes", "first", "second", "counts"])
 
     return run
@@ -213,10 +218,10 @@ def collocations(
     they are there; other columns are not read.
     """
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).alias("text"))
-    blocks = cut_lineage(rows.mapInArrow(_word_blocks(block_bytes), "block long, lang string, words array<string>, counts array<long>, codes binary"))
-    totals = blocks.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n"))
+    blocks = cut_lineage(rows.mapInArrow(_word_blocks(block_bytes), "block long, lang string, n long, words binary, counts binary, codes binary"))
+    totals = blocks.groupBy("lang").agg(F.sum("n").alias("n"))
 
-    each = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w")).select("block", "lang", (F.col("pos") + 1).alias("pos"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    each = blocks.select("block", "lang", "words", "counts").mapInArrow(_asked_words, "block long, lang string, pos long, word string, n long")
     words = each.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     words = cut_lineage(B.ranked(words, [F.desc("f"), "lang", "word"], cut_lineage))
     known = B.answers(blocks.select("block", "codes"), each.drop("n"), words, ["lang", "word"], ["id"])

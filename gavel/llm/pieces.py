@@ -26,7 +26,7 @@ from gavel.llm import words as W
 
 SPACE = "▁"
 LETTER, OTHER = r"[^\W\d_¹²³]", r"[\W\d_¹²³]"
-STRETCHES, PAIRS = 200_000, 500_000  # results kept in a worker's memory; what falls out is computed again
+STRETCHES, PAIRS = 500_000, 500_000  # results kept in a worker's memory; what falls out is computed again
 SHORT = 64  # characters of a stretch whose result is kept
 
 
