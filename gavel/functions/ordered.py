@@ -116,3 +116,19 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: str, out: str, rows:
     if rows is None:
         return df.withColumn(out, F.row_number().over(window(keys, order, None)).cast("long"))
     return running_total(df, keys, order, {out: F.lit(1)}, rows)
+
+
+def numbered_by_sort(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """Add `out`: 0, 1, 2, ... over all rows in this order, by a distributed sort whose result is stored.
+
+    The driver gets one count per partition of the sort, and no group is numbered by a single task.
+    """
+    rows = cut_lineage(df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", 33)
+    before, offsets = 0, []
+    for r in rows.groupBy(part.alias("_p")).agg(F.count("*").alias("n")).orderBy("_p").collect():
+        offsets.append((r[0], before))
+        before += r.n
+    starts = F.broadcast(df.sparkSession.createDataFrame(offsets, "_p long, _before long"))
+    row = F.col("_m").bitwiseAND((1 << 33) - 1)
+    return rows.withColumn("_p", part).join(starts, "_p").withColumn(out, F.col("_before") + row).drop("_p", "_m", "_before")

@@ -56,7 +56,7 @@ def test_similar_across_by_text(spark, rows, small_blocks):
 EDGES = st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9)), max_size=20)
 
 
-@settings(max_examples=10, deadline=None)
+@settings(max_examples=4, deadline=None)
 @given(EDGES)
 def test_first_independent_is_the_sequential_rule(spark, edges):
     graph = sorted({(min(a, b), max(a, b)) for a, b in edges if a != b})
@@ -69,12 +69,12 @@ def test_first_independent_is_the_sequential_rule(spark, edges):
             if a == i and b not in taken:
                 taken.add(b)
                 owner[b] = i
-    for block in (1, 3, 2048):
-        got = {r.node: r.seed for r in first_independent(df, ["g"], block).collect()}
-        assert got == owner
+    for block, walk in ((2048, 1 << 20), (3, 2)):
+        got = {r.node: r.seed for r in first_independent(df, ["g"], block, walk).collect()}
+        assert got == owner, (block, walk)
 
 
-@settings(max_examples=10, deadline=None)
+@settings(max_examples=4, deadline=None)
 @given(EDGES)
 def test_first_matching_is_the_sequential_rule(spark, edges):
     graph = sorted(set(edges))
@@ -85,8 +85,8 @@ def test_first_matching_is_the_sequential_rule(spark, edges):
         if free:
             used.add(free[0])
             want.add((left, free[0]))
-    for block in (1, 3, 1024):
-        assert {(r.left, r.right) for r in first_matching(df, ["g"], block).collect()} == want
+    for block, walk in ((1024, 1 << 20), (3, 2)):
+        assert {(r.left, r.right) for r in first_matching(df, ["g"], block, walk).collect()} == want, (block, walk)
 
 
 def test_rounds_do_not_follow_a_chain(spark, monkeypatch):
@@ -94,9 +94,22 @@ def test_rounds_do_not_follow_a_chain(spark, monkeypatch):
     monkeypatch.setattr(greedy, "cut_lineage", lambda df: (rounds.append(1), cut_lineage(df))[1])
     n = 5000
     chain = spark.range(n - 1).selectExpr("'g' AS g", "id AS lo", "id + 1 AS hi")
-    covered = {r.node: r.seed for r in first_independent(chain, ["g"]).collect()}
-    assert covered == {i: i - 1 for i in range(1, n, 2)}
-    assert len(rounds) <= 2 + 3  # the numbering, the edges, three blocks
+    want = {i: i - 1 for i in range(1, n, 2)}
+    assert {r.node: r.seed for r in first_independent(chain, ["g"]).collect()} == want
+    assert len(rounds) == 2  # the edges, the large groups: one walk
+    rounds.clear()
+    assert {r.node: r.seed for r in first_independent(chain, ["g"], walk=1000).collect()} == want
+    assert len(rounds) <= 4 + 2 + 3  # edges and units; the numbering, its edges, three blocks
+
+
+def test_components_are_settled_in_one_pass_and_null_groups_are_groups(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(greedy, "cut_lineage", lambda df: (rounds.append(1), cut_lineage(df))[1])
+    pairs_ = spark.range(30_000).selectExpr("if(id < 20000, 'hot', null) AS g", "id * 4 AS lo", "id * 4 + 1 + id % 3 AS hi")
+    got = first_independent(pairs_, ["g"], walk=500)
+    assert got.count() == 30_000 and got.where("g IS NULL").count() == 10_000 and len(rounds) == 4
+    triangle = spark.createDataFrame([(None, 1, 2), (None, 1, 3), (None, 2, 3), (None, 3, 4)], "g string, left long, right long")
+    assert sorted((r.left, r.right) for r in first_matching(triangle, ["g"]).collect()) == [(1, 2), (2, 3), (3, 4)]
 
 
 def test_missing_and_blank_values_match_nothing(spark):
