@@ -64,21 +64,43 @@ def drop_similar(
 def near_titles(tasks: DataFrame, threshold: float = lx.DUPLICATE_SIMILARITY, title_col: str = "task") -> DataFrame:
     """Pairs `(a, b, similarity)` of different titles of the whole corpus whose word sets have at least that Jaccard similarity.
 
-    Titles are taken once, lower-cased, however many tasks have them; join back on the title for the tasks. Words are
-    ordered from rare to frequent. Two similar sets share one of the first n - ceil(t n) + 1 words of either, so an
-    equi-join on these finds every pair, and frequent words hardly ever are keys. Titles without words have no pairs.
+    Titles are taken once, lower-cased, however many tasks have them, and so are their sets of words; join back on the
+    title for the tasks. Sets of so few words that no other set is similar enough meet equal sets only. For the others
+    words are ordered from rare to frequent: two similar sets share one of the first n - ceil(t n) + 1 words of either, so
+    an equi-join on these finds every pair, and frequent words hardly ever are keys. A word with a longer list than
+    LIST_ROWS goes out as pairs of parts of its list, so no task sees more than two parts. Titles without words have no pairs.
     """
     title = strip(F.lower(F.col(title_col)))
-    words = F.array_distinct(F.filter(F.split("title", r"\s+"), lambda w: w != ""))
+    words = F.array_sort(F.array_distinct(F.filter(F.split("title", r"\s+"), lambda w: w != "")))
     titles = cut_lineage(tasks.select(title.alias("title")).where("title <> ''").distinct().select("title", words.alias("words")))
-    each = titles.select("title", F.explode("words").alias("w"))
+    size = F.size("words")
+    sets = cut_lineage(titles.where(size / (size + 1) >= threshold - 1e-9).select("words").distinct())
+    each = sets.select("words", F.explode("words").alias("w"))
     counts = each.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    ranked = each.join(counts, "w").groupBy("title").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("ws"))
-    n = F.size("ws")
-    prefix = F.slice("ws", F.lit(1), (n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int"))
-    keyed = ranked.select("title", n.alias("size"), F.transform("ws", lambda x: x["w"]).alias("words"), F.explode(prefix).alias("p")).select("title", "size", "words", F.col("p.w").alias("w"))
-    a, b = keyed.toDF("a", "a_size", "a_words", "w"), keyed.toDF("b", "b_size", "b_words", "w")
+    ranked = each.join(counts, "w").groupBy("words").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("ws"))
+    prefix = F.slice("ws", F.lit(1), (size - F.ceil(size * F.lit(threshold) - 1e-9) + 1).cast("int"))
+    keyed = ranked.select("words", size.alias("size"), F.explode(prefix).alias("p")).select("words", "size", F.col("p.w").alias("w"))
+    a, b = (_parted(keyed).toDF(*[f"{side}_{c}" for c in ("words", "size", "part")], "w", "low", "high") for side in "ab")
     shared = F.size(F.array_intersect("a_words", "b_words"))
-    close = (F.col("a") < F.col("b")) & (F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * threshold - 1e-9)
-    pairs = a.join(b, "w").where(close).select("a", "b", (shared / (F.col("a_size") + F.col("b_size") - shared)).alias("similarity"))
-    return pairs.where(F.col("similarity") >= threshold).distinct()
+    once_ = (F.col("a_part") != F.col("b_part")) | (F.col("low") == F.col("high"))  # rows of one part meet in one place
+    close = (F.col("a_words") < F.col("b_words")) & (F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * threshold - 1e-9)
+    near = a.join(b, ["w", "low", "high"]).where(once_ & close).select("a_words", "b_words", (shared / (F.col("a_size") + F.col("b_size") - shared)).alias("similarity"))
+    near = near.where(F.col("similarity") >= threshold).distinct()
+    one, two = titles.toDF("one", "a_words"), titles.toDF("two", "b_words")
+    different = near.join(one, "a_words").join(two, "b_words").select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b"), "similarity")
+    equal = one.join(two, one["a_words"] == two["b_words"]).where("one < two").select(F.col("one").alias("a"), F.col("two").alias("b"), F.lit(1.0).alias("similarity"))
+    return different.unionByName(equal)
+
+
+LIST_ROWS = 4096
+
+
+def _parted(keyed: DataFrame, rows: int | None = None) -> DataFrame:
+    """(words, size, part, w, low, high): each row of a long list goes to all pairs of parts that hold its own."""
+    rows = rows or LIST_ROWS
+    long = keyed.groupBy("w").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows).select("w", F.ceil(F.col("_n") / (rows // 2)).cast("int").alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    own = F.pmod(F.xxhash64("words"), parts).cast("int")
+    other = F.explode(F.sequence(F.lit(0), parts - 1))
+    spread = keyed.join(long, "w", "left").select("words", "size", own.alias("part"), "w", other.alias("_q"))
+    return spread.select("words", "size", "part", "w", F.least("part", "_q").alias("low"), F.greatest("part", "_q").alias("high"))

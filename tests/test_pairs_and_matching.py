@@ -112,6 +112,20 @@ def test_components_are_settled_in_one_pass_and_null_groups_are_groups(spark, mo
     assert sorted((r.left, r.right) for r in first_matching(triangle, ["g"]).collect()) == [(1, 2), (2, 3), (3, 4)]
 
 
+def test_near_titles_by_brute_force_with_split_lists(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "LIST_ROWS", 6)
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(30)}" for _ in range(rng.choice((1, 2, 5, 8, 9)))] for _ in range(25)]
+    titles = [" ".join(rng.sample(b, len(b)) if rng.random() < 0.5 else b[:-1] + [rng.choice(["hot", b[-1]])]) for b in base for _ in range(3)] + ["", " ", None]
+    got = [(r.a, r.b, round(r.similarity, 9)) for r in dedup.near_titles(spark.createDataFrame([(t,) for t in titles], "task string").repartition(3)).collect()]
+    some = sorted({t.strip() for t in titles if t and t.strip()})
+    sets = [set(t.split()) for t in some]
+    want = [(x, y, round(len(a & b) / len(a | b), 9)) for i, (x, a) in enumerate(zip(some, sets)) for y, b in zip(some[i + 1 :], sets[i + 1 :]) if len(a & b) >= 0.8 * len(a | b)]
+    assert sorted(got) == sorted(want) and len(want) > 10
+    pairs_ = spark.range(20_000).selectExpr("concat('common ', id) AS task")  # all share their one frequent word
+    assert dedup.near_titles(pairs_).count() == 0
+
+
 def test_missing_and_blank_values_match_nothing(spark):
     df = lambda rows: spark.createDataFrame([("m", i, t) for i, t in enumerate(rows)], "meeting_id string, idx long, task string")
     counts = evaluation.similar_matches(df(["send the report", None, " ", ""]), df([None, "", " Send the report "]), ["meeting_id"], "task", "task", 0.8)
