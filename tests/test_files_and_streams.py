@@ -5,6 +5,7 @@ import os
 import subprocess
 import sys
 
+import pytest
 from pyspark.sql import functions as F
 
 from gavel.operators import board, mutations, results
@@ -112,6 +113,36 @@ def test_refused_uploads_reach_their_sink(spark, tmp_path, rows):
     assert sorted(seen) == [(n, "Only .txt files are supported.") for n in ("LOUD.TXT", "notes.pdf")]
 
 
+def test_a_killed_batch_is_replayed_exactly_once(spark, tmp_path, rows, monkeypatch):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    write_texts(landing, ["planning one"])
+    (landing / "notes.pdf").write_text("x")
+    ledger = ingest.BatchLedger(spark, str(tmp_path / "out"))
+    run = lambda: ingest.run_into_ledger(ingest.landing_stream(spark, str(landing)), ledger, str(tmp_path / "checkpoint")).awaitTermination()
+    commit = ingest.BatchLedger.commit
+
+    def killed(self, batch_id):
+        raise RuntimeError("lost after the write")
+
+    monkeypatch.setattr(ingest.BatchLedger, "commit", killed)
+    with pytest.raises(Exception, match="lost after the write"):
+        run()
+    assert ledger.read("tasks") is None and (tmp_path / "out" / "tasks" / "batch=0").exists()
+    monkeypatch.setattr(ingest.BatchLedger, "commit", commit)
+    run()
+    want = rows(extract_tasks(files.read_transcripts(spark, str(landing)).where("meeting_id = 'planning one'")).tasks, "meeting_id", "task_id", "task")
+    assert rows(ledger.read("tasks"), "meeting_id", "task_id", "task") == want and want
+    assert [r.error for r in ledger.read("rejects").collect()] == ["Only .txt files are supported."]
+    (landing / "more.txt").write_text("Mara: I will send the report by Friday.")
+    (landing / "planning one.TXT").write_text("x")
+    run()
+    assert rows(ledger.read("meetings"), "meeting_id") == [("more",), ("planning one",)]
+    assert [r for r in rows(ledger.read("tasks"), "meeting_id", "task_id", "task") if r[0] == "planning one"] == want
+    ledger.write("tasks", ledger.read("tasks").limit(0).drop("batch"), 7)  # not committed: nobody sees it
+    assert {r.batch for r in ledger.read("tasks").select("batch").distinct().collect()} <= {0, 1}
+
+
 def test_deadline_texts(spark):
     texts = {"2024-03-05": "2024-03-05", "05-03-2024": "2024-03-05", "05/03/2024": "2024-03-05", "05-03/2024": "2024-03-05", "2024-03-05T10:00:00": "2024-03-05", "31-02-2024": None, "soon": None, "5/3/2024": None}
     found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", board.parse_deadline(F.col("t")).cast("string").alias("d")).collect()
