@@ -10,6 +10,7 @@ of 0.8 or more count. Which pairs share a set is a matter of chance, so a small
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ SIMILARITY = 0.8
 LANES = 4  # 64-bit words of a fingerprint
 BITS, BYTES = 56, 3  # most differing bits, least shared bytes of a pair that is verified
 SETS = 64  # sets of two byte positions
+SHORT_LIST = 64  # rows of a list of which all pairs are compared at once
 LIST_ROWS, PART_ROWS = 4096, 1000  # longer lists and larger groups are compared part against part
 
 
@@ -107,15 +109,44 @@ def _link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
+def _list_links(group: np.ndarray, ids: np.ndarray, fps: np.ndarray, short: int = SHORT_LIST) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links (a, b) inside lists; group: number of each row's list, ascending. Short lists are compared all at once."""
+    size = np.bincount(group)
+    few = size[group] <= short
+    for step in range(1, short):
+        at = np.flatnonzero(few[:-step] & (group[:-step] == group[step:]))
+        if not len(at):
+            break
+        x = fps[at] ^ fps[at + step]
+        near = (np.bitwise_count(x).sum(axis=1) <= BITS) & ((x.view(np.uint8) == 0).sum(axis=1) >= BYTES)
+        yield ids[at[near]], ids[at[near] + step]
+    first = np.concatenate(([0], np.cumsum(size)))
+    for g in np.flatnonzero(size > short):
+        own, some = ids[first[g] : first[g + 1]], fps[first[g] : first[g + 1]]
+        links = tree_links(own, lambda one, many: alike(some[one], some[many]))  # noqa: B023
+        if links:
+            yield tuple(np.array(links).T)
+
+
 def _linked_fingerprints(batches):
-    for table in _groups(batches, ("key", "part")):
-        if table.num_rows > 1:
-            ids = table.column(2).to_numpy()
-            ids, at = np.unique(ids, return_index=True)
-            fps = np.column_stack([table.column(3 + k).to_numpy()[at] for k in range(LANES)]).view(np.uint64)
-            links = tree_links(ids, lambda one, many: alike(fps[one], fps[many]))  # noqa: B023
-            if links:
-                yield _link_batch(links)
+    """Batches of (key, part, node, lanes) sorted by key and part; the last list of a batch may go on in the next one."""
+    held = None
+
+    def links(rows: np.ndarray):
+        if len(rows):
+            new = np.concatenate(([False], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)))
+            for a, b in _list_links(np.cumsum(new), rows[:, 2], np.ascontiguousarray(rows[:, 3:]).view(np.uint64)):
+                yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    for batch in batches:
+        if batch.num_rows:
+            rows = np.column_stack([batch.column(k).to_numpy() for k in range(3 + LANES)])
+            rows = rows if held is None else np.concatenate([held, rows])
+            last = int(np.flatnonzero((rows[:, :2] == rows[-1, :2]).all(axis=1))[0])
+            yield from links(rows[:last])
+            held = rows[last:]
+    if held is not None:
+        yield from links(held)
 
 
 def _linked_texts(similarity: float, size: int):
