@@ -241,12 +241,23 @@ def stored_status(status: Column) -> Column:
     return F.when(status == "todo", "TODO").when(status == "in-progress", "IN_PROGRESS").when(status == "completed", "DONE")
 
 
+def _named_month_date(text: Column) -> Column:
+    """Dates with the month's name, before or after the day, with or without weekday and time: the date as it is written."""
+    plain = F.regexp_replace(F.lower(F.trim(text)), r"^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", "")
+    month_first, day_first = r"^([a-z]{3})[a-z]*\.?\s+(\d{1,2}),?\s+(\d{4})\b", r"^(\d{1,2})[\s-]+([a-z]{3})[a-z]*\.?,?[\s-]+(\d{4})\b"
+    part = lambda a, b: F.when(plain.rlike(month_first), F.regexp_extract(plain, month_first, a)).otherwise(F.regexp_extract(plain, day_first, b))
+    month = F.array_position(F.array(*[F.lit(m[:3]) for m in lx.MONTHS]), part(1, 2))
+    return F.when(month > 0, F.try_to_date(F.concat_ws("-", part(3, 3), month.cast("string"), part(2, 1)), "yyyy-M-d"))
+
+
 def parse_deadline(text: Column) -> Column:
-    """Yyyy-MM-dd, day-first with - or / in any mix, else an ISO timestamp; null when none fits."""
+    """Yyyy-MM-dd, day-first with - or / in any mix, else an ISO timestamp or a date with the month's name; null when
+    none fits, and for days that a month doesn't have."""
     return F.coalesce(
         F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd")),
         F.when(text.rlike(r"^\d{2}[-/]\d{2}[-/]\d{4}$"), F.try_to_date(F.translate(text, "/", "-"), "dd-MM-yyyy")),
         F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]"), F.try_to_timestamp(text).cast("date")),
+        _named_month_date(text),
     )
 
 

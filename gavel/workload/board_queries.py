@@ -426,6 +426,20 @@ def date_formats(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", raw.alias("raw")).withColumn("due", board.parse_deadline(F.col("raw")))
 
 
+@query(
+    "month_name_dates_k20",
+    "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%b %-d, %Y') WHEN 1 THEN strftime(o_orderdate, '%-d %B %Y') "
+    "WHEN 2 THEN strftime(o_orderdate, '%a, %d %b %Y') || ' 10:00:00 GMT' ELSE strftime(o_orderdate, '%A %B %d %Y') END AS raw, CAST(o_orderdate AS DATE) AS due FROM orders",
+)
+def month_name_dates(spark, sf):
+    k, d = F.col("o_orderkey") % 4, F.col("o_orderdate")
+    raw = (
+        F.when(k == 0, F.date_format(d, "MMM d, yyyy")).when(k == 1, F.date_format(d, "d MMMM yyyy"))
+        .when(k == 2, F.concat(F.date_format(d, "EEE, dd MMM yyyy"), F.lit(" 10:00:00 GMT"))).otherwise(F.date_format(d, "EEEE MMMM dd yyyy"))
+    )
+    return table(spark, sf, "orders").select("o_orderkey", raw.alias("raw")).withColumn("due", board.parse_deadline(F.col("raw")))
+
+
 URGENCY = f"CASE WHEN due_date < DATE '{AS_OF}' THEN 'overdue' WHEN due_date <= DATE '{AS_OF}' + 2 THEN 'near' ELSE 'default' END"
 
 

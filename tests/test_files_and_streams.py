@@ -145,6 +145,7 @@ def test_a_killed_batch_is_replayed_exactly_once(spark, tmp_path, rows, monkeypa
 
 def test_deadline_texts(spark):
     texts = {"2024-03-05": "2024-03-05", "05-03-2024": "2024-03-05", "05/03/2024": "2024-03-05", "05-03/2024": "2024-03-05", "2024-03-05T10:00:00": "2024-03-05", "31-02-2024": None, "soon": None, "5/3/2024": None}
+    texts |= {"Mar 5, 2024": "2024-03-05", "5 march 2024": "2024-03-05", "Tue, 05 Mar 2024 10:00:00 GMT": "2024-03-05", "Tue Mar 05 2024": "2024-03-05", "Feb 31, 2024": None, "xyz 5, 2024": None, "5-Mar-2024": "2024-03-05", "march": None}
     found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", board.parse_deadline(F.col("t")).cast("string").alias("d")).collect()
     assert {r.t: r.d for r in found} == texts
 
