@@ -177,17 +177,18 @@ def _linked_texts(similarity: float, size: int):
     return run
 
 
-def _parted(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """rows with `part`: 0 in groups of at most `most` rows; larger ones go out as pairs of their parts."""
+def _parted(rows: DataFrame, key: str, most: int, few: bool) -> DataFrame:
+    """rows with `part`: 0 in groups of at most `most` rows; larger ones go out as pairs of their parts; few: their number is bounded."""
     large = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(key, F.ceil(F.col("_n") / (most // 2)).cast("int").alias("_parts"))
+    large = F.broadcast(large) if few else large
     own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("_parts")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda q: (F.least(q, own) * F.col("_parts") + F.greatest(q, own)).cast("long"))
     none = F.array(F.lit(0).cast("long"))
     return rows.join(large, key, "left").withColumn("part", F.explode(F.when(F.col("_parts").isNull(), none).otherwise(others))).drop("_parts")
 
 
-def _dealt(rows: DataFrame, key: str, most: int, columns: list[str]) -> DataFrame:
-    return _parted(rows, key, most).repartition(key, "part").sortWithinPartitions(key, "part").select(key, "part", "node", *columns)
+def _dealt(rows: DataFrame, key: str, most: int, columns: list[str], few: bool = False) -> DataFrame:
+    return _parted(rows, key, most, few).repartition(key, "part").sortWithinPartitions(key, "part").select(key, "part", "node", *columns)
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
@@ -213,7 +214,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     byte = lambda p: F.shiftrightunsigned(f"f{p // 8}", 8 * (p % 8)).bitwiseAND(F.lit(255))
     keys = F.array(*[F.shiftleft(F.lit(i).cast("long"), 16).bitwiseOR(F.shiftleft(byte(p), 8)).bitwiseOR(byte(q)) for i, (p, q) in enumerate(position_pairs())])
-    lists = _dealt(nodes.select("node", *lanes, F.explode(keys).alias("key")), "key", LIST_ROWS, lanes)
+    index = nodes.select("node", *lanes, F.explode(keys).alias("key"))
+    lists = _dealt(index, "key", LIST_ROWS, lanes, few=True)  # there are SETS * 65,536 keys at most, some 60 MB
     coarse = cut_lineage(components(lists.mapInArrow(_linked_fingerprints, "a long, b long").distinct()))
 
     # one text of each node of a group, however many rows have it
