@@ -53,6 +53,30 @@ def test_similar_across_by_text(spark, rows, small_blocks):
     assert rows(got, "g", "lo", "hi") == want and want
 
 
+@pytest.mark.parametrize("symmetric", [True, False])
+def test_parts_follow_the_rows_of_a_group_and_not_their_numbers(spark, rows, monkeypatch, symmetric):
+    monkeypatch.setattr(pairs, "BLOCK", 8)
+    monkeypatch.setattr(pairs, "VECTORS", 1)
+    data = {g: sample(n, 6, n) for g, n in ((1, 40), (2, 9), (3, 1))}
+    given_ = [(g, 1_000_000_007 * (i + g) % (1 << 40), [float(x) for x in v]) for g, vs in data.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(given_ + [(1, 5, None), (None, 6, [1.0] * 6), (1, None, [1.0] * 6)], "g int, idx long, v array<double>").repartition(3)
+    sent = pairs._dealt(df, None if symmetric else df, ["g"], "v", 8)
+    assert sent.count() == (40 * 5 + 9 * 2 + 1) * (1 if symmetric else 2)
+    near = lambda x, y: x[0] == y[0] and cos(np.array(x[2]), np.array(y[2])) >= 0.8
+    want = sorted((x[0], x[1], y[1]) for x in given_ for y in given_ if (x[1] < y[1] or not symmetric) and near(x, y))
+    got = pairs.similar_pairs(df, ["g"], "v", 0.8, False) if symmetric else pairs.similar_across(df, df, ["g"], "v", 0.8, False)
+    assert rows(got, "g", "lo", "hi") == want and want
+
+
+def test_the_earlier_text_comes_first_whatever_part_it_is_in(spark, rows, small_blocks):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 7))) for _ in range(30)]
+    df = spark.createDataFrame([("g", 100 * i, t) for i, t in enumerate(texts)], "g string, idx long, v string")
+    ratio = lambda i, j: SequenceMatcher(None, texts[i], texts[j]).ratio()
+    want = [("g", 100 * i, 100 * j, ratio(i, j)) for i in range(30) for j in range(i + 1, 30) if ratio(i, j) >= 0.6]
+    assert rows(pairs.similar_pairs(df, ["g"], "v", 0.6, texts=True)) == want and want
+
+
 EDGES = st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9)), max_size=20)
 
 
