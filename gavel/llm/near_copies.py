@@ -109,17 +109,39 @@ def _link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
+def stars(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest position that each of `size` positions reaches by the links a, b."""
+    least = np.arange(size)
+    while True:
+        lower = np.minimum(least[a], least[b])
+        if (least[a] == least[b]).all():
+            return least
+        np.minimum.at(least, least[a], lower)
+        np.minimum.at(least, least[b], lower)
+        while (least[least] != least).any():
+            least = least[least]
+
+
 def _list_links(group: np.ndarray, ids: np.ndarray, fps: np.ndarray, short: int = SHORT_LIST) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links (a, b) inside lists; group: number of each row's list, ascending. Short lists are compared all at once."""
+    """Links (a, b) inside lists; group: number of each row's list, ascending, ids ascending in it. Short lists are compared all at once.
+
+    All that is connected in a list is linked to its smallest id: lists of the same near copies then name few different
+    links, and a list gives fewer links than it has rows.
+    """
     size = np.bincount(group)
     few = size[group] <= short
+    found = []
     for step in range(1, short):
         at = np.flatnonzero(few[:-step] & (group[:-step] == group[step:]))
         if not len(at):
             break
         x = fps[at] ^ fps[at + step]
         near = (np.bitwise_count(x).sum(axis=1) <= BITS) & ((x.view(np.uint8) == 0).sum(axis=1) >= BYTES)
-        yield ids[at[near]], ids[at[near] + step]
+        found.append(np.stack([at[near], at[near] + step]))
+    if found:
+        least = stars(len(ids), *np.concatenate(found, axis=1))
+        moved = np.flatnonzero(least != np.arange(len(ids)))
+        yield ids[least[moved]], ids[moved]
     first = np.concatenate(([0], np.cumsum(size)))
     for g in np.flatnonzero(size > short):
         own, some = ids[first[g] : first[g + 1]], fps[first[g] : first[g + 1]]
@@ -129,7 +151,7 @@ def _list_links(group: np.ndarray, ids: np.ndarray, fps: np.ndarray, short: int
 
 
 def _linked_fingerprints(batches):
-    """Batches of (key, part, node, lanes) sorted by key and part; the last list of a batch may go on in the next one."""
+    """Batches of (key, part, node, lanes) sorted by key, part and node; the last list of a batch may go on in the next one."""
     held = None
 
     def links(rows: np.ndarray):
@@ -188,7 +210,7 @@ def _parted(rows: DataFrame, key: str, most: int, few: bool) -> DataFrame:
 
 
 def _dealt(rows: DataFrame, key: str, most: int, columns: list[str], few: bool = False) -> DataFrame:
-    return _parted(rows, key, most, few).repartition(key, "part").sortWithinPartitions(key, "part").select(key, "part", "node", *columns)
+    return _parted(rows, key, most, few).repartition(key, "part").sortWithinPartitions(key, "part", "node").select(key, "part", "node", *columns)
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:

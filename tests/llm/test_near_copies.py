@@ -99,6 +99,21 @@ def test_alike_counts_bytes_and_bits():
     assert near_copies.alike(one, many).tolist() == want and 0 < sum(want) < 40
 
 
+def test_lists_of_one_group_name_few_links():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, near_copies.LANES, dtype=np.uint64)
+    fps = base ^ np.where(rng.random((40, near_copies.LANES)) < 0.5, np.uint64(1) << rng.integers(0, 8, (40, near_copies.LANES)).astype(np.uint64), np.uint64(0))
+    one = np.arange(40)
+    group, ids = np.repeat(np.arange(5), 40), np.tile(one, 5)  # five lists with the same near copies
+    for short in (64, 8):
+        links = np.concatenate([np.stack(x, axis=1) for x in near_copies._list_links(group, ids, np.tile(fps, (5, 1)), short)])
+        assert {tuple(x) for x in links.tolist()} == {(0, i) for i in range(1, 40)} and len(links) == 5 * 39
+    for n, p in ((30, 0.02), (30, 0.06), (50, 0.03)):
+        a, b = np.nonzero(np.triu(rng.random((n, n)) < p, 1))
+        of = components(n, list(zip(a.tolist(), b.tolist())))
+        assert near_copies.stars(n, a, b).tolist() == [min(j for j in range(n) if of[j] == of[i]) for i in range(n)]
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
     kept = near_copies.drop_near_texts(docs)
