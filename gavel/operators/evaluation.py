@@ -210,7 +210,9 @@ def set_evaluation(pred: DataFrame, gold: DataFrame) -> DataFrame:
 
 def report_lines(results: DataFrame) -> DataFrame:
     """One formatted text per evaluated meeting."""
-    three = lambda c: F.format_string("%.3f", F.round(F.coalesce(c, F.lit(0.0)), 3))
+    # The thousandths are rounded as a double, like in the checking SQL: F.round goes by the decimal text and makes
+    # 0.501 of 0.5005, which lies below that half.
+    three = lambda c: F.format_string("%.3f", F.round(F.coalesce(c, F.lit(0.0)) * 1000) / 1000)
     return results.select(
         "meeting_id",
         F.concat_ws(

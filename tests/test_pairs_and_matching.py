@@ -156,6 +156,16 @@ def test_missing_and_blank_values_match_nothing(spark):
     assert [tuple(r) for r in counts.collect()] == [("m", 1, 4, 3)]
 
 
+def test_report_rounds_halves_as_its_sql_does(spark):
+    import duckdb
+
+    values = [(10 * i + 5) / 10000 for i in range(1000)]
+    df = spark.createDataFrame([(i, 1, 1, v, v, v, v, v) for i, v in enumerate(values)], "meeting_id int, n_gold int, n_pred int, precision double, recall double, f1 double, completeness double, avg_confidence double")
+    got = {r.meeting_id: r.report.splitlines()[-1].split()[-1] for r in evaluation.report_lines(df).collect()}
+    want = [x[0] for x in duckdb.execute("SELECT printf('%.3f', round(x, 3)) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [values]).fetchall()]
+    assert [got[i] for i in range(1000)] == want
+
+
 def test_meetings_with_empty_predictions_count_as_zeros(spark):
     tasks = lambda rows: spark.createDataFrame(rows, "meeting_id string, idx long, task string, confidence double, assignee string, deadline string")
     pred, gold = tasks([("a", 0, "x", 0.5, None, None)]), tasks([(m, 0, "x", None, None, None) for m in "abc"])
