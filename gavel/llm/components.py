@@ -26,7 +26,8 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node that has a link; root: the smallest node of its component.
 
     links: (a, b), any direction; loops and repeats don't matter, none gives an empty table. The rounds grow with
-    the logarithm of the longest path; each is cut by a checkpoint and ends in one row at the driver.
+    the logarithm of the longest path; each is cut by a checkpoint and ends in one row at the driver. Small stars come
+    first: many links of one node to a few smaller ones, as lists of near copies give, are one link a node from there on.
     """
     links = cut_lineage(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     state = None
@@ -35,4 +36,4 @@ def components(links: DataFrame) -> DataFrame:
         if now == state or now[0] == 0:
             return links.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
         state = now
-        links = cut_lineage(_small_star(_large_star(links)))
+        links = cut_lineage(_large_star(_small_star(links)))

@@ -114,6 +114,17 @@ def test_lists_of_one_group_name_few_links():
         assert near_copies.stars(n, a, b).tolist() == [min(j for j in range(n) if of[j] == of[i]) for i in range(n)]
 
 
+def test_many_links_to_few_small_nodes_become_one_link_a_node(spark, monkeypatch):
+    from gavel.llm import components as stars_
+
+    links = spark.range(4000).selectExpr("id % 10 AS a", "10 + id div 10 AS b").unionByName(spark.createDataFrame([(900, 901), (902, 901)], "a long, b long"))
+    sizes, inner = [], stars_._large_star
+    monkeypatch.setattr(stars_, "_large_star", lambda x: (sizes.append(x.count()), inner(x))[1])
+    got = {r.node: r.root for r in stars_.components(links).collect()}
+    assert got == {i: 0 for i in range(410)} | {i: 900 for i in (900, 901, 902)}
+    assert max(sizes) <= 413
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
     kept = near_copies.drop_near_texts(docs)
