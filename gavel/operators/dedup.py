@@ -74,21 +74,24 @@ def near_titles(tasks: DataFrame, threshold: float = lx.DUPLICATE_SIMILARITY, ti
     words = F.array_sort(F.array_distinct(F.filter(F.split("title", r"\s+"), lambda w: w != "")))
     titles = cut_lineage(tasks.select(title.alias("title")).where("title <> ''").distinct().select("title", words.alias("words")))
     size = F.size("words")
-    sets = cut_lineage(titles.where(size / (size + 1) >= threshold - 1e-9).select("words").distinct())
-    each = sets.select("words", F.explode("words").alias("w"))
+    sets = cut_lineage(titles.where(size / (size + 1) >= threshold - 1e-9).select("words").distinct().withColumn("id", F.monotonically_increasing_id()))
+    # Only ids go along with the words. Arrays of words and lists unfold behind the shuffles by whose sizes the planner
+    # picks a side to broadcast: merge joins.
+    each = sets.select("id", F.explode("words").alias("w"))
     counts = each.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    ranked = each.join(counts, "w").groupBy("words").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("ws"))
+    ordered = each.join(counts.hint("merge"), "w").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("ws"))
+    ranked = sets.join(ordered.hint("merge"), "id")
     prefix = F.slice("ws", F.lit(1), (size - F.ceil(size * F.lit(threshold) - 1e-9) + 1).cast("int"))
     keyed = ranked.select("words", size.alias("size"), F.explode(prefix).alias("p")).select("words", "size", F.col("p.w").alias("w"))
     a, b = (_parted(keyed).toDF(*[f"{side}_{c}" for c in ("words", "size", "part")], "w", "low", "high") for side in "ab")
     shared = F.size(F.array_intersect("a_words", "b_words"))
     once_ = (F.col("a_part") != F.col("b_part")) | (F.col("low") == F.col("high"))  # rows of one part meet in one place
     close = (F.col("a_words") < F.col("b_words")) & (F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * threshold - 1e-9)
-    near = a.join(b, ["w", "low", "high"]).where(once_ & close).select("a_words", "b_words", (shared / (F.col("a_size") + F.col("b_size") - shared)).alias("similarity"))
+    near = a.join(b.hint("merge"), ["w", "low", "high"]).where(once_ & close).select("a_words", "b_words", (shared / (F.col("a_size") + F.col("b_size") - shared)).alias("similarity"))
     near = near.where(F.col("similarity") >= threshold).distinct()
     one, two = titles.toDF("one", "a_words"), titles.toDF("two", "b_words")
-    different = near.join(one, "a_words").join(two, "b_words").select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b"), "similarity")
-    equal = one.join(two, one["a_words"] == two["b_words"]).where("one < two").select(F.col("one").alias("a"), F.col("two").alias("b"), F.lit(1.0).alias("similarity"))
+    different = near.join(one.hint("merge"), "a_words").join(two.hint("merge"), "b_words").select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b"), "similarity")
+    equal = one.join(two.hint("merge"), one["a_words"] == two["b_words"]).where("one < two").select(F.col("one").alias("a"), F.col("two").alias("b"), F.lit(1.0).alias("similarity"))
     return different.unionByName(equal)
 
 

@@ -150,6 +150,13 @@ def test_near_titles_by_brute_force_with_split_lists(spark, monkeypatch):
     assert dedup.near_titles(pairs_).count() == 0
 
 
+def test_near_titles_broadcast_no_titles(spark):
+    titles = spark.range(200).selectExpr("concat('a b c d e f g h ', id % 50) AS task")
+    plan = dedup.near_titles(titles)._jdf.queryExecution().executedPlan().toString()
+    sent = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert "SortMergeJoin" in plan and all("LeftOuter" in line for line in sent), sent  # only the few long lists
+
+
 def test_missing_and_blank_values_match_nothing(spark):
     df = lambda rows: spark.createDataFrame([("m", i, t) for i, t in enumerate(rows)], "meeting_id string, idx long, task string")
     counts = evaluation.similar_matches(df(["send the report", None, " ", ""]), df([None, "", " Send the report "]), ["meeting_id"], "task", "task", 0.8)
