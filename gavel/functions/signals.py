@@ -6,15 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gavel import lexicon as lx
-from gavel.functions.text import any_of, has_any, let, regex, strip, word_count
+from gavel.functions.text import any_of, has_any, has_words, let, regex, strip
 
 
 def is_actionable(text: Column, min_words: int = lx.MIN_DECISION_WORDS) -> Column:
     """Enough words, no non-action opening, an action verb."""
     return (
-        text.rlike(regex(lx.DETECTION_VERBS))
+        text.rlike(any_of([lx.DETECTION_VERBS]))
         & ~text.rlike(any_of(lx.NON_ACTION_SENTENCES))
-        & (word_count(text) >= min_words)
+        & has_words(text, min_words)
     )
 
 
@@ -30,7 +30,7 @@ def modal(text: Column, include_lets: bool = False) -> Column:
         found = F.coalesce(found, F.when(text.rlike(regex(r"\blet's\b")), F.lit("let's")))
     # One alternation first: most sentences hold no modal and skip the ordered search.
     names = [m for m, _ in lx.MODALS] + (["let's"] if include_lets else [])
-    return F.when(text.rlike(regex(r"\b(" + "|".join(names) + r")\b")), found)
+    return F.when(text.rlike(any_of([r"\b(" + "|".join(names) + r")\b"])), found)
 
 
 def modal_strength(found: Column) -> Column:
@@ -66,8 +66,8 @@ def has_negation(text: Column) -> Column:
 def tense_prior(text: Column, root_tag: Column) -> Column:
     """Past words anywhere, progressive words whole, then the root verb's tag."""
     return (
-        F.when(text.rlike(regex("|".join(lx.PAST_WORDS))), lx.PAST_PRIOR)
-        .when(text.rlike(regex(r"\b(" + "|".join(lx.PROGRESSIVE_WORDS) + r")\b")), lx.PROGRESSIVE_PRIOR)
+        F.when(text.rlike(any_of(lx.PAST_WORDS)), lx.PAST_PRIOR)
+        .when(text.rlike(any_of([r"\b(" + "|".join(lx.PROGRESSIVE_WORDS) + r")\b"])), lx.PROGRESSIVE_PRIOR)
         .when(root_tag.isin("VBD", "VBN"), lx.PAST_PRIOR)
         .when(root_tag == "VBG", lx.PROGRESSIVE_PRIOR)
         .otherwise(1.0)
@@ -125,7 +125,7 @@ def is_valid_deadline(text: Column) -> Column:
     return F.coalesce(
         (F.length(strip(text)) >= 3)
         & ~text.rlike(any_of(lx.INVALID_DEADLINES))
-        & text.rlike(regex(lx.DEADLINE_ANCHORS)),
+        & text.rlike(any_of([lx.DEADLINE_ANCHORS])),
         F.lit(False),
     )
 
@@ -145,7 +145,7 @@ def deadline(text: Column, date_entities: Column | None = None) -> Column:
         match = strip(F.regexp_extract(text, regex(patterns[0]), 0))
         return let(match, lambda m: F.when(is_valid_deadline(m), m).otherwise(attempt(patterns[1:])))
 
-    by_pattern = F.when(has_any(F.lower(text), DEADLINE_HINTS), attempt(lx.DEADLINES))
+    by_pattern = F.when(let(F.lower(text), lambda low: has_any(low, DEADLINE_HINTS)), attempt(lx.DEADLINES))
     if date_entities is None:
         return by_pattern
     entities = F.transform(date_entities, lambda e: strip(e))

@@ -6,6 +6,7 @@ also work on lambda variables, which lets the turn parser apply them to arrays w
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -25,8 +26,41 @@ def regex(pattern: str, ignore_case: bool = True) -> str:
 
 
 def any_of(patterns: Sequence[str], ignore_case: bool = True) -> str:
-    """One alternation for a pattern list: a single pass over the text instead of one per pattern."""
-    return regex("|".join(f"(?:{p})" for p in patterns), ignore_case)
+    """One alternation for a pattern list, to be searched for: a single pass over the text instead of one per pattern.
+
+    Java tries every branch at every place. Branches bound to the start of the text are therefore tried there only, and
+    the others only at places that hold a character one of them can begin with.
+    """
+    bound = [p for p in patterns if re.match(r"\^[^|]*$|\^[^|(]*\((?:[^()]|\([^()]*\))*\)[^|()]*$", p)]
+    free = [p for p in patterns if p not in bound]
+    parts = ["^(?:" + "|".join(f"(?:{p[1:]})" for p in bound) + ")"] if bound else []
+    if free:
+        begins = [beginnings(p) for p in free]
+        ahead = "" if None in begins else "(?=[" + "".join(sorted(set().union(*begins))) + "])"
+        parts.append(ahead + "(?:" + "|".join(f"(?:{p})" for p in free) + ")")
+    return regex("|".join(parts), ignore_case)
+
+
+def beginnings(pattern: str) -> set[str] | None:
+    """The characters (or `\\d`) that a match can begin with, as members of a character class; None if that isn't plain
+    to see. Reads boundaries, letters, digits, groups of such branches, and single optional letters."""
+    pattern = re.sub(r"^(?:\\b|\^)+", "", pattern)
+    if pattern.startswith("("):
+        depth, cuts = 0, [0]
+        for i, c in enumerate(pattern):
+            depth += (c == "(") - (c == ")")
+            if c == "|" and depth == 1:
+                cuts.append(i)
+            if depth == 0:
+                break
+        if pattern[i + 1 : i + 2] in ("?", "*", "{") or pattern.startswith("(?"):
+            return None
+        cuts.append(i)
+        found = [beginnings(pattern[a + 1 : b]) for a, b in zip(cuts, cuts[1:])]
+        return None if None in found or "|" in re.sub(r"\([^()]*\)", "", pattern[i + 1 :]) else set().union(*found)
+    if "|" in re.sub(r"\([^()]*\)", "", pattern) or not re.match(r"(?:[A-Za-z]|\\d)(?![?*{])", pattern):
+        return None
+    return {"\\d" if pattern[0] == "\\" else pattern[0]}
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -60,9 +94,14 @@ def word_count(text: Column) -> Column:
     return F.size(words(text))
 
 
+def has_words(text: Column, n: int) -> Column:
+    """At least `n` words, found without cutting the text."""
+    return text.rlike(regex(rf"^\s*+(?:\S++\s++){{{n - 1}}}\S", False))
+
+
 def collapse(text: Column) -> Column:
-    """Runs of whitespace become one space, ends trimmed."""
-    return strip(replace(text, r"\s+", " ", False))
+    """Runs of whitespace become one space, ends trimmed. What is one space already is left as it is."""
+    return strip(replace(text, r"\s(?:\s+|(?<! ))", " ", False))
 
 
 def has_any(lower: Column, parts: Sequence[str]) -> Column:
@@ -73,33 +112,40 @@ def has_any(lower: Column, parts: Sequence[str]) -> Column:
     return found
 
 
-def drop_spoken_fillers(text: Column) -> Column:
-    """Um / uh / like (but not 'like doing') become a space."""
-    return let(
-        text,
-        lambda t: F.when(has_any(F.lower(t), ["um", "uh", "like"]), replace(t, lx.FILLER_WORDS_SPOKEN, " ")).otherwise(t),
-    )
+FILLERS = ["um", "uh", "like"]
+PHRASES = [p for p, _ in lx.PHRASE_DICTIONARY]
 
 
-def expand_phrases(text: Column) -> Column:
-    """Ordered whole-word dictionary replacement; a text without any phrase is left after cheap tests."""
-    phrases = [p for p, _ in lx.PHRASE_DICTIONARY]
-    any_phrase = any_of([rf"\b{p}\b" for p in phrases])
+def _fill(t: Column) -> Column:
+    return replace(t, lx.FILLER_WORDS_SPOKEN, " ")
+
 
+def _expand(t: Column) -> Column:
     def fold(t: Column) -> Column:
         for phrase, standard in lx.PHRASE_DICTIONARY:
             t = replace(t, rf"\b{phrase}\b", standard)
         return t
 
-    def needed(t: Column) -> Column:
-        return has_any(F.lower(t), phrases) & t.rlike(any_phrase)
+    return F.when(t.rlike(any_of([rf"\b{p}\b" for p in PHRASES])), fold(t)).otherwise(t)
 
-    return let(text, lambda t: F.when(needed(t), fold(t)).otherwise(t))
+
+def drop_spoken_fillers(text: Column) -> Column:
+    """Um / uh / like (but not 'like doing') become a space."""
+    return let(text, lambda t: F.when(let(F.lower(t), lambda low: has_any(low, FILLERS)), _fill(t)).otherwise(t))
+
+
+def expand_phrases(text: Column) -> Column:
+    """Ordered whole-word dictionary replacement; a text without any phrase is left after cheap tests."""
+    return let(text, lambda t: F.when(let(F.lower(t), lambda low: has_any(low, PHRASES)), _expand(t)).otherwise(t))
 
 
 def clean(text: Column) -> Column:
-    """The full cleaning chain."""
-    return collapse(expand_phrases(drop_spoken_fillers(collapse(text))))
+    """The full cleaning chain. A text that holds neither filler nor phrase is done after its spaces."""
+    def rest(t: Column) -> Column:
+        touched = let(F.lower(t), lambda low: has_any(low, FILLERS + PHRASES))
+        return F.when(touched, collapse(expand_phrases(drop_spoken_fillers(t)))).otherwise(t)
+
+    return let(collapse(text), rest)
 
 
 def is_stop_sentence(text: Column) -> Column:
@@ -152,9 +198,10 @@ def capitalize_word(text: Column) -> Column:
 
 
 def capitalize_calendar(text: Column) -> Column:
-    """Day and month names get a capital; texts without one cost a single regex."""
+    """Day and month names get a capital; texts without one that lacks it cost a single regex."""
     names = lx.DAYS + lx.MONTHS
-    present = regex(r"\b(" + "|".join(names) + r")\b")
+    right = "|".join(name.capitalize() for name in names)
+    present = regex(rf"\b(?!(?:{right})\b)(?i:" + "|".join(names) + r")\b", False)
 
     def fold(t: Column) -> Column:
         for name in names:
@@ -176,12 +223,16 @@ def end_with_period(text: Column) -> Column:
 
 
 def rule_based_title(text: Column) -> Column:
-    """A task sentence from raw text by rules alone."""
-    out = first_sentence(text)
-    for opening in lx.CONVERSATIONAL_OPENINGS:
-        out = strip(replace(out, opening))
-    for filler in lx.TITLE_FILLERS:
-        out = strip(replace(out, filler))
+    """A task sentence from raw text by rules alone. A sentence without opening and filler is left as it is."""
+    def bare(out: Column) -> Column:
+        for opening in lx.CONVERSATIONAL_OPENINGS:
+            out = strip(replace(out, opening))
+        for filler in lx.TITLE_FILLERS:
+            out = strip(replace(out, filler))
+        return out
+
+    wordy = any_of(lx.CONVERSATIONAL_OPENINGS + lx.TITLE_FILLERS)
+    out = let(first_sentence(text), lambda t: F.when(t.rlike(wordy), bare(t)).otherwise(t))
     out = strip(replace(out, r"\s{2,}", " ", False))
     out = strip(F.rtrim(F.rtrim(out, F.lit("?")), F.lit(".")))
     return end_with_period(capitalize_first(capitalize_calendar(out)))
@@ -233,7 +284,7 @@ def is_generated_task(text: Column) -> Column:
     return F.coalesce(
         (word_count(text) >= 3)
         & ~text.rlike(any_of(lx.NON_TASK_SENTENCES))
-        & text.rlike(regex(lx.GENERATED_TASK_VERBS)),
+        & text.rlike(any_of([lx.GENERATED_TASK_VERBS])),
         F.lit(False),
     )
 

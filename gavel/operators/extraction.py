@@ -21,21 +21,22 @@ def named_speakers(text: Column, known: Column) -> tuple[Column, Column]:
     the text counts, then the smaller name. A substring test runs first, so the per-name pattern is only
     compiled for names that occur at all.
     """
-    lead = F.filter(
+    lower = F.lower(text)
+    occurring = let(lower, lambda low: F.filter(known, lambda n: F.contains(low, F.lower(n))))
+    opening = F.filter(
         F.transform(words(F.lower(F.regexp_extract(text, OPENING, 0))), lambda w: F.rtrim(w, F.lit(",:"))),
         lambda w: (w != "") & (F.array_contains(known, w) | F.array_contains(known, capitalize_word(w))),
     )
-    lower = F.lower(text)
+    # In plain ASCII a leading name is one that occurs.
+    lead = F.when(F.exists(occurring, lambda n: n != "") | (F.length(text) != F.octet_length(text)), let(F.get(opening, F.lit(0)), capitalize_word))
 
     def at(name: Column) -> Column:
-        whole = F.concat(F.lit(r"(?iU)\b\Q"), name, F.lit(r"\E\b"))
-        return F.when(F.contains(lower, F.lower(name)), F.regexp_instr(text, whole)).otherwise(0)
+        return F.regexp_instr(text, F.concat(F.lit(r"(?iU)\b\Q"), name, F.lit(r"\E\b")))
 
     mentions = F.filter(
-        F.transform(known, lambda n: F.struct(at(n).alias("at"), n.alias("name"))), lambda m: m["at"] > 0
+        F.transform(occurring, lambda n: F.struct(at(n).alias("at"), n.alias("name"))), lambda m: m["at"] > 0
     )
-    first = F.array_min(mentions)
-    return let(F.get(lead, F.lit(0)), capitalize_word), first["name"]
+    return lead, F.array_min(mentions)["name"]
 
 
 def with_named_speakers(sentences: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavel import lexicon as lx
-from gavel.functions.text import let, once, regex, strip
+from gavel.functions.text import any_of, let, once, regex, strip
 
 RULE_VERBS = sorted(set(lx.VERB_IMPERATIVES) | {"handle", "share", "need", "have", "get", "make", "be", "go", "think"})
 VERB_FORMS = r"\b(" + "|".join(RULE_VERBS) + r")(s|ed|d|ing)?\b"
@@ -43,7 +43,7 @@ def annotate_by_rules(sentences: DataFrame) -> DataFrame:
     head, verb = F.get("_c", F.lit(0)), F.lower(F.get("_c", F.lit(1)))
     form = F.lower(F.get("_c", F.lit(2)))
     phrase = strip(F.regexp_replace(F.get("_c", F.lit(3)), regex(r"\s*" + PHRASE_ENDS + r".*$"), ""))
-    pronoun = F.when(verb.isNotNull(), F.regexp_extract(head, regex(SUBJECT_WORD), 1))
+    pronoun = F.when(verb.isNotNull(), F.regexp_extract(head, any_of([SUBJECT_WORD]), 1))
     addressee = F.regexp_extract(text, r"(?U)^(\p{Lu}\w*),", 1)
     staged = sentences.withColumn("_c", pieces).select(
         "*",
@@ -52,7 +52,7 @@ def annotate_by_rules(sentences: DataFrame) -> DataFrame:
         F.coalesce(F.nullif(pronoun, none), F.nullif(addressee, none)).alias("_subject"),
         F.when(form.isin("ed", "d"), "VBD").when(form == "ing", "VBG").when(form == "s", "VBZ")
         .when(verb.isNotNull(), "VB").alias("root_tag"),
-        text.rlike(regex(PASSIVE)).alias("is_passive"),
+        text.rlike(any_of([PASSIVE])).alias("is_passive"),
     )
     return (
         staged.withColumn("has_dobj", F.col("object").isNotNull())

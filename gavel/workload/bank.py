@@ -11,6 +11,8 @@ sentences, picked by arithmetic on the row's id. Spark and the checking SQL buil
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +87,7 @@ PHRASES = [
 ]
 
 LINES = 8
+TASK_EVENTS = 50_000
 
 
 def _pick(values: list[str], index: Column) -> Column:
@@ -92,9 +95,10 @@ def _pick(values: list[str], index: Column) -> Column:
 
 
 def event_rows(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """The events that name the rows, dealt evenly: wordings of many characters are made from each narrow row."""
+    """The events that name the rows, dealt evenly: wordings of many characters are made from each narrow row, so the
+    number of tasks grows with the rows (their count stands in the files' footers), not with the bytes."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(*columns)
-    return rows.repartition(spark.sparkContext.defaultParallelism)
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, math.ceil(rows.count() / TASK_EVENTS)))
 
 
 def standups(spark: SparkSession, sf_dir: str) -> DataFrame:

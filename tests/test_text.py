@@ -88,3 +88,40 @@ def test_task_confidence_values(spark):
 def test_initials_and_slug(spark):
     assert apply(spark, tx.initials, ["Mara Lee Sung", "mo", "x", "", None]) == ["MS", "MO", "X", "?", "?"]
     assert apply(spark, lambda c: tx.slug(c, F.lit("fallback")), ["John Doe", "Ünï 7", "ß"]) == ["john-doe", "n-7", "fallback"]
+
+
+def test_any_of_finds_what_the_plain_alternation_finds(spark):
+    from gavel import lexicon as lx
+    from gavel.workload.bank import PHRASES
+
+    lists = [
+        lx.STOP_SENTENCES, lx.METRIC_SENTENCES, lx.OBSERVATION_SENTENCES, lx.CONSEQUENCE_SENTENCES, lx.NON_ACTION_SENTENCES, lx.HARD_FILTERS,
+        lx.SUGGESTION_MARKERS, lx.NEGATIONS, lx.REQUESTS, lx.ACCEPTANCES, lx.INVALID_DEADLINES, lx.NON_TASK_SENTENCES, lx.INVALID_TASK_TEXTS,
+        lx.PAST_WORDS, [lx.DETECTION_VERBS], [lx.DEADLINE_ANCHORS], lx.DEADLINES, lx.CONVERSATIONAL_OPENINGS + lx.TITLE_FILLERS, [r"^a|b", "c?d", r"\w+ e"],
+    ]
+    odd = ["", "b", "xd", "é e", "Thank you all.", "Oh, thanks!", "ſure", "THAT'S GREAT", "it was up\n5 %", "so, 7% is compared to 9", "٣ %", "on 1/2", "\tgood morning", "not", "K"]
+    df = spark.createDataFrame([(v,) for v in PHRASES + odd + [f"well, {p.lower()}" for p in PHRASES]], "t string")
+    for patterns in lists:
+        plain = tx.regex("|".join(f"(?:{p})" for p in patterns))
+        assert df.where(F.col("t").rlike(plain) != F.col("t").rlike(tx.any_of(patterns))).collect() == [], patterns
+    # Branches bound to the start are tried there only.
+    assert tx.any_of(lx.NON_ACTION_SENTENCES).startswith("(?iU)^(?:") and "(?=[" in tx.any_of(lx.NEGATIONS)
+
+
+def test_spaces_words_and_names(spark):
+    assert apply(spark, tx.collapse, ["a\tb", " a \t\n b ", "a b", "a b", "\x1c a"]) == ["a b", "a b", "a b", "a b", "a"]
+    assert apply(spark, lambda t: tx.has_words(t, 3), ["a b c", " a  b ", "", "a\tb\nc d"]) == [True, False, False, True]
+    assert apply(spark, tx.capitalize_calendar, ["by monday in May, may be", "by Friday", "FRIDAY"]) == ["by Monday in May, May be", "by Friday", "Friday"]
+    assert apply(spark, tx.rule_based_title, ["I think we should just fix it by friday?", "we'll probably go"]) == ["Fix it by Friday.", "Go."]
+    from gavel.operators.extraction import named_speakers
+
+    df = spark.createDataFrame([("Mara, go on", ["Mara", "Theo"]), ("ask theo and Mara", ["Mara", "Theo"]), ("élan: go", ["Élan"]), ("nobody", ["Mara"]), ("x", None), ("Marabel went", ["Mara"])], "t string, k array<string>")
+    assert [tuple(r) for r in df.select(*named_speakers(F.col("t"), F.col("k"))).collect()] == [("Mara", "Mara"), ("Theo", "Theo"), ("Élan", "Élan"), (None, None), (None, None), (None, None)]
+
+
+def test_transcripts_are_dealt_to_more_tasks_as_events_grow(spark, monkeypatch):
+    from gavel.workload import bank
+
+    monkeypatch.setattr(bank, "TASK_EVENTS", 10)
+    n = spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+    assert bank.event_rows(spark, "/root/testdata/sf0.001", "event_id").rdd.getNumPartitions() >= n // 10
