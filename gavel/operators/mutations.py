@@ -77,7 +77,8 @@ def publish_changes(
         .agg(F.max_by(F.struct("id", "description", F.col("assignee_id").cast("string").alias("assignee_id"), "due_date"), F.col("id")).alias("_old"))
     )
     seen = published.select(F.col("transcript_reference").alias("transcript_id")).distinct().withColumn("_republish", F.lit(True))
-    joined = incoming.join(existing, ["transcript_id", "_k"], "left").join(seen, "transcript_id", "left")
+    # The old task joins last: it isn't carried through the other join, and its keys deal the rows for the fill-forward, too.
+    joined = incoming.join(seen, "transcript_id", "left").join(existing, ["transcript_id", "_k"], "left")
 
     state = F.struct(strip(F.col("description")).alias("d"), F.col("assignee_id").alias("a"), F.col("due_date").alias("u"))
     old = F.struct(
@@ -119,29 +120,31 @@ def apply_publish(tasks: DataFrame, changes: DataFrame, new_id: Column) -> DataF
     decides its final state.
     """
     effective = changes.where(F.col("action").isin("created", "updated"))
-    final = last_per_key(
-        effective.select("transcript_id", "title_key", "pos", "description", "assignee_id", "due_date", "task_id"),
-        ["transcript_id", "title_key"], "pos",
-    )
-    titles = first_per_key(
-        effective.select("transcript_id", "title_key", "pos", "title"), ["transcript_id", "title_key"], "pos"
-    ).select("transcript_id", "title_key", "title")
-    final = final.join(titles, ["transcript_id", "title_key"])
+    last = F.struct("description", "assignee_id", "due_date", "task_id")
+    final = effective.groupBy("transcript_id", "title_key").agg(F.max_by(last, "pos").alias("_last"), F.min_by("title", "pos").alias("title"))
     kind = {f.name: f.dataType for f in tasks.schema}
-    updates = final.where(F.col("task_id").isNotNull()).select(
-        F.col("task_id").alias("id"),
-        F.struct("description", F.col("assignee_id").cast(kind["assignee_id"]).alias("assignee_id"), "due_date").alias("_new"),
-    )
-    changed = tasks.join(updates, "id", "left")
-    for name in ("description", "assignee_id", "due_date"):
-        changed = changed.withColumn(name, F.when(F.col("_new").isNotNull(), F.col(f"_new.{name}")).otherwise(F.col(name)))
-    created = final.where(F.col("task_id").isNull()).select(
-        new_id.cast(kind["id"]).alias("id"),
-        F.col("transcript_id").cast(kind["transcript_reference"]).alias("transcript_reference"),
-        "title", "description", F.col("assignee_id").cast(kind["assignee_id"]).alias("assignee_id"), "due_date",
-        F.lit("TODO").alias("status"), F.lit("MEDIUM").alias("priority"), F.lit(False).alias("is_manual"),
+    new, created = F.col("_last.task_id").isNull(), {
+        "id": new_id.cast(kind["id"]), "transcript_reference": F.col("transcript_id").cast(kind["transcript_reference"]), "title": F.col("title"),
+        "status": F.lit("TODO"), "priority": F.lit("MEDIUM"), "is_manual": F.lit(False),
+    }
+    updated = {"description": F.col("_last.description"), "assignee_id": F.col("_last.assignee_id").cast(kind["assignee_id"]), "due_date": F.col("_last.due_date")}
+    # The changes are worked out once: one full join gives old, changed and new tasks. A new task has no old id and so
+    # meets none; what it is spread by keeps new tasks from meeting in one place.
+    revised = final.select(
+        F.col("_last.task_id").alias("_old"), F.when(new, F.xxhash64("transcript_id", "title_key")).otherwise(F.lit(0)).alias("_spread"), F.lit(True).alias("_touched"),
+        *[F.when(new, c).alias(f"_new_{name}") for name, c in created.items() if name in kind], *[c.alias(f"_new_{name}") for name, c in updated.items()],
     )
-    return changed.drop("_new").unionByName(created.select(*[c for c in created.columns if c in tasks.columns]), allowMissingColumns=True)
+    before = tasks.withColumns({"_old": F.col("id"), "_spread": F.lit(0).cast("long"), "_there": F.lit(True)})
+    is_new = F.col("_there").isNull()
+
+    def value(name: str) -> Column:
+        if name in updated:
+            return F.when(F.col("_touched"), F.col(f"_new_{name}")).otherwise(F.col(name))
+        old = F.col("_old" if name == "id" else name)
+        return F.when(is_new, F.col(f"_new_{name}") if name in created else F.lit(None)).otherwise(old)
+
+    both = before.join(revised, ["_old", "_spread"], "full")
+    return both.select(*[value(c).alias(c) for c in tasks.columns])
 
 
 def upsert_by_key(table: DataFrame, changes: DataFrame, key: list[str], columns: list[str]) -> DataFrame:

@@ -308,3 +308,26 @@ def test_cluster_sentences(spark):
     assert [r[0] for r in df.select(clusters.clean_sentence(F.col("t"))).collect()] == [
         "Focus on the payment API.", "Prepare the spec.", "Aim for next Wednesday.", "Deploy the system.",
     ]
+
+
+def test_publishing_works_the_changes_out_once(spark):
+    from gavel.operators import mutations
+
+    tasks = spark.createDataFrame(
+        [("t1", 1, "Old", "d", "7", None, "DONE", "LOW", False), ("t2", None, "Other", "d", None, None, "TODO", "LOW", True), (None, 1, "No id", "d", None, None, "TODO", "LOW", False)],
+        "id string, transcript_reference long, title string, description string, assignee_id string, due_date date, status string, priority string, is_manual boolean",
+    )
+    changes = spark.createDataFrame(
+        [(1, 1, "OLD", "old", "new d", None, None, "t1", "updated"), (1, 2, "Fresh", "fresh", "a", "8", None, None, "created"), (1, 3, "FRESH", "fresh", "b", "9", None, None, "updated"),
+         (2, 1, "Fresh", "fresh", "c", None, None, None, "created"), (2, 2, "fresh", "fresh", "x", None, None, None, "duplicate")],
+        "transcript_id long, pos long, title string, title_key string, description string, assignee_id string, due_date date, task_id string, action string",
+    )
+    out = mutations.apply_publish(tasks, changes, F.concat_ws(":", "transcript_id", "title_key"))
+    got = sorted((r.id or "", r.transcript_reference, r.title, r.description, r.assignee_id, r.status, r.is_manual) for r in out.collect())
+    assert got == [
+        ("", 1, "No id", "d", None, "TODO", False), ("1:fresh", 1, "Fresh", "b", "9", "TODO", False), ("2:fresh", 2, "Fresh", "c", None, "TODO", False),
+        ("t1", 1, "Old", "new d", None, "DONE", False), ("t2", None, "Other", "d", None, "TODO", True),
+    ]
+    # Each change is read and grouped in one place only.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("max_by(") == 1 and plan.count("Aggregate ") == 1, plan
