@@ -82,21 +82,23 @@ def map_outputs(validated: DataFrame) -> DataFrame:
 def resolve_assignees(items: DataFrame, users: DataFrame, name: str = "assignee") -> DataFrame:
     """`assignee_id` by case-insensitive full name, else by email prefix; the smallest id on ties.
 
-    Distinct names are resolved once, not once per item. The prefix match is an equi-join: every email offers
-    all its prefixes, so there is no cross join and no limit on the name length.
+    Distinct names are resolved once, not once per item. The prefix match is an equi-join: every email offers its prefixes
+    of the lengths that a name without an account has (one row, met by all users), with no limit on the length.
     """
     key = F.nullif(F.lower(strip(F.col(name))), F.lit(""))
     names = items.select(key.alias("_k")).where(F.col("_k").isNotNull()).distinct()
     by_name = users.groupBy(F.lower("full_name").alias("_k")).agg(F.min("id").alias("_by_name"))
     first = names.join(by_name, "_k", "left")
     email = F.lower("email")
-    offered = users.select(
+    unknown = first.where(F.col("_by_name").isNull()).select("_k")
+    lengths = F.broadcast(unknown.agg(F.collect_set(F.length("_k")).alias("_lengths")))
+    offered = users.select("id", email.alias("_mail")).crossJoin(lengths).select(
         "id",
-        F.explode(F.transform(F.sequence(F.lit(1), F.length("email")), lambda n: F.substr(email, F.lit(1), n))).alias("_k"),
+        F.explode(F.transform(F.filter("_lengths", lambda n: n <= F.length("_mail")), lambda n: F.substr("_mail", F.lit(1), n))).alias("_k"),
     )
     # One row per prefix before the join: partial sums make a common prefix one row, not all its users.
     best = offered.groupBy("_k").agg(F.min("id").alias("_by_email"))
-    by_email = first.where(F.col("_by_name").isNull()).select("_k").join(best, "_k")
+    by_email = unknown.join(best, "_k")
     resolved = first.join(by_email, "_k", "left").select("_k", F.coalesce("_by_name", "_by_email").alias("assignee_id"))
     return items.withColumn("_k", key).join(resolved, "_k", "left").drop("_k")
 

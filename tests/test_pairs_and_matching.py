@@ -331,3 +331,14 @@ def test_publishing_works_the_changes_out_once(spark):
     # Each change is read and grouped in one place only.
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("max_by(") == 1 and plan.count("Aggregate ") == 1, plan
+
+
+def test_emails_offer_prefixes_of_asked_lengths_only(spark):
+    from gavel.operators import results
+
+    users = spark.createDataFrame([(1, "Ann Lee", "ann.lee@x.test"), (2, "Bo", "ann@x.test"), (3, "Cy", None), (4, "Di", "")], "id long, full_name string, email string")
+    items = spark.createDataFrame([(1, " ANN LEE "), (2, "ann."), (3, "ann"), (4, "zed"), (5, None), (6, "ann@x.test.long")], "i int, assignee string")
+    out = results.resolve_assignees(items, users)
+    assert sorted((r.i, r.assignee_id) for r in out.collect()) == [(1, 1), (2, 1), (3, 1), (4, None), (5, None), (6, None)]
+    assert results.resolve_assignees(items.where("i = 5"), users).select("assignee_id").collect()[0][0] is None
+    assert "sequence(1, length(email" not in out._jdf.queryExecution().optimizedPlan().toString()
