@@ -25,6 +25,21 @@ def regex(pattern: str, ignore_case: bool = True) -> str:
     return ("(?iU)" if ignore_case else "(?U)") + pattern
 
 
+def narrow(pattern: str) -> str:
+    """The same pattern with ASCII classes and case, which finds the same in an ASCII text and costs a fraction of it."""
+    return pattern.replace("(?iU)", "(?i)", 1).replace("(?U)", "", 1)
+
+
+def by_alphabet(text: Column, form: Callable[[Callable[[str], str]], Column]) -> Column:
+    """`form(spelling)` with the narrow spelling of its patterns where `text`, a column or lambda variable, is ASCII."""
+    return F.when(F.octet_length(text) == F.length(text), form(narrow)).otherwise(form(lambda pattern: pattern))
+
+
+def finds(text: Column, pattern: str) -> Column:
+    """`rlike` for a column or lambda variable, in the cheapest spelling that gives the same; a null text gives null."""
+    return by_alphabet(text, lambda spelled: text.rlike(spelled(pattern)))
+
+
 def any_of(patterns: Sequence[str], ignore_case: bool = True) -> str:
     """One alternation for a pattern list, to be searched for: a single pass over the text instead of one per pattern.
 
@@ -64,8 +79,11 @@ def beginnings(pattern: str) -> set[str] | None:
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind `value` once and use it several times without repeating its expression tree."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """Bind `value` once and use it several times without repeating its expression tree.
+
+    `element_at` knows its type; `get` asks for it in every row, which walks the body's tree down to its innermost `let`.
+    """
+    return F.element_at(F.transform(F.array(value), body), F.lit(1))
 
 
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -81,6 +99,19 @@ def strip(text: Column, chars: str = SPACE) -> Column:
     return F.btrim(text, F.lit(chars))
 
 
+def is_bare(text: Column) -> Column:
+    """True for a text that begins and ends with visible ASCII, so that nothing can be trimmed from it; else false or null."""
+    last = F.substring(text.cast("binary"), -1, 1)
+    begins = (text >= F.lit("!")) & (text < F.lit("\x7f"))
+    return begins & (last >= F.lit(bytearray(b"!"))) & (last < F.lit(bytearray(b"\x7f")))
+
+
+def strip_value(text: Column) -> Column:
+    """`strip` for a column or lambda variable: a trim set costs far more than a look at both ends, so it is searched only
+    where there may be something to trim. An expression would be evaluated several times; bind it with `let` first."""
+    return F.when(is_bare(text), text).otherwise(strip(text))
+
+
 def replace(text: Column, pattern: str, by: str = "", ignore_case: bool = True) -> Column:
     return F.regexp_replace(text, regex(pattern, ignore_case), by)
 
@@ -100,8 +131,14 @@ def has_words(text: Column, n: int) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    """Runs of whitespace become one space, ends trimmed. What is one space already is left as it is."""
-    return strip(replace(text, r"\s(?:\s+|(?<! ))", " ", False))
+    """Runs of whitespace become one space, ends trimmed. What is one space already is left as it is.
+
+    Printable ASCII without two spaces in a row has spaces to lose at its ends only.
+    """
+    def full(t: Column) -> Column:
+        return strip(replace(t, r"\s(?:\s+|(?<! ))", " ", False))
+
+    return let(text, lambda t: F.when(t.rlike("[^ -~]|  "), full(t)).otherwise(F.trim(t)))
 
 
 def has_any(lower: Column, parts: Sequence[str]) -> Column:
@@ -145,12 +182,18 @@ def clean(text: Column) -> Column:
         touched = let(F.lower(t), lambda low: has_any(low, FILLERS + PHRASES))
         return F.when(touched, collapse(expand_phrases(drop_spoken_fillers(t)))).otherwise(t)
 
-    return let(collapse(text), rest)
+    # Printable ASCII without two spaces in a row: one search for whole words, by ASCII rules, says whether anything is to do.
+    spoken = narrow(any_of([r"\b(" + "|".join(FILLERS + PHRASES) + r")\b"]))
+
+    def plain(t: Column) -> Column:
+        return F.when(t.rlike(spoken), rest(t)).otherwise(t)
+
+    return let(text, lambda t: F.when(t.rlike("[^ -~]|  "), let(collapse(t), rest)).otherwise(let(F.trim(t), plain)))
 
 
 def is_stop_sentence(text: Column) -> Column:
     """C11."""
-    return strip(text).rlike(any_of(lx.STOP_SENTENCES))
+    return let(let(text, strip_value), lambda t: finds(t, any_of(lx.STOP_SENTENCES)))
 
 
 def sentence_type(text: Column) -> Column:
@@ -184,7 +227,7 @@ def extract_names(text: Column) -> Column:
 
 def split_sentences(text: Column) -> Column:
     """Split after sentence punctuation, trim, drop empties."""
-    parts = F.transform(F.split(text, r"(?U)(?<=[.!?])\s+"), lambda s: strip(s))
+    parts = F.transform(F.split(text, r"(?U)(?<=[.!?])\s+"), strip_value)
     return F.filter(parts, lambda s: s != "")
 
 

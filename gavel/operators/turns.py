@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from gavel import lexicon as lx
 from gavel.functions import ordered
-from gavel.functions.text import clean, is_stop_sentence, let, split_sentences, strip
+from gavel.functions.text import clean, is_bare, is_stop_sentence, let, split_sentences, strip, strip_value
 
 
 def lines_of(raw_text: Column) -> Column:
     """B1: non-blank trimmed lines of a document."""
-    return F.filter(F.transform(F.split(strip(raw_text), "\n"), lambda s: strip(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(strip(raw_text), "\n"), strip_value), lambda s: s != "")
 
 
 def parse_line(line: Column, allow_mmss: bool = False) -> Column:
@@ -46,17 +46,22 @@ def parse_line(line: Column, allow_mmss: bool = False) -> Column:
         return F.when(F.contains(line, F.lit("-")), match).otherwise(entry(None, None, line))
 
     def coloned() -> Column:
-        pair = F.array(strip(F.substring_index(line, ":", 1)), strip(F.substr(line, F.instr(line, ":") + 1)))
-        match = let(
-            pair,
-            lambda p: F.when((p[0] != "") & (p[1] != ""), entry(None, p[0], p[1])).otherwise(dashed()),
-        )
+        # Spaces go first, as they are the common case and cheap to trim; mostly nothing is left to strip then.
+        pair = F.array(F.trim(F.substring_index(line, ":", 1)), F.trim(F.substr(line, F.instr(line, ":") + 1)))
+
+        def stripped(p: Column) -> Column:
+            return let(
+                F.array(strip(p[0]), strip(p[1])),
+                lambda q: F.when((q[0] != "") & (q[1] != ""), entry(None, q[0], q[1])).otherwise(dashed()),
+            )
+
+        match = let(pair, lambda p: F.when(is_bare(p[0]) & is_bare(p[1]), entry(None, p[0], p[1])).otherwise(stripped(p)))
         return F.when(F.contains(line, F.lit(":")), match).otherwise(dashed())
 
     stamp = lx.SHORT_TIMESTAMP_LINE if allow_mmss else lx.TIMESTAMP_LINE
     stamped = let(
         fields(stamp, "$1\n$2\n$3"),
-        lambda p: F.when((F.size(p) == 3) & (strip(p[1]) != ""), entry(p[0], strip(p[1]), strip(p[2]))).otherwise(coloned()),
+        lambda p: F.when((F.size(p) == 3) & (strip_value(p[1]) != ""), entry(p[0], strip_value(p[1]), strip_value(p[2]))).otherwise(coloned()),
     )
     return F.when(line.startswith("["), stamped).otherwise(coloned())
 
@@ -80,7 +85,7 @@ def turn_arrays(transcripts: DataFrame, allow_mmss: bool = False) -> DataFrame:
             (k + 1).alias("turn_id"),
             F.coalesce(head["speaker"], F.lit(lx.UNKNOWN_SPEAKER)).alias("speaker"),
             head["timestamp"].alias("timestamp"),
-            strip(F.array_join(body, " ")).alias("text"),
+            let(F.array_join(body, " "), strip_value).alias("text"),
         )
 
     return (

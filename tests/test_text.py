@@ -125,3 +125,25 @@ def test_transcripts_are_dealt_to_more_tasks_as_events_grow(spark, monkeypatch):
     monkeypatch.setattr(bank, "TASK_EVENTS", 10)
     n = spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
     assert bank.event_rows(spark, "/root/testdata/sf0.001", "event_id").rdd.getNumPartitions() >= n // 10
+
+
+def test_cheap_forms_give_what_the_full_forms_give(spark):
+    words = ["", " ", "a", " a", "a\t", " a b ", "é", "é ", "a\x7f", "Um, we like  it", "um like it", "summary", "plan pls", "PLS do it",
+             "a b", "ſome K", "we\tgo", "do  the needful", "do the needful", None]
+    df = spark.createDataFrame([(w,) for w in words], "t string")
+    t = F.col("t")
+    collapsed = tx.strip(tx.replace(t, r"\s+", " ", False))
+    full = tx.collapse(tx.expand_phrases(tx.drop_spoken_fillers(collapsed)))
+    pattern = tx.any_of([r"\b(some|k|pls)\b", r"^\s*um\b"])
+    out = df.select(
+        tx.strip_value(t).eqNullSafe(tx.strip(t)), tx.collapse(t).eqNullSafe(collapsed), tx.clean(t).eqNullSafe(full),
+        tx.finds(t, pattern).eqNullSafe(t.rlike(pattern)),
+    )
+    assert all(all(row) for row in out.collect())
+    assert [r[0] for r in df.select(tx.is_bare(t)).collect()[:5]] == [False, False, True, False, False]
+
+
+def test_a_bound_value_does_not_ask_for_its_type_in_every_row(spark):
+    bound = spark.range(1).select(tx.let(F.col("id"), lambda x: x + 1).alias("x"))
+    plan = bound._jdf.queryExecution().analyzed().toString()
+    assert "element_at" in plan and bound.first().x == 1
