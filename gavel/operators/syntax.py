@@ -114,25 +114,25 @@ def sentence_roots(tokens: DataFrame) -> DataFrame:
 
 
 def root_verbs(tokens: DataFrame) -> DataFrame:
-    """Lemma of the root verb; a light root hands over to its first verbal complement."""
-    roots = sentence_roots(tokens)
-    complement = (F.col("pos") == "VERB") & F.col("dep").isin("xcomp", "ccomp", "advcl") & (F.col("head") == F.col("root"))
-    inner = (
-        tokens.join(roots, KEY)
-        .groupBy(*KEY)
-        .agg(
-            F.first("root_lemma").alias("root_lemma"),
-            F.first("root_pos").alias("root_pos"),
-            F.first("root_tag").alias("root_tag"),
-            _first(F.col("lemma"), complement).alias("inner_lemma"),
-        )
+    """Lemma of the root verb; a light root hands over to its first verbal complement.
+
+    One aggregate: a sentence keeps its root and its few verbal complements, all other tokens are empty rows in it, and
+    no sentence is joined to its own tokens again.
+    """
+    root, inner = F.col("_root"), F.col("_inner")
+    verbal = (F.col("pos") == "VERB") & F.col("dep").isin("xcomp", "ccomp", "advcl")
+    slim = tokens.where(F.col("meeting_id").isNotNull() & F.col("sentence_id").isNotNull()).select(
+        *KEY,
+        F.when(F.col("dep") == "ROOT", F.struct("i", "lemma", "pos", "tag")).alias("_root"),
+        F.when(verbal, F.struct("i", "head", "lemma")).alias("_inner"),
     )
+    gathered = slim.groupBy(*KEY).agg(F.min_by("_root", root["i"]).alias("_root"), F.collect_list("_inner").alias("_inner"))
+    complement = F.array_min(F.filter(inner, lambda c: c["head"] == root["i"]))["lemma"]
     verb = F.when(
-        F.col("root_pos").isin("VERB", "AUX"),
-        F.when(F.col("root_lemma").isin(lx.LIGHT_ROOTS), F.coalesce("inner_lemma", "root_lemma"))
-        .otherwise(F.col("root_lemma")),
+        root["pos"].isin("VERB", "AUX"),
+        F.when(root["lemma"].isin(lx.LIGHT_ROOTS), F.coalesce(complement, root["lemma"])).otherwise(root["lemma"]),
     )
-    return inner.select(*KEY, verb.alias("root_verb"), "root_tag")
+    return gathered.select(*KEY, verb.alias("root_verb"), root["tag"].alias("root_tag"))
 
 
 def subjects(tokens: DataFrame) -> DataFrame:

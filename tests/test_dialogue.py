@@ -251,3 +251,18 @@ def test_parse_annotations_take_one_exchange_and_no_join(spark):
 
     plan = annotate_from_parse(tokens)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_root_verbs_need_no_join(spark):
+    from gavel.operators import syntax
+
+    rows = [
+        (1, 1, 0, "go", "VERB", "VB", "ROOT", 0), (1, 1, 2, "send", "VERB", "VB", "xcomp", 0), (1, 1, 1, "plan", "VERB", "VB", "ccomp", 2),
+        (1, 1, 3, "get", "VERB", "VB", "ccomp", 0), (1, 2, 0, "have", "AUX", "VBD", "ROOT", 0), (1, 2, 1, "do", "NOUN", "VB", "xcomp", 0),
+        (2, 1, 1, "review", "VERB", "VB", "ROOT", 1), (2, 1, 0, "send", "VERB", "VB", "xcomp", 1), (2, 2, 0, "team", "NOUN", "NN", "ROOT", 0),
+        (2, 3, 0, "send", "VERB", "VB", "xcomp", 0), (None, 1, 0, "go", "VERB", "VB", "ROOT", 0),
+    ]
+    tokens = spark.createDataFrame(rows, "meeting_id int, sentence_id int, i int, lemma string, pos string, tag string, dep string, head int")
+    out = syntax.root_verbs(tokens)
+    assert sorted(map(tuple, out.collect())) == [(1, 1, "send", "VB"), (1, 2, "have", "VBD"), (2, 1, "review", "VB"), (2, 2, None, "NN"), (2, 3, None, None)]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
