@@ -343,10 +343,11 @@ def delete_meetings(meetings: DataFrame, transcripts: DataFrame, ids: DataFrame)
 
 
 def delete_tasks(tasks: DataFrame, ids: DataFrame, requester) -> DataFrame:
-    """Only the owner deletes an owned task."""
-    asked = ids.select(F.col(ids.columns[0]).alias("id"), F.lit(True).alias("_asked")).distinct()
-    allowed = F.col("owner_id").isNull() | (F.col("owner_id") == F.lit(requester))
-    return tasks.join(asked, "id", "left").where(F.col("_asked").isNull() | ~allowed).drop("_asked")
+    """Only the owner deletes an owned task. Tasks that the requester may not delete stay whatever is asked, so they
+    are not joined; of the others only those not asked for are kept."""
+    asked = ids.select(F.col(ids.columns[0]).alias("id"))
+    allowed = F.coalesce(F.col("owner_id").isNull() | (F.col("owner_id") == F.lit(requester)), F.lit(False))
+    return tasks.where(~allowed).unionByName(tasks.where(allowed).join(asked, "id", "left_anti"))
 
 
 def clean_up(table: DataFrame, pattern: str = lx.CLEANUP_NAMES) -> DataFrame:

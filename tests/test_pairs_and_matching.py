@@ -342,3 +342,15 @@ def test_emails_offer_prefixes_of_asked_lengths_only(spark):
     assert sorted((r.i, r.assignee_id) for r in out.collect()) == [(1, 1), (2, 1), (3, 1), (4, None), (5, None), (6, None)]
     assert results.resolve_assignees(items.where("i = 5"), users).select("assignee_id").collect()[0][0] is None
     assert "sequence(1, length(email" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_tasks_that_may_be_deleted_are_joined(spark):
+    from gavel.operators import mutations
+
+    tasks = spark.createDataFrame([("a", 1), ("b", 2), ("c", None), ("d", 1), (None, None)], "id string, owner_id int")
+    ids = spark.createDataFrame([("a",), ("a",), ("b",), ("c",), (None,)], "id string")
+    left = lambda who: sorted(str(r[0]) for r in mutations.delete_tasks(tasks, ids, who).collect())
+    assert left(1) == ["None", "b", "d"]
+    assert left(None) == ["None", "a", "b", "d"]  # nobody is the owner of an owned task
+    plan = mutations.delete_tasks(tasks, ids, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "Aggregate" not in plan
