@@ -6,14 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gavel import lexicon as lx
-from gavel.functions.text import any_of, has_any, has_words, let, regex, strip
+from gavel.functions.text import any_of, finds, has_any, has_words, let, regex, strip
 
 
 def is_actionable(text: Column, min_words: int = lx.MIN_DECISION_WORDS) -> Column:
     """Enough words, no non-action opening, an action verb."""
     return (
-        text.rlike(any_of([lx.DETECTION_VERBS]))
-        & ~text.rlike(any_of(lx.NON_ACTION_SENTENCES))
+        finds(text, any_of([lx.DETECTION_VERBS]))
+        & ~finds(text, any_of(lx.NON_ACTION_SENTENCES))
         & has_words(text, min_words)
     )
 

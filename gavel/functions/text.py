@@ -199,9 +199,9 @@ def is_stop_sentence(text: Column) -> Column:
 def sentence_type(text: Column) -> Column:
     """Metric, else observation, else consequence, else general."""
     return (
-        F.when(text.rlike(any_of(lx.METRIC_SENTENCES)), "metric")
-        .when(text.rlike(any_of(lx.OBSERVATION_SENTENCES)), "observation")
-        .when(text.rlike(any_of(lx.CONSEQUENCE_SENTENCES)), "consequence")
+        F.when(finds(text, any_of(lx.METRIC_SENTENCES)), "metric")
+        .when(finds(text, any_of(lx.OBSERVATION_SENTENCES)), "observation")
+        .when(finds(text, any_of(lx.CONSEQUENCE_SENTENCES)), "consequence")
         .otherwise("general")
     )
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavel import lexicon as lx
-from gavel.functions.text import any_of, let, once, regex, strip
+from gavel.functions.text import any_of, by_alphabet, finds, let, once, regex, strip
 
 RULE_VERBS = sorted(set(lx.VERB_IMPERATIVES) | {"handle", "share", "need", "have", "get", "make", "be", "go", "think"})
 VERB_FORMS = r"\b(" + "|".join(RULE_VERBS) + r")(s|ed|d|ing)?\b"
@@ -38,7 +38,8 @@ def annotate_by_rules(sentences: DataFrame) -> DataFrame:
     """C3-C6 by rules. The first verb form is the root; the words after it, up to a stop word or punctuation,
     are the object; a pronoun before the verb, else a leading 'Name,', else the speaker is the subject."""
     text = F.col("text")
-    pieces = F.split(F.regexp_replace(text, regex(CLAUSE), f"$1{MARK}$2{MARK}$3{MARK}$4"), MARK)
+    cut = by_alphabet(text, lambda spelled: F.regexp_replace(text, spelled(regex(CLAUSE)), f"$1{MARK}$2{MARK}$3{MARK}$4"))
+    pieces = F.split(cut, MARK)
     none = F.lit("")
     head, verb = F.get("_c", F.lit(0)), F.lower(F.get("_c", F.lit(1)))
     form = F.lower(F.get("_c", F.lit(2)))
@@ -52,7 +53,7 @@ def annotate_by_rules(sentences: DataFrame) -> DataFrame:
         F.coalesce(F.nullif(pronoun, none), F.nullif(addressee, none)).alias("_subject"),
         F.when(form.isin("ed", "d"), "VBD").when(form == "ing", "VBG").when(form == "s", "VBZ")
         .when(verb.isNotNull(), "VB").alias("root_tag"),
-        text.rlike(any_of([PASSIVE])).alias("is_passive"),
+        finds(text, any_of([PASSIVE])).alias("is_passive"),
     )
     return (
         staged.withColumn("has_dobj", F.col("object").isNotNull())

@@ -147,3 +147,15 @@ def test_a_bound_value_does_not_ask_for_its_type_in_every_row(spark):
     bound = spark.range(1).select(tx.let(F.col("id"), lambda x: x + 1).alias("x"))
     plan = bound._jdf.queryExecution().analyzed().toString()
     assert "element_at" in plan and bound.first().x == 1
+
+
+def test_detection_searches_ascii_texts_by_ascii_rules(spark):
+    from gavel import lexicon as lx
+
+    texts = ["Please fix the build now", "please ﬁx the build", "Please FIX the café door", "we sCheDule the audit", "éfix the door now", "the ſite is very slow, fix it", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    plain = t.rlike(tx.any_of([lx.DETECTION_VERBS])) & ~t.rlike(tx.any_of(lx.NON_ACTION_SENTENCES)) & tx.has_words(t, 4)
+    found = df.select(sg.is_actionable(t).alias("a"), plain.alias("b"))
+    assert all(r.a == r.b for r in found.collect())
+    assert "octet_length" in found._jdf.queryExecution().analyzed().toString()
