@@ -74,37 +74,37 @@ def leaf_budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], share: f
     return leaves.join(above.select(*levels, F.col("parent_budget").alias("budget")), list(levels))
 
 
-def _hinted(leaves: DataFrame) -> DataFrame:
-    """For a join with rows: broadcast up to BROADCAST_LEAVES leaves, some 20 MB; more are joined by shuffle."""
-    return F.broadcast(leaves) if leaves.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES else leaves
-
-
 def plan(rows: DataFrame, weights: dict[str, dict[str, int]], share: float, epochs: int, seed: int, levels: tuple[str, ...] = LEVELS) -> DataFrame:
     """(levels..., whole, last): whole epochs of each leaf, and the last key of the prefix of one more.
 
+    Up to BROADCAST_LEAVES leaves, some 20 MB, are broadcast to joins with rows, also to the caller's; more are joined by
+    shuffle. They are counted once, as no later table has more rows than there are leaves.
+
     rows: (levels..., id, tokens), stored. The prefix is found by sums over parts of the key range, then inside the
     part where the budget ends, so no task sorts a whole leaf.
     """
     on = list(levels)
     leaves = cut_lineage(rows.groupBy(*on).agg(F.sum("tokens").alias("tokens")))
+    hinted = F.broadcast if leaves.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES else lambda some: some
     budgets = leaf_budgets(leaves, weights, share, epochs, levels)
     budgets = budgets.withColumn("whole", F.expr("if(tokens > 0, budget div tokens, 0)")).withColumn("part", F.expr("budget - whole * tokens"))
     budgets = cut_lineage(budgets.select(*on, "whole", "part"))
-    within = rows.join(_hinted(budgets.where("part > 0")), on).withColumn("key", order_key(F.col("id"), F.col("whole"), seed))
-    prefix = budgets.where("part > 0").select(*on, "part", F.lit("").alias("at"))
+
+    def inside(known: DataFrame) -> DataFrame:
+        keyed = rows.join(hinted(known), on).withColumn("key", order_key(F.col("id"), F.col("whole"), seed))
+        return keyed.where(F.col("key").startswith(F.col("at")))
+
+    known = budgets.where("part > 0").select(*on, "whole", "part", F.lit("").alias("at"))
     for digits in DIGITS:
-        known = _hinted(cut_lineage(prefix))
-        inside = within.select(*on, "key", "tokens").join(known, on).where(F.col("key").startswith(F.col("at")))
-        sums = inside.groupBy(*on, "part", F.substring("key", F.lit(1), F.length("at") + digits).alias("at")).agg(F.sum("tokens").alias("n"))
+        sums = inside(known).groupBy(*on, "whole", "part", F.substring("key", F.lit(1), F.length("at") + digits).alias("at")).agg(F.sum("tokens").alias("n"))
         upto = F.sum("n").over(Window.partitionBy(*on).orderBy("at"))
         crossed = sums.withColumn("upto", upto).where("upto > part")
-        prefix = crossed.groupBy(*on).agg(F.min_by(F.struct("at", (F.col("part") - F.col("upto") + F.col("n")).alias("part")), "at").alias("s")).select(*on, "s.part", "s.at")
-    known = _hinted(cut_lineage(prefix))
-    inside = within.select(*on, "key", "tokens").join(known, on).where(F.col("key").startswith(F.col("at")))
-    keys = inside.groupBy(*on, "part", "at", "key").agg(F.sum("tokens").alias("n"))
+        first = F.min_by(F.struct("whole", (F.col("part") - F.col("upto") + F.col("n")).alias("part"), "at"), "at").alias("s")
+        known = cut_lineage(crossed.groupBy(*on).agg(first).select(*on, "s.whole", "s.part", "s.at"))
+    keys = inside(known).groupBy(*on, "part", "at", "key").agg(F.sum("tokens").alias("n"))
     fits = keys.withColumn("upto", F.sum("n").over(Window.partitionBy(*on).orderBy("key"))).where("upto <= part")
-    last = known.select(*on, "at").join(fits.groupBy(*on).agg(F.max("key").alias("key")), on, "left").select(*on, F.coalesce("key", "at").alias("last"))
-    return cut_lineage(budgets.join(last, on, "left").select(*on, "whole", F.coalesce("last", F.lit("")).alias("last")))
+    last = hinted(known.select(*on, "at")).join(fits.groupBy(*on).agg(F.max("key").alias("key")), on, "left").select(*on, F.coalesce("key", "at").alias("last"))
+    return hinted(cut_lineage(budgets.join(last, on, "left").select(*on, "whole", F.coalesce("last", F.lit("")).alias("last"))))
 
 
 def order_key(id_col: Column, epoch: Column, seed: int) -> Column:
@@ -128,7 +128,7 @@ def mix(
     identity = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     rows = cut_lineage(docs.select(*[v.alias(k) for k, v in names.items()], identity.alias("id"), tokens_of(F.col(text_col)).alias("tokens")))
     found = plan(rows, weights, share, epochs, seed, tuple(levels))
-    found = _hinted(found.select(*[F.col(k).alias(f"_llm_{k}") for k in levels], F.col("whole").alias("_llm_whole"), F.col("last").alias("_llm_last")))
+    found = found.select(*[F.col(k).alias(f"_llm_{k}") for k in levels], F.col("whole").alias("_llm_whole"), F.col("last").alias("_llm_last"))
     marked = docs.withColumns({f"_llm_{k}": v for k, v in names.items()} | {"_llm_id": identity}).join(found, [f"_llm_{k}" for k in levels])
     more = F.when(order_key(F.col("_llm_id"), F.col("_llm_whole"), seed) <= F.col("_llm_last"), 1).otherwise(0)
     marked = marked.withColumn("_llm_copies", (F.col("_llm_whole") + more).cast("long")).where("_llm_copies > 0")

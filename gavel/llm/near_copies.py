@@ -213,11 +213,9 @@ def _dealt(rows: DataFrame, key: str, most: int, columns: list[str], few: bool =
     return _parted(rows, key, most, few).repartition(key, "part").sortWithinPartitions(key, "part", "node").select(key, "part", "node", *columns)
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """(rows, first): the rows' (none, id, digest, words), stored, and for each distinct sequence of words (`words`) the
-    smallest (none, id, digest) of its group.
-
-    Rows with the same words are one node. Nodes are linked from that similarity of their sets of shingles on.
+def _near_nodes(docs: DataFrame, id_col: str, text_col: str, similarity: float, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, nodes, roots): the rows' (none, id, digest, words, lanes) and the nodes' (node, words, own, lanes), both stored,
+    and the (node, root) of nodes that have a link. A node is a distinct sequence of words, own its smallest (none, id, digest).
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     given = docs.select(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.md5(text).alias("digest"), text.alias("text"))
@@ -244,10 +242,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = nodes.join(coarse, "node").select("node", "root", F.col("own.digest").alias("digest"))
     texts = given.select("digest", "text").join(members, "digest").groupBy("node", "root").agg(F.min("text").alias("text"))
     links = _dealt(texts, "root", PART_ROWS, ["text"]).mapInArrow(_linked_texts(similarity, size), "a long, b long").distinct()
-    roots = components(links)
+    return rows, nodes, components(links)
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """(rows, first): the rows' (none, id, digest, words), stored, and for each distinct sequence of words (`words`) the
+    smallest (none, id, digest) of its group.
+
+    Rows with the same words are one node. Nodes are linked from that similarity of their sets of shingles on.
+    """
+    rows, nodes, roots = _near_nodes(docs, id_col, text_col, similarity, size)
     linked = nodes.join(roots, "node").select("words", "root", "own")
     first = linked.join(linked.groupBy("root").agg(F.min("own").alias("first")), "root").select("words", "first")
-    return rows.drop(*lanes), nodes.select("words", "own").join(first, "words", "left").select("words", F.coalesce("first", "own").alias("first"))
+    return rows.select("none", "id", "digest", "words"), nodes.select("words", "own").join(first, "words", "left").select("words", F.coalesce("first", "own").alias("first"))
 
 
 def drop_near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -256,8 +263,9 @@ def drop_near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null texts count as empty, and texts without words as one group. Null ids lose against all others; among equal
     ids the smallest MD5 of the text wins, among equal texts any one.
     """
-    _, first = near_groups(docs, id_col, text_col, similarity)
+    _, nodes, roots = _near_nodes(docs, id_col, text_col, similarity, SHINGLE)
+    first = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("own").alias("first"))
     digest, key = F.md5(F.coalesce(F.col(text_col), F.lit(""))), F.coalesce(F.col(id_col).cast("string"), F.lit("~"))
-    stay = first.select(F.coalesce(F.col("first.id").cast("string"), F.lit("~")).alias("_llm_key"), F.col("first.digest").alias("_llm_digest")).distinct()
+    stay = first.select(F.coalesce(F.col("first.id").cast("string"), F.lit("~")).alias("_llm_key"), F.col("first.digest").alias("_llm_digest"))
     marked = docs.withColumns({"_llm_key": key, "_llm_digest": digest})
     return marked.join(stay, ["_llm_key", "_llm_digest"], "left_semi").dropDuplicates(["_llm_key", "_llm_digest"]).select(*docs.columns)

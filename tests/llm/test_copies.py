@@ -26,6 +26,16 @@ def test_fingerprints_by_rule(monkeypatch, piece):
         assert simhash_dedup.fingerprint(text.encode()) == fingerprint_by_rule(text), text[:40]
 
 
+@pytest.mark.parametrize("pairs, rounds", [([], 0), ([(1, 2), (3, 1), (1, 1), (2, 1), (7, 9)], 0), ([(1, 3), (2, 3)], 1), ([(1, 2), (2, 3)], 1)])
+def test_components_run_no_round_that_changes_nothing(spark, rows, monkeypatch, pairs, rounds):
+    cuts, cut = [], components.cut_lineage
+    monkeypatch.setattr(components, "cut_lineage", lambda df: (cuts.append(1), cut(df))[1])
+    found = components.components(spark.createDataFrame(pairs, "a long, b long"))
+    root = {frozenset(): [], frozenset({1, 2, 3, 7, 9}): [(1, 1), (2, 1), (3, 1), (7, 7), (9, 7)]}
+    assert rows(found) == root.get(frozenset(x for p in pairs for x in p), [(1, 1), (2, 1), (3, 1)])
+    assert len(cuts) == 1 + rounds
+
+
 def linked_components(fps, radius):
     fps = sorted(set(fps))
     root = {f: f for f in fps}

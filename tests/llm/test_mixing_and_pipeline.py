@@ -93,6 +93,17 @@ def test_mix_of_awkward_rows(spark):
     assert mixing.mix(empty(spark), {}, 0.5).count() == 0
 
 
+def test_mix_runs_few_jobs(spark):
+    """The driver keeps threads of each shuffle and broadcast for a while, so many short jobs cost it memory."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("mix", "")
+    mixing.mixed_documents(docs, MIX_WEIGHTS, MIX_SHARE, epochs=MIX_EPOCHS)
+    jobs = len(tracker.getJobIdsForGroup("mix"))
+    spark.sparkContext.setJobGroup("", "")
+    assert 0 < jobs <= 36, jobs
+
+
 def test_stages_by_brute_force(spark):
     """Each stage on what the one before it kept; the quality stage is checked against its labels."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
