@@ -150,6 +150,36 @@ def test_near_titles_by_brute_force_with_split_lists(spark, monkeypatch):
     assert dedup.near_titles(pairs_).count() == 0
 
 
+@pytest.mark.parametrize("cells", [1, 1 << 16])
+def test_near_titles_of_long_texts_by_brute_force(spark, monkeypatch, cells):
+    monkeypatch.setattr(dedup, "CELLS", cells)  # with one cell words are in any order
+    rng = random.Random(11)
+    titles = []
+    for n in (4, 5, 9, 10, 30, 60, 120, 250, 400):
+        base = [f"w{rng.randrange(900)}" for _ in range(n)]
+        for change in range(0, n // 5 + 2, max(1, n // 20)):
+            some = base[change:] + [f"w{rng.randrange(900)}" for _ in range(change // 2)]
+            titles += [" ".join(some), " ".join(rng.sample(some, len(some))), " ".join([*some, some[0]])]
+    got = [(r.a, r.b, round(r.similarity, 9)) for r in dedup.near_titles(spark.createDataFrame([(t,) for t in titles * 2], "task string")).collect()]
+    some = sorted(set(titles))
+    sets = [set(t.split()) for t in some]
+    want = [(x, y, round(len(a & b) / len(a | b), 9)) for i, (x, a) in enumerate(zip(some, sets)) for y, b in zip(some[i + 1 :], sets[i + 1 :]) if len(a & b) / len(a | b) >= 0.8]
+    assert sorted(got) == sorted(want) and len(want) > 100
+
+
+def test_near_titles_shuffle_and_store_little_more_than_the_texts(spark):
+    rng = random.Random(3)
+    texts = [" ".join(f"{rng.randrange(1 << 30):x}" if rng.random() < 0.5 else f"often{rng.randrange(40)}" for _ in range(150)) for _ in range(400)]
+    texts += [t.rsplit(" ", 1)[0] for t in texts]
+    stored = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f.getPath(): f.length() for f in (lambda all_: [all_.apply(i) for i in range(all_.size())])(stored.getAllFiles())}
+    before = files()
+    near = dedup.near_titles(spark.createDataFrame([(t,) for t in texts], "task string"))
+    assert near.count() == 400
+    shuffled = sum(n for path, n in files().items() if path not in before and "shuffle" in path)
+    assert shuffled < 4 * sum(map(len, texts)), shuffled / sum(map(len, texts))
+
+
 def test_near_titles_broadcast_no_titles(spark):
     titles = spark.range(200).selectExpr("concat('a b c d e f g h ', id % 50) AS task")
     plan = dedup.near_titles(titles)._jdf.queryExecution().executedPlan().toString()
