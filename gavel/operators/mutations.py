@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, IntegerType, LongType, StringType
 
 from gavel import lexicon as lx
 from gavel.functions import ordered
@@ -58,9 +59,33 @@ def publish_changes(
     The state before an item is a fill-forward over (transcript, title); `rows` as given by
     `ordered.segment_rows` splits it where one title is repeated without end.
     """
+    incoming = _incoming(items, valid_assignee)
+    published = tasks.where(~F.col("is_manual") & F.col("transcript_reference").isNotNull())
+    existing = (
+        published.where(F.coalesce(strip(F.col("title")), F.lit("")) != "")
+        .groupBy(F.col("transcript_reference").alias("transcript_id"), F.lower(strip(F.col("title"))).alias("_k"))
+        # of several tasks with one title the one read last counts
+        .agg(F.max_by(_old_task(F.col("id")), F.col("id")).alias("_old"))
+    )
+    seen = published.select(F.col("transcript_reference").alias("transcript_id")).distinct().withColumn("_republish", F.lit(True))
+    # The old task joins last: it isn't carried through the other join, and its keys deal the rows for the fill-forward, too.
+    joined = incoming.join(seen, "transcript_id", "left").join(existing, ["transcript_id", "_k"], "left")
+
+    stated = ordered.fill_forward(
+        joined.withColumn("_state", _state()), ["transcript_id", "_k"], "pos", F.col("_state"), "_previous", rows
+    )
+    return (
+        _acted(stated)
+        .withColumn("title_key", F.col("_k"))
+        .select("transcript_id", "pos", "title", "title_key", "description", "assignee_id", "due_date", "task_id", "action")
+    )
+
+
+def _incoming(items: DataFrame, valid_assignee: Column | None) -> DataFrame:
+    """The usable items with their values as they are published; `_k`: the title that is compared."""
     title = strip(F.when(F.coalesce("title", F.lit("")) == "", lx.UNTITLED).otherwise(F.col("title")))
     ok_assignee = F.col("_a").rlike("^[0-9a-f]{24}$") if valid_assignee is None else valid_assignee
-    incoming = (
+    return (
         items.withColumn("title", title)
         .where(F.col("title") != "")
         .withColumn("_k", F.lower("title"))
@@ -69,24 +94,21 @@ def publish_changes(
         .withColumn("due_date", iso_date(F.col("deadline")))
         .withColumn("description", F.coalesce("description", F.lit("")))
     )
-    published = tasks.where(~F.col("is_manual") & F.col("transcript_reference").isNotNull())
-    existing = (
-        published.where(F.coalesce(strip(F.col("title")), F.lit("")) != "")
-        .groupBy(F.col("transcript_reference").alias("transcript_id"), F.lower(strip(F.col("title"))).alias("_k"))
-        # of several tasks with one title the one read last counts
-        .agg(F.max_by(F.struct("id", "description", F.col("assignee_id").cast("string").alias("assignee_id"), "due_date"), F.col("id")).alias("_old"))
-    )
-    seen = published.select(F.col("transcript_reference").alias("transcript_id")).distinct().withColumn("_republish", F.lit(True))
-    # The old task joins last: it isn't carried through the other join, and its keys deal the rows for the fill-forward, too.
-    joined = incoming.join(seen, "transcript_id", "left").join(existing, ["transcript_id", "_k"], "left")
 
-    state = F.struct(strip(F.col("description")).alias("d"), F.col("assignee_id").alias("a"), F.col("due_date").alias("u"))
+
+def _state() -> Column:
+    return F.struct(strip(F.col("description")).alias("d"), F.col("assignee_id").alias("a"), F.col("due_date").alias("u"))
+
+
+def _old_task(id_: Column) -> Column:
+    return F.struct(id_.alias("id"), "description", F.col("assignee_id").cast("string").alias("assignee_id"), "due_date")
+
+
+def _acted(stated: DataFrame) -> DataFrame:
+    """Add `action` and `task_id` to items with `_state`, `_previous`, `_old` and `_republish`."""
     old = F.struct(
         strip(F.coalesce(F.col("_old.description"), F.lit(""))).alias("d"), F.col("_old.assignee_id").alias("a"), F.col("_old.due_date").alias("u")
     )
-    stated = ordered.fill_forward(
-        joined.withColumn("_state", state), ["transcript_id", "_k"], "pos", F.col("_state"), "_previous", rows
-    )
     # What a title looked like before this item: the previous item's state, for the first one the old task's.
     prior = F.coalesce("_previous", F.when(F.col("_old").isNotNull(), old))
     action = (
@@ -95,13 +117,7 @@ def publish_changes(
         .when(F.col("_state").eqNullSafe(F.col("_prior")), "unchanged")
         .otherwise("updated")
     )
-    return (
-        stated.withColumn("_prior", prior)
-        .withColumn("action", action)
-        .withColumn("task_id", F.col("_old.id"))
-        .withColumn("title_key", F.col("_k"))
-        .select("transcript_id", "pos", "title", "title_key", "description", "assignee_id", "due_date", "task_id", "action")
-    )
+    return stated.withColumn("_prior", prior).withColumn("action", action).withColumn("task_id", F.col("_old.id"))
 
 
 def publish_counts(changes: DataFrame) -> DataFrame:
@@ -147,6 +163,66 @@ def apply_publish(tasks: DataFrame, changes: DataFrame, new_id: Column) -> DataF
     return both.select(*[value(c).alias(c) for c in tasks.columns])
 
 
+def publish(tasks: DataFrame, items: DataFrame, new_id: Column, valid_assignee: Column | None = None, rows: int = ordered.SEGMENT_ROWS) -> DataFrame:
+    """M2: the task table after publishing `items`: `apply_publish` of `publish_changes`, in one shuffle by transcript where it can be.
+
+    Tasks that aren't published can't change and stay where they are; published ones travel with their transcript's items, and
+    every row comes out where its title was compared. That takes ids that no two titles share (told by hashes of ids)
+    and transcripts of no more than `rows` rows; else changes are worked out first and meet the tasks by id.
+    """
+    is_published = F.coalesce(~F.col("is_manual") & F.col("transcript_reference").isNotNull(), F.lit(False))
+    key = F.lower(strip(F.col("title")))
+    published = tasks.where(is_published)
+    old, asked = published.select(F.col("transcript_reference").alias("transcript_id")), items.select("transcript_id")
+    kind = {f.name: f.dataType for f in tasks.schema}
+    alike = (
+        kind["transcript_reference"] == asked.schema["transcript_id"].dataType and kind["description"] == StringType() and kind["due_date"] == DateType()
+        and kind["assignee_id"] in (StringType(), IntegerType(), LongType())  # their texts give them back
+    )
+    # Where a task of this id can change: one title of one transcript, or nowhere.
+    place = F.when(is_published & (F.coalesce(key, F.lit("")) != ""), F.xxhash64("transcript_reference", key)).otherwise(F.lit(0).cast("long"))
+    places = tasks.where("id IS NOT NULL").select(F.xxhash64("id").alias("id"), place.alias("at")).groupBy("id").agg(F.min("at").alias("a"), F.max("at").alias("b"))
+    if not alike or ordered.segment_rows(old.unionAll(asked), ["transcript_id"], rows) is not None or not places.where("a < b").isEmpty():
+        changes = publish_changes(tasks, items, valid_assignee, ordered.segment_rows(items, ["transcript_id"], rows))
+        return apply_publish(tasks, changes, new_id)
+
+    shared = ["title", "description", "due_date", F.col("assignee_id").cast("string").alias("assignee_id")]
+    own = [c for c in tasks.columns if c not in ("transcript_reference", "title", "description", "due_date", "assignee_id")]
+    there = published.select(F.col("transcript_reference").alias("transcript_id"), *shared, *[F.col(c).alias(f"_t_{c}") for c in own], F.lit(False).alias("_item"))
+    incoming = _incoming(items, valid_assignee).select("transcript_id", "pos", *shared, F.lit(True).alias("_item"))
+    both = there.unionByName(incoming, allowMissingColumns=True)
+    both = both.select(*sorted(both.columns, key=lambda c: (c == "title", both.schema[c].dataType == StringType())))  # numbers first: smaller when compressed
+    both = both.withColumn("_republish", F.bool_or(~F.col("_item")).over(Window.partitionBy("transcript_id"))).withColumn("title_key", key)
+    title = Window.partitionBy("transcript_id", "title_key").orderBy("_item", "pos")  # its tasks, then its items
+    whole = title.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    of_task = lambda c: F.when(~F.col("_item"), c)
+    stated = both.withColumn("_state", F.when(F.col("_item"), _state())).withColumns({
+        "_old": F.max_by(of_task(_old_task(F.col("_t_id"))), of_task(F.col("_t_id"))).over(whole),
+        "_previous": F.last("_state", ignorenulls=True).over(title.rowsBetween(Window.unboundedPreceding, -1)),
+        "_end": F.lead(F.lit(1)).over(title).isNull(),
+    })
+    effective = F.col("_item") & F.col("action").isin("created", "updated")
+    last = F.struct("description", "assignee_id", "due_date", "task_id")
+    final = _acted(stated).withColumns({
+        "_touched": F.bool_or(effective).over(whole),
+        "_last": F.max_by(F.when(effective, last), F.when(effective, F.col("pos"))).over(whole),
+        "_first": F.min_by(F.when(effective, F.col("title")), F.when(effective, F.col("pos"))).over(whole),
+    })
+    new = F.col("_item")  # a title without a task: its last row becomes one
+    final = final.where(~new | (F.col("_end") & F.col("_touched") & F.col("_last.task_id").isNull())).withColumn("title", F.when(new, F.col("_first")).otherwise(F.col("title")))
+    changed = new | F.coalesce(F.col("_touched") & (F.col("_t_id") == F.col("_last.task_id")), F.lit(False))
+    created = {"id": new_id.cast(kind["id"]), "status": F.lit("TODO"), "priority": F.lit("MEDIUM"), "is_manual": F.lit(False)}
+
+    def value(name: str) -> Column:
+        if name in ("title", "transcript_reference"):
+            return F.col("title" if name == "title" else "transcript_id")
+        if name not in own:
+            return F.when(changed, F.col(f"_last.{name}")).otherwise(F.col(name)).cast(kind[name])
+        return F.when(new, created[name]).otherwise(F.col(f"_t_{name}")) if name in created else F.col(f"_t_{name}")
+
+    return final.select(*[value(c).alias(c) for c in tasks.columns]).unionByName(tasks.where(~is_published))
+
+
 def upsert_by_key(table: DataFrame, changes: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
     """M3, M4: non-null change values overwrite, missing rows are created. One change row per key."""
     renamed = changes.select(*key, *[F.col(c).alias(f"_new_{c}") for c in columns])

@@ -865,7 +865,7 @@ def publish_counts(spark, sf):
     ),
 )
 def publish_result(spark, sf):
-    after = mutations.apply_publish(board_before(spark, sf), published(spark, sf), F.concat_ws(":", "transcript_id", "title_key"))
+    after = mutations.publish(board_before(spark, sf), publish_items(spark, sf), F.concat_ws(":", "transcript_id", "title_key"), F.col("_a").rlike("^[0-9]+$"))
     return after.select("id", "title", "description", F.col("assignee_id").cast("string").alias("assignee_id"), F.col("due_date").cast("string").alias("due_date"), "status")
 
 

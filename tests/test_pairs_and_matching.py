@@ -1,5 +1,6 @@
 """Similarity joins, greedy choices and clusters against brute force."""
 
+import datetime
 import random
 from difflib import SequenceMatcher
 
@@ -363,6 +364,56 @@ def test_publishing_works_the_changes_out_once(spark):
     assert plan.count("max_by(") == 1 and plan.count("Aggregate ") == 1, plan
 
 
+BOARD = "id string, transcript_reference long, title string, description string, assignee_id long, due_date date, status string, priority string, is_manual boolean, other int"
+ITEMS = "transcript_id long, pos long, title string, description string, assignee string, deadline string"
+
+
+def some_board(spark, rng, ids):
+    one = lambda *values: rng.choice(values)
+    day = datetime.date(2024, 5, 1)
+    name = lambda: one("Plan", " plan", "PLAN ", "Ship it", "ship it", "Fix", "", "  ", None)
+    tasks = [(ids(k), one(1, 2, 3, 4, None), name(), one("a", " a", "b", None), one(7, 8, None), one(day, None), one("DONE", "TODO"), "LOW", one(True, False, False, None), k) for k in range(60)]
+    items = [(one(1, 2, 3, 5, 6, None), k, name(), one("a", "a ", "b", None), one("7", "8", " ", "x", None), one("2024-05-01", "soon", None)) for k in range(90)]
+    return spark.createDataFrame(tasks, BOARD).repartition(3), spark.createDataFrame(items, ITEMS).repartition(3)
+
+
+def published_by_steps(tasks, items, new_id):
+    from gavel.operators import mutations
+
+    return mutations.apply_publish(tasks, mutations.publish_changes(tasks, items, F.col("_a").rlike("^[0-9]+$")), new_id)
+
+
+@pytest.mark.parametrize("case", ["unique", "one_title", "null", "shared", "segments"])
+def test_publishing_in_one_shuffle_gives_what_its_steps_give(spark, rows, case):
+    from gavel.operators import mutations
+
+    rng = random.Random(len(case))
+    tasks, items = some_board(spark, rng, {"null": lambda k: None if k % 3 == 0 else f"t{k}", "shared": lambda k: f"t{k // 4}"}.get(case, lambda k: f"t{k}"))
+    if case == "one_title":  # rows that come twice
+        tasks, items = tasks.unionAll(tasks), items.unionAll(items)
+    items = items.where("transcript_id IS NOT NULL") if case == "segments" else items
+    new_id = F.concat_ws(":", "transcript_id", "title_key", "title")
+    got = mutations.publish(tasks, items, new_id, F.col("_a").rlike("^[0-9]+$"), *([5] if case == "segments" else []))
+    want = published_by_steps(tasks, items, new_id)
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert rows(got) == rows(want) and want.where("id LIKE '%:%'").count() > 3
+    joined = "Join" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert joined == (case in ("shared", "segments"))  # ids of several titles and large transcripts go the long way
+
+
+def test_publishing_shuffles_tasks_and_items_once(spark, tmp_path):
+    from gavel.workload import QUERIES
+
+    n = F.col("id")
+    spark.range(300).select(
+        (n % 90).alias("l_orderkey"), (n * 7 % 50).alias("l_partkey"), (n % 10).alias("l_suppkey"), (n % 7).cast("int").alias("l_linenumber"), (n % 30).cast("double").alias("l_quantity"),
+        (n * 1.5).cast("double").alias("l_extendedprice"), (n % 3 / 10).alias("l_discount"), (n % 2 / 10).alias("l_tax"), F.when(n % 3 == 0, "R").otherwise("N").alias("l_returnflag"),
+        F.lit("O").alias("l_linestatus"), F.timestamp_seconds(n * 86400).alias("l_shipdate"),
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    plan = QUERIES["publish_result_m2"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan, plan
+
+
 def test_emails_offer_prefixes_of_asked_lengths_only(spark):
     from gavel.operators import results
 
